@@ -21,22 +21,29 @@ from pyspark.sql import types as T
 from tessera.llm import text_kernels as K
 
 #: Bound on the labelled rows that the classifiers are fitted on.
-TRAINING_ROWS = 3000
-BITS = 18
-EPOCHS = 8
+TRAINING_ROWS = 6000
+BITS = 20
+EPOCHS = 6
 BATCH = 32
-RATE = 0.08
+RATE = 0.3
+#: A feature counts if so many training documents have it.
+LEAST_DOCS = 8
+#: A document's n features count n ** -POWER each.
+POWER = 0.5
 #: Documents with a calibrated probability above these go.
 MOST_LOW_QUALITY = 0.5
 MOST_TOXIC = 0.5
+NOT_WORD = np.ones(256, bool)
+NOT_WORD[128:] = False
+NOT_WORD[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = False
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def text_stats(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Runs, np.ndarray, dict[str, np.ndarray]]:
-    """The words of a slice, their hashes, and the statistics of each document."""
+def text_stats(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Runs, dict[str, np.ndarray]]:
+    """The words of a slice and the statistics of each document."""
     w = K.words(data, offsets)
     h = K.run_hashes(data, w.start, w.end)
     letters = ~K.SPACE[data] & ((data & 0xC0) != 0x80)
@@ -58,35 +65,26 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Runs, np.ndarra
     for j in range(3):
         covered[again + j] = True
     out["n_repeat_words"] = K.sum_by_doc(covered[: len(h)], w).astype(np.int64)
-    return w, h, out
+    return w, out
 
 
-def features(data: np.ndarray, offsets: np.ndarray, w: K.Runs, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of hashed single words, word pairs and character 4-grams, lower-cased; distinct in each document."""
+def features(data: np.ndarray, offsets: np.ndarray, w: K.Runs) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature), with repetitions: each lower-cased word of letters and digits, each pair of them, the
+    first four and five bytes of each, and the last three bytes of each white-space word."""
     low = K.LOWER[data]
-    h = K.run_hashes(low, w.start, w.end)
-    pairs, at = K.gram_hashes(h, w, 2)
-    doc = w.doc()
-    n = max(len(low) - 3, 0)
-    chars = np.zeros(n, np.uint32)
-    for j in range(4):
-        chars = chars * np.uint32(0x01000193) ^ low[j : j + n]
-    chars = (chars * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS + 1)
-    cdoc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    inside = cdoc == np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[3 : 3 + n]
-    wide = K.U(64 - BITS + 2)
-    half, quarter = 1 << (BITS - 1), 1 << (BITS - 2)
-    key = np.concatenate([
-        (cdoc[inside] << BITS) + chars[inside],
-        (doc << BITS) + half + (h >> wide).astype(np.int64),
-        (doc[at] << BITS) + half + quarter + (pairs >> wide).astype(np.int64),
-    ])
-    key = np.unique(key)
-    return key >> BITS, key & ((1 << BITS) - 1)
-
-
-def _norms(doc: np.ndarray, n: int) -> np.ndarray:
-    return 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))
+    inner = K.words(low, offsets, NOT_WORD)
+    h = K.run_hashes(low, inner.start, inner.end)
+    pairs, at = K.gram_hashes(h, inner, 2)
+    head, stem = (K.run_hashes(low, inner.start, np.minimum(inner.start + n, inner.end)) for n in (4, 5))
+    tail = K.run_hashes(low, np.maximum(w.end - 3, w.start), w.end)
+    part, wide = 1 << (BITS - 3), K.U(64 - BITS + 3)
+    doc, inner_doc = w.doc(), inner.doc()
+    parts = [(inner_doc, h), (inner_doc[at], pairs), (inner_doc, head), (inner_doc, stem), (doc, tail)]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([(x >> wide).astype(np.int64) + part * i for i, (_, x) in enumerate(parts)])
+
+
+def _norms(size: np.ndarray) -> np.ndarray:
+    return np.maximum(size, 1) ** -POWER
 
 
 class Classifier(NamedTuple):
@@ -98,7 +96,7 @@ class Classifier(NamedTuple):
     shift: float
 
     def probability(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        margin = np.bincount(doc, self.weights[feature], n) * _norms(doc, n) + self.bias
+        margin = np.bincount(doc, self.weights[feature], n) * _norms(np.bincount(doc, minlength=n)) + self.bias
         return _sigmoid(self.slope * margin + self.shift)
 
 
@@ -129,6 +127,10 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
     share = y[~held].mean()
     cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     train = np.flatnonzero(~held)
+    seen_in = np.bincount(np.concatenate([np.unique(docs[j]) for j in train]), minlength=1 << BITS)
+    known = seen_in >= LEAST_DOCS
+    full = np.array([len(d) for d in docs])
+    docs = [d[known[d]] for d in docs]
     for _ in range(EPOCHS):
         rng.shuffle(train)
         for i in range(0, len(train), BATCH):
@@ -136,7 +138,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
             size = np.array([len(docs[j]) for j in part])
             feature = np.concatenate([docs[j] for j in part])
             row = np.repeat(np.arange(len(part)), size)
-            norm = 1 / np.sqrt(np.maximum(size, 1))
+            norm = _norms(full[part])
             error = (_sigmoid(np.bincount(row, weights[feature], len(part)) * norm + bias) - y[part]) * cost[part]
             used, back = np.unique(feature, return_inverse=True)
             step = np.bincount(back, (error * norm)[row], len(used)) / len(part) + 1e-6 * weights[used]
@@ -147,7 +149,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
             bias -= RATE * slope / bias_seen**0.5
     size = np.array([len(d) for d in docs])
     row = np.repeat(np.arange(len(docs)), size)
-    margin = np.bincount(row, weights[np.concatenate(docs)], len(docs)) / np.sqrt(np.maximum(size, 1)) + bias
+    margin = np.bincount(row, weights[np.concatenate(docs)], len(docs)) * _norms(full) + bias
     some = held if len(set(y[held].tolist())) == 2 else ~held
     return Classifier(weights.astype(np.float32), bias, *_platt(margin[some], y[some]))
 
@@ -187,7 +189,9 @@ def _feature_batches(id_col: str):
             packed = []
             for _, data, offsets in K.slices(batch.column("text")):
                 w = K.words(data, offsets)
-                doc, feature = features(data, offsets, w, np.zeros(0, K.U))
+                doc, feature = features(data, offsets, w)
+                order = np.argsort(doc, kind="stable")
+                doc, feature = doc[order], feature[order]
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
                 packed += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -219,8 +223,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
         for batch in batches:
             for i, data, offsets in K.slices(batch.column(text_col)):
                 n = len(offsets) - 1
-                w, h, out = text_stats(data, offsets)
-                doc, feature = features(data, offsets, w, h)
+                w, out = text_stats(data, offsets)
+                doc, feature = features(data, offsets, w)
                 failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
                 p, q = low_quality.probability(doc, feature, n), toxic.probability(doc, feature, n)
                 kept = ~failed & (p <= MOST_LOW_QUALITY) & (q <= MOST_TOXIC)
