@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null id where ids are 64-bit integers.
+NO_ID = -(2**63)
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,3 +64,17 @@ def pack_text(raw: bytes) -> bytes:
 def unpack_text(packed: bytes) -> bytes:
     n = int.from_bytes(packed[:8], "little")
     return _ZSTD.decompress(packed[8:], decompressed_size=n, asbytes=True) if n else b""
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            packed = [pack_text(x.as_buffer().to_pybytes()) for x in part.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
+
+
+def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id long, packed binary), one row for each id; a null id is NO_ID."""
+    one = one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    return one.mapInArrow(_pack, "id long, packed binary")
