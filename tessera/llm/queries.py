@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, quality, sharding, suffix_dedup, url_filter
+from tessera.llm import license_scan, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
 from tessera.llm.tables import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -20,10 +20,18 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), n_spans, F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -41,7 +49,9 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
+        "op2_minhash": op2_minhash,
         "op3_sharding": op3_sharding,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filters": op9_url_filters,
         "op10_license_scans": op10_license_scans,
