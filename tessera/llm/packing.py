@@ -3,8 +3,7 @@
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
 driver. Patterns of two or three lengths that fill a sequence exactly are
 enumerated, and non-negative least squares fits how often each is used to the
-histogram. The fit is rounded along the patterns' order and clipped to what is
-there; best fit, largest lengths first, packs the residual counts. The plan
+histogram. The fit is rounded down and clipped to what is there; best fit, largest lengths first, packs the residual counts. The plan
 says for each length which ranks go to which sequences and offsets, so its
 size depends on the capacity alone; pieces look it up by length and rank.
 """
@@ -23,7 +22,7 @@ from tessera.llm.tables import NO_ID, one_row_per_id, saved
 from tessera.llm.token_ids import encoder, vocabulary_path
 
 CAPACITY = 2048
-FIT_STEPS = 300
+FIT_STEPS = 100
 #: Numbering goes in chunks of so many rows at least, and at most so many chunks, whatever the skew of lengths.
 CHUNK_ROWS, MOST_CHUNKS = 2000, 4096
 
@@ -76,7 +75,7 @@ class Plan:
         self._place([self.capacity], int(self.left[self.capacity]))
         patterns = length_patterns(self.left)
         fitted = fit_repeats(patterns, self.left)
-        repeats = np.diff(np.floor(np.concatenate([[0.0], np.cumsum(fitted)]) + 0.5)).astype(np.int64)
+        repeats = np.floor(fitted).astype(np.int64)  # what is fitted to less than one use goes to the residual
         order = np.argsort(-repeats, kind="stable")
         for i in order[: np.count_nonzero(repeats)].tolist():
             lengths = [x for x in patterns[i].tolist() if x]
@@ -132,21 +131,21 @@ class Plan:
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode_many = encoder(path).encode_many
         end = int(end_id).to_bytes(4, "little")
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows: list[tuple] = []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                start, piece = 0, 0
-                while start < n:
-                    size = n % capacity or capacity if not start else capacity
-                    rows.append((i, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
-                    start, piece = start + size, piece + 1
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+            for at in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(at, 500), []
+                for i, ids in zip(part.column("id").to_pylist(), encode_many(part.column("text").to_pylist()), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    start, piece = 0, 0
+                    while start < n:
+                        size = n % capacity or capacity if not start else capacity
+                        rows.append((i, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
+                        start, piece = start + size, piece + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -1,24 +1,21 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
 Pre-tokens of this vocabulary never cross a single space or line break that
-stands between two other characters, so a text is cut there and each chunk is
-encoded once per worker process. Chunks that are not known yet are joined and
-encoded in one call, then cut by their byte lengths. Texts with other white
-space between chunks take the same path: such runs stay inside a chunk.
+stands between two other characters. A text in which all of them stand so is
+split there, and each word with the space or break before it is encoded once
+per worker process; unknown words of many texts are joined and encoded in one
+call, then cut by their byte lengths. Other texts are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 
-#: Chunks kept for each worker process; the store is emptied when full.
-MOST_CHUNKS = 300_000
-#: A chunk longer than this is encoded but not kept.
+#: Words kept for each worker process; later ones are encoded whenever they come.
+MOST_WORDS = 250_000
 LONGEST_KEPT = 64
-_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,8 +24,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Encodes texts to the bytes of little-endian 32-bit ids."""
+class Encoder:
+    """Encodes texts to the bytes of little-endian 32-bit ids; special tokens' strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -46,30 +43,50 @@ class ChunkEncoder:
             self._size[i] = len(token)
         self._known: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
+        return np.array(self._encoding.encode_ordinary(text), np.uint32).tobytes() if text else b""
+
+    def sizes(self, ids: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes of each id."""
+        return self._size[ids]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
+        chunks = [w if w[0] == "\n" else " " + w for w in words]
         ids = np.array(self._encoding.encode_ordinary("".join(chunks)), np.uint32)
         ends = np.cumsum([len(c.encode()) for c in chunks])
-        cut = np.searchsorted(np.cumsum(self._size[ids]), ends, "left") + 1
-        cut = [0, *cut.tolist()]
-        return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def chunks(self, text: str) -> list[str]:
-        return _BREAK.split(text) if text else []
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        known = self._known
-        if len(known) > MOST_CHUNKS:
-            known.clear()
-        got = list(map(known.get, chunks))
-        if None in got:
-            missing = [c for c, x in zip(chunks, got, strict=True) if x is None]
-            new = dict(zip(missing, self._learn(missing), strict=True))
-            known.update((c, x) for c, x in new.items() if len(c) <= LONGEST_KEPT)
-            got = [new[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
-        return got
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.encode_chunks(self.chunks(text)))
+        cut = (4 * (np.searchsorted(np.cumsum(self._size[ids]), ends) + 1)).tolist()
+        raw = ids.tobytes()
+        new = {w: raw[a:b] for w, a, b in zip(words, [0, *cut], cut, strict=False)}
+        if len(self._known) < MOST_WORDS:
+            self._known.update((w, x) for w, x in new.items() if len(w) <= LONGEST_KEPT)
+        return new
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text."""
+        split: list[list[str] | None] = []
+        found: list[list[bytes | None]] = []
+        missing: dict[str, None] = {}
+        for text in texts:
+            plain = text and not text[0].isspace() and not text[-1].isspace() and "  " not in text
+            words = text.replace("\n", " \n").split(" ") if plain else None
+            got = list(map(self._known.get, words[1:])) if words else []
+            if None in got:
+                missing.update((w, None) for w, x in zip(words[1:], got, strict=True) if x is None)
+            split.append(words)
+            found.append(got)
+        odd = {w for w in missing if not (b := w.removeprefix("\n")) or b[0].isspace() or b[-1].isspace()}
+        new = self._learn([w for w in missing if w not in odd])
+        out = []
+        for text, words, got in zip(texts, split, found, strict=True):
+            if words and None in got:
+                if odd and not odd.isdisjoint(words[1:]):
+                    words = None
+                else:
+                    got = [new[w] if x is None else x for w, x in zip(words[1:], got, strict=True)]
+            out.append(b"".join([self.encode(words[0]), *got]) if words else self.encode(text))
+        return out
 
 
 def _byte_characters() -> dict[int, str]:
@@ -84,6 +101,6 @@ def _byte_characters() -> dict[int, str]:
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
-    return ChunkEncoder(path)
+    return Encoder(path)

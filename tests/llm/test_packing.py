@@ -64,6 +64,7 @@ def test_encoder_agrees_with_the_tokenizer(spark):
 
     tokenizer = Tokenizer.from_file(vocabulary_path())
     rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    encode = encoder(vocabulary_path()).encode
-    for t in rows:
-        assert np.frombuffer(encode(t), np.uint32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    rows += ["", " ", "a", "a  b", " a b", "a b ", "a \nb", "a\n\nb", "a\tb c", "x\n b", "l'ami d'été\n1234 56", "a\u00a0b \u3000c", "a \u00a0 b", "\nx y"]
+    for made in (encoder(vocabulary_path()).encode_many(rows), encoder(vocabulary_path()).encode_many(rows[::-1])[::-1]):
+        for t, ids in zip(rows, made, strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
