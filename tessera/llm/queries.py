@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from tessera.llm import language_model, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
 from tessera.llm.tables import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -32,6 +32,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
+    out = language_model.score_texts(table(spark, sf_dir, "documents"), learned)
+    return out.withColumn("held_out", ~F.col("training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -52,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": op2_minhash,
         "op3_sharding": op3_sharding,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_language_model": op7_language_model,
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filters": op9_url_filters,
         "op10_license_scans": op10_license_scans,

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
-from tessera.llm.tables import NO_ID, pack_text, packed_texts, unpack_text
+from tessera.llm.tables import NO_ID, pack_text, packed_texts, packs_by_bucket, unpack_columns, unpack_text
 
 GRAM = 24
 #: Positions fit in so many bits of a slice; longer documents are cut into overlapping pieces.
@@ -35,7 +35,7 @@ PIECE = 1 << 19
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 U = np.uint64
 #: Text that a task gathers before it sends its records.
-GATHER = 1 << 25
+GATHER = 1 << 23
 
 
 def _loads(data: np.ndarray) -> np.ndarray:
@@ -107,24 +107,6 @@ def _pieces(ids: np.ndarray, texts: list[bytes], threshold: int) -> Iterator[tup
         yield slice_of()
 
 
-def _packs(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed columns) for records sorted by bucket."""
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
-        yield int(bucket[a]), pack_text(b"".join([int(b - a).to_bytes(8, "little"), *(c[a:b].tobytes() for c in columns)]))
-
-
-def _unpack(packs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
-    columns: list[list[np.ndarray]] = [[] for _ in kinds]
-    for packed in packs:
-        raw = unpack_text(packed)
-        n, at = int.from_bytes(raw[:8], "little"), 8
-        for column, kind in zip(columns, kinds, strict=True):
-            column.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
-
-
 def _rows(names: list[str], rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -185,7 +167,7 @@ def _first_digit(threshold: int, bits: int):
             again = order[~alone]
             rows = [(-1, i, x) for i, x in _by_id(doc[again], start[again])]
             sent = order[first]
-            rows += [(b, 0, x) for b, x in _packs((key[sent] >> U(64 - bits)).astype(np.int64), [key[sent], doc[sent], start[sent].astype(np.int32)])]
+            rows += [(b, 0, x) for b, x in packs_by_bucket((key[sent] >> U(64 - bits)).astype(np.int64), [key[sent], doc[sent], start[sent].astype(np.int32)])]
             for a in range(0, len(rows), 2000):
                 yield _rows(["bucket", "id", "pack"], rows[a : a + 2000], [pa.int64(), pa.int64(), pa.binary()])
 
@@ -211,7 +193,7 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _rows(_SPANS[0], settled[a : a + 5000], _SPANS[1])
     found = []
     for packs in held.values():
-        key, doc, start = _unpack([x for _, x in packs], [U, np.int64, np.int32])
+        key, doc, start = unpack_columns([x for _, x in packs], [U, np.int64, np.int32])
         order, _, alone = _repeated(key, doc, start)
         found.append((doc[order[~alone]], start[order[~alone]].astype(np.int64)))
     if found:
@@ -381,7 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("threshold must be between 32 and 4096")
     spark = docs.sparkSession
     # More buckets than partitions, so that a task goes through small groups one by one.
-    bits = max(11, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    bits = max(9, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     texts = packed_texts(docs, id_col, text_col)
     records = "bucket long, id long, pack binary"
     # Settled rows (bucket -1) go to any partition, told apart by their id.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,24 @@ def unpack_text(packed: bytes) -> bytes:
     return _ZSTD.decompress(packed[8:], decompressed_size=n, asbytes=True) if n else b""
 
 
+def packs_by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed columns) for records sorted by bucket."""
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+        yield int(bucket[a]), pack_text(b"".join([int(b - a).to_bytes(8, "little"), *(c[a:b].tobytes() for c in columns)]))
+
+
+def unpack_columns(packs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+    columns: list[list[np.ndarray]] = [[] for _ in kinds]
+    for packed in packs:
+        raw = unpack_text(packed)
+        n, at = int.from_bytes(raw[:8], "little"), 8
+        for column, kind in zip(columns, kinds, strict=True):
+            column.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
