@@ -3,8 +3,8 @@
 A token is a lower-cased word, or the end of a text. The ``MODELLED`` most
 frequent tokens form classes of 64 by frequency; all others are the last
 class. P(token) = P(class | history) * P(token | class, history), both softmax
-models over hashed features of the history: the last three tokens, as words,
-as a bigram and as skip pairs. Within the last class a token has its smoothed
+models over hashed features of the history: the last three tokens, near
+and skipped ones as words and the last two as a bigram. Within the last class a token has its smoothed
 share of the training count. The biases start as log frequencies.
 
 Counts of all words, exact, come from packs of (hash, counts) that tasks send
@@ -35,7 +35,10 @@ WIDTH = 64
 CLASSES = 64
 MODELLED = (CLASSES - 1) * WIDTH
 ROW_BITS = 13
-BATCH = 2048
+BATCH = 4096
+#: Tokens behind one gradient step.
+STEP = 16_384
+LEAST_ERROR = 0.25
 RATE = 0.15
 BLOCK = 1 << 14
 ALPHA = 0.1
@@ -44,7 +47,7 @@ GATHER = 1 << 23
 U = np.uint64
 END = U(0xE5D0C1B2A3948576)
 _BEGIN = MODELLED + 1024
-_N_FEATURES = 5
+_N_FEATURES = 4
 
 
 class Dictionary(NamedTuple):
@@ -123,7 +126,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> Tokens:
         last[starts] = U(_BEGIN)
         history.append(last)
     a, b, c = history
-    keys = [a, b, c, a * U(8191) + b * U(131_071), a * U(524_287) + c * U(127)]
+    keys = [a, b, c, a * U(8191) + b * U(131_071)]
     features = np.stack([K.mix(k * U(_N_FEATURES) + U(j + 1)) for j, k in enumerate(keys)], 1)
     return Tokens(h, doc, np.where(hit, at, -1), rank, features)
 
@@ -162,44 +165,63 @@ def log_probabilities(t: Tokens, w: Weights) -> np.ndarray:
 
 
 class _Trainer:
-    """AdaGrad from shared weights over the tokens of one task."""
+    """AdaGrad from shared weights over the tokens of one task.
+
+    Of each token's error vector only a random few entries are kept, scaled so that the gradient
+    stays right on average: all above ``LEAST_ERROR``, the others in proportion to their size.
+    """
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat = flat.copy()
         self.start = flat
         self.w = Weights.unpack(self.flat)
-        self.seen = Weights.unpack(np.full(len(flat), 1.0, np.float32))
-        self.n = 0
-
-    def _step(self, table: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
-        flat = rows.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        used = flat[order]
-        cut = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-        change = np.add.reduceat(error[order // rows.shape[1]], cut)
-        used = used[cut]
-        seen[used] += change * change
-        table[used] -= RATE * change / np.sqrt(seen[used])
+        self.seen = np.full(len(flat), 1.0, np.float32)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        table = WIDTH << ROW_BITS
+        self.at = (0, table, 2 * table, 2 * table + CLASSES)
+        self.dice = np.random.default_rng(5).random((BATCH + 997, WIDTH), np.float32) * np.float32(LEAST_ERROR)
+        self.n = self.waiting = 0
+
+    def _add(self, base: int, bias: np.ndarray, error: np.ndarray, rows: np.ndarray) -> None:
+        """``bias``: the place of each error vector's biases; rows of the table that starts at ``base``."""
+        chosen = np.flatnonzero(np.abs(error) > self.dice[self.n % 997 :][: len(error)])
+        kept = error.reshape(-1)[chosen]
+        kept = np.where(np.abs(kept) < LEAST_ERROR, np.copysign(np.float32(LEAST_ERROR), kept), kept)
+        token, column = chosen >> 6, chosen & (WIDTH - 1)
+        for firsts in (*(rows.T * WIDTH + base), bias):
+            self.parts.append((firsts[token] + column, kept))
+
+    def _update(self) -> None:
+        places, kept = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        change = np.bincount(places, kept, len(self.flat)).astype(np.float32)
+        self.seen += change * change
+        self.flat -= RATE * change / np.sqrt(self.seen)
+        self.parts, self.waiting = [], 0
 
     def learn(self, t: Tokens) -> None:
-        w, s = self.w, self.seen
+        w = self.w
         for at in range(0, len(t.hash), BATCH):
             part = slice(at, at + BATCH)
             of_class = np.minimum(t.rank[part] >> 6, CLASSES - 1)
             rows = _class_rows(t.features[part])
             error = _softmax(w.classes, w.class_bias, rows)
             error[np.arange(len(error)), of_class] -= 1
-            self._step(w.classes, s.classes, rows, error)
-            self._step(w.class_bias[None], s.class_bias[None], np.zeros((len(error), 1), np.int64), error)
+            self._add(self.at[0], np.full(len(error), self.at[2]), error, rows)
             inner = np.flatnonzero(of_class < CLASSES - 1)
             if len(inner):
                 of_class = of_class[inner]
                 rows = _word_rows(t.features[part][inner], of_class)
                 error = _softmax(w.words, w.word_bias[of_class], rows)
                 error[np.arange(len(error)), t.rank[part][inner] & (WIDTH - 1)] -= 1
-                self._step(w.words, s.words, rows, error)
-                self._step(w.word_bias, s.word_bias, of_class[:, None], error)
-        self.n += len(t.hash)
+                self._add(self.at[1], self.at[3] + of_class * WIDTH, error, rows)
+            self.n += len(of_class)
+            self.waiting += len(rows)
+            if self.waiting >= STEP:
+                self._update()
+
+    def finish(self) -> None:
+        if self.waiting:
+            self._update()
 
 
 def _bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -291,6 +313,7 @@ def _train(dictionary, weights):
             keep = train[t.doc]
             trainer.learn(Tokens(*(x[keep] for x in t)))
         if trainer and trainer.n:
+            trainer.finish()
             change = (trainer.flat - trainer.start).astype(np.float16)
             n = trainer.n.to_bytes(8, "little")
             yield from _pack_rows([(i, n + pack_text(change[a : a + BLOCK].tobytes())) for i, a in enumerate(range(0, len(change), BLOCK))])
