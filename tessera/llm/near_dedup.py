@@ -4,15 +4,16 @@ Under each of ``PERMUTATIONS`` permutations of the shingle hashes both the
 minimum and the maximum are kept: two values, each equal for two sets with a
 probability of their Jaccard similarity, for one evaluation. Bands of ``ROWS``
 values bring candidates together (a pair at 0.8 shares one of 32 bands but for
-5 cases in 10^8); one bit of each value makes a 128-bit sketch that turns away
-pairs far below the threshold; whole shingle sets confirm every link.
+5 cases in 10^8); a few bits of each value make a sketch that turns away pairs
+far below the threshold; whole shingle sets confirm every link.
 
 Documents with equal sets are one class and only its least id goes on. In each
-bucket all members are first compared with the bucket's least id. When the
-confirmed links are joined to components, only pairs that share a bucket and
-are still in different components are left; they are compared, too, so no link
-between components is lost and groups of thousands of copies cost one
-comparison a member.
+bucket all members are first compared with one of them, drawn by a hash. When
+the confirmed links are joined to components, buckets with several components
+are left; there, members outside the largest one are compared with one of its
+members, for some rounds. Last, pairs that share a bucket and are still in
+different components are compared, so no link between components is lost and
+groups of thousands of copies cost a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
 from tessera.llm.components import components
-from tessera.llm.tables import NO_ID, one_row_per_id, packed_texts, saved, unpack_text
+from tessera.llm.tables import NO_ID, packed_texts, saved, texts_by_id, unpack_text
 
 PERMUTATIONS = 64
 ROWS = 4
 SLICE = 1 << 19
-#: Sketches of a pair at the threshold differ in this many bits more than expected in no case that matters (8 deviations).
-SLACK = 8.0
+#: A sketch has so many bits of each of the 2 * PERMUTATIONS values, in 64-bit words; the first two words have one bit of each.
+PLANES = 4
+WORDS = 2 * PERMUTATIONS * PLANES // 64
+#: A pair at the threshold passes a sketch that differs in so many standard deviations more bits than expected.
+DEVIATIONS = 6.0
+#: Rounds of comparisons with one member of each bucket, before the pairs that are still apart.
+ROUNDS = 3
 U = np.uint64
 _SEEDS = np.random.default_rng(77).integers(0, 2**63, (2, PERMUTATIONS), dtype=np.int64).astype(U)
 _FACTORS, _SHIFTS = _SEEDS[0] * U(2) + U(1), _SEEDS[1]
@@ -62,7 +68,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def signatures(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of non-empty sets: digests (n, 2), bit sketches (n, 2) and band keys (n, bands)."""
+    """Of non-empty sets: digests (n, 2), bit sketches (n, WORDS) and band keys (n, bands)."""
     start = np.cumsum(size) - size
     values = np.empty((len(size), 2 * PERMUTATIONS), U)
     for p in range(PERMUTATIONS):
@@ -70,7 +76,7 @@ def signatures(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
         values[:, 2 * p] = np.minimum.reduceat(x, start)
         values[:, 2 * p + 1] = np.maximum.reduceat(x, start)
     mixed = K.mix(values + np.arange(2 * PERMUTATIONS, dtype=U))
-    bits = (mixed >> U(63)).reshape(len(size), 2, 64)
+    bits = np.stack([(mixed >> U(63 - j)) & U(1) for j in range(PLANES)], 1).reshape(len(size), WORDS, 64)
     sketch = (bits << np.arange(64, dtype=U)).sum(2, dtype=U)
     bands = np.zeros((len(size), 2 * PERMUTATIONS // ROWS), U)
     for r in range(ROWS):
@@ -79,11 +85,12 @@ def signatures(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return digest, sketch, K.mix(bands)
 
 
-_META = "id long, n long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
+_SKETCH = [f"s{j + 1}" for j in range(WORDS)]
+_META = f"id long, n long, d1 long, d2 long, {', '.join(f'{s} long' for s in _SKETCH)}, bands array<long>"
 
 
 def _meta(k: int):
-    names = ["id", "n", "d1", "d2", "s1", "s2", "bands"]
+    names = ["id", "n", "d1", "d2", *_SKETCH, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +98,14 @@ def _meta(k: int):
                 n = len(offsets) - 1
                 flat, size = shingle_sets(data, offsets, k)
                 full = np.flatnonzero(size)
-                digest, sketch = np.zeros((n, 2), U), np.zeros((n, 2), U)
+                digest, sketch = np.zeros((n, 2), U), np.zeros((n, WORDS), U)
                 lists = np.zeros(n + 1, np.int32)
                 keys = np.zeros(0, U)
                 if len(full):
                     digest[full], sketch[full], bands = signatures(flat, size[full])
                     keys = bands.reshape(-1)
                     lists[full + 1] = bands.shape[1]
-                columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (digest[:, 0], digest[:, 1], sketch[:, 0], sketch[:, 1])]
+                columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*digest.T, *sketch.T)]
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum(lists, dtype=np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, n), pa.array(size), *columns, listed], names)
 
@@ -133,12 +140,14 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _close(x: str, y: str, percent: int):
-    """Sizes that allow the similarity, and sketches that differ in few enough bits."""
-    share = (1 - percent / 100) / 2
-    most = int(128 * share + SLACK * (128 * share * (1 - share)) ** 0.5)
+def _close(x: str, y: str, percent: int, words: int):
+    """Sizes that allow the similarity, and sketches of so many words that differ in few enough bits."""
+    apart, values, planes = 1 - percent / 100, 2 * PERMUTATIONS, words * 64 // (2 * PERMUTATIONS)
+    # Of each value that differs, every bit differs in half the cases.
+    deviation = (values * apart * planes / 4 + values * apart * (1 - apart) * (planes / 2) ** 2) ** 0.5
+    most = int(values * apart * planes / 2 + DEVIATIONS * deviation)
     sizes = (100 * F.least(f"{x}.n", f"{y}.n")) >= (percent * F.greatest(f"{x}.n", f"{y}.n"))
-    bits = sum(F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in ("s1", "s2"))
+    bits = sum(F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _SKETCH[:words])
     return sizes & (bits <= most)
 
 
@@ -153,16 +162,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 50 <= percent <= 100 or k < 1:
         raise ValueError("percent must be between 50 and 100, k at least 1")
-    one = one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    one = texts_by_id(docs, id_col, text_col)
     meta = saved(one.mapInArrow(_meta(k), _META), "near-meta")
     classes = meta.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     named = saved(meta.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "near-classes")
-    reps = saved(meta.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "s1", "s2", "bands"), "near-reps")
-
-    members = reps.select(F.explode("bands").alias("bucket"), "id", "n", "s1", "s2")
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("bucket", "lead.*")
-    first = members.alias("x").join(leaders.alias("y"), "bucket").filter((F.col("x.id") != F.col("y.id")) & _close("x", "y", percent))
-    compared = saved(first.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "near-pairs")
+    reps = saved(meta.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", *_SKETCH, "bands"), "near-reps")
     texts = packed_texts(docs, id_col, text_col)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -170,19 +174,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
         return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
 
+    def pairs_of(joined: DataFrame) -> DataFrame:
+        return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+    def mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
+        """Members of the buckets with several components, and each bucket's largest component as ``main``."""
+        placed = members.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        kinds = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+        return saved(placed.join(kinds.select("bucket", F.col("most.component").alias("main")), "bucket"), "near-open")
+
+    def led(members: DataFrame, number: int, main: bool) -> DataFrame:
+        """Each bucket's leader is drawn by a hash, so that a document meets other leaders in other buckets."""
+        draw = F.struct(F.xxhash64("bucket", "id", F.lit(number)).alias("draw"), "id", "n", "s1", "s2")
+        kept = members.filter("component = main") if main else members
+        leaders = kept.groupBy("bucket").agg(F.min(draw).alias("lead")).select("bucket", "lead.*")
+        return (members.filter("component != main") if main else members).alias("x").join(leaders.alias("y"), "bucket").filter((F.col("x.id") != F.col("y.id")) & _close("x", "y", percent, 2))
+
+    members = reps.select(F.explode("bands").alias("bucket"), "id", "n", "s1", "s2")
+    compared = saved(pairs_of(led(members, 0, False)), "near-pairs")
     links = saved(confirmed(compared), "near-links")
     stars = components(links, "near-stars")
-
-    placed = members.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
-    # In each mixed bucket, members outside its largest component meet all members of other components.
-    open_members = saved(placed.join(mixed.select("bucket", F.col("most.component").alias("main")), "bucket"), "near-open")
-    minor = open_members.filter("component != main")
+    members = mixed(members, stars)
+    for number in range(1, ROUNDS):
+        new = saved(pairs_of(led(members, number, True)).join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        compared = compared.unionByName(new)
+        links = links.unionByName(saved(confirmed(new), "near-links"))
+        stars = components(links, "near-stars")
+        members = mixed(members.drop("component", "main"), stars)
+    # In each bucket, members outside its largest component meet all members of other components.
+    wide = saved(members.join(reps.select("id", *_SKETCH[2:]), "id"), "near-wide")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    second = minor.alias("x").join(open_members.alias("y"), "bucket").filter(apart & _close("x", "y", percent))
-    rest = second.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    more = saved(confirmed(saved(rest, "near-rest")), "near-more")
+    second = wide.filter("component != main").alias("x").join(wide.alias("y"), "bucket").filter(apart & _close("x", "y", percent, WORDS))
+    more = saved(confirmed(saved(pairs_of(second).join(compared, ["a", "b"], "left_anti"), "near-rest")), "near-more")
 
     found = components(stars.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), "near-components")
     out = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

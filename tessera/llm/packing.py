@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import NO_ID, one_row_per_id, saved
+from tessera.llm.tables import NO_ID, saved, texts_by_id
 from tessera.llm.token_ids import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -174,7 +174,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least of their texts; a null id is an id like any other. ``vocabulary`` is a tokenizer file.
     """
     spark = docs.sparkSession
-    one = one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    one = texts_by_id(docs, id_col, text_col)
     schema = "id long, piece int, start long, length long, ids_crc32 long"
     pieces = saved(one.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity), schema), "pieces")
     counts = np.zeros(capacity + 1, np.int64)

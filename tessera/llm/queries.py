@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from tessera.llm import decontamination, language_model, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
 from tessera.llm.tables import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_array": op1_suffix_array,
         "op2_minhash": op2_minhash,
         "op3_sharding": op3_sharding,
+        "op4_decontamination": op4_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_language_model": op7_language_model,
         "op8_quality_rules": op8_quality_rules,

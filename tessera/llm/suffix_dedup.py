@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
-from tessera.llm.tables import NO_ID, pack_text, packed_texts, packs_by_bucket, unpack_columns, unpack_text
+from tessera.llm.tables import NO_ID, pack_text, packed_texts, packs_by_bucket, texts_by_id, unpack_columns, unpack_text
 
 GRAM = 24
 #: Positions fit in so many bits of a slice; longer documents are cut into overlapping pieces.
@@ -130,32 +130,34 @@ def _by_id(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]
     order = np.lexsort((columns[0], doc))
     table, d = np.stack([c[order] for c in columns], 1).astype(np.int64), doc[order]
     cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(d)), strict=False):
         yield int(d[a]), table[a:b].tobytes()
 
 
-def _text_groups(batches: Iterator[pa.RecordBatch], *extra: str) -> Iterator[list]:
-    """[ids, texts, *extra columns] of about GATHER bytes each."""
-    held: list[list] = [[], [], *([] for _ in extra)]
-    size = 0
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes], list[list[bytes]]]]:
+    """(ids, texts, marks) of about GATHER bytes each, from plain or packed texts."""
+    ids, texts, marks, size = [], [], [], 0
     for batch in batches:
-        for row in zip(batch.column("id").to_pylist(), batch.column("packed").to_pylist(), *(batch.column(c).to_pylist() for c in extra), strict=True):
-            text = unpack_text(row[1])
-            for column, value in zip(held, (row[0], text, *row[2:]), strict=True):
-                column.append(value)
-            size += len(text)
+        packed = "packed" in batch.schema.names
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            for raw in part.column("packed" if packed else "text").cast(pa.binary()).to_pylist():
+                texts.append(unpack_text(raw) if packed else raw)
+                size += len(texts[-1])
+            ids += part.column("id").to_pylist()
+            marks += part.column("marks").to_pylist() if packed else [[]] * part.num_rows
             if size >= GATHER:
-                yield held
-                held, size = [[], [], *([] for _ in extra)], 0
-    if held[0]:
-        yield held
+                yield ids, texts, marks
+                ids, texts, marks, size = [], [], [], 0
+    if ids:
+        yield ids, texts, marks
 
 
 def _first_digit(threshold: int, bits: int):
     """Anchors by bucket of their gram; those met twice in a task are settled (bucket -1, by id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _text_groups(batches):
+        for ids, texts, _ in _text_groups(batches):
             found = []
             for data, offsets, doc, place in _pieces(np.array(ids, np.int64), texts, threshold):
                 a = Anchors(data, offsets, threshold)
@@ -206,7 +208,7 @@ def _contexts(threshold: int, bits: int):
     """Contexts of the repeated anchors by bucket of their gram; equal contexts in a task are settled (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, marks in _text_groups(batches, "marks"):
+        for ids, texts, marks in _text_groups(batches):
             chosen = {i: np.concatenate([np.frombuffer(m, np.int64) for m in ms]) for i, ms in zip(ids, marks, strict=True) if ms}
             some = [j for j, i in enumerate(ids) if i in chosen]
             found: list[tuple] = []
@@ -236,7 +238,7 @@ def _contexts(threshold: int, bits: int):
             sent = sent[np.argsort(key[sent], kind="stable")]
             bucket = (key[sent] >> U(64 - bits)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(sent) else np.zeros(0, np.int64)
-            for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+            for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=False):
                 part = sent[a:b]
                 body = [len(part).to_bytes(8, "little"), key[part].tobytes(), doc[part].tobytes(), start[part].tobytes(), count[part].astype(np.int32).tobytes()]
                 rows.append((int(bucket[a]), 0, pack_text(b"".join([*body, text[ragged(at[part], size[part])].tobytes()]))))
@@ -364,12 +366,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     # More buckets than partitions, so that a task goes through small groups one by one.
     bits = max(9, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    plain = texts_by_id(docs, id_col, text_col)
     texts = packed_texts(docs, id_col, text_col)
     records = "bucket long, id long, pack binary"
     # Settled rows (bucket -1) go to any partition, told apart by their id.
     deal = lambda df: df.repartition(F.when(F.col("bucket") < 0, F.xxhash64("id")).otherwise(F.xxhash64("bucket")))
     marks = lambda df: df.groupBy("id").agg(F.collect_list("spans").alias("marks"))  # noqa: E731  # bounded by the document's length
-    anchors = deal(texts.mapInArrow(_first_digit(threshold, bits), records)).mapInArrow(_repeated_anchors, "id long, spans binary")
+    anchors = deal(plain.mapInArrow(_first_digit(threshold, bits), records)).mapInArrow(_repeated_anchors, "id long, spans binary")
     contexts = texts.join(marks(anchors), "id").mapInArrow(_contexts(threshold, bits), records)
     removed = deal(contexts).mapInArrow(_last_digits(threshold), "id long, spans binary")
     out = texts.join(marks(removed), "id", "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")

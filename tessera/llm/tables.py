@@ -70,7 +70,7 @@ def unpack_text(packed: bytes) -> bytes:
 def packs_by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed columns) for records sorted by bucket."""
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=False):
         yield int(bucket[a]), pack_text(b"".join([int(b - a).to_bytes(8, "little"), *(c[a:b].tobytes() for c in columns)]))
 
 
@@ -93,7 +93,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
 
 
+def texts_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id long, text), one row for each id; a null id is NO_ID, a null text empty."""
+    return one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+
+
 def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, packed binary), one row for each id; a null id is NO_ID."""
-    one = one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    return one.mapInArrow(_pack, "id long, packed binary")
+    return texts_by_id(docs, id_col, text_col).mapInArrow(_pack, "id long, packed binary")
