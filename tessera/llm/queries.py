@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_model, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
+import corpus_pipeline
+from tessera.llm import decontamination, language_model, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, url_filter
 from tessera.llm.tables import table
 
+PERSONAL = r"[\w.+-]+@[\w-]+\.[\w.]+|\d[\d -]{5,}\d"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -36,6 +38,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after the redaction of long numbers and e-mail addresses."""
+    docs = table(spark, sf_dir, "documents")
+    edits = token_counts.pattern_edits(docs, PERSONAL, "[REDACTED]")
+    out = token_counts.apply_edits(token_counts.token_trees(docs), edits)
+    return out.select(token_counts.real_id("doc_id"), "n_edits", "n_chars", "n_chars_encoded", "n_tokens_before", "n_tokens")
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     out = language_model.score_texts(table(spark, sf_dir, "documents"), learned)
@@ -58,11 +68,13 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_suffix_array": op1_suffix_array,
         "op2_minhash": op2_minhash,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_token_counts": op6_token_counts,
         "op7_language_model": op7_language_model,
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filters": op9_url_filters,
@@ -71,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -153,6 +153,11 @@ def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int],
         yield ids, texts, marks
 
 
+def _bucket_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits: anchors are least by their high ones, which are near 0 therefore."""
+    return (key & U((1 << min(bits, PLACE_BITS)) - 1)).astype(np.int64)
+
+
 def _first_digit(threshold: int, bits: int):
     """Anchors by bucket of their gram; those met twice in a task are settled (bucket -1, by id)."""
 
@@ -169,7 +174,10 @@ def _first_digit(threshold: int, bits: int):
             again = order[~alone]
             rows = [(-1, i, x) for i, x in _by_id(doc[again], start[again])]
             sent = order[first]
-            rows += [(b, 0, x) for b, x in packs_by_bucket((key[sent] >> U(64 - bits)).astype(np.int64), [key[sent], doc[sent], start[sent].astype(np.int32)])]
+            bucket = _bucket_of(key[sent], bits)
+            by = np.argsort(bucket, kind="stable")
+            sent = sent[by]
+            rows += [(b, 0, x) for b, x in packs_by_bucket(bucket[by], [key[sent], doc[sent], start[sent].astype(np.int32)])]
             for a in range(0, len(rows), 2000):
                 yield _rows(["bucket", "id", "pack"], rows[a : a + 2000], [pa.int64(), pa.int64(), pa.binary()])
 
@@ -235,8 +243,8 @@ def _contexts(threshold: int, bits: int):
             again = order[~first]
             rows = [(-1, i, x) for i, x in _by_id(doc[again], start[again], start[again] + size[again])]
             sent = order[first]
-            sent = sent[np.argsort(key[sent], kind="stable")]
-            bucket = (key[sent] >> U(64 - bits)).astype(np.int64)
+            sent = sent[np.argsort(_bucket_of(key[sent], bits), kind="stable")]
+            bucket = _bucket_of(key[sent], bits)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(sent) else np.zeros(0, np.int64)
             for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=False):
                 part = sent[a:b]
@@ -336,27 +344,36 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], 1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
-            rows = []
-            for i, packed, found in zip(*(part.column(c).to_pylist() for c in ("id", "packed", "marks")), strict=True):
-                text = unpack_text(packed)
-                spans = merge_spans(np.concatenate([np.frombuffer(x, np.int64) for x in found]).reshape(-1, 2) if found else np.zeros((0, 2), np.int64))
-                kept, at = [], 0
-                for lo, hi in spans.tolist():
-                    kept.append(text[at:lo])
-                    at = hi
-                rows.append((i, len(text), b"".join([*kept, text[at:]]), [{"start": lo, "end": hi} for lo, hi in spans.tolist()]))
-            yield _rows(["id", "n_bytes", "kept", "spans"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100) -> DataFrame:
+def _cut(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cut_batch(batch, as_text)
+
+    return run
+
+
+def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, 500):
+        part = batch.slice(a, 500)
+        rows = []
+        for i, packed, found in zip(*(part.column(c).to_pylist() for c in ("id", "packed", "marks")), strict=True):
+            text = unpack_text(packed)
+            spans = merge_spans(np.concatenate([np.frombuffer(x, np.int64) for x in found]).reshape(-1, 2) if found else np.zeros((0, 2), np.int64))
+            kept, at = [], 0
+            for lo, hi in spans.tolist():
+                kept.append(text[at:lo])
+                at = hi
+            left = b"".join([*kept, text[at:]])
+            rows.append((i, len(text), left.decode(errors="ignore") if as_text else left, [{"start": lo, "end": hi} for lo, hi in spans.tolist()]))
+        yield _rows(["id", "n_bytes", "kept", "spans"], rows, [pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, as_text: bool = False) -> DataFrame:
     """(id, n_bytes, kept binary, spans array<struct<start, end>>) of each document.
 
     ``spans`` are the maximal runs of bytes covered by a ``threshold``-byte string that also
-    starts earlier (smaller id, or earlier in the same text); ``kept`` are the other bytes. Texts
+    starts earlier (smaller id, or earlier in the same text); ``kept`` are the other bytes (with
+    ``as_text`` a string, without the characters of which only a part is left). Texts
     are judged as they came in, as whole UTF-8 bytes. Null and empty texts have no bytes. Rows
     that share an id count as one, with the least of their texts; a null id is an id that comes
     before all others. ``threshold``: 32 to 4096.
@@ -375,6 +392,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = deal(plain.mapInArrow(_first_digit(threshold, bits), records)).mapInArrow(_repeated_anchors, "id long, spans binary")
     contexts = texts.join(marks(anchors), "id").mapInArrow(_contexts(threshold, bits), records)
     removed = deal(contexts).mapInArrow(_last_digits(threshold), "id long, spans binary")
-    out = texts.join(marks(removed), "id", "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    out = texts.join(marks(removed), "id", "left").mapInArrow(_cut(as_text), f"id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "kept", "spans")
 
