@@ -134,7 +134,17 @@ def _by_id(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield int(d[a]), table[a:b].tobytes()
 
 
-def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes], list[list[bytes]]]]:
+def _doc_packs(bits: int, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """Packs (id, columns) of records in any order, by -1 - bucket of the id."""
+    bucket = (K.mix(doc.view(U)) >> U(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return [(-1 - b, x) for b, x in packs_by_bucket(bucket[order], [c[order] for c in (doc, *columns)])]
+
+
+_RECORDS = (["bucket", "pack"], [pa.int64(), pa.binary()])
+
+
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
     """(ids, texts, marks) of about GATHER bytes each, from plain or packed texts."""
     ids, texts, marks, size = [], [], [], 0
     for batch in batches:
@@ -145,7 +155,7 @@ def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int],
                 texts.append(unpack_text(raw) if packed else raw)
                 size += len(texts[-1])
             ids += part.column("id").to_pylist()
-            marks += part.column("marks").to_pylist() if packed else [[]] * part.num_rows
+            marks += part.column("marks").to_pylist() if packed else [b""] * part.num_rows
             if size >= GATHER:
                 yield ids, texts, marks
                 ids, texts, marks, size = [], [], [], 0
@@ -159,7 +169,7 @@ def _bucket_of(key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _first_digit(threshold: int, bits: int):
-    """Anchors by bucket of their gram; those met twice in a task are settled (bucket -1, by id)."""
+    """Anchors by bucket of their gram; those met twice in a task are settled (by document, negative buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, _ in _text_groups(batches):
@@ -172,52 +182,67 @@ def _first_digit(threshold: int, bits: int):
             key, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
             order, first, alone = _repeated(key, doc, start)
             again = order[~alone]
-            rows = [(-1, i, x) for i, x in _by_id(doc[again], start[again])]
+            rows = _doc_packs(bits, doc[again], start[again])
             sent = order[first]
             bucket = _bucket_of(key[sent], bits)
             by = np.argsort(bucket, kind="stable")
             sent = sent[by]
-            rows += [(b, 0, x) for b, x in packs_by_bucket(bucket[by], [key[sent], doc[sent], start[sent].astype(np.int32)])]
+            rows += packs_by_bucket(bucket[by], [key[sent], doc[sent], start[sent].astype(np.int32)])
             for a in range(0, len(rows), 2000):
-                yield _rows(["bucket", "id", "pack"], rows[a : a + 2000], [pa.int64(), pa.int64(), pa.binary()])
+                yield _rows(_RECORDS[0], rows[a : a + 2000], _RECORDS[1])
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
-    held: dict[int, list[tuple[int, bytes]]] = {}
+def _buckets(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, list[bytes]], list[tuple[int, bytes]]]:
+    """The packs of each bucket, and those by document, which pass through."""
+    held: dict[int, list[bytes]] = {}
+    settled: list[tuple[int, bytes]] = []
     for batch in batches:
-        for b, i, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "pack")), strict=True):
-            held.setdefault(b, []).append((i, x))
-    return held
+        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+            settled.append((b, x)) if b < 0 else held.setdefault(b, []).append(x)
+    return held, settled
 
 
-_SPANS = (["id", "spans"], [pa.int64(), pa.binary()])
+def _repeated_anchors(bits: int):
+    """First windows of the anchors whose gram occurs again, by document, from the packs of whole buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = _buckets(batches)
+        found = []
+        for packs in held.values():
+            key, doc, start = unpack_columns(packs, [U, np.int64, np.int32])
+            order, _, alone = _repeated(key, doc, start)
+            found.append((doc[order[~alone]], start[order[~alone]].astype(np.int64)))
+        if found:
+            rows += _doc_packs(bits, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        for a in range(0, len(rows), 2000):
+            yield _rows(_RECORDS[0], rows[a : a + 2000], _RECORDS[1])
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, first windows of its anchors whose gram occurs again), from the packs of whole buckets."""
-    held = _buckets(batches)
-    settled = held.pop(-1, [])
-    for a in range(0, len(settled), 5000):
-        yield _rows(_SPANS[0], settled[a : a + 5000], _SPANS[1])
-    found = []
-    for packs in held.values():
-        key, doc, start = unpack_columns([x for _, x in packs], [U, np.int64, np.int32])
-        order, _, alone = _repeated(key, doc, start)
-        found.append((doc[order[~alone]], start[order[~alone]].astype(np.int64)))
-    if found:
-        rows = list(_by_id(*(np.concatenate(x) for x in zip(*found, strict=True))))
-        for a in range(0, len(rows), 5000):
-            yield _rows(_SPANS[0], rows[a : a + 5000], _SPANS[1])
+    return run
+
+
+def _one_row_each(n_columns: int):
+    """(id, marks) for each document, from the packs of whole buckets of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[bytes]] = {}
+        for b, x in _buckets(batches)[1]:
+            by_bucket.setdefault(b, []).append(x)
+        for packs in by_bucket.values():
+            rows = list(_by_id(*unpack_columns(packs, [np.int64] * (1 + n_columns))))
+            for a in range(0, len(rows), 5000):
+                yield _rows(["id", "marks"], rows[a : a + 5000], [pa.int64(), pa.binary()])
+
+    return run
 
 
 def _contexts(threshold: int, bits: int):
-    """Contexts of the repeated anchors by bucket of their gram; equal contexts in a task are settled (bucket -1)."""
+    """Contexts of the repeated anchors by bucket of their gram; equal contexts in a task are settled (by document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, marks in _text_groups(batches):
-            chosen = {i: np.concatenate([np.frombuffer(m, np.int64) for m in ms]) for i, ms in zip(ids, marks, strict=True) if ms}
+            chosen = {i: np.frombuffer(m, np.int64) for i, m in zip(ids, marks, strict=True) if m}
             some = [j for j, i in enumerate(ids) if i in chosen]
             found: list[tuple] = []
             contexts: list[np.ndarray] = []
@@ -241,7 +266,7 @@ def _contexts(threshold: int, bits: int):
             at = np.cumsum(size) - size
             order, first, _ = _repeated(key ^ digest * U(3), doc, start)
             again = order[~first]
-            rows = [(-1, i, x) for i, x in _by_id(doc[again], start[again], start[again] + size[again])]
+            rows = _doc_packs(bits, doc[again], start[again], start[again] + size[again])
             sent = order[first]
             sent = sent[np.argsort(_bucket_of(key[sent], bits), kind="stable")]
             bucket = _bucket_of(key[sent], bits)
@@ -249,9 +274,9 @@ def _contexts(threshold: int, bits: int):
             for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=False):
                 part = sent[a:b]
                 body = [len(part).to_bytes(8, "little"), key[part].tobytes(), doc[part].tobytes(), start[part].tobytes(), count[part].astype(np.int32).tobytes()]
-                rows.append((int(bucket[a]), 0, pack_text(b"".join([*body, text[ragged(at[part], size[part])].tobytes()]))))
+                rows.append((int(bucket[a]), pack_text(b"".join([*body, text[ragged(at[part], size[part])].tobytes()]))))
             for a in range(0, len(rows), 1000):
-                yield _rows(["bucket", "id", "pack"], rows[a : a + 1000], [pa.int64(), pa.int64(), pa.binary()])
+                yield _rows(_RECORDS[0], rows[a : a + 1000], _RECORDS[1])
 
     return run
 
@@ -296,16 +321,15 @@ def equal_windows(data: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarra
     return out
 
 
-def _last_digits(threshold: int):
-    """(id, removed byte runs) from the packs of whole buckets."""
+def _last_digits(threshold: int, bits: int):
+    """Removed byte runs, by document, from the packs of whole buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _buckets(batches)
-        rows = [x for x in held.pop(-1, [])]
+        held, rows = _buckets(batches)
         found = []
         for packs in held.values():
             parts = []
-            for _, packed in packs:
+            for packed in packs:
                 raw = unpack_text(packed)
                 n, at = int.from_bytes(raw[:8], "little"), 8
                 own = []
@@ -326,9 +350,9 @@ def _last_digits(threshold: int):
             last = np.append(cut[1:], len(again)) - 1
             found.append((d[cut], s[cut], s[last[: len(cut)]] + threshold))
         if found:
-            rows += _by_id(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        for a in range(0, len(rows), 5000):
-            yield _rows(_SPANS[0], rows[a : a + 5000], _SPANS[1])
+            rows += _doc_packs(bits, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        for a in range(0, len(rows), 2000):
+            yield _rows(_RECORDS[0], rows[a : a + 2000], _RECORDS[1])
 
     return run
 
@@ -358,7 +382,7 @@ def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]
         rows = []
         for i, packed, found in zip(*(part.column(c).to_pylist() for c in ("id", "packed", "marks")), strict=True):
             text = unpack_text(packed)
-            spans = merge_spans(np.concatenate([np.frombuffer(x, np.int64) for x in found]).reshape(-1, 2) if found else np.zeros((0, 2), np.int64))
+            spans = merge_spans(np.frombuffer(found or b"", np.int64).reshape(-1, 2))
             kept, at = [], 0
             for lo, hi in spans.tolist():
                 kept.append(text[at:lo])
@@ -385,13 +409,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(9, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     plain = texts_by_id(docs, id_col, text_col)
     texts = packed_texts(docs, id_col, text_col)
-    records = "bucket long, id long, pack binary"
-    # Settled rows (bucket -1) go to any partition, told apart by their id.
-    deal = lambda df: df.repartition(F.when(F.col("bucket") < 0, F.xxhash64("id")).otherwise(F.xxhash64("bucket")))
-    marks = lambda df: df.groupBy("id").agg(F.collect_list("spans").alias("marks"))  # noqa: E731  # bounded by the document's length
-    anchors = deal(plain.mapInArrow(_first_digit(threshold, bits), records)).mapInArrow(_repeated_anchors, "id long, spans binary")
-    contexts = texts.join(marks(anchors), "id").mapInArrow(_contexts(threshold, bits), records)
-    removed = deal(contexts).mapInArrow(_last_digits(threshold), "id long, spans binary")
-    out = texts.join(marks(removed), "id", "left").mapInArrow(_cut(as_text), f"id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
+    records = "bucket long, pack binary"
+    deal = lambda df: df.repartition("bucket")
+    each = lambda df, n: deal(df).mapInArrow(_one_row_each(n), "id long, marks binary")  # noqa: E731  # bounded by the document's length
+    anchors = deal(plain.mapInArrow(_first_digit(threshold, bits), records)).mapInArrow(_repeated_anchors(bits), records)
+    contexts = texts.join(each(anchors, 1), "id").mapInArrow(_contexts(threshold, bits), records)
+    removed = deal(contexts).mapInArrow(_last_digits(threshold, bits), records)
+    out = texts.join(each(removed, 2), "id", "left").mapInArrow(_cut(as_text), f"id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "kept", "spans")
 
