@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import scoring
+from tessera.plans import corpus, scoring
 
-MODULES = [scoring]
+MODULES = [scoring, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
