@@ -60,9 +60,8 @@ def _template_grams(df: DataFrame, templates: Sequence[Template]) -> DataFrame:
         split = t.text.split()
         if not K <= len(split) <= K + 62:
             raise ValueError(f"a template needs {K} to {K + 62} words: {t.text!r}")
-        rows += [(number, j, len(split) - K + 1, t.label, t.exact, split[j : j + K]) for j in range(len(split) - K + 1)]
-    table = constant_rows(df.sparkSession, ["template", "j", "n_grams", "label", "exact", "gram"], rows)
-    return table.withColumn("hash", F.xxhash64(*(F.col("gram")[i] for i in range(K))))
+        rows += [(number, j, len(split) - K + 1, t.label, t.exact, " ".join(split[j : j + K])) for j in range(len(split) - K + 1)]
+    return constant_rows(df.sparkSession, ["template", "j", "n_grams", "label", "exact", "gram"], rows).withColumn("hash", F.xxhash64("gram"))
 
 
 def license_spans(docs: DataFrame, id_col: str, text_col: str, templates: Sequence[Template]) -> DataFrame:
@@ -70,14 +69,15 @@ def license_spans(docs: DataFrame, id_col: str, text_col: str, templates: Sequen
 
     ``digest`` is the text's xxhash64, so that rows which share an id but not their text stay apart.
     """
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (K - 1)), lambda i: F.xxhash64(*(F.element_at("words", i + j) for j in range(K))))
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (K - 1)), lambda i: F.concat_ws(" ", *(F.element_at("words", i + j) for j in range(K))))
     rolling = (
         docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), license_words(F.col(text_col)).alias("words"))
         .filter(F.size("words") >= K)
-        .select("id", "digest", "words", F.posexplode(grams).alias("i", "hash"))
+        .select("id", "digest", F.posexplode(grams).alias("i", "gram"))
+        .withColumn("hash", F.xxhash64("gram"))
     )
     # The templates are a parameter: a few grams each, whatever the input.
-    hits = rolling.join(F.broadcast(_template_grams(docs, templates)), "hash").filter(F.slice("words", F.col("i") + 1, K) == F.col("gram"))
+    hits = rolling.join(F.broadcast(_template_grams(docs, templates)), ["hash", "gram"])
     votes = hits.groupBy("id", "digest", "template", "label", "exact", "n_grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")
     )

@@ -82,5 +82,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: A document's distinct 4-word shingles, inverted, give all pairs that share any; links are closed by a recursive query.
+NEAR_SQL = r"""with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else [array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)] end) as s from words),
+sizes as materialized (select doc_id, len(s) as n from sets),
+flat as materialized (select doc_id, unnest(s) as g from sets),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as materialized (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+both_ways as materialized (select x, y from links union all select y, x from links),
+reach as (select doc_id as x, doc_id as y from sizes union select r.x, l.y from reach r join both_ways l on r.y = l.x),
+least as (select x, min(y) as component_id from reach group by x)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sizes join least on doc_id = x"""
+
+
+def _sharding_sql() -> str:
+    slots = ", ".join(map(str, sharding.fill_table(SHARDS)))
+    slot = f"(('0x' || substring(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % {sharding.SIZE})::int"
+    return f"""with s as (select doc_id, {slot} as slot from documents), t as (select *, [{slots}][slot + 1]::int as shard from s)
+        select doc_id, slot, shard, printf('shard-%03d', shard) as shard_name from t"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in URL_RULES)
+    return f"""with r(verdict, rule_host, rule_path, rule) as (values {rules}),
+        u as (select page_id, case when contains(url, '://') then substring(url, instr(url, '://') + 3) else '' end as rest from pages),
+        p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substring(rest, len(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from u),
+        f as (select p.*, r.*, row_number() over (partition by page_id order by len(rule) desc nulls last) as k from p left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+        select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    out = {"op2_minhash": NEAR_SQL, "op3_sharding": _sharding_sql(), "op9_url_filters": _url_sql()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
