@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, scoring
+from tessera.plans import corpus, evidence, scoring
 
-MODULES = [scoring, corpus]
+MODULES = [scoring, corpus, evidence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
