@@ -17,12 +17,17 @@ def lit(x: float) -> Column:
     return F.lit(float(x))
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """``x`` within two bounds; null stays null, which least and greatest alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lit(low)), lit(high)))
+
+
 def sigmoid(z: Column) -> Column:
-    return lit(1) / (lit(1) + F.exp(-F.least(F.greatest(z, lit(-40)), lit(40))))
+    return lit(1) / (lit(1) + F.exp(-clip(z, -40, 40)))
 
 
 def logit(p: Column, eps: float = 1e-4) -> Column:
-    q = F.least(F.greatest(p, lit(eps)), lit(1 - eps))
+    q = clip(p, eps, 1 - eps)
     return F.ln(q / (lit(1) - q))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import finite, forensic_verdict, lit, logit, prior_shift, sigmoid
+from tessera.functions.scalar import clip, finite, forensic_verdict, lit, logit, prior_shift, sigmoid
 
 #: Fixed values of the container rules.
 CONTAINER_WEIGHTS = {"synth_tool_tag": 4.0, "header_issues": 0.8, "vocoder_grid": 1.2, "timestamp_issues": 1.0, "device_claim": -0.4}
@@ -20,13 +20,13 @@ def contributions(features: DataFrame, model: DataFrame) -> DataFrame:
     """(clip, expert, feature, value, contribution): coefficient times the clipped z value; non-finite values and features without a model drop out."""
     z = (F.col("value") - F.col("mean")) / F.coalesce(F.nullif("scale", lit(0)), lit(1))
     rows = features.withColumn("value", finite(F.col("value"))).filter("value is not null").join(model, ["expert", "feature"])
-    return rows.select("clip", "expert", "feature", "value", (F.col("coef") * F.least(F.greatest(z, lit(-6)), lit(6))).alias("contribution"))
+    return rows.select("clip", "expert", "feature", "value", (F.col("coef") * clip(z, -6, 6)).alias("contribution"))
 
 
 def feature_scores(features: DataFrame, model: DataFrame, intercepts: DataFrame) -> DataFrame:
     """(clip, expert, score): null without a model or without any finite feature; a finite feature outside the model counts."""
     z = (F.col("value") - F.col("mean")) / F.coalesce(F.nullif("scale", lit(0)), lit(1))
-    part = F.col("coef") * F.least(F.greatest(z, lit(-6)), lit(6))
+    part = F.col("coef") * clip(z, -6, 6)
     rows = features.withColumn("value", finite(F.col("value"))).join(model, ["expert", "feature"], "left")
     sums = rows.groupBy("clip", "expert").agg(F.coalesce(F.sum(part), lit(0)).alias("total"), F.count("value").alias("n"))
     return sums.join(intercepts, "expert", "left").select("clip", "expert", F.when(F.col("n") > 0, sigmoid(F.col("intercept") + F.col("total"))).alias("score"))
@@ -36,7 +36,7 @@ def findings(scores: DataFrame, info: DataFrame) -> DataFrame:
     """(clip, expert, score, confidence): confidence cut to [0, 1]; the speaker expert abstains unless its backend is wavlm-xvector."""
     silent = (F.col("expert") == "speaker") & ~F.coalesce(F.col("backend") == "wavlm-xvector", F.lit(False))
     joined = scores.join(info, ["clip", "expert"])
-    confidence = F.least(F.greatest(F.col("confidence"), lit(0)), lit(1))
+    confidence = clip(F.col("confidence"), 0, 1)
     return joined.select("clip", "expert", F.when(~silent, F.col("score")).alias("score"), F.when(silent, lit(0)).otherwise(confidence).alias("confidence"))
 
 

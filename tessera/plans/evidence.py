@@ -84,11 +84,11 @@ def fused_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fuse(_found(spark, sf_dir), None, 0.0, 0.5).select("clip", F.round("probability", 5).alias("probability"))
 
 
-TERMS = f"""{T.FINDINGS}, lo as (select clip, expert, confidence * ln(greatest(1e-4, least(1 - 1e-4, score)) / (1 - greatest(1e-4, least(1 - 1e-4, score)))) as cell, score from found)"""
+TERMS = f"""{T.FINDINGS}, lo as (select clip, expert, case when score is not null then confidence * ln(greatest(1e-4, least(1 - 1e-4, score)) / (1 - greatest(1e-4, least(1 - 1e-4, score)))) end as cell, score from found)"""
 
 
 def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.design_matrix(_found(spark, sf_dir), T.EXPERTS[:6]).select("clip", *(T.r6(e, e) for e in T.EXPERTS[:6]))
+    return E.design_matrix(_found(spark, sf_dir), T.EXPERTS[:6]).select("clip", *(F.round(e, 4).alias(e) for e in T.EXPERTS[:6]))
 
 
 def expert_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ SQL = {
     "confidence": CONFIDENCE,
     "fused_probability": f"with {TERMS}, w as (select lo.*, coalesce(weight, 0) as weight from lo left join weights on lo.expert = weights.expert) select clip, round(1 / (1 + exp(-({T.BIAS!r}::double + ln(0.3e0 / 0.7e0) + coalesce(sum(weight * cell), 0)))), 5) as probability from w group by clip",
     "fused_unweighted": f"with {TERMS} select clip, round(1 / (1 + exp(-coalesce(sum(cell), 0))), 5) as probability from lo group by clip",
-    "design_matrix": f"with {TERMS} select clip, {', '.join(f'''round(coalesce(max(cell) filter (expert = '{e}'), 0), 6) as {e}''' for e in T.EXPERTS[:6])} from lo group by clip",
+    "design_matrix": f"with {TERMS} select clip, {', '.join(f'''round(coalesce(max(cell) filter (expert = '{e}'), 0), 4) as {e}''' for e in T.EXPERTS[:6])} from lo group by clip",
     "expert_matrix": f"with {T.FEATURES} select clip, {', '.join(f'''max(case when isfinite(value) then value end) filter (feature = '{f}') as {f}''' for f in ('quantity', 'price', 'discount'))} from features where expert = 'prosody' group by clip",
     "leave_one_out": f"""with {TERMS}, t as (select lo.clip, lo.expert, coalesce(weight, 0) * cell as term from lo left join weights on lo.expert = weights.expert where score is not null), n as (select count(distinct clip) as n, sum(term) as total from t)
         select expert, round((max(total) - sum(term)) / max(n), 5) as mean_without from t, n group by expert""",

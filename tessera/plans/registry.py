@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, evidence, scoring
+from tessera.plans import corpus, evidence, scoring, sequences
 
-MODULES = [scoring, corpus, evidence]
+MODULES = [scoring, corpus, evidence, sequences]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -95,10 +95,10 @@ def weights(spark: SparkSession) -> DataFrame:
 FINDINGS = f"""{FEATURES}, {MODEL_SQL}, {INTERCEPTS_SQL}, {WEIGHTS_SQL},
 fine as (select clip, expert, feature, case when isfinite(value) then value end as value from features),
 sums as (
-    select f.clip, f.expert, coalesce(sum(m.coef * greatest(-6e0, least(6e0, (f.value - m.mean) / case when m.scale = 0 then 1e0 else m.scale end))), 0) as total, count(f.value) as n
+    select f.clip, f.expert, coalesce(sum(case when f.value is not null then m.coef * greatest(-6e0, least(6e0, (f.value - m.mean) / case when m.scale = 0 then 1e0 else m.scale end)) end), 0) as total, count(f.value) as n
     from fine f left join model m on f.expert = m.expert and f.feature = m.feature group by all),
 scores as (
-    select s.clip, s.expert, case when n > 0 then 1 / (1 + exp(-greatest(-40e0, least(40e0, i.intercept + total)))) end as score
+    select s.clip, s.expert, case when n > 0 and i.intercept is not null then 1 / (1 + exp(-greatest(-40e0, least(40e0, i.intercept + total)))) end as score
     from sums s left join intercepts i on s.expert = i.expert),
 info as (
     select l_orderkey as clip, ['spectral', 'compression', 'prosody', 'environment', 'splice', 'speaker', 'deep'][l_linenumber] as expert,
