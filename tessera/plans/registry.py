@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, evidence, scoring, sequences
+from tessera.plans import corpus, evidence, learning, scoring, sequences
 
-MODULES = [scoring, corpus, evidence, sequences]
+MODULES = [scoring, corpus, evidence, sequences, learning]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
