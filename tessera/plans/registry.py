@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, evidence, learning, scoring, sequences
+from tessera.plans import corpus, evidence, learning, scoring, sequences, small
 
-MODULES = [scoring, corpus, evidence, sequences, learning]
+MODULES = [scoring, corpus, evidence, sequences, learning, small]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
