@@ -32,7 +32,7 @@ LEAST_DOCS = 8
 POWER = 0.5
 #: Documents with a calibrated probability above these go.
 MOST_LOW_QUALITY = 0.5
-MOST_TOXIC = 0.5
+MOST_TOXIC = 0.3
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[128:] = False
 NOT_WORD[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = False
@@ -109,12 +109,24 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     up, down = y.sum(), (1 - y).sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     x = np.stack([margin, np.ones_like(margin)], 1)
-    theta = np.array([1.0, 0.0])
-    for _ in range(30):
+    prior = np.array([1.0, 0.0])
+
+    def loss(t: np.ndarray) -> float:
+        z = x @ t
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5e-3 * ((t - prior) ** 2).sum())
+
+    theta = prior
+    for _ in range(50):
         p = _sigmoid(x @ theta)
         curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        theta -= np.linalg.solve(curve, x.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0]))
-    return float(theta[0]), float(theta[1])
+        step = np.linalg.solve(curve, x.T @ (p - target) + 1e-3 * (theta - prior))
+        size = 1.0  # halved until the loss falls: on classes that are far apart a whole step may go past the optimum
+        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return max(float(theta[0]), 1e-3), float(theta[1])
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:

@@ -59,3 +59,13 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert not any(r.kept for r in rows if r.doc_id is None or r.doc_id >= 5000)
     none = quality.train_quality(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert quality.score_quality(d, none).count() == len(rows) and quality.score_quality(d.limit(0), model).count() == 0
+
+
+def test_calibration_of_classes_far_apart():
+    rng = np.random.default_rng(2)
+    for gap in (1, 5, 20, 80):
+        y = (np.arange(1200) % 7 == 0).astype(float)
+        margin = np.where(y > 0, gap, -gap) + rng.normal(0, 2, len(y))
+        slope, shift = quality._platt(margin, y)
+        p = 1 / (1 + np.exp(-(slope * margin + shift)))
+        assert slope > 0 and p[y > 0].mean() > p[y == 0].mean() and abs(p.mean() - y.mean()) < 0.02
