@@ -149,3 +149,14 @@ def test_stream_equals_batch(spark, tmp_path):
     route_folder(spark, schema, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), surrogates.WEIGHTS, surrogates.BIAS, expert_auc=surrogates.AUCS).awaitTermination()
     got = {(r.clip, round(r.probability, 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.clip, round(r.probability, 9)) for r in evidence._routed(spark, sf).collect()}
+
+
+def test_spectral_vectors():
+    from tessera.sources.spectral import NAMES, spectral_vector
+
+    assert len(NAMES) == 99
+    for x in (np.zeros(100), np.zeros(16000), np.ones(3), np.full(900, np.nan)):
+        assert np.isfinite(spectral_vector(x)).all()
+    tone = dict(zip(NAMES, spectral_vector(0.3 * np.sin(2 * np.pi * 2500 * np.arange(32000) / 16000))))
+    noise = dict(zip(NAMES, spectral_vector(np.random.default_rng(0).normal(0, 0.1, 32000))))
+    assert tone["duration_s"] == 2 and abs(tone["centroid_mean"] - 2500) < 60 and tone["flatness_mean"] < noise["flatness_mean"] and tone["band05_mean"] > -1
