@@ -18,7 +18,14 @@ def _toward_least(edges: DataFrame, greater_only: bool) -> DataFrame:
         out = joined.filter("b > a").select("b", F.col("least").alias("a"))
     else:
         out = joined.select("b", F.col("least").alias("a")).unionByName(least.select(F.col("a").alias("b"), F.col("least").alias("a")))
-    return out.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each id is linked to one lesser id at most, and none of those to a lesser one."""
+    lesser = edges.groupBy("b").agg(F.count("*").alias("n"))
+    centres = edges.select(F.col("a").alias("b")).distinct().withColumn("centre", F.lit(1))
+    return lesser.join(centres, "b", "left").filter("n > 1 or centre is not null").count() == 0
 
 
 def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -28,13 +35,10 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     shared folder. It ends when every id is linked to its component's least id only.
     """
     edges = saved(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    before = None
     for _ in range(most_rounds):
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if mark == before:
+        if _are_stars(edges):
             break
-        before = mark
-        edges = saved(_toward_least(_toward_least(edges, True), False), name)
+        edges = saved(_toward_least(_toward_least(edges, True), False).distinct(), name)
     else:
         raise RuntimeError("the components didn't settle")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -4,7 +4,7 @@ Under each of ``PERMUTATIONS`` permutations of the shingle hashes both the
 minimum and the maximum are kept: two values, each equal for two sets with a
 probability of their Jaccard similarity, for one evaluation. Bands of ``ROWS``
 values bring candidates together (a pair at 0.8 shares one of 32 bands but for
-5 cases in 10^8); a few bits of each value make a sketch that turns away pairs
+5 cases in 10^8); one bit of each value makes a sketch that turns away pairs
 far below the threshold; whole shingle sets confirm every link.
 
 Documents with equal sets are one class and only its least id goes on. In each
@@ -12,7 +12,8 @@ bucket all members are first compared with one of them, drawn by a hash. When
 the confirmed links are joined to components, buckets with several components
 are left; there, members outside the largest one are compared with one of its
 members, for some rounds. Last, pairs that share a bucket and are still in
-different components are compared, so no link between components is lost and
+different components are compared, unless a finer sketch of 4096 bits turns
+them away; so no link between components is lost and
 groups of thousands of copies cost a few comparisons a member.
 """
 
@@ -32,16 +33,19 @@ from tessera.llm.tables import NO_ID, packed_texts, saved, texts_by_id, unpack_t
 PERMUTATIONS = 64
 ROWS = 4
 SLICE = 1 << 19
-#: A sketch has so many bits of each of the 2 * PERMUTATIONS values, in 64-bit words; the first two words have one bit of each.
-PLANES = 4
-WORDS = 2 * PERMUTATIONS * PLANES // 64
+#: A sketch has one bit of each of the 2 * PERMUTATIONS values, in 64-bit words.
+WORDS = 2 * PERMUTATIONS // 64
 #: A pair at the threshold passes a sketch that differs in so many standard deviations more bits than expected.
 DEVIATIONS = 6.0
+#: Documents that are still apart get a finer sketch, one bit of each of 2 * FINE values, and these deviations.
+FINE = 2048
+FINE_DEVIATIONS = 5.0
 #: Rounds of comparisons with one member of each bucket, before the pairs that are still apart.
-ROUNDS = 3
+ROUNDS = 2
 U = np.uint64
 _SEEDS = np.random.default_rng(77).integers(0, 2**63, (2, PERMUTATIONS), dtype=np.int64).astype(U)
 _FACTORS, _SHIFTS = _SEEDS[0] * U(2) + U(1), _SEEDS[1]
+_FINE_SEEDS = np.random.default_rng(78).integers(0, 2**63, (2, FINE), dtype=np.int64).astype(U)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +80,7 @@ def signatures(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
         values[:, 2 * p] = np.minimum.reduceat(x, start)
         values[:, 2 * p + 1] = np.maximum.reduceat(x, start)
     mixed = K.mix(values + np.arange(2 * PERMUTATIONS, dtype=U))
-    bits = np.stack([(mixed >> U(63 - j)) & U(1) for j in range(PLANES)], 1).reshape(len(size), WORDS, 64)
+    bits = (mixed >> U(63)).reshape(len(size), WORDS, 64)
     sketch = (bits << np.arange(64, dtype=U)).sum(2, dtype=U)
     bands = np.zeros((len(size), 2 * PERMUTATIONS // ROWS), U)
     for r in range(ROWS):
@@ -85,6 +89,18 @@ def signatures(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return digest, sketch, K.mix(bands)
 
 
+def fine_bits(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit words (n, 2 * FINE / 64) with one bit of the minimum and the maximum under each of FINE permutations."""
+    start = np.cumsum(size) - size
+    bits = np.empty((len(size), 2 * FINE), np.uint8)
+    for p in range(FINE):
+        x = flat * (_FINE_SEEDS[0, p] * U(2) + U(1)) + _FINE_SEEDS[1, p]
+        bits[:, 2 * p] = K.mix(np.minimum.reduceat(x, start)) >> U(63)
+        bits[:, 2 * p + 1] = K.mix(np.maximum.reduceat(x, start)) >> U(63)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+_FINE = [f"f{j + 1}" for j in range(2 * FINE // 64)]
 _SKETCH = [f"s{j + 1}" for j in range(WORDS)]
 _META = f"id long, n long, d1 long, d2 long, {', '.join(f'{s} long' for s in _SKETCH)}, bands array<long>"
 
@@ -112,6 +128,18 @@ def _meta(k: int):
     return run
 
 
+def _fine(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                texts = pa.array([unpack_text(x) for x in part.column("packed").to_pylist()], pa.large_binary())
+                words = np.concatenate([fine_bits(*shingle_sets(data, offsets, k)) for _, data, offsets in K.slices(texts, SLICE)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in words.T)], ["id", *_FINE])
+
+    return run
+
+
 def _confirm(k: int, percent: int):
     """Of (a, b, text_a, text_b), the pairs whose sets are similar enough."""
 
@@ -140,17 +168,27 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _close(x: str, y: str, percent: int, words: int):
-    """Sizes that allow the similarity, and sketches of so many words that differ in few enough bits."""
-    apart, values, planes = 1 - percent / 100, 2 * PERMUTATIONS, words * 64 // (2 * PERMUTATIONS)
-    # Of each value that differs, every bit differs in half the cases.
-    deviation = (values * apart * planes / 4 + values * apart * (1 - apart) * (planes / 2) ** 2) ** 0.5
-    most = int(values * apart * planes / 2 + DEVIATIONS * deviation)
+def _close(x: str, y: str, percent: int):
+    """Sizes that allow the similarity, and sketches that differ in few enough bits."""
+    differ, values = (1 - percent / 100) / 2, 2 * PERMUTATIONS
+    most = int(values * differ + DEVIATIONS * (values * differ * (1 - differ)) ** 0.5)
     sizes = (100 * F.least(f"{x}.n", f"{y}.n")) >= (percent * F.greatest(f"{x}.n", f"{y}.n"))
-    bits = sum(F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _SKETCH[:words])
+    bits = sum(F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _SKETCH)
     return sizes & (bits <= most)
 
 
+def _closer(x: str, y: str, percent: int):
+    """Fine sketches that differ in few enough bits."""
+    differ = (1 - percent / 100) / 2
+    most = int(2 * FINE * differ + FINE_DEVIATIONS * (2 * FINE * differ * (1 - differ)) ** 0.5)
+    bits = F.expr(" + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _FINE))
+    return bits <= most
+
+
+def _as_links(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean), one row for each id.
 
@@ -189,26 +227,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         draw = F.struct(F.xxhash64("bucket", "id", F.lit(number)).alias("draw"), "id", "n", "s1", "s2")
         kept = members.filter("component = main") if main else members
         leaders = kept.groupBy("bucket").agg(F.min(draw).alias("lead")).select("bucket", "lead.*")
-        return (members.filter("component != main") if main else members).alias("x").join(leaders.alias("y"), "bucket").filter((F.col("x.id") != F.col("y.id")) & _close("x", "y", percent, 2))
+        return (members.filter("component != main") if main else members).alias("x").join(leaders.alias("y"), "bucket").filter((F.col("x.id") != F.col("y.id")) & _close("x", "y", percent))
 
     members = reps.select(F.explode("bands").alias("bucket"), "id", "n", "s1", "s2")
     compared = saved(pairs_of(led(members, 0, False)), "near-pairs")
-    links = saved(confirmed(compared), "near-links")
-    stars = components(links, "near-stars")
+    stars = components(saved(confirmed(compared), "near-links"), "near-stars")
     members = mixed(members, stars)
     for number in range(1, ROUNDS):
         new = saved(pairs_of(led(members, number, True)).join(compared, ["a", "b"], "left_anti"), "near-pairs")
         compared = compared.unionByName(new)
-        links = links.unionByName(saved(confirmed(new), "near-links"))
-        stars = components(links, "near-stars")
+        stars = components(_as_links(stars).unionByName(saved(confirmed(new), "near-links")), "near-stars")
         members = mixed(members.drop("component", "main"), stars)
     # In each bucket, members outside its largest component meet all members of other components.
-    wide = saved(members.join(reps.select("id", *_SKETCH[2:]), "id"), "near-wide")
+    apart_ids = members.select("id").distinct()
+    fine = texts.join(apart_ids, "id", "left_semi").mapInArrow(_fine(k), f"id long, {', '.join(f'{c} long' for c in _FINE)}")
+    wide = saved(members.join(saved(fine, "near-fine"), "id"), "near-wide")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    second = wide.filter("component != main").alias("x").join(wide.alias("y"), "bucket").filter(apart & _close("x", "y", percent, WORDS))
+    second = wide.filter("component != main").alias("x").join(wide.alias("y"), "bucket").filter(apart & _close("x", "y", percent) & _closer("x", "y", percent))
     more = saved(confirmed(saved(pairs_of(second).join(compared, ["a", "b"], "left_anti"), "near-rest")), "near-more")
 
-    found = components(stars.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), "near-components")
+    found = components(_as_links(stars).unionByName(more), "near-components")
     out = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias(id_col), "n_shingles", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
