@@ -139,7 +139,9 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
     share = y[~held].mean()
     cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     train = np.flatnonzero(~held)
-    seen_in = np.bincount(np.concatenate([np.unique(docs[j]) for j in train]), minlength=1 << BITS)
+    seen_in = np.zeros(1 << BITS, np.int32)
+    for j in train:
+        seen_in[np.unique(docs[j])] += 1
     known = seen_in >= LEAST_DOCS
     full = np.array([len(d) for d in docs])
     docs = [d[known[d]] for d in docs]
@@ -159,9 +161,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
             slope = float(error.mean())
             bias_seen += slope * slope
             bias -= RATE * slope / bias_seen**0.5
-    size = np.array([len(d) for d in docs])
-    row = np.repeat(np.arange(len(docs)), size)
-    margin = np.bincount(row, weights[np.concatenate(docs)], len(docs)) * _norms(full) + bias
+    margin = np.array([weights[d].sum() for d in docs]) * _norms(full) + bias
     some = held if len(set(y[held].tolist())) == 2 else ~held
     return Classifier(weights.astype(np.float32), bias, *_platt(margin[some], y[some]))
 
@@ -185,10 +185,11 @@ def _label_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> QualityModel:
     """Fit both classifiers on at most ``rows`` labelled documents (``quality`` 0 is low, ``toxic`` 1 is toxic)."""
     sample = _label_sample(docs, labels, id_col, text_col, rows)
-    featured = sample.mapInArrow(_feature_batches(id_col), "id string, low int, tox int, features binary").toPandas()
-    featured = featured.sort_values(["id", "features"], ignore_index=True)
-    parts = [np.frombuffer(x, np.int32) for x in featured["features"]]
-    low, tox = (featured[c].fillna(0).to_numpy(float) for c in ("low", "tox"))
+    featured = sample.mapInArrow(_feature_batches(id_col), "id string, low int, tox int, features binary").toArrow()
+    featured = featured.sort_by([("id", "ascending"), ("features", "ascending")])
+    parts = [np.frombuffer(x.as_buffer(), np.int32) for x in featured["features"]]  # views, not copies
+    low, tox = (featured[c].to_numpy().astype(float) for c in ("low", "tox"))
+    low, tox = np.nan_to_num(low), np.nan_to_num(tox)
     if not parts:
         nothing = np.zeros(0)
         return QualityModel(fit([], nothing), fit([], nothing))
