@@ -8,9 +8,11 @@ and skipped ones as words and the last two as a bigram. Within the last class a
 share of the training count. The biases start as log frequencies.
 
 Counts of all words, exact, come from packs of (hash, counts) that tasks send
-to the hash's bucket; the most frequent ``DICTIONARY`` are broadcast. Each task
-then trains on its own documents from the shared weights by AdaGrad steps, and
-the changes are averaged by the number of tokens behind them. Scoring goes
+to the hash's bucket; the most frequent ``DICTIONARY`` in training are broadcast.
+Learning takes ``ROUNDS`` synchronous rounds over all training documents: every
+task counts, for each weight, the tokens seen and those the shared weights expect;
+the counts are added up over all tasks, and each weight takes one step by the
+log of their ratio. So neither files nor partitions matter. Scoring goes
 through every text in sparse batches; words outside the dictionary are sent to
 their bucket, where their count is known, and add to their document's sums.
 """
@@ -34,12 +36,13 @@ DICTIONARY = 250_000
 WIDTH = 64
 CLASSES = 64
 MODELLED = (CLASSES - 1) * WIDTH
+#: Bits of the rows of a table of features, at least; see ``row_bits``.
 ROW_BITS = 13
-BATCH = 4096
-#: Tokens behind one gradient step.
-STEP = 16_384
-LEAST_ERROR = 0.25
-RATE = 0.15
+BATCH = 1024
+ROUNDS = 2
+RATE = 0.6
+#: Tokens in agreement with the weights that are added to each weight's counts.
+PRIOR = 2.0
 BLOCK = 1 << 14
 ALPHA = 0.1
 #: Text that a task gathers before it sends its packs.
@@ -73,14 +76,19 @@ class Weights(NamedTuple):
 
     @classmethod
     def unpack(cls, flat: np.ndarray) -> Weights:
-        table = WIDTH << ROW_BITS
+        table = (len(flat) - CLASSES - CLASSES * WIDTH) // 2
         parts = np.split(flat, [table, 2 * table, 2 * table + CLASSES])
         return cls(parts[0].reshape(-1, CLASSES), parts[1].reshape(-1, WIDTH), parts[2], parts[3].reshape(CLASSES, WIDTH))
 
 
+def row_bits(n_tokens: int) -> int:
+    """Rows grow with the root of the training tokens."""
+    return max(ROW_BITS, math.ceil(math.log2(n_tokens + 1) / 2))
+
+
 def start_weights(d: Dictionary) -> np.ndarray:
     """Weights of the model without features: log frequencies."""
-    flat = np.zeros(2 * (WIDTH << ROW_BITS) + CLASSES + CLASSES * WIDTH, np.float32)
+    flat = np.zeros(2 * (WIDTH << row_bits(d.n_tokens)) + CLASSES + CLASSES * WIDTH, np.float32)
     w = Weights.unpack(flat)
     count = np.zeros(CLASSES * WIDTH)
     modelled = d.rank < MODELLED
@@ -141,12 +149,12 @@ def _softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarra
     return z
 
 
-def _class_rows(features: np.ndarray) -> np.ndarray:
-    return (features >> U(64 - ROW_BITS)).astype(np.int64)
+def _class_rows(features: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (features >> U(65 - len(table).bit_length())).astype(np.int64)
 
 
-def _word_rows(features: np.ndarray, of_class: np.ndarray) -> np.ndarray:
-    return (K.mix(features + of_class[:, None].astype(U)) >> U(64 - ROW_BITS)).astype(np.int64)
+def _word_rows(features: np.ndarray, of_class: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (K.mix(features + of_class[:, None].astype(U)) >> U(65 - len(table).bit_length())).astype(np.int64)
 
 
 def log_probabilities(t: Tokens, w: Weights) -> np.ndarray:
@@ -155,73 +163,63 @@ def log_probabilities(t: Tokens, w: Weights) -> np.ndarray:
     for at in range(0, len(t.hash), BATCH):
         part = slice(at, at + BATCH)
         of_class = np.minimum(t.rank[part] >> 6, CLASSES - 1)
-        p = _softmax(w.classes, w.class_bias, _class_rows(t.features[part]))
+        p = _softmax(w.classes, w.class_bias, _class_rows(t.features[part], w.classes))
         got = p[np.arange(len(p)), of_class].astype(float)
         inner = np.flatnonzero(of_class < CLASSES - 1)
-        q = _softmax(w.words, w.word_bias[of_class[inner]], _word_rows(t.features[part][inner], of_class[inner]))
+        q = _softmax(w.words, w.word_bias[of_class[inner]], _word_rows(t.features[part][inner], of_class[inner], w.words))
         got[inner] *= q[np.arange(len(inner)), t.rank[part][inner] & (WIDTH - 1)]
         out[part] = np.log10(np.maximum(got, 1e-30))
     return out
 
 
-class _Trainer:
-    """AdaGrad from shared weights over the tokens of one task.
+class _Counts:
+    """For each weight of both tables: the tokens seen with it, and those that the weights expect.
 
-    Of each token's error vector only a random few entries are kept, scaled so that the gradient
-    stays right on average: all above ``LEAST_ERROR``, the others in proportion to their size.
+    Before the first step the expectation is the tokens of a row (of the words' table: of a row and
+    a class) times frequencies; then only those tokens are counted, and ``steps`` multiplies.
     """
 
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat = flat.copy()
-        self.start = flat
-        self.w = Weights.unpack(self.flat)
-        self.seen = np.full(len(flat), 1.0, np.float32)
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        table = WIDTH << ROW_BITS
-        self.at = (0, table, 2 * table, 2 * table + CLASSES)
-        self.dice = np.random.default_rng(5).random((BATCH + 997, WIDTH), np.float32) * np.float32(LEAST_ERROR)
-        self.n = self.waiting = 0
-
-    def _add(self, base: int, bias: np.ndarray, error: np.ndarray, rows: np.ndarray) -> None:
-        """``bias``: the place of each error vector's biases; rows of the table that starts at ``base``."""
-        chosen = np.flatnonzero(np.abs(error) > self.dice[self.n % 997 :][: len(error)])
-        kept = error.reshape(-1)[chosen]
-        kept = np.where(np.abs(kept) < LEAST_ERROR, np.copysign(np.float32(LEAST_ERROR), kept), kept)
-        token, column = chosen >> 6, chosen & (WIDTH - 1)
-        for firsts in (*(rows.T * WIDTH + base), bias):
-            self.parts.append((firsts[token] + column, kept))
-
-    def _update(self) -> None:
-        places, kept = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        change = np.bincount(places, kept, len(self.flat)).astype(np.float32)
-        self.seen += change * change
-        self.flat -= RATE * change / np.sqrt(self.seen)
-        self.parts, self.waiting = [], 0
-
-    def learn(self, t: Tokens) -> None:
+    def __init__(self, flat: np.ndarray, first: bool) -> None:
+        self.w, self.first = Weights.unpack(flat), first
+        self.table = self.w.classes.size
+        self.seen, self.expected = (np.zeros((2, self.table), np.float32) for _ in range(2))
+
+    def _bins(self, to: np.ndarray, rows: np.ndarray, column: np.ndarray) -> None:
+        to += np.bincount((rows * WIDTH + column[:, None]).reshape(-1), minlength=self.table)
+
+    def _expect(self, to: np.ndarray, p: np.ndarray, rows: np.ndarray) -> None:
+        found, at = np.unique(rows, return_inverse=True)
+        cells = at.reshape(rows.shape)[:, :, None] * WIDTH + np.arange(WIDTH)
+        p = np.broadcast_to(p[:, None].astype(float), cells.shape)
+        to.reshape(-1, WIDTH)[found] += np.bincount(cells.reshape(-1), p.reshape(-1), len(found) * WIDTH).reshape(-1, WIDTH)
+
+    def count(self, t: Tokens) -> None:
         w = self.w
-        for at in range(0, len(t.hash), BATCH):
-            part = slice(at, at + BATCH)
-            of_class = np.minimum(t.rank[part] >> 6, CLASSES - 1)
-            rows = _class_rows(t.features[part])
-            error = _softmax(w.classes, w.class_bias, rows)
-            error[np.arange(len(error)), of_class] -= 1
-            self._add(self.at[0], np.full(len(error), self.at[2]), error, rows)
-            inner = np.flatnonzero(of_class < CLASSES - 1)
-            if len(inner):
-                of_class = of_class[inner]
-                rows = _word_rows(t.features[part][inner], of_class)
-                error = _softmax(w.words, w.word_bias[of_class], rows)
-                error[np.arange(len(error)), t.rank[part][inner] & (WIDTH - 1)] -= 1
-                self._add(self.at[1], self.at[3] + of_class * WIDTH, error, rows)
-            self.n += len(of_class)
-            self.waiting += len(rows)
-            if self.waiting >= STEP:
-                self._update()
-
-    def finish(self) -> None:
-        if self.waiting:
-            self._update()
+        of_class = np.minimum(t.rank >> 6, CLASSES - 1)
+        inner = np.flatnonzero(of_class < CLASSES - 1)
+        rows, word_rows = _class_rows(t.features, w.classes), _word_rows(t.features[inner], of_class[inner], w.words)
+        self._bins(self.seen[0], rows, of_class)
+        of_class = of_class[inner]
+        self._bins(self.seen[1], word_rows, t.rank[inner] & (WIDTH - 1))
+        if self.first:
+            self._bins(self.expected[1], word_rows, of_class)
+            return
+        for at in range(0, len(rows), BATCH):
+            part = rows[at : at + BATCH]
+            self._expect(self.expected[0], _softmax(w.classes, w.class_bias, part), part)
+        for at in range(0, len(word_rows), BATCH):
+            part = word_rows[at : at + BATCH]
+            self._expect(self.expected[1], _softmax(w.words, w.word_bias[of_class[at : at + BATCH]], part), part)
+
+
+def steps(seen: np.ndarray, expected: np.ndarray, w: Weights, of_words: bool, first: bool) -> np.ndarray:
+    """The weights' changes, for whole rows of one table, from the sums over all tasks."""
+    if first:
+        p = np.exp(w.word_bias if of_words else w.class_bias).astype(float)
+        p /= p.sum(-1, keepdims=True)
+        expected = expected @ p if of_words else seen.sum(1, keepdims=True) * p
+    prior = PRIOR * expected / (expected + 1e-3) + 1e-6
+    return RATE * np.log((seen + prior) / (expected + prior))
 
 
 def _bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -283,53 +281,61 @@ def _count(bits: int):
 
 
 def _frequent(most: int):
-    """The partition's ``most`` most frequent words, and one row with hash null: its tokens and distinct words in training."""
+    """Each bucket's ``most`` most frequent words in training, and one row with hash null: the partition's tokens and distinct words in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops, n, v = [], 0, 0
         for packs in _held(batches).values():
             h, total, train = _sums(*unpack_columns(packs, [U, np.int64, np.int64]))
             n, v = n + int(train.sum()), v + int((train > 0).sum())
-            best = np.lexsort((h, -total))[:most]
+            best = np.lexsort((h, -train))[:most]
             tops.append((h[best], total[best], train[best]))
         if not tops:
             return
         h, total, train = (np.concatenate(x) for x in zip(*tops, strict=True))
-        best = np.lexsort((h, -total))[:most]
-        columns = [pa.array([*h[best].view(np.int64).tolist(), None], pa.int64()), pa.array([*total[best].tolist(), v]), pa.array([*train[best].tolist(), n])]
+        columns = [pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*total.tolist(), v]), pa.array([*train.tolist(), n])]
         yield pa.RecordBatch.from_arrays(columns, ["hash", "total", "train"])
 
     return run
 
 
-def _train(dictionary, weights):
+def _observe(dictionary, weights, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, trainer = Dictionary(*dictionary.value), None
+        d, counts = Dictionary(*dictionary.value), None
         for data, offsets, _, train in _slices(batches):
             if not train.any():
                 continue
-            trainer = trainer or _Trainer(weights.value)
+            counts = counts or _Counts(weights.value, first)
             t = tokens(data, offsets, d)
             keep = train[t.doc]
-            trainer.learn(Tokens(*(x[keep] for x in t)))
-        if trainer and trainer.n:
-            trainer.finish()
-            change = (trainer.flat - trainer.start).astype(np.float16)
-            n = trainer.n.to_bytes(8, "little")
-            yield from _pack_rows([(i, n + pack_text(change[a : a + BLOCK].tobytes())) for i, a in enumerate(range(0, len(change), BLOCK))])
+            counts.count(Tokens(*(x[keep] for x in t)))
+        if counts:
+            seen, expected = counts.seen.reshape(-1), counts.expected.reshape(-1)
+            for i, a in enumerate(range(0, len(seen), BLOCK)):
+                own = slice(a, a + BLOCK)
+                if seen[own].any():
+                    yield from _pack_rows([(i, pack_text(seen[own].tobytes() + expected[own].tobytes()))])
 
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    n: dict[int, int] = {}
-    for batch in batches:
-        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
-            own = int.from_bytes(x[:8], "little")
-            total[b] = total.get(b, 0.0) + own * np.frombuffer(unpack_text(x[8:]), np.float16).astype(float)
-            n[b] = n.get(b, 0) + own
-    yield from _pack_rows([(b, (total[b] / n[b]).astype(np.float32).tobytes()) for b in sorted(total)])
+def _change(weights, first: bool):
+    """The steps of whole blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+                total[b] = total.get(b, 0.0) + np.frombuffer(unpack_text(x), np.float32).astype(float)
+        if not total:
+            return
+        w = Weights.unpack(weights.value)
+        for b in sorted(total):
+            seen, expected = total[b].reshape(2, -1, WIDTH)
+            change = steps(seen, expected, w, b * BLOCK >= w.classes.size, first)
+            yield from _pack_rows([(b, change.astype(np.float32).tobytes())])
+
+    return run
 
 
 def _score(dictionary, weights, bits: int):
@@ -428,24 +434,28 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     bits = max(8, (4 * partitions).bit_length())
     packs = "bucket long, pack binary"
 
-    most = 2 * DICTIONARY // partitions + 1000
+    most = (2 * DICTIONARY >> bits) + 200  # hashes deal words evenly
     counted = source.mapInArrow(_count(bits), packs).repartition("bucket").mapInArrow(_frequent(most), "hash long, total long, train long")
     top = counted.toArrow()  # bounded by the dictionary, whatever the input
     words = top.filter(pa.compute.is_valid(top["hash"]))
     totals = top.filter(pa.compute.is_null(top["hash"]))
     h, total, train = words["hash"].to_numpy().view(U), words["total"].to_numpy(), words["train"].to_numpy().astype(float)
-    best = np.lexsort((h, -total))[:DICTIONARY]
+    best = np.lexsort((h, -train))[:DICTIONARY]
     rank = np.arange(len(best))
     order = np.argsort(h[best], kind="stable")
     d = Dictionary(h[best][order], rank[order], train[best][order], int(totals["train"].to_numpy().sum()), int(totals["total"].to_numpy().sum()))
     dictionary = spark.sparkContext.broadcast(tuple(d))
 
     flat = start_weights(d)
-    changes = source.filter("train").mapInArrow(_train(dictionary, spark.sparkContext.broadcast(flat)), packs).repartition("bucket").mapInArrow(_average, packs)
-    for row in changes.collect():  # the size of the model
-        part = np.frombuffer(row["pack"], np.float32)
-        flat[row["bucket"] * BLOCK : row["bucket"] * BLOCK + len(part)] += part
     weights = spark.sparkContext.broadcast(flat)
+    for i in range(ROUNDS):
+        counts = source.filter("train").mapInArrow(_observe(dictionary, weights, i == 0), packs)
+        changes = counts.repartition("bucket").mapInArrow(_change(weights, i == 0), packs).collect()  # the size of the model
+        flat = flat.copy()
+        for row in changes:
+            part = np.frombuffer(row["pack"], np.float32)
+            flat[row["bucket"] * BLOCK : row["bucket"] * BLOCK + len(part)] += part
+        weights = spark.sparkContext.broadcast(flat)
 
     sums = source.mapInArrow(_score(dictionary, weights, bits), packs).repartition("bucket").mapInArrow(_rare_sums(bits), packs)
     out = sums.repartition("bucket").mapInArrow(_totals, "id long, n_tokens long, n_known long, logs double, score double")

@@ -76,3 +76,27 @@ def test_empty_and_null_ids(spark):
     rows = M.score_texts(df, F.col("doc_id").isNotNull()).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == {None: 3, 1: 2, 2: 3}
     assert M.score_texts(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_partitions_do_not_matter(spark):
+    docs = made(7, 300)
+    split = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in M.score_texts(df.repartition(n, "doc_id"), split).collect()} for n in (1, 60))
+    assert all(abs(one[i].score - many[i].score) < 1e-3 * one[i].n_tokens for i in docs)
+    held = [r for r in many.values() if not r.training]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
+
+
+def test_ranks_follow_training_counts_only(spark, monkeypatch):
+    monkeypatch.setattr(M, "DICTIONARY", 3)
+    monkeypatch.setattr(M, "MODELLED", 2)
+    kept = []
+    monkeypatch.setattr(M, "start_weights", lambda d, own=M.start_weights: kept.append(d) or own(d))
+    df = spark.createDataFrame([(1, "a a a b b"), (2, "held " * 50)], "doc_id long, text string")
+    M.score_texts(df, F.col("doc_id") == 1).collect()
+    assert sorted(kept[0].count.tolist()) == [1.0, 2.0, 3.0]
+
+
+def test_table_grows_with_training_tokens():
+    assert [M.row_bits(n) for n in (0, 10**6, 10**9, 10**10)] == [13, 13, 15, 17]
