@@ -30,7 +30,7 @@ BIN_BITS = 16
 MAP_BITS = 24
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
-#: Longer test items are aligned in pieces of so many words, each scored for itself.
+#: Longer test items are aligned in pieces of nearly equal length, of so many words at most, each scored for itself.
 LONGEST = 256
 U = np.uint64
 
@@ -76,8 +76,10 @@ def _items(count: np.ndarray, docs: int):
                 h, w = word_hashes(data, offsets)
                 share = np.log(np.maximum(count[(h >> U(64 - BIN_BITS)).astype(np.int64)], 0.5) / total)
                 for d in range(len(w.count)):
-                    for piece, a in enumerate(range(int(w.first[d]), int(w.first[d] + w.count[d]), LONGEST)):
-                        own = slice(a, min(a + LONGEST, int(w.first[d] + w.count[d])))
+                    first, total_words = int(w.first[d]), int(w.count[d])
+                    pieces = -(-total_words // LONGEST)
+                    for piece in range(pieces):
+                        own = slice(first + piece * total_words // pieces, first + (piece + 1) * total_words // pieces)
                         n = own.stop - own.start
                         if n < N:
                             continue

@@ -71,3 +71,16 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert contaminated(d.limit(0), b).count() == 0
     assert contaminated(d, b.limit(0)).count() == 0
+
+
+def test_long_items_leave_no_short_piece(spark):
+    rng = random.Random(8)
+    items = {n: [f"i{n}x{rng.randrange(10**6)}" for _ in range(n)] for n in (256, 257, 259, 270, 513)}
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {n: " ".join(filler(40) + w[-14:] + filler(40)) for n, w in items.items()}
+    docs |= {1000 + n: " ".join(filler(40) + w + filler(40)) for n, w in items.items()}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1000 + n, n) for n in items}
+    assert {r.doc_id for r in clean_documents(d, b).collect()} == set(items)
