@@ -16,9 +16,14 @@ def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(s, "id", "left").select("id", T.r6("p", "score"), F.when(F.col("p").isNull(), S.lit(0)).otherwise(S.lit(1)).alias("confidence"))
 
 
-def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def set_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, s = T.table(spark, sf_dir, "documents"), T.table(spark, sf_dir, "labels")
-    return d.select("doc_id").exceptAll(s.select("doc_id")).filter("doc_id % 2 = 0")
+    return d.select("doc_id").exceptAll(s.select("doc_id"))
+
+
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The even ids of ``set_difference_whole``, as its SQL asks."""
+    return set_difference_whole(spark, sf_dir).filter("doc_id % 2 = 0")
 
 
 def band_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +45,17 @@ def topk_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("rank", rank).filter("rank <= 5").select("vec_id", "rank", "i")
 
 
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as JSON; missing and non-finite numbers become null."""
-    f = T.features(spark, sf_dir).filter("clip % 10 = 1")
+    return _reports(T.features(spark, sf_dir))
+
+
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``report_json_whole`` of one clip in ten, as its SQL asks."""
+    return _reports(T.features(spark, sf_dir).filter("clip % 10 = 1"))
+
+
+def _reports(f: DataFrame) -> DataFrame:
     value = F.coalesce(F.format_string("%.2f", S.finite(F.col("value"))).alias("v"), F.lit("null"))
     cell = F.concat(F.lit('"'), "feature", F.lit('": '), F.when(S.finite(F.col("value")).isNull(), "null").otherwise(value))
     return f.groupBy("clip", "expert").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(cell)), ", "), F.lit("}")).alias("json"))
@@ -99,13 +112,14 @@ def seam_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.withColumn("step", step).groupBy("user_id").agg(F.round(F.max("step"), 3).alias("most"), F.round(F.avg("step"), 3).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (score_lookup, set_difference, band_limited, strongest_layer, topk_contributions, report_json, metric_text, protocol_join, column_stats, finite_check, feature_wording, per_generator_cap, seam_steps)}
+QUERIES = {f.__name__: f for f in (score_lookup, set_difference, set_difference_whole, band_limited, strongest_layer, topk_contributions, report_json, report_json_whole, metric_text, protocol_join, column_stats, finite_check, feature_wording, per_generator_cap, seam_steps)}
 _RATES = f"""{T.SCORED}, total as (select sum(y) as n1, count(*) - sum(y) as n0 from scored), counts as (select p, sum(y) as a, count(*) - sum(y) as b from scored group by p),
     rates as (select p, sum(a) over w / n1 as miss, 1 - sum(b) over w / n0 as flag from counts, total window w as (order by p rows unbounded preceding) union all select null, 0, 1),
     ranks as (select sum(a * (coalesce(below, 0) + b / 2e0)) / max(n1 * n0) as auc from (select *, sum(b) over (order by p rows between unbounded preceding and 1 preceding) as below from counts), total)"""
 SQL = {
     "score_lookup": f"with {T.SCORED} select d.doc_id as id, round(p, 6) as score, case when p is null then 0e0 else 1e0 end as confidence from documents d left join scored s on d.doc_id = s.id",
     "set_difference": "select * from (select doc_id from documents except all select doc_id from labels) where doc_id % 2 = 0",
+    "set_difference_whole": "select doc_id from documents except all select doc_id from labels",
     "band_limited": "select l_returnflag, count(*) filter (l_extendedprice / 10 < 0.97e0 * 16000 / 2 and l_quantity > 25) as limited, count(*) as n from lineitem group by 1",
     "strongest_layer": """with x as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings), l as (select vec_id, (i // 8)::bigint as layer, round(sum(x), 5) as total from x group by all)
         select vec_id, layer from (select *, row_number() over (partition by vec_id order by abs(total) desc, layer) as r from l) where r = 1""",
@@ -113,6 +127,8 @@ SQL = {
         select vec_id, rank, i from k where rank <= 5""",
     "report_json": f"""with {T.FEATURES}, c as (select distinct clip, expert, concat('"', feature, '": ', case when isfinite(value) then printf('%.2f', value) else 'null' end) as cell from features where clip % 10 = 1)
         select clip, expert, concat('{{', string_agg(cell, ', ' order by cell), '}}') as json from c group by all""",
+    "report_json_whole": f"""with {T.FEATURES}, c as (select distinct clip, expert, concat('"', feature, '": ', case when isfinite(value) then printf('%.2f', value) else 'null' end) as cell from features)
+        select clip, expert, concat('{{', string_agg(cell, ', ' order by cell), '}}') as json from c group by all""",
     "metric_text": f"with {_RATES} select printf('minDCF %.3f EER %.1f%% AUC %.3f', round(least(min((miss * 0.5e0 + 4 * flag * 0.5e0) / 0.5e0), 1), 4), round((select (miss + flag) / 2 from rates order by abs(miss - flag), p nulls first limit 1), 4) * 100, round((select auc from ranks), 4)) as text from rates",
     "protocol_join": f"with {T.MANIFEST} select uid, label from manifest where label = 0 or (label = 1 and substring(md5(concat(uid, ':3')), 1, 1) in ('0', '1'))",
     "column_stats": f"""with {T.FEATURES}, f as (select expert, feature, case when isfinite(value) then value end as v from features)

@@ -160,3 +160,14 @@ def test_spectral_vectors():
     tone = dict(zip(NAMES, spectral_vector(0.3 * np.sin(2 * np.pi * 2500 * np.arange(32000) / 16000))))
     noise = dict(zip(NAMES, spectral_vector(np.random.default_rng(0).normal(0, 0.1, 32000))))
     assert tone["duration_s"] == 2 and abs(tone["centroid_mean"] - 2500) < 60 and tone["flatness_mean"] < noise["flatness_mean"] and tone["band05_mean"] > -1
+
+
+def test_whole_queries_keep_every_clip(spark):
+    from tessera.plans import registry
+    from tessera.plans import surrogates as T
+
+    sf, q = "/root/testdata/sf0.001", registry.queries()
+    ids = lambda name: {r[0] for r in T.table(spark, sf, name).select("doc_id").collect()}
+    assert {r.doc_id for r in q["set_difference_whole"](spark, sf).collect()} == ids("documents") - ids("labels")
+    clips = lambda df: {(r.clip, r.expert) for r in df.select("clip", "expert").distinct().collect()}
+    assert clips(q["report_json_whole"](spark, sf)) == clips(T.features(spark, sf))
