@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
-from tessera.llm.tables import NO_ID, one_row_per_id, pack_text, packs_by_bucket, unpack_columns, unpack_text
+from tessera.llm.tables import NO_ID, bounded_batches, one_row_per_id, pack_text, packs_by_bucket, unpack_columns, unpack_text
 
 DICTIONARY = 250_000
 WIDTH = 64
@@ -428,6 +428,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     share an id count as one, with the least of their texts; a null id is an id like any other.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     one = one_row_per_id(docs, id_col, text_col).withColumn(id_col, F.col("id")).withColumn("train", F.coalesce(training, F.lit(False)))
     source = one.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text", "train")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,8 +11,10 @@ Documents with equal sets are one class and only its least id goes on. In each
 bucket all members are first compared with one of them, drawn by a hash. When
 the confirmed links are joined to components, buckets with several components
 are left; there, members outside the largest one are compared with one of its
-members, for some rounds. Last, pairs that share a bucket and are still in
-different components are compared, unless a finer sketch of 4096 bits turns
+members, for some rounds: first with the one that has most links so far, which in a
+group of edited copies is the original, then with a drawn one. Last, pairs that share a
+bucket and are still in different components are compared, each in the first bucket
+that it shares only, unless a finer sketch of 4096 bits turns
 them away; so no link between components is lost and
 groups of thousands of copies cost a few comparisons a member.
 """
@@ -178,11 +180,15 @@ def _close(x: str, y: str, percent: int):
 
 
 def _closer(x: str, y: str, percent: int):
-    """Fine sketches that differ in few enough bits."""
+    """Fine sketches that differ in few enough bits; the first quarter alone, at DEVIATIONS, turns most pairs away."""
     differ = (1 - percent / 100) / 2
-    most = int(2 * FINE * differ + FINE_DEVIATIONS * (2 * FINE * differ * (1 - differ)) ** 0.5)
-    bits = F.expr(" + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _FINE))
-    return bits <= most
+
+    def within(columns: list[str], deviations: float):
+        n = 64 * len(columns)
+        bits = F.expr(" + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in columns))
+        return bits <= int(n * differ + deviations * (n * differ * (1 - differ)) ** 0.5)
+
+    return within(_FINE[: len(_FINE) // 4], DEVIATIONS) & within(_FINE, FINE_DEVIATIONS)
 
 
 def _as_links(stars: DataFrame) -> DataFrame:
@@ -222,28 +228,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
         return saved(placed.join(kinds.select("bucket", F.col("most.component").alias("main")), "bucket"), "near-open")
 
-    def led(members: DataFrame, number: int, main: bool) -> DataFrame:
+    def led(members: DataFrame, number: int) -> DataFrame:
         """Each bucket's leader is drawn by a hash, so that a document meets other leaders in other buckets."""
         draw = F.struct(F.xxhash64("bucket", "id", F.lit(number)).alias("draw"), "id", "n", "s1", "s2")
-        kept = members.filter("component = main") if main else members
-        leaders = kept.groupBy("bucket").agg(F.min(draw).alias("lead")).select("bucket", "lead.*")
-        return (members.filter("component != main") if main else members).alias("x").join(leaders.alias("y"), "bucket").filter((F.col("x.id") != F.col("y.id")) & _close("x", "y", percent))
-
-    members = reps.select(F.explode("bands").alias("bucket"), "id", "n", "s1", "s2")
-    compared = saved(pairs_of(led(members, 0, False)), "near-pairs")
-    stars = components(saved(confirmed(compared), "near-links"), "near-stars")
+        leaders = members.groupBy("bucket").agg(F.min(draw).alias("lead")).select("bucket", "lead.*")
+        return members.alias("x").join(leaders.alias("y"), "bucket").filter((F.col("x.id") != F.col("y.id")) & _close("x", "y", percent))
+
+    def led_by_main(members: DataFrame, links: DataFrame, number: int) -> DataFrame:
+        """Members outside a bucket's largest component and one member of it: in odd rounds the one with most links."""
+        kept = members.filter("component = main")
+        if number % 2:
+            ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+            kept = kept.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left")
+        first = F.coalesce(F.col("degree"), F.lit(0)) if number % 2 else F.lit(0)
+        draw = F.struct(first.alias("first"), F.xxhash64("bucket", "id", F.lit(number)).alias("draw"), "id", "n", "s1", "s2")
+        leaders = kept.groupBy("bucket").agg(F.max(draw).alias("lead")).select("bucket", "lead.*")
+        return members.filter("component != main").alias("x").join(leaders.alias("y"), "bucket").filter(_close("x", "y", percent))
+
+    members = reps.select(F.posexplode("bands").alias("at", "bucket"), "id", "n", "s1", "s2")
+    compared = saved(pairs_of(led(members, 0)), "near-pairs")
+    links = saved(confirmed(compared), "near-links")
+    stars = components(links, "near-stars")
     members = mixed(members, stars)
     for number in range(1, ROUNDS):
-        new = saved(pairs_of(led(members, number, True)).join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        new = saved(pairs_of(led_by_main(members, links, number)).join(compared, ["a", "b"], "left_anti"), "near-pairs")
         compared = compared.unionByName(new)
-        stars = components(_as_links(stars).unionByName(saved(confirmed(new), "near-links")), "near-stars")
+        found = saved(confirmed(new), "near-links")
+        links = links.unionByName(found)
+        stars = components(_as_links(stars).unionByName(found), "near-stars")
         members = mixed(members.drop("component", "main"), stars)
-    # In each bucket, members outside its largest component meet all members of other components.
+    # In each bucket, members outside its largest component meet all members of other components. A pair
+    # counts in the first bucket that it shares only, so it comes once, however many it shares.
     apart_ids = members.select("id").distinct()
-    fine = texts.join(apart_ids, "id", "left_semi").mapInArrow(_fine(k), f"id long, {', '.join(f'{c} long' for c in _FINE)}")
-    wide = saved(members.join(saved(fine, "near-fine"), "id"), "near-wide")
+    fine = saved(texts.join(apart_ids, "id", "left_semi").mapInArrow(_fine(k), f"id long, {', '.join(f'{c} long' for c in _FINE)}"), "near-fine")
+    wide = members.join(fine, "id").join(reps.select("id", "bands"), "id")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    second = wide.filter("component != main").alias("x").join(wide.alias("y"), "bucket").filter(apart & _close("x", "y", percent) & _closer("x", "y", percent))
+    earlier = F.expr("arrays_overlap(slice(x.bands, 1, x.at), slice(y.bands, 1, y.at))")
+    second = wide.filter("component != main").alias("x").join(wide.alias("y"), "bucket").filter(apart & _close("x", "y", percent) & _closer("x", "y", percent) & ~earlier)
     more = saved(confirmed(saved(pairs_of(second).join(compared, ["a", "b"], "left_anti"), "near-rest")), "near-more")
 
     found = components(_as_links(stars).unionByName(more), "near-components")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import text_kernels as K
+from tessera.llm.tables import bounded_batches
 
 #: Bound on the labelled rows that the classifiers are fitted on.
 TRAINING_ROWS = 6000
@@ -184,6 +185,7 @@ def _label_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> QualityModel:
     """Fit both classifiers on at most ``rows`` labelled documents (``quality`` 0 is low, ``toxic`` 1 is toxic)."""
+    bounded_batches(docs.sparkSession)
     sample = _label_sample(docs, labels, id_col, text_col, rows)
     featured = sample.mapInArrow(_feature_batches(id_col), "id string, low int, tox int, features binary").toArrow()
     featured = featured.sort_by([("id", "ascending"), ("features", "ascending")])

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches of texts hold so many bytes at most, where the session keeps Spark's own bound of 64 MB.
+BATCH_BYTES, SPARK_BATCH_BYTES = "8m", "67108864b"
 #: Stands for a null id where ids are 64-bit integers.
 NO_ID = -(2**63)
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,8 +95,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the memory of Python workers low; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == SPARK_BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def texts_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text), one row for each id; a null id is NO_ID, a null text empty."""
+    bounded_batches(docs.sparkSession)
     return one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
 
 

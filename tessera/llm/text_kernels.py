@@ -13,7 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+#: Small enough that a kernel's arrays stay in the processor's cache and a worker's memory low.
+SLICE_BYTES = (1 << 19) - 1
 U = np.uint64
 
 SPACE = np.zeros(256, bool)
