@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
 from tessera.llm.quality import NOT_WORD
-from tessera.llm.tables import NO_ID, one_row_per_id, pack_text, saved, texts_by_id, unpack_text
+from tessera.llm.tables import pack_text, saved, unused, unpack_text, with_keys
 
 N = 3
 MOST_BY_CHANCE = 1e-4
@@ -199,14 +199,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, score, first_word, end_word) for each document and test item that it holds a copy of.
 
     ``score`` is the best local alignment's share of a perfect one, at least ``least_score``; the
-    words are the copy's place in the document. Items of fewer than three words never match; null
-    and empty texts hold nothing. Rows of either table that share an id count as one, with the
-    least of their texts; a null document id is an id like any other, items without an id are left out.
+    words are the copy's place in the document. Null and empty texts hold nothing, and items without
+    words are never found; very long texts count as a whole. Each row is a document or an item of its
+    own, whether it shares its id, has none, or a string; empty tables give an empty one. Other
+    columns of the tables are left aside.
     """
     spark = docs.sparkSession
-    one = texts_by_id(docs, id_col, text_col)
-    tests = one_row_per_id(items.filter(F.col(item_col).isNotNull()), item_col, item_text_col).select(F.col("id").cast("long").alias("id"), "text")
+    keyed, tests = with_keys(docs, id_col), with_keys(items, item_col)
+    best = _contaminated(spark, keyed.texts(text_col), tests.texts(item_text_col), least_score)
+    return tests.named(keyed.named(best, "id").withColumnRenamed(id_col, "id_of_document"), "item").select(F.col("id_of_document").alias(id_col), F.col("item").alias(item_col), "score", "first_word", "end_word")
 
+
+def _contaminated(spark: SparkSession, one: DataFrame, tests: DataFrame, least_score: float) -> DataFrame:
+    """(id, item, score, first_word, end_word) by keys."""
     # Bins have a fixed size; they are summed in two steps, so that no task gets one row of every other.
     binned = one.mapInArrow(_bins, "part long, docs long, pack binary").repartition(16).mapInArrow(_sum_bins, "part long, docs long, pack binary")
     count, n_docs = np.zeros(1 << BIN_BITS, np.int64), 0
@@ -225,10 +230,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     pairs = named.join(passages.select("id", "start", "words"), ["id", "start"]).join(pieces.select("item", "piece", "item_words"), ["item", "piece"])
     scored = pairs.select("id", "item", "start", "words", "item_words").mapInArrow(_scored, "id long, item long, start long, score double, first long, end long")
     best = scored.filter(F.col("score") >= least_score).groupBy("id", "item").agg(F.max(F.struct("score", (F.col("start") + F.col("first")).alias("first_word"), (F.col("start") + F.col("end")).alias("end_word"))).alias("best"))
-    return best.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.col("item").alias(item_col), "best.*")
+    return best.select("id", "item", "best.*")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose document holds no copy of a test item."""
-    found = contaminated(docs, items, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+    """The rows of ``docs``, all columns, that hold no copy of a test item; see ``contaminated``."""
+    keyed, tests = with_keys(docs, id_col), with_keys(items, item_col)
+    name = unused("found", keyed.rows)
+    found = _contaminated(docs.sparkSession, keyed.texts(text_col), tests.texts(item_text_col), LEAST_SCORE).select(F.col("id").alias(name)).distinct()
+    return keyed.rows.join(found, F.col(keyed.key) == F.col(name), "left_anti").select(docs.columns)

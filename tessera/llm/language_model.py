@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
-from tessera.llm.tables import NO_ID, bounded_batches, one_row_per_id, pack_text, packs_by_bucket, unpack_columns, unpack_text
+from tessera.llm.tables import pack_text, packs_by_bucket, unpack_columns, unpack_text, unused, with_keys
 
 DICTIONARY = 250_000
 WIDTH = 64
@@ -419,18 +419,19 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, training, n_tokens, n_known, train_tokens, base_score, score), one row for each id.
+    """(id, training, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
-    The model learns from the rows for which ``training`` (an expression over the id) holds and
+    The model learns from the rows for which ``training`` (an expression over the id's column) holds and
     scores all of them. ``base_score`` is the log10 probability under the smoothed frequencies
     (count + 0.1) / (train_tokens + 0.1 * (distinct + 1)), ``score`` under the model; ``n_known``
-    are tokens that occur in training. Null and empty texts have one token, their end. Rows that
-    share an id count as one, with the least of their texts; a null id is an id like any other.
+    are tokens that occur in training. Null and empty texts have one token, their end; very long texts
+    are scored as a whole. Each row is a document of its own, whether it shares its id, has none, or
+    a string; an empty table gives an empty one. Other columns of ``docs`` are left aside.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    one = one_row_per_id(docs, id_col, text_col).withColumn(id_col, F.col("id")).withColumn("train", F.coalesce(training, F.lit(False)))
-    source = one.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text", "train")
+    train = unused("train", docs)
+    keyed = with_keys(docs.select(id_col, text_col).withColumn(train, F.coalesce(training, F.lit(False))), id_col)
+    source = keyed.texts(text_col, F.col(train).alias("train"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(8, (4 * partitions).bit_length())
     packs = "bucket long, pack binary"
@@ -461,10 +462,10 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     sums = source.mapInArrow(_score(dictionary, weights, bits), packs).repartition("bucket").mapInArrow(_rare_sums(bits), packs)
     out = sums.repartition("bucket").mapInArrow(_totals, "id long, n_tokens long, n_known long, logs double, score double")
     log_z = math.log10(d.n_tokens + ALPHA * (d.n_distinct + 1))
-    named = out.withColumn(id_col, F.when(F.col("id") != NO_ID, F.col("id")))
-    return named.select(
+    training_of = keyed.named(out, "id").withColumn("training", F.coalesce(training, F.lit(False)))
+    return training_of.select(
         id_col,
-        F.coalesce(training, F.lit(False)).alias("training"),
+        "training",
         "n_tokens",
         "n_known",
         F.lit(d.n_tokens).cast("long").alias("train_tokens"),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
 from tessera.llm.components import components
-from tessera.llm.tables import NO_ID, packed_texts, saved, texts_by_id, unpack_text
+from tessera.llm.tables import Keyed, packed, saved, unpack_text, with_keys
 
 PERMUTATIONS = 64
 ROWS = 4
@@ -195,23 +195,26 @@ def _as_links(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("component").alias("a"), F.col("id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean), one row for each id.
 
     A document's set has its distinct shingles of ``k`` lower-cased words; a text with fewer words
     is one shingle; null texts and texts without words are empty and linked with nothing. Two
     documents are linked if 100 * intersection >= ``percent`` * union; ``component_id`` is the
-    least id that a document reaches, and that document is ``kept``. Rows that share an id count
-    as one, with the least of their texts; a null id counts as the least.
+    least id that a document reaches, and that document is ``kept``. Each row is a document: of rows
+    that share an id one comes first, and that alone can be kept; a null id counts as the least; ids
+    may be strings. Very long texts count as a whole; an empty table gives an empty one. Other columns
+    of ``docs`` are left aside.
     """
     if not 50 <= percent <= 100 or k < 1:
         raise ValueError("percent must be between 50 and 100, k at least 1")
-    one = texts_by_id(docs, id_col, text_col)
+    keyed = with_keys(docs, id_col)
+    one = keyed.texts(text_col)
     meta = saved(one.mapInArrow(_meta(k), _META), "near-meta")
     classes = meta.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     named = saved(meta.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "near-classes")
     reps = saved(meta.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", *_SKETCH, "bands"), "near-reps")
-    texts = packed_texts(docs, id_col, text_col)
+    texts = packed(one)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a")
@@ -269,5 +272,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = components(_as_links(stars).unionByName(more), "near-components")
     out = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias(id_col), "n_shingles", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    return keyed.named(out.withColumn("kept", F.col("id") == F.col("component_id")), "id", "component_id")

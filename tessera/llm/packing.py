@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import NO_ID, saved, texts_by_id
+from tessera.llm.tables import Keyed, saved, with_keys
 from tessera.llm.token_ids import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -164,17 +164,20 @@ def _placed(shared):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(id, piece int, start, length, ids_crc32, sequence_id, offset long) of each piece.
 
     A document is the ids of its whole text, then ``end_id``; null and empty texts are ``end_id``
     alone. Only documents longer than ``capacity`` are cut, into pieces of ``capacity`` ids; the
     first piece takes what is over. Sequences are filled without gaps from offset 0. ``ids_crc32``
-    is over the piece's little-endian 32-bit ids. Rows that share an id count as one, with the
-    least of their texts; a null id is an id like any other. ``vocabulary`` is a tokenizer file.
+    is over the piece's little-endian 32-bit ids; the strings of special tokens count as these
+    tokens, as the tokenizer itself has it. Each row is a document of its own, whether it shares its
+    id, has none, or a string. Very long texts are packed as a whole; an empty table gives an empty
+    one. Other columns of ``docs`` are left aside. ``vocabulary`` is a tokenizer file.
     """
-    spark = docs.sparkSession
-    one = texts_by_id(docs, id_col, text_col)
+    keyed = with_keys(docs, id_col)
+    spark = keyed.rows.sparkSession
+    one = keyed.texts(text_col)
     schema = "id long, piece int, start long, length long, ids_crc32 long"
     pieces = saved(one.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity), schema), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
@@ -189,4 +192,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     local = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("id", "piece")) - 1
     ranked = dealt.withColumn("local", local).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("local"))
     placed = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(shared), schema + ", sequence_id long, offset long")
-    return placed.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return keyed.named(placed, "id")

@@ -1,15 +1,17 @@
 """Quality rules: word statistics of whole texts and hashed n-gram classifiers.
 
-Two logistic regressions over hashed word and character n-grams are trained on
-labelled rows, one for low quality and one for toxicity. The training rows are
-a hash sample of at most ``TRAINING_ROWS``; a fifth of them is held back to
-calibrate the probabilities (Platt). All documents are then scored in Arrow
-batches against fixed thresholds.
+Two logistic regressions over hashed n-grams (words, pairs of words, and the 3 and 5
+successive characters from each place) are trained on labelled rows, one for low quality
+and one for toxicity. The training rows are a hash sample of at most ``TRAINING_ROWS``; a
+fifth of them is held back to calibrate the probabilities (Platt). A feature has a weight
+if its share among the two classes differs by more than chance would make of so many
+features, so what counts as rare follows from the rows. All documents are then scored in
+Arrow batches against fixed thresholds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -22,15 +24,15 @@ from tessera.llm import text_kernels as K
 from tessera.llm.tables import bounded_batches
 
 #: Bound on the labelled rows that the classifiers are fitted on.
-TRAINING_ROWS = 6000
+TRAINING_ROWS = 4000
 BITS = 20
-EPOCHS = 6
+EPOCHS = 15
 BATCH = 32
-RATE = 0.3
-#: A feature counts if so many training documents have it.
-LEAST_DOCS = 8
-#: A document's n features count n ** -POWER each.
-POWER = 0.5
+RATE = 0.5
+PENALTY = 1e-4
+#: Part of the deviations that the largest of so many features would reach by chance; see ``_scales``.
+CHANCE = 0.8
+CHARACTERS = (3, 5)
 #: Documents with a calibrated probability above these go.
 MOST_LOW_QUALITY = 0.5
 MOST_TOXIC = 0.3
@@ -69,27 +71,47 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Runs, dict[str,
     return w, out
 
 
-def features(data: np.ndarray, offsets: np.ndarray, w: K.Runs) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature), with repetitions: each lower-cased word of letters and digits, each pair of them, the
-    first four and five bytes of each, and the last three bytes of each white-space word."""
-    low = K.LOWER[data]
+def character_runs(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of ``sizes``: (first byte, end, document) of each so many successive code points of a document."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    end = np.append(lead[1:], len(data))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(lead, offsets)))
+    for n in sizes:
+        inside = np.flatnonzero(doc[: max(len(lead) - n + 1, 0)] == doc[n - 1 :])
+        yield lead[inside], end[inside + n - 1], doc[inside]
+
+
+_BYTES = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], np.uint64)
+
+
+def short_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs of at most 24 bytes, from 8-byte words."""
+    words = np.ndarray((len(low) + 17,), "<u8", np.concatenate([low, np.zeros(24, np.uint8)]), strides=(1,))
+    size = end - start
+    h = K.mix((words[start] & _BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * K.U(0xD1342543DE82EF95))
+    for at in (8, 16):
+        more = np.flatnonzero(size > at)
+        if len(more):
+            h[more] = K.mix(h[more] * K.U(0x9E3779B97F4A7C15) + (words[start[more] + at] & _BYTES[np.minimum(size[more] - at, 8)]))
+    return h
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature), with repetitions: each lower-cased word of letters and digits, each pair of them, and
+    each run of ``CHARACTERS`` lower-cased characters; all white space counts as a blank."""
+    low = np.where(K.SPACE[data], np.uint8(32), K.LOWER[data])
     inner = K.words(low, offsets, NOT_WORD)
     h = K.run_hashes(low, inner.start, inner.end)
     pairs, at = K.gram_hashes(h, inner, 2)
-    head, stem = (K.run_hashes(low, inner.start, np.minimum(inner.start + n, inner.end)) for n in (4, 5))
-    tail = K.run_hashes(low, np.maximum(w.end - 3, w.start), w.end)
-    part, wide = 1 << (BITS - 3), K.U(64 - BITS + 3)
-    doc, inner_doc = w.doc(), inner.doc()
-    parts = [(inner_doc, h), (inner_doc[at], pairs), (inner_doc, head), (inner_doc, stem), (doc, tail)]
-    return np.concatenate([d for d, _ in parts]), np.concatenate([(x >> wide).astype(np.int64) + part * i for i, (_, x) in enumerate(parts)])
-
-
-def _norms(size: np.ndarray) -> np.ndarray:
-    return np.maximum(size, 1) ** -POWER
+    doc = inner.doc()
+    parts = [(doc, h), (doc[at], pairs)]
+    parts += [(own, short_hashes(low, start, end)) for start, end, own in character_runs(data, offsets, CHARACTERS)]
+    kind = [K.U(i * 0xD6E8FEB86659FD93 % 2**64) for i in range(len(parts))]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([((x + k) >> K.U(64 - BITS)).astype(np.int64) for k, (_, x) in zip(kind, parts, strict=True)])
 
 
 class Classifier(NamedTuple):
-    """One logistic regression: weights by feature, and the slope and shift that calibrate its margin."""
+    """One logistic regression: weights of the features that a document has, and the slope and shift that calibrate its margin."""
 
     weights: np.ndarray
     bias: float
@@ -97,7 +119,9 @@ class Classifier(NamedTuple):
     shift: float
 
     def probability(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        margin = np.bincount(doc, self.weights[feature], n) * _norms(np.bincount(doc, minlength=n)) + self.bias
+        some = np.flatnonzero(self.weights[feature])
+        key = np.unique((doc[some] << BITS) | feature[some])
+        margin = np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], n) + self.bias
         return _sigmoid(self.slope * margin + self.shift)
 
 
@@ -130,41 +154,55 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
+def _scales(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """1 for the features whose documents' classes differ by more than chance: the root of the likelihood ratio
+    of a feature exceeds CHANCE times the largest expected of so many independent ones."""
+    inside, outside = np.zeros((2, 1 << BITS))
+    for i in range(0, len(docs), 500):
+        for count, label in ((inside, 1), (outside, 0)):
+            own = [d for d, v in zip(docs[i : i + 500], y[i : i + 500], strict=True) if v == label]
+            if own:
+                count += np.bincount(np.concatenate(own), minlength=1 << BITS)
+    share = y.mean()
+    both = inside + outside
+    ratio = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+    deviations = np.sqrt(np.maximum(2 * (ratio(inside, both * share) + ratio(outside, both * (1 - share))), 0))
+    return (deviations > CHANCE * np.sqrt(2 * np.log(max(np.count_nonzero(both), 2)))).astype(float)
+
+
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
-    """Logistic regression by AdaGrad over sparse rows; every fifth row only calibrates."""
+    """Logistic regression by AdaGrad over documents' distinct features; every fifth row only calibrates."""
     held = np.arange(len(docs)) % 5 == 4
     if len(set(y[~held].tolist())) < 2:
         return Classifier(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -20.0 if not y.any() else 20.0)
     rng = np.random.default_rng(seed)
-    weights, seen, bias, bias_seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3), 0.0, 1e-3
-    share = y[~held].mean()
-    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     train = np.flatnonzero(~held)
-    seen_in = np.zeros(1 << BITS, np.int32)
-    for j in train:
-        seen_in[np.unique(docs[j])] += 1
-    known = seen_in >= LEAST_DOCS
-    full = np.array([len(d) for d in docs])
-    docs = [d[known[d]] for d in docs]
+    used = np.flatnonzero(_scales([docs[j] for j in train], y[train]))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    own = [p[p >= 0] for p in (place[d] for d in docs)]
+    weights, seen, bias, bias_seen = np.zeros(len(used)), np.full(len(used), 1e-6), 0.0, 1e-6
+    share, step_of = y[train].mean(), 0.1  # a feature's value; the margin of a document is a sum over hundreds of them
+    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     for _ in range(EPOCHS):
         rng.shuffle(train)
         for i in range(0, len(train), BATCH):
             part = train[i : i + BATCH]
-            size = np.array([len(docs[j]) for j in part])
-            feature = np.concatenate([docs[j] for j in part])
-            row = np.repeat(np.arange(len(part)), size)
-            norm = _norms(full[part])
-            error = (_sigmoid(np.bincount(row, weights[feature], len(part)) * norm + bias) - y[part]) * cost[part]
-            used, back = np.unique(feature, return_inverse=True)
-            step = np.bincount(back, (error * norm)[row], len(used)) / len(part) + 1e-6 * weights[used]
-            seen[used] += step * step
-            weights[used] -= RATE * step / np.sqrt(seen[used])
+            feature = np.concatenate([own[j] for j in part])
+            row = np.repeat(np.arange(len(part)), [len(own[j]) for j in part])
+            error = (_sigmoid(step_of * np.bincount(row, weights[feature], len(part)) + bias) - y[part]) * cost[part]
+            step = step_of * np.bincount(feature, error[row], len(used)) / len(part)
+            step[feature] += PENALTY * weights[feature]
+            seen += step * step
+            weights -= RATE * step / np.sqrt(seen)
             slope = float(error.mean())
             bias_seen += slope * slope
             bias -= RATE * slope / bias_seen**0.5
-    margin = np.array([weights[d].sum() for d in docs]) * _norms(full) + bias
+    margin = np.array([step_of * weights[d].sum() for d in own]) + bias
     some = held if len(set(y[held].tolist())) == 2 else ~held
-    return Classifier(weights.astype(np.float32), bias, *_platt(margin[some], y[some]))
+    flat = np.zeros(1 << BITS, np.float32)
+    flat[used] = step_of * weights
+    return Classifier(flat, bias, *_platt(margin[some], y[some]))
 
 
 class QualityModel(NamedTuple):
@@ -203,12 +241,11 @@ def _feature_batches(id_col: str):
         for batch in batches:
             packed = []
             for _, data, offsets in K.slices(batch.column("text")):
-                w = K.words(data, offsets)
-                doc, feature = features(data, offsets, w)
-                order = np.argsort(doc, kind="stable")
-                doc, feature = doc[order], feature[order]
-                cut = np.searchsorted(doc, np.arange(len(offsets)))
-                packed += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                doc, feature = features(data, offsets)
+                key = np.unique((doc << BITS) | feature)
+                cut = np.searchsorted(key >> BITS, np.arange(len(offsets)))
+                distinct = (key & ((1 << BITS) - 1)).astype(np.int32)
+                packed += [distinct[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col).cast(pa.string()), batch.column("low").cast(pa.int32()), batch.column("tox").cast(pa.int32()), pa.array(packed, pa.binary())], ["id", "low", "tox", "features"]
             )
@@ -216,30 +253,33 @@ def _feature_batches(id_col: str):
     return run
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", prefix: str = "") -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", prefix: str = "", with_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with its statistics, ``base_failed``, ``p_low_quality``, ``p_toxic`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated 3-word windows.
     ``kept``: not base_failed and both probabilities within the fixed thresholds. Null and empty
-    texts have no words and fail. Columns of ``docs`` with those names raise ValueError; give a
-    ``prefix`` then.
+    texts have no words and fail; very long texts count as a whole; repeated rows each get the same
+    result, null ids are of no account, and an empty table gives an empty one. Columns of ``docs``
+    with the new names raise ValueError; give a ``prefix`` then. Without ``with_text`` the text
+    stays behind, which saves its way back.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_low_quality", "p_toxic", "kept"]
     names = [prefix + n for n in added]
-    if clash := [n for n in names if n in docs.columns]:
+    columns = [c for c in docs.columns if with_text or c != text_col]
+    if clash := [n for n in names if n in columns]:
         raise ValueError(f"columns exist already: {clash}")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
-    schema = T.StructType([*docs.schema, *(T.StructField(n, kind) for n, kind in zip(names, kinds, strict=True))])
-    columns = docs.columns
+    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, kind) for n, kind in zip(names, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low_quality, toxic = (Classifier(*m) for m in shared.value)
         for batch in batches:
             for i, data, offsets in K.slices(batch.column(text_col)):
                 n = len(offsets) - 1
-                w, out = text_stats(data, offsets)
-                doc, feature = features(data, offsets, w)
+                _, out = text_stats(data, offsets)
+                doc, feature = features(data, offsets)
                 failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
                 p, q = low_quality.probability(doc, feature, n), toxic.probability(doc, feature, n)
                 kept = ~failed & (p <= MOST_LOW_QUALITY) & (q <= MOST_TOXIC)

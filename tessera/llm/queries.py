@@ -43,7 +43,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     edits = token_counts.pattern_edits(docs, PERSONAL, "[REDACTED]")
     out = token_counts.apply_edits(token_counts.token_trees(docs), edits)
-    return out.select(token_counts.real_id("doc_id"), "n_edits", "n_chars", "n_chars_encoded", "n_tokens_before", "n_tokens")
+    return out.select(F.col("id").alias("doc_id"), "n_edits", "n_chars", "n_chars_encoded", "n_tokens_before", "n_tokens")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).drop("text")
+    return quality.score_quality(docs, model, with_text=False)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

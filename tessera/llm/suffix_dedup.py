@@ -23,10 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
-from tessera.llm.tables import NO_ID, pack_text, packed_texts, packs_by_bucket, texts_by_id, unpack_columns, unpack_text
+from tessera.llm.tables import Keyed, pack_text, packed, packs_by_bucket, unpack_columns, unpack_text, with_keys
 
 GRAM = 24
 #: Positions fit in so many bits of a slice; longer documents are cut into overlapping pieces.
@@ -392,23 +391,25 @@ def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]
         yield _rows(["id", "n_bytes", "kept", "spans"], rows, [pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, as_text: bool = False) -> DataFrame:
     """(id, n_bytes, kept binary, spans array<struct<start, end>>) of each document.
 
     ``spans`` are the maximal runs of bytes covered by a ``threshold``-byte string that also
     starts earlier (smaller id, or earlier in the same text); ``kept`` are the other bytes (with
     ``as_text`` a string, without the characters of which only a part is left). Texts
-    are judged as they came in, as whole UTF-8 bytes. Null and empty texts have no bytes. Rows
-    that share an id count as one, with the least of their texts; a null id is an id that comes
-    before all others. ``threshold``: 32 to 4096.
+    are judged as they came in, as whole UTF-8 bytes, however long. Null and empty texts have no
+    bytes; an empty table gives an empty one. Each row is a document: of rows that share an id one
+    comes first, by a hash of their columns, and a null id comes before all others; ids may be
+    strings. Other columns of ``docs`` are left aside. ``threshold``: 32 to 4096.
     """
     if not 32 <= threshold <= 4096:
         raise ValueError("threshold must be between 32 and 4096")
-    spark = docs.sparkSession
+    keyed = with_keys(docs, id_col)
+    spark = keyed.rows.sparkSession
     # More buckets than partitions, so that a task goes through small groups one by one.
     bits = max(9, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    plain = texts_by_id(docs, id_col, text_col)
-    texts = packed_texts(docs, id_col, text_col)
+    plain = keyed.texts(text_col)
+    texts = packed(plain)
     records = "bucket long, pack binary"
     deal = lambda df: df.repartition("bucket")
     each = lambda df, n: deal(df).mapInArrow(_one_row_each(n), "id long, marks binary")  # noqa: E731  # bounded by the document's length
@@ -416,5 +417,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = texts.join(each(anchors, 1), "id").mapInArrow(_contexts(threshold, bits), records)
     removed = deal(contexts).mapInArrow(_last_digits(threshold, bits), records)
     out = texts.join(each(removed, 2), "id", "left").mapInArrow(_cut(as_text), f"id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "kept", "spans")
+    return keyed.named(out, "id")
 

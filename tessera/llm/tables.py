@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Arrow batches of texts hold so many bytes at most, where the session keeps Spark's own bound of 64 MB.
 BATCH_BYTES, SPARK_BATCH_BYTES = "8m", "67108864b"
-#: Stands for a null id where ids are 64-bit integers.
-NO_ID = -(2**63)
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where no cluster names one."""
+    """The folder that driver and executors share; a folder of this machine only for a session that runs on it alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,11 +50,55 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def one_row_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with one row for each id: rows that share an id (or have none) count as one, with its least text."""
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    twice = docs.groupBy("id").count().filter("count > 1").limit(1)
-    return docs.groupBy("id").agg(F.min("text").alias("text")) if twice.count() else docs
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or ``name`` with underscores before it, so that none of the frames has such a column."""
+    there = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
+class Keyed(NamedTuple):
+    """Rows with a 64-bit key of their own in the column ``key``; where ids serve as keys, ``ids_are_keys``."""
+
+    rows: DataFrame
+    key: str
+    id_col: str
+    ids_are_keys: bool
+
+    def by_key(self) -> Keyed:
+        """The same rows, named by their keys."""
+        return Keyed(self.rows, self.key, self.key, True)
+
+    def texts(self, text_col: str, *others: str) -> DataFrame:
+        """(id long, text, others); null texts are empty."""
+        bounded_batches(self.rows.sparkSession)
+        return self.rows.select(F.col(self.key).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """``df`` with the ids as they came in, in the place of the keys in ``columns``."""
+        names, out = df.columns, df
+        for c in columns if not self.ids_are_keys else ():
+            ids = self.rows.select(F.col(self.key).alias("_key"), F.col(self.id_col).alias("_id"))
+            out = out.join(ids, out[c] == F.col("_key")).drop("_key", c).withColumnRenamed("_id", c)
+        kind = self.rows.schema[self.id_col].dataType
+        return out.select(*(F.col(c).cast(kind).alias(self.id_col if c == "id" else c) if c in columns else F.col(c) for c in names))
+
+
+def with_keys(docs: DataFrame | Keyed, id_col: str) -> Keyed:
+    """A key for each row, in the order of the ids, nulls first; rows that have keys already keep them.
+
+    Whole numbers that are there and distinct are keys themselves. Otherwise (strings, nulls, repeated ids)
+    the rows are sorted by id and numbered, and written, so that each row is a document of its own.
+    """
+    if isinstance(docs, Keyed):
+        return docs
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and not docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) | F.col(id_col).isNull()).limit(1).count():
+        return Keyed(docs, id_col, id_col, True)
+    key = unused("row_key", docs)
+    rows = docs.orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*docs.columns)).withColumn(key, F.monotonically_increasing_id())
+    return Keyed(saved(rows, "keyed"), key, id_col, False)
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -102,12 +147,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def texts_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id long, text), one row for each id; a null id is NO_ID, a null text empty."""
-    bounded_batches(docs.sparkSession)
-    return one_row_per_id(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-
-
-def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id long, packed binary), one row for each id; a null id is NO_ID."""
-    return texts_by_id(docs, id_col, text_col).mapInArrow(_pack, "id long, packed binary")
+def packed(texts: DataFrame) -> DataFrame:
+    """(id long, packed binary) of (id, text)."""
+    return texts.select("id", "text").mapInArrow(_pack, "id long, packed binary")

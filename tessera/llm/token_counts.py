@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.tables import NO_ID, pack_text, texts_by_id, unpack_text
+from tessera.llm.tables import bounded_batches, pack_text, unpack_text
 from tessera.llm.token_ids import Encoder, encoder, vocabulary_path
 
 SEGMENT = 256
@@ -77,28 +76,87 @@ class TokenTree:
             self.nodes[i] += change
             i //= 2
 
-    def edit(self, text: str, at: int, size: int, new: str, count) -> tuple[str, int]:
-        """The text with ``size`` characters at ``at`` replaced, and the number of characters encoded again."""
-        at = min(max(at, 0), len(text))
-        size = min(max(size, 0), len(text) - at)
-        edited = text[:at] + new + text[at + size :]
+    def leaves(self) -> tuple[list[int], list[int]]:
+        own = self.nodes[self.width :]
+        chars, tokens = own[own[:, 0] > 0].T
+        return chars.tolist(), tokens.tolist()
+
+    def edit(self, text: str, edits: list[tuple[int, int, str]], count) -> tuple[str, int]:
+        """The text with ``size`` characters at ``at`` replaced by ``new``, for disjoint (at, size, new) in ascending
+        order, and the number of characters encoded again."""
+        if not edits:
+            return text, 0
+        parts, done = [], 0
+        for at, size, new in edits:
+            parts += [text[done:at], new]
+            done = at + size
+        edited = "".join([*parts, text[done:]])
+        found = self._regions(text, edited, edits)
+        encoded, put, grown = 0, [], False
+        for first, last, begin, end in found:
+            own = segments(edited[begin:end])
+            encoded += end - begin
+            put.append((first, last, [(len(s), count(s)) for s in own]))
+            grown |= len(own) > last - first + 1
+        if not grown:
+            for first, last, own in put:
+                for leaf in range(first, last + 1):
+                    self.put(leaf, *(own[leaf - first] if leaf - first < len(own) else (0, 0)))
+        else:  # more segments than leaves: the tree gets new ones, the old counts stay
+            rows = self.nodes[self.width :].tolist()
+            for first, last, own in reversed(put):
+                rows[first : last + 1] = own
+            rows = [r for r in rows if r[0]] or [(0, 0)]
+            self.__init__(TokenTree.build([r[0] for r in rows], [r[1] for r in rows]).nodes)
+        return edited, encoded
+
+    def _regions(self, text: str, edited: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
+        """(first leaf, last leaf, begin, end), the places in the edited text, of what is to be encoded again:
+        the leaves that edits touch, and neighbours as long as the cut between is no longer safe."""
         if not text:
-            self.put(0, len(new), count(new))
-            return edited, len(new)
-        first, begin = self.leaf(at)
-        last, last_begin = self.leaf(at + max(size - 1, 0))
-        end = last_begin + int(self.nodes[last + self.width, 0])
-        grown = len(new) - size
-        while begin > 0 and not safe_cut(edited, begin):
-            first, begin = self.leaf(begin - 1)
-        while end < len(text) and not safe_cut(edited, end + grown):
-            last, last_begin = self.leaf(end)
-            end = last_begin + int(self.nodes[last + self.width, 0])
-        region = edited[begin : end + grown]
-        for leaf in range(first + 1, last + 1):
-            self.put(leaf, 0, 0)
-        self.put(first, len(region), sum(count(s) for s in segments(region)))
-        return edited, len(region)
+            return [(0, 0, 0, len(edited))]
+
+        def reach(at: int) -> tuple[int, int]:
+            leaf, begin = self.leaf(at)
+            return leaf, begin + int(self.nodes[leaf + self.width, 0])
+
+        out: list[tuple[int, int, int, int, int, int]] = []  # first, last, begin and end in the text, shift before, growth
+        i = shift = 0
+        while i < len(edits):
+            at, size, new = edits[i]
+            first, begin = self.leaf(at)
+            last, end = reach(at + max(size - 1, 0))
+            grown, i = len(new) - size, i + 1
+            while True:
+                if i < len(edits) and (edits[i][0] < end or end == len(text)):
+                    at, size, new = edits[i]
+                    if at + size > end:
+                        last, end = reach(at + size - 1)
+                    grown, i = grown + len(new) - size, i + 1
+                elif out and begin <= out[-1][3] and (begin < out[-1][3] or not safe_cut(edited, begin + shift)):
+                    first, _, begin, _, shift, more = out.pop()
+                    grown += more
+                elif begin > 0 and not safe_cut(edited, begin + shift):
+                    first, begin = self.leaf(begin - 1)
+                elif end < len(text) and not safe_cut(edited, end + shift + grown):
+                    last, end = reach(end)
+                else:
+                    break
+            out.append((first, last, begin, end, shift, grown))
+            shift += grown
+        return [(first, last, begin + before, end + before + more) for first, last, begin, end, before, more in out]
+
+
+def disjoint(edits: list[tuple[int, int, str]], length: int) -> list[tuple[int, int, str]]:
+    """Distinct edits in ascending order, cut to the text; one that begins before the end of another is left out."""
+    out, end = [], 0
+    for at, size, new in sorted(set(edits)):
+        at = min(max(at, 0), length)
+        size = min(max(size, 0), length - at)
+        if at >= end:
+            out.append((at, size, new))
+            end = at + size
+    return out
 
 
 def _counter(e: Encoder):
@@ -118,21 +176,31 @@ def _trees(path: str):
                     packed.append(pack_text(text.encode()))
                     totals.append(tree.n_tokens)
                     trees.append(pack_text(tree.nodes.astype(np.int32).tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary()), pa.array(totals, pa.int64()), pa.array(trees, pa.binary())], ["id", "packed", "n_tokens", "tree"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(packed, pa.binary()), pa.array(totals, pa.int64()), pa.array(trees, pa.binary())], ["id", "digest", "packed", "n_tokens", "tree"])
 
     return run
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(id, digest long, text), null texts empty, and the ids' type."""
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")), docs.schema[id_col].dataType.simpleString()
+
+
 def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id long, packed text, n_tokens long, tree binary), one row for each id; a null id is NO_ID.
+    """(id, digest long, packed text, n_tokens long, tree binary), one row for each row of ``docs``.
 
-    Null and empty texts have no tokens. Rows that share an id count as one, with the least of their texts.
+    ``digest`` is the text's xxhash64. Null and empty texts have no tokens; very long texts are
+    counted as a whole; ids may be null, repeated or strings; an empty table gives an empty one.
+    Other columns of ``docs`` are left aside.
     """
-    return texts_by_id(docs, id_col, text_col).mapInArrow(_trees(vocabulary or vocabulary_path()), "id long, packed binary, n_tokens long, tree binary")
+    texts, kind = _texts(docs, id_col, text_col)
+    return texts.mapInArrow(_trees(vocabulary or vocabulary_path()), f"id {kind}, digest long, packed binary, n_tokens long, tree binary")
 
 
 def _edited(path: str):
-    names = ["id", "packed", "n_tokens", "tree", "n_tokens_before", "n_edits", "n_chars", "n_chars_encoded"]
+    names = ["id", "digest", "packed", "n_tokens", "tree", "n_tokens_before", "n_edits", "n_chars", "n_chars_encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(encoder(path))
@@ -140,20 +208,18 @@ def _edited(path: str):
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 rows = []
-                for i, packed, before, raw, edits in zip(*(part.column(c).to_pylist() for c in ("id", "packed", "n_tokens", "tree", "edits")), strict=True):
-                    text, encoded = unpack_text(packed).decode(), 0
+                for packed, before, raw, edits in zip(*(part.column(c).to_pylist() for c in ("packed", "n_tokens", "tree", "edits")), strict=True):
+                    text, encoded, own = unpack_text(packed).decode(), 0, []
+                    after = before
                     if edits:
+                        own = disjoint([(e["at"], e["size"], e["new"]) for e in edits], len(text))
                         tree = TokenTree(np.frombuffer(unpack_text(raw), np.int32).reshape(-1, 2).astype(np.int64))
-                        # From the end on, so that the places of the others stay; of two at one place, the first in (size, new) order goes last.
-                        for e in sorted(edits, key=lambda e: (e["at"], e["size"], e["new"]), reverse=True):
-                            text, n = tree.edit(text, e["at"], e["size"], e["new"], count)
-                            encoded += n
+                        text, encoded = tree.edit(text, own, count)
                         packed, raw, after = pack_text(text.encode()), pack_text(tree.nodes.astype(np.int32).tobytes()), tree.n_tokens
-                    else:
-                        after = before
-                    rows.append((i, packed, after, raw, before, len(edits or []), len(text), encoded))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows.append((packed, after, raw, before, len(own), len(text), encoded))
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), *columns], names)
 
     return run
 
@@ -161,30 +227,30 @@ def _edited(path: str):
 def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``trees`` after the edits (id, at, size, new), with n_tokens_before, n_edits, n_chars and n_chars_encoded.
 
-    Places and sizes are characters of the text before any edit and are cut to it; edits of a
-    document are applied from its end on and should not overlap. An edit with a null place, size
-    or id does nothing, a null replacement is empty; documents without edits pass as they are, edits
-    without a document are left out.
+    Places and sizes are characters of the text before any edit and are cut to it. Equal edits count
+    once; of overlapping ones the first by (at, size, new) holds, and those that begin before its end
+    are left out and not counted. An edit with a null place, size or id does nothing, a null
+    replacement is empty; documents without edits pass as they are, edits without a document are left
+    out. Edits go to every row with their id; with a column ``digest``, to those with that text only.
     """
-    listed = F.collect_list(F.struct("at", "size", F.coalesce("new", F.lit("")).alias("new"))).alias("edits")
-    grouped = edits.select(F.col("id").cast("long").alias("id"), F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"), "new").dropna(subset=["id", "at", "size"]).groupBy("id").agg(listed)
-    schema = "id long, packed binary, n_tokens long, tree binary, n_tokens_before long, n_edits long, n_chars long, n_chars_encoded long"
-    return trees.join(grouped, "id", "left").select("id", "packed", "n_tokens", "tree", "edits").mapInArrow(_edited(vocabulary or vocabulary_path()), schema)
+    listed = F.collect_set(F.struct(F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"), F.coalesce("new", F.lit("")).alias("new"))).alias("edits")
+    kind = trees.schema["id"].dataType.simpleString()
+    keys = ["id", *(c for c in ("digest",) if c in edits.columns)]
+    grouped = edits.withColumn("id", F.col("id").cast(kind)).dropna(subset=["id", "at", "size"]).groupBy(keys).agg(listed)
+    schema = f"id {kind}, digest long, packed binary, n_tokens long, tree binary, n_tokens_before long, n_edits long, n_chars long, n_chars_encoded long"
+    return trees.join(grouped, keys, "left").select("id", "digest", "packed", "n_tokens", "tree", "edits").mapInArrow(_edited(vocabulary or vocabulary_path()), schema)
 
 
 def pattern_edits(docs: DataFrame, pattern: str, new: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edits (id, at, size, new) that replace each match of a Python pattern."""
+    """Edits (id, digest, at, size, new) that replace each match of a Python pattern; none in rows without an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = re.compile(pattern)
         for batch in batches:
-            rows = [(i, m.start(), m.end() - m.start(), new) for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in compiled.finditer(text)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "at", "size", "new"])
-
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("size", T.LongType()), T.StructField("new", T.StringType())])
-    return texts_by_id(docs, id_col, text_col).mapInArrow(run, schema)
-
+            at = [(i, m.start(), m.end() - m.start()) for i, text in enumerate(batch.column("text").to_pylist()) for m in compiled.finditer(text)]
+            row = pa.array([x[0] for x in at], pa.int64())
+            columns = [pa.array([x[j] for x in at], pa.int64()) for j in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("digest").take(row), *columns, pa.array([new] * len(at), pa.string())], ["id", "digest", "at", "size", "new"])
 
-def real_id(name: str):
-    return F.when(F.col("id") != NO_ID, F.col("id")).alias(name)
+    texts, kind = _texts(docs, id_col, text_col)
+    return texts.filter("id is not null").mapInArrow(run, f"id {kind}, digest long, at long, size long, new string")

@@ -4,7 +4,8 @@ Pre-tokens of this vocabulary never cross a single space or line break that
 stands between two other characters. A text in which all of them stand so is
 split there, and each word with the space or break before it is encoded once
 per worker process; unknown words of many texts are joined and encoded in one
-call, then cut by their byte lengths. Other texts are encoded as a whole.
+call, then cut by their byte lengths. Other texts are encoded as a whole. The
+strings of special tokens stand for these tokens, as in the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Encodes texts to the bytes of little-endian 32-bit ids; special tokens' strings are ordinary text."""
+    """Encodes texts to the bytes of little-endian 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -33,18 +34,25 @@ class Encoder:
         from tokenizers import Tokenizer, decoders
 
         tokenizer = Tokenizer.from_file(path)
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special}
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         byte_of = {c: b for b, c in _byte_characters().items()}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=True).items() if token not in special}
         assert isinstance(tokenizer.decoder, decoders.ByteLevel)
-        self._encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
+        self._encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._special = list(special)
+        self._size = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self._size[i] = len(token)
         self._known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text), np.uint32).tobytes() if text else b""
+        if not text:
+            return b""
+        ids = self._encoding.encode(text, allowed_special="all") if self._has_special(text) else self._encoding.encode_ordinary(text)
+        return np.array(ids, np.uint32).tobytes()
+
+    def _has_special(self, text: str) -> bool:
+        return any(s in text for s in self._special)
 
     def sizes(self, ids: np.ndarray) -> np.ndarray:
         """UTF-8 bytes of each id."""
@@ -69,7 +77,7 @@ class Encoder:
         found: list[list[bytes | None]] = []
         missing: dict[str, None] = {}
         for text in texts:
-            plain = text and not text[0].isspace() and not text[-1].isspace() and "  " not in text
+            plain = text and not text[0].isspace() and not text[-1].isspace() and "  " not in text and not self._has_special(text)
             words = text.replace("\n", " \n").split(" ") if plain else None
             got = list(map(self._known.get, words[1:])) if words else []
             if None in got:

@@ -60,8 +60,29 @@ def test_matches_brute_force(spark):
 def test_empty_table_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "z"), (4, "A b c D e f")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 2, None, True), (3, 2, None, False), (3, 1, 3, True), (4, 2, None, False)], key=str)
+
+
+def test_string_ids_and_other_columns(spark):
+    df = spark.createDataFrame([("b", "u v w x y z", 1), ("a", "U v w x y z", 2), ("c", "other", 3)], "doc_id string, text string, kept int")
     got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(df).collect()}
-    assert got == {None: (None, True), 3: (None, False), 4: (None, False)}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True)}
+
+
+def test_recall_of_links_near_the_threshold(spark):
+    """Pairs of edited copies with similarities from 0.8 to 0.9: at least 0.99 of the links must be found."""
+    rng, docs = random.Random(12), {}
+    for pair in range(400):
+        words = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(120)]
+        edited = list(words)
+        for at in rng.sample(range(120), rng.randrange(1, 4)):
+            edited[at] = f"e{rng.randrange(10**6)}"
+        docs[2 * pair], docs[2 * pair + 1] = " ".join(words), " ".join(edited)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, k=4).collect()}
+    linked = [i for i in range(0, 800, 2) if 100 * len((a := shingles(docs[i], 4)) & (b := shingles(docs[i + 1], 4))) >= 80 * len(a | b)]
+    assert len(linked) > 300 and sum(got[i + 1] == i for i in linked) >= 0.99 * len(linked)
 
 
 def test_components_of_chains(spark):

@@ -45,7 +45,6 @@ def test_pieces_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary_path())
-    tokenizer.encode_special_tokens = True
     texts = {1: None, 2: "", 3: "Hello  world\n\n\tà é 你好 123's", 4: "word " * 700, 5: " x" * 128, 6: "a b\r\n <|endoftext|> c", None: "no id"}
     docs = spark.createDataFrame([(i, t, 7) for i, t in texts.items()], "doc_id long, text string, piece int")
     got = pack_documents(docs, capacity=64).collect()

@@ -70,9 +70,10 @@ def test_empty_table_null_and_repeated_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(empty).count() == 0
     text = "".join(chr(97 + i * i % 26) for i in range(50)) + "".join(map(str, range(60)))
-    df = spark.createDataFrame([(None, text), (1, text), (1, "z" + text), (2, text[:-1])], "doc_id long, text string")
-    got = {r.doc_id: len(r.kept) for r in remove_repeats(df).collect()}
-    assert got == {None: len(text), 1: 0, 2: 0}
+    df = spark.createDataFrame([(None, text), (1, text), (1, "Z" + text), (2, text[:-1])], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in remove_repeats(df).collect())
+    first = {r[1]: r[2] for r in got if r[0] == 1}
+    assert len(got) == 4 and got[0] == (0, len(text), len(text)) and got[-1] == (2, len(text) - 1, 0) and first == {len(text): 0, len(text) + 1: 1}
 
 
 def test_equal_windows_and_spans():
