@@ -97,3 +97,28 @@ def band_limited(bandwidth: Column, cutoff_drop_db: Column, rate: Column) -> Col
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), lit(0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def check_prior(prior: float) -> float:
+    """The prior as a number; ValueError unless it lies strictly between 0 and 1."""
+    try:
+        value = float(prior)
+    except (TypeError, ValueError):
+        value = float("nan")
+    if not 0 < value < 1:
+        raise ValueError(f"the prior must lie strictly between 0 and 1: {prior!r}")
+    return value
+
+
+def clip_seed(uid: Column, seed: int) -> Column:
+    """Two numbers that seed a clip's random generator: the CRC-32 of its id, and ``seed``."""
+    return F.array(F.crc32(uid.cast("string").cast("binary")), F.lit(seed).cast("long"))
+
+
+def spaced_windows(n: Column, width: int = 64_600, most: int = 3, longest: int = 120 * 16_000) -> Column:
+    """First samples of up to ``most`` windows, evenly spaced over ``n`` samples; a shorter clip has the one from 0, which
+    is to be tiled, and one beyond ``longest`` none (null)."""
+    count = F.least(F.lit(most), F.ceil(n / F.lit(width))).cast("int")
+    step = (n - F.lit(width)).cast("double") / F.greatest(count - 1, F.lit(1))
+    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.floor(i * step))
+    return F.when(n > F.lit(longest), F.lit(None)).when(n < F.lit(width), F.array(F.lit(0).cast("long"))).otherwise(starts)

@@ -10,7 +10,7 @@ from tessera.functions.scalar import lit
 
 def bad_name(name: Column) -> Column:
     """Null, empty, with outer white space, or with a tab, line break or null character."""
-    return name.isNull() | (name == "") | (F.trim(name) != name) | name.rlike("[\\t\\r\\n\\x00]")
+    return name.isNull() | (name == "") | name.rlike("(?U)^\\s|\\s$|[\\t\\r\\n\\x00]")
 
 
 def invalid_names(df: DataFrame, name: str) -> DataFrame:

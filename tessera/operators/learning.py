@@ -1,4 +1,4 @@
-"""Model heads on pyspark.ml: linear head, non-negative fusion, grouped folds, transfer."""
+"""Model heads on pyspark.ml: linear head, tree head, non-negative fusion, grouped folds."""
 
 from __future__ import annotations
 

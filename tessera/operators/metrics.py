@@ -10,20 +10,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import C_FA, C_MISS, P_SPOOF, default_score, lit
+from tessera.functions.scalar import C_FA, C_MISS, P_SPOOF, check_prior, default_score, lit
 from tessera.operators.running import running_sums
 
 
-def det_curve(scored: DataFrame, y: str = "y", p: str = "p", row_id: str = "id") -> DataFrame:
-    """(threshold, frr, far, rank) for each score in ascending order, targets first among ties, and the point before all."""
-    rows = scored.select(F.col(p).alias("p"), F.col(y).cast("long").alias("y"), (F.lit(1) - F.col(y)).cast("long").alias("z"), F.col(row_id).alias("id"))
-    summed = running_sums(rows, "p", [F.desc("y"), F.asc("id")], {"targets": "y", "others": "z"})
-    total = rows.agg(F.sum("y").alias("n1"), F.sum("z").alias("n0"), F.min("p").alias("least"))
-    first = total.select((F.col("least") - lit(0.001)).alias("threshold"), lit(0).alias("frr"), lit(1).alias("far"), F.lit(0).cast("long").alias("rank"))
-    points = summed.join(F.broadcast(total), how="cross").select(
-        F.col("p").alias("threshold"), (F.col("targets") / F.col("n1")).alias("frr"), ((F.col("n0") - F.col("others")) / F.col("n0")).alias("far"), (F.col("targets") + F.col("others")).alias("rank")
-    )
-    return first.unionByName(points)
+#: Points of one score are written out in runs of so many, so that a hot score is no unbounded array.
+RUN = 10_000
+
+
+def _ties(scored: DataFrame, y: str, p: str) -> DataFrame:
+    """(p, n1, n0, b1, b0, t1, t0): targets and others at each distinct score, below it, and in all."""
+    counts = score_counts(scored, y, p)
+    total = counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
+    summed = running_sums(counts, "p", [], {"c1": "n1", "c0": "n0"})
+    return summed.join(F.broadcast(total), how="cross").select("p", "n1", "n0", (F.col("c1") - F.col("n1")).alias("b1"), (F.col("c0") - F.col("n0")).alias("b0"), "t1", "t0")
+
+
+def _points(ties: DataFrame, place: str) -> DataFrame:
+    """The points after ``place`` rows of a score, of which the targets come first."""
+    ones = F.least(F.col(place), F.col("n1"))
+    targets, others = F.col("b1") + ones, F.col("b0") + F.col(place) - ones
+    return ties.select(F.col("p").alias("threshold"), (targets / F.col("t1")).alias("frr"), ((F.col("t0") - others) / F.col("t0")).alias("far"), (targets + others).alias("rank"))
+
+
+def _first_point(ties: DataFrame) -> DataFrame:
+    return ties.agg(F.min("p").alias("least")).filter("least is not null").select((F.col("least") - lit(0.001)).alias("threshold"), lit(0).alias("frr"), lit(1).alias("far"), F.lit(0).cast("long").alias("rank"))
+
+
+def det_curve(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """(threshold, frr, far, rank) for each score in ascending order, targets first among ties, and the point before all.
+
+    Running sums go over distinct scores; the points of a tie follow from its counts.
+    """
+    ties = _ties(scored, y, p)
+    size = F.col("n1") + F.col("n0")
+    runs = ties.withColumn("_run", F.explode(F.sequence(F.lit(1).cast("long"), size, F.lit(RUN).cast("long"))))
+    rows = runs.withColumn("_place", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN - 1, size))))
+    return _first_point(ties).unionByName(_points(rows, "_place"))
+
+
+def det_corners(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """The points of ``det_curve`` at which a cost can be least or both rates nearest: in a tie's run of targets, and of
+    others, the ends and the two points around the place where the rates cross; at most eight for each distinct score."""
+    ties = _ties(scored, y, p)
+    far = (F.col("t0") - F.col("b0")) / F.col("t0")
+    frr = (F.col("b1") + F.col("n1")) / F.col("t1")
+    cross1, cross0 = far * F.col("t1") - F.col("b1"), F.col("t0") - F.col("b0") - frr * F.col("t0")
+    within = lambda x, n: F.greatest(F.least(x, F.col(n)), F.lit(1)).cast("long")
+    ones = F.array(F.lit(1).cast("long"), F.col("n1"), *(within(f(cross1), "n1") for f in (F.floor, F.ceil)))
+    zeros = F.array(F.lit(1).cast("long"), F.col("n0"), *(within(f(cross0), "n0") for f in (F.floor, F.ceil)))
+    none = F.array().cast("array<bigint>")
+    places = F.array_union(F.when(F.col("n1") > 0, ones).otherwise(none), F.transform(F.when(F.col("n0") > 0, zeros).otherwise(none), lambda j: j + F.col("n1")))
+    return _first_point(ties).unionByName(_points(ties.withColumn("_place", F.explode(places)), "_place"))
 
 
 def score_counts(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -43,6 +81,7 @@ def tie_rates(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def cost(miss: Column, flag: Column, prior: float, four_on_flags: bool = True) -> Column:
     """Normalised detection cost under the two readings: four times the cost on flagged real clips, or on missed fakes."""
+    prior = check_prior(prior)
     a, b = (C_MISS * prior, C_FA * (1 - prior)) if four_on_flags else (C_FA * prior, C_MISS * (1 - prior))
     return (lit(a) * miss + lit(b) * flag) / lit(min(a, b))
 
@@ -59,9 +98,9 @@ def auc(counts: DataFrame) -> DataFrame:
     return summed.agg((wins / (F.sum("n1") * F.sum("n0"))).alias("auc"), F.sum("n1").alias("n_spoof"), F.sum("n0").alias("n_bonafide"))
 
 
-def detection_metrics(scored: DataFrame, prior: float = P_SPOOF, y: str = "y", p: str = "p", row_id: str = "id") -> DataFrame:
+def detection_metrics(scored: DataFrame, prior: float = P_SPOOF, y: str = "y", p: str = "p") -> DataFrame:
     """One row: min_dcf (analyst reading), min_dcf_as_coded, eer, auc, class counts, prior and costs."""
-    points = det_curve(scored, y, p, row_id)
+    points = det_corners(scored, y, p)
     metrics = points.agg(
         F.min(cost(F.col("frr"), F.col("far"), prior, True)).alias("min_dcf"),
         F.min(cost(F.col("frr"), F.col("far"), prior, False)).alias("min_dcf_as_coded"),
@@ -99,10 +138,8 @@ def operating_points(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame
 
 def grouped_auc(df: DataFrame, group: str, y: str = "y", p: str = "p") -> DataFrame:
     """(group, auc, n1, n0) by rank sums inside each group; groups of a single class have a null AUC."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(group, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("n1"), F.sum((F.lit(1) - F.col(y)).cast("long")).alias("n0"))
-    below = F.coalesce(F.sum("n0").over(Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("wins", F.col("n1") * below + F.col("n1") * F.col("n0") / lit(2))
+    summed = running_sums(counts, "p", [], {"c0": "n0"}, groups=[group])
+    wins = summed.withColumn("wins", F.col("n1") * (F.col("c0") - F.col("n0")) + F.col("n1") * F.col("n0") / lit(2))
     sums = wins.groupBy(group).agg(F.sum("wins").alias("wins"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     return sums.select(group, (F.col("wins") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0))).alias("auc"), "n1", "n0")

@@ -23,40 +23,72 @@ def escalation_order(expert_auc: dict[str, float], names: tuple[str, ...] = ("sp
     return sorted(names, key=lambda n: -gain[n])
 
 
-def route(clips: DataFrame, weights: dict[str, float], bias: float, prior: float = 0.30, expert_auc: dict[str, float] | None = None, deep: bool = False) -> DataFrame:
-    """``clips`` with ``probability``, ``verdict`` and ``trace`` (array of expert, action, reason), in running order.
+def route(
+    clips: DataFrame,
+    weights: dict[str, float],
+    bias: float,
+    prior: float = 0.30,
+    expert_auc: dict[str, float] | None = None,
+    deep: str = "never",
+    policy: str = "routed",
+    low: float = LOW,
+    high: float = HIGH,
+) -> DataFrame:
+    """``clips`` with ``probability``, ``verdict`` and ``trace`` (array of expert, action, reason, posterior_after, ms), in running order.
 
     Columns of ``clips``: clip, duration_s, speech_s, lossy, banded, flags, and for each expert
-    ``<expert>_score`` and ``<expert>_confidence``. A missing score adds nothing; a missing
-    weight is 0, unless there are no weights at all, then 1.
+    ``<expert>_score`` and ``<expert>_confidence``, perhaps ``<expert>_ms``. A missing score adds nothing; a
+    missing weight is 0, unless there are no weights at all, then 1. ``deep`` is never, uncertain or
+    always; ``policy`` routed, or full, which runs every eligible expert.
     """
+    if deep not in ("never", "uncertain", "always") or policy not in ("routed", "full"):
+        raise ValueError(f"unknown deep {deep!r} or policy {policy!r}")
+    full = policy == "full"
+    text = lambda c, where: F.format_string(where, c)
     term = lambda e: F.coalesce(lit(weights.get(e, 0.0 if weights else 1.0)) * F.col(f"{e}_confidence") * logit(F.col(f"{e}_score")), lit(0))
-    start = lit(bias) + prior_shift(prior)
-    runs: list[tuple[str, Column, Column, Column]] = []  # expert, whether it runs, reasons for either
-    yes = F.lit(True)
-    runs.append(("container", yes, F.lit("always"), F.lit("")))
-    runs.append(("spectral", yes, F.lit("always"), F.lit("")))
-    runs.append(("compression", F.col("lossy") | F.col("banded"), F.when(F.col("lossy"), "lossy codec in container").otherwise("band-limited: transcoding?"), F.lit("full-band PCM, no transcoding suspicion")))
-    runs.append(("prosody", F.col("speech_s") >= 1, F.lit("speech available"), F.lit("too little speech")))
-    runs.append(("environment", (F.col("duration_s") >= 2) | (F.col("speech_s") < F.col("duration_s") - lit(0.3)), F.lit("cheap processing check"), F.lit("short clip without pauses")))
-    eligible = {"splice": (F.col("duration_s") >= lit(1.5), "clip shorter than 1.5 s"), "speaker": (F.col("speech_s") >= 2, "speech < 2.0 s"), "deep": (F.lit(deep), "no deep model configured")}
-    total = start
-    for e, ok, _, _ in runs:
-        total = total + F.when(ok, term(e)).otherwise(lit(0))
-    out = clips.withColumn("_total", total)
-    steps = [(e, ok, F.when(ok, why).otherwise(why_not)) for e, ok, why, why_not in runs]
+    ms = lambda e: F.col(f"{e}_ms").cast("double") if f"{e}_ms" in clips.columns else F.lit(None).cast("double")
+    out = clips.withColumn("_total", lit(bias) + prior_shift(prior))
+    steps: list[str] = []
+
+    def add(expert: str, runs: Column, why: Column, why_not: Column) -> None:
+        """One more step as columns: what it does, its reason, and the total after it."""
+        nonlocal out
+        out = out.withColumn("_runs", runs).withColumn("_reason", F.when(F.col("_runs"), why).otherwise(why_not))
+        out = out.withColumn("_total", F.col("_total") + F.when(F.col("_runs"), term(expert)).otherwise(lit(0)))
+        after = F.when(F.col("_runs"), F.round(sigmoid(F.col("_total")), 4))
+        step = F.struct(F.lit(expert).alias("expert"), F.when(F.col("_runs"), "run").otherwise("skip").alias("action"), F.col("_reason").alias("reason"), after.alias("posterior_after"), F.when(F.col("_runs"), ms(expert)).alias("ms"))
+        steps.append(f"_step_{len(steps)}")
+        out = out.withColumn(steps[-1], step)
+
+    yes, none = F.lit(True), F.lit("")
+    unless_full = lambda why: F.lit("full") if full else why
+    speech, flags = F.col("speech_s"), F.coalesce(F.col("flags"), F.lit(False))
+    add("container", yes, F.lit("always: header and metadata triage"), none)
+    add("spectral", yes, F.lit("always: bandwidth steers later choices"), none)
+    suspect = F.coalesce(F.col("lossy"), F.lit(False)) | F.coalesce(F.col("banded"), F.lit(False))
+    why = F.when(F.col("lossy"), "lossy codec in container").otherwise("band-limited: transcoding?")
+    add("compression", yes if full else suspect, unless_full(why), F.lit("full-band PCM, no transcoding suspicion"))
+    add("prosody", speech >= 1, text(speech, "%.1f s of speech available"), text(speech, "only %.1f s of speech"))
+    long_enough = (F.col("duration_s") >= 2) | (speech < F.col("duration_s") - lit(0.3))
+    add("environment", long_enough, unless_full(F.lit("cheap processing check (near-zero segments, mains hum)")), F.lit("short clip without pauses"))
+    always = deep == "always" or (deep != "never" and full)
+    if always:
+        add("deep", yes, F.lit("deep model set to always run"), none)
+    eligible = {
+        "splice": (F.col("duration_s") >= lit(1.5), F.lit("clip shorter than 1.5 s")),
+        "speaker": (speech >= 2, text(speech, "%.1f s speech < 2.0 s")),
+        "deep": (F.lit(deep != "never" and not always), F.lit("already run" if always else "no deep model configured")),
+    }
     for e in escalation_order(expert_auc or {}):
         can, why_not = eligible[e]
         p = sigmoid(F.col("_total"))
-        uncertain = (p > lit(LOW)) & (p < lit(HIGH))
-        forced = F.col("flags") if e == "splice" else F.lit(False)
-        out = out.withColumn(f"_run_{e}", can & (uncertain | forced))
-        reason = F.when(~can, F.lit(why_not)).when(~(uncertain | forced), "confident").when(~uncertain, "metadata red flags").otherwise("uncertain")
-        out = out.withColumn(f"_why_{e}", reason).withColumn("_total", F.col("_total") + F.when(F.col(f"_run_{e}"), term(e)).otherwise(lit(0)))
-        steps.append((e, F.col(f"_run_{e}"), F.col(f"_why_{e}")))
-    trace = F.array(*(F.struct(F.lit(e).alias("expert"), F.when(ok, "run").otherwise("skip").alias("action"), why.alias("reason")) for e, ok, why in steps))
+        uncertain = (p > lit(low)) & (p < lit(high))
+        forced = flags if e == "splice" else F.lit(False)
+        inside, outside = (text(p, f"{word}: P=%.2f {where} ({low}, {high})") for word, where in (("uncertain", "inside"), ("confident", "outside")))
+        why = F.when(forced & ~uncertain, "metadata red flags").otherwise(inside)
+        add(e, can if full else can & (uncertain | forced), unless_full(why), F.when(~can, why_not).otherwise(outside))
     p = sigmoid(F.col("_total"))
-    return out.select(*clips.columns, p.alias("probability"), forensic_verdict(p).alias("verdict"), trace.alias("trace"))
+    return out.select(*clips.columns, p.alias("probability"), forensic_verdict(p).alias("verdict"), F.array(*steps).alias("trace"))
 
 
 def skip_reasons(routed: DataFrame, k: int = 8) -> DataFrame:
@@ -72,3 +104,17 @@ def replay_totals(routed: DataFrame, cost_ms: DataFrame) -> DataFrame:
     late = F.col("expert").isin("splice", "speaker", "deep").cast("int") * F.col("ran")
     clips = steps.groupBy("clip").agg(F.sum("ran").alias("ran"), F.max(late).alias("late"), F.sum(F.col("ms") * F.col("ran")).alias("spent"), F.sum("ms").alias("full"))
     return clips.agg(F.avg("ran").alias("mean_experts_run"), F.avg("late").alias("escalated_share"), (F.sum("spent") / F.sum("full")).alias("compute_share_vs_full"))
+
+
+def replay(clips: DataFrame, weights: dict[str, float], bias: float, y: str = "y", prior: float = 0.30, expert_auc: dict[str, float] | None = None, deep: str = "never", metric_prior: float = 0.5) -> DataFrame:
+    """(mode, auc, eer, min_dcf_nsa, min_dcf_code, metric_p_spoof): routed decisions beside those of all experts' fused findings."""
+    from tessera.operators import metrics
+
+    experts = [c.removesuffix("_score") for c in clips.columns if c.endswith("_score") and (deep != "never" or c != "deep_score")]
+    total = lit(bias) + prior_shift(prior)
+    for e in experts:
+        total = total + F.coalesce(lit(weights.get(e, 0.0 if weights else 1.0)) * F.col(f"{e}_confidence") * logit(F.col(f"{e}_score")), lit(0))
+    routed = route(clips, weights, bias, prior, expert_auc, deep).select(F.col(y).alias("y"), F.col("probability").alias("p"))
+    whole = clips.select(F.col(y).alias("y"), sigmoid(total).alias("p"))
+    named = lambda mode, df: metrics.summary(df, metric_prior).select(F.lit(mode).alias("mode"), "*")
+    return named("full", whole).unionByName(named("routed", routed))

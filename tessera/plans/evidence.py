@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
+from tessera.operators import calibration
 from tessera.operators import evidence as E
 from tessera.operators import metrics as M
 from tessera.operators import routing
@@ -51,29 +52,29 @@ def finding_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def container_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    o = T.table(spark, sf_dir, "lineitem")
     names = {"synth_tool_tag": F.col("l_partkey") % 19 == 0, "header_issues": F.col("l_quantity") % 4, "vocoder_grid": F.when(F.col("l_suppkey") % 5 == 0, 1).when(F.col("l_suppkey") % 5 == 1, 0.4).otherwise(0), "timestamp_issues": F.col("l_partkey") % 3 == 0, "device_claim": F.col("l_partkey") % 2 == 0}
-    rows = o.select(F.col("l_orderkey").alias("clip"), *(v.cast("double").alias(k) for k, v in names.items()))
+    rows = o.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("clip"), *(v.cast("double").alias(k) for k, v in names.items()))
     return E.container_finding(rows).select("clip", T.r6("score", "score"), T.r6("confidence", "confidence"))
 
 
 CONTAINER = """with r as (
-    select l_orderkey as clip, 4e0 * (l_partkey % 19 = 0)::int as a, 0.8e0 * least(2, l_quantity % 4) as b, 1.2e0 * case l_suppkey % 5 when 0 then 1e0 when 1 then 0.4e0 else 0 end as c,
-        1e0 * (l_partkey % 3 = 0)::int as d, -0.4e0 * (l_partkey % 2 = 0)::int as e from lineitem where l_linenumber = 1),
+    select concat(l_orderkey, '-', l_linenumber) as clip, 4e0 * (l_partkey % 19 = 0)::int as a, 0.8e0 * least(2, l_quantity % 4) as b, 1.2e0 * case l_suppkey % 5 when 0 then 1e0 when 1 then 0.4e0 else 0 end as c,
+        1e0 * (l_partkey % 3 = 0)::int as d, -0.4e0 * (l_partkey % 2 = 0)::int as e from lineitem),
 s as (select clip, a + b + c + d + e as total, a + b + c + d + abs(e) as size from r)
 select clip, round(case when size > 0 then 1 / (1 + exp(-total)) end, 6) as score, round(case when size > 0 then least(0.9e0, 0.3e0 + 0.15e0 * size) else 0 end, 6) as confidence from s"""
 
 
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("clip"), F.col("l_quantity").alias("speech_s"), (F.col("l_extendedprice") / 5).alias("bandwidth_hz"), (F.col("l_quantity") / 4).alias("duration_s"), (F.col("l_quantity") / 20).alias("voiced_s"), (F.col("l_quantity") / 30).alias("pause_s"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_tax")).alias("sim_mean"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_tax")).alias("deep_score"))
+    o = T.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("clip"), F.col("l_quantity").alias("speech_s"), (F.col("l_extendedprice") / 5).alias("bandwidth_hz"), (F.col("l_quantity") / 4).alias("duration_s"), (F.col("l_quantity") / 20).alias("voiced_s"), (F.col("l_quantity") / 30).alias("pause_s"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_tax")).alias("sim_mean"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_tax")).alias("deep_score"))
     c = {n: F.col(n) for n in o.columns}
     return o.select("clip", *(T.r6(E.confidence(e, c), e) for e in T.EXPERTS))
 
 
-CONFIDENCE = """select l_orderkey as clip, round(least(1e0, 0.3e0 + 0.25e0 * l_quantity) * case when l_extendedprice / 5 > 6000 then 1e0 else 0.6e0 end, 6) as spectral,
+CONFIDENCE = """select concat(l_orderkey, '-', l_linenumber) as clip, round(least(1e0, 0.3e0 + 0.25e0 * l_quantity) * case when l_extendedprice / 5 > 6000 then 1e0 else 0.6e0 end, 6) as spectral,
     round(least(0.7e0, 0.2e0 + l_quantity / 4 / 10), 6) as compression, round(least(1e0, l_quantity / 20 / 3), 6) as prosody, round(least(1e0, 0.2e0 + l_quantity / 30 / 2) * least(1e0, l_quantity / 4 / 4), 6) as environment,
     round(least(0.8e0, 0.2e0 + l_quantity / 4 / 8), 6) as splice, round(case when l_partkey % 3 = 0 then 0 else least(1e0, (l_quantity / 4 - 1) / 4) end, 6) as speaker,
-    case when l_partkey % 2 = 0 then 1e0 else 0e0 end as deep from lineitem where l_linenumber = 1"""
+    case when l_partkey % 2 = 0 then 1e0 else 0e0 end as deep from lineitem"""
 
 
 def fused_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +99,11 @@ def expert_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean fused log-odds with each expert left out: one pass, the left-out term subtracted."""
+    """Drop of the AUC of the fused log-odds with each expert left out; later orders stand for synthetic clips."""
     terms = E.fusion_terms(_found(spark, sf_dir), T.weights(spark))
-    clips = terms.groupBy("clip").agg(F.sum("term").alias("total"))
-    n = clips.agg(F.count("*").alias("n"), F.sum("total").alias("all"))
-    return terms.groupBy("expert").agg(F.sum("term").alias("own")).join(F.broadcast(n), how="cross").select("expert", F.round((F.col("all") - F.col("own")) / F.col("n"), 5).alias("mean_without"))
+    y = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), (F.col("o_orderstatus") == "O").cast("int").alias("y"))
+    whole = y.join(terms.groupBy("clip").agg(F.sum("term").alias("total")), "clip")
+    return calibration.omission_drops(whole.select("clip", "y", S.sigmoid(F.round("total", 9)).alias("probability")), terms)
 
 
 def feature_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +165,27 @@ def router_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.replay_totals(_routed(spark, sf_dir), costs).select(*(T.r6(c, c) for c in ("mean_experts_run", "escalated_share", "compute_share_vs_full")))
 
 
-QUERIES = {f.__name__: f for f in (feature_model_scores, feature_contributions, top_reasons, robust_z, finding_build, container_rules, confidence, fused_probability, fused_unweighted, design_matrix, expert_matrix, leave_one_out, feature_aucs, coverage_fraction, experts_run, route_trace, skip_reasons, router_replay)}
+def replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of routed decisions and of all findings; later orders stand for synthetic clips."""
+    y = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), (F.col("o_orderstatus") == "O").cast("int").alias("y"))
+    clips = _route_input(spark, sf_dir).join(y, "clip")
+    return routing.replay(clips, T.WEIGHTS, T.BIAS, expert_auc=T.AUCS).select("mode", "auc", "metric_p_spoof")
+
+
+def nested_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of clips that were each scored by models and a fusion fitted without their fold."""
+    scored, _ = calibration.held_out(*_labelled_rows(spark, sf_dir))
+    return M.summary(scored.select("y", F.col("probability").alias("p")))
+
+
+def _labelled_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = calibration.expert_rows(T.features(spark, sf_dir), {e: ("quantity", "price", "discount") for e in T.EXPERTS[:5]})
+    confidence = T.info(spark, sf_dir).select("clip", "expert", S.clip(F.col("confidence"), 0, 1).alias("confidence"))
+    y = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), (F.col("o_orderstatus") == "O").cast("int").alias("y"))
+    return rows, confidence, y.join(rows.select("clip").distinct(), "clip")
+
+
+QUERIES = {f.__name__: f for f in (feature_model_scores, feature_contributions, top_reasons, robust_z, finding_build, container_rules, confidence, fused_probability, fused_unweighted, design_matrix, expert_matrix, leave_one_out, feature_aucs, coverage_fraction, experts_run, route_trace, skip_reasons, router_replay, replay_metrics, nested_validation)}
 SQL = {
     "feature_model_scores": f"with {T.FINDINGS} select clip, expert, round(score, 6) as score from scores",
     "feature_contributions": f"{PARTS} select expert, feature, count(*) as n, round(avg(part), 5) as mean, round(max(part), 6) as most from parts group by all",
@@ -178,17 +199,26 @@ SQL = {
     "fused_unweighted": f"with {TERMS} select clip, round(1 / (1 + exp(-coalesce(sum(cell), 0))), 5) as probability from lo group by clip",
     "design_matrix": f"with {TERMS} select clip, {', '.join(f'''round(coalesce(max(cell) filter (expert = '{e}'), 0), 4) as {e}''' for e in T.EXPERTS[:6])} from lo group by clip",
     "expert_matrix": f"with {T.FEATURES} select clip, {', '.join(f'''max(case when isfinite(value) then value end) filter (feature = '{f}') as {f}''' for f in ('quantity', 'price', 'discount'))} from features where expert = 'prosody' group by clip",
-    "leave_one_out": f"""with {TERMS}, t as (select lo.clip, lo.expert, coalesce(weight, 0) * cell as term from lo left join weights on lo.expert = weights.expert where score is not null), n as (select count(distinct clip) as n, sum(term) as total from t)
-        select expert, round((max(total) - sum(term)) / max(n), 5) as mean_without from t, n group by expert""",
+    "leave_one_out": f"""with {TERMS}, t as (select lo.clip, lo.expert, coalesce(weight, 0) * cell as term from lo left join weights on lo.expert = weights.expert where score is not null),
+        c as (select clip, (o_orderstatus = 'O')::int as y, sum(term) as total from t join orders on o_orderkey = clip group by all),
+        x as (select distinct expert from t), r as (select coalesce(x.expert, '') as expert, c.y, round(c.total - coalesce(t.term, 0), 8) as p from c cross join (select expert from x union all select null) x left join t on t.clip = c.clip and t.expert = x.expert),
+        g as (select expert, p, sum(y) as n1, sum(1 - y) as n0 from r group by all), w as (select *, coalesce(sum(n0) over (partition by expert order by p rows between unbounded preceding and 1 preceding), 0) as below from g),
+        a as (select expert, sum(n1 * below + n1 * n0 / 2e0) / (sum(n1)::double * sum(n0)) as auc from w group by expert)
+        select expert, round((select auc from a where expert = '') - auc, 4) as auc_drop from a where expert <> ''""",
     "feature_aucs": f"with t as (select sum((l_returnflag = 'R')::int) as n1, sum((l_returnflag <> 'R')::int) as n0 from lineitem where l_linenumber <= 7) {AUCS}",
     "coverage_fraction": f"with {T.FINDINGS} select expert, round(avg((score is not null)::int), 6) as coverage, round(avg(coalesce(score, 0.5e0)), 5) as filled_mean from found group by expert",
     "experts_run": f"with {T.FINDINGS} select clip, string_agg(distinct expert, ',' order by expert) as experts_run from found where score is not null group by clip",
     "route_trace": f"""with {ROUTE[5:]} select clip, round(pr, 5) as probability, case when pr >= 0.8e0 then 'likely synthetic' when pr >= 0.5e0 then 'suspicious, below the alert threshold' when pr >= 0.2e0 then 'inconclusive, leaning real' else 'likely real' end as verdict,
         concat_ws(',', 'container', 'spectral', case when r1 then 'compression' end, case when r2 then 'prosody' end, case when r3 then 'environment' end, case when r4 then 'splice' end, case when r5 then 'speaker' end) as ran from s5""",
     "skip_reasons": f"""with {ROUTE[5:]}, k as (
-        select 'compression: full-band PCM, no transcoding suspicion' as reason from s5 where not r1 union all select 'prosody: too little speech' from s5 where not r2 union all select 'environment: short clip without pauses' from s5 where not r3
-        union all select case when dur < 1.5e0 then 'splice: clip shorter than 1.5 s' else 'splice: confident' end from s5 where not r4 union all select case when sp < 2 then 'speaker: speech < 2.0 s' else 'speaker: confident' end from s5 where not r5
+        select 'compression: full-band PCM, no transcoding suspicion' as reason from s5 where not r1 union all select printf('prosody: only %.1f s of speech', sp) from s5 where not r2 union all select 'environment: short clip without pauses' from s5 where not r3
+        union all select case when dur < 1.5e0 then 'splice: clip shorter than 1.5 s' else 'splice: confident' end from s5 where not r4 union all select case when sp < 2 then printf('speaker: %.1f s speech < 2.0 s', sp) else 'speaker: confident' end from s5 where not r5
         union all select 'deep: no deep model configured' from s5) select reason, count(*) as n from k group by reason order by n desc, reason limit 8""",
+    "replay_metrics": f"""with {ROUTE[5:]}, vv as (
+        select (o_orderstatus = 'O')::int as y, pr, 1 / (1 + exp(-(t0 + case when r1 then 0 else compression end + case when r2 then 0 else prosody end + case when r3 then 0 else environment end + splice + speaker))) as pf from s5 join orders on o_orderkey = clip),
+        uu as (select 'full' as mode, y, pf as p from vv union all select 'routed', y, pr from vv), gg as (select mode, p, sum(y) as n1, sum(1 - y) as n0 from uu group by all),
+        below_ as (select *, coalesce(sum(n0) over (partition by mode order by p rows between unbounded preceding and 1 preceding), 0) as below from gg)
+        select mode, round(sum(n1 * below + n1 * n0 / 2e0) / (sum(n1)::double * sum(n0)), 4) as auc, 0.5e0 as metric_p_spoof from below_ group by mode""",
     "router_replay": f"""with {ROUTE[5:]}, k as (select 2 + r1::int + r2::int + r3::int + r4::int + r5::int as ran, (r4 or r5)::int as late, 5 + 15 + 25 * r1::int + 35 * r2::int + 45 * r3::int + 55 * r4::int + 65 * r5::int as spent from s5)
         select round(avg(ran), 6) as mean_experts_run, round(avg(late), 6) as escalated_share, round(sum(spent) / sum(5 + 15 + 25 + 35 + 45 + 55 + 65 + 75)::double, 6) as compute_share_vs_full from k""",
 }

@@ -38,12 +38,11 @@ def spectral_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spectral numbers of repeated embeddings taken as samples."""
     e = T.table(spark, sf_dir, "embeddings")
     tone = F.flatten(F.array_repeat(F.col("embedding"), 20))
-    return spectral_vectors(e.select("vec_id", tone.alias("x")), "vec_id", "x").select("clip", F.size("spec").alias("n"))
+    return spectral_vectors(e.select("vec_id", tone.alias("x")), "vec_id", "x").select("clip", F.transform("spec", lambda v: F.round(v, 3)).alias("spec"))
 
 
 QUERIES = {f.__name__: f for f in (fit_linear_head, fit_nonneg_fusion, grouped_folds, spectral_vector)}
 SQL = {
-    "spectral_vector": "select vec_id::varchar as clip, 99 as n from embeddings",
     "grouped_folds": f"""with {T.SCORED}, g as (select id - id % 3 as grp, max(y) as y from scored group by 1), n as (select least(5, min(c)) as k from (select count(*) as c from g group by y)),
         r as (select grp, row_number() over (order by y, substring(md5(grp::varchar), 1, 12), grp) as r from g)
         select id, (r.r % k)::bigint as fold from scored s join r on s.id - s.id % 3 = r.grp, n""",

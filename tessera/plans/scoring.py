@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import coverage as C
 from tessera.operators import metrics as M
+from tessera.operators.running import percentiles
 from tessera.plans import surrogates as T
 
 CURVE = f"""{T.SCORED}, total as (select sum(y) as n1, count(*) - sum(y) as n0, min(p) as least from scored),
@@ -151,8 +152,9 @@ def sigmoid_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = [0.05, 0.25, 0.5, 0.75, 0.95]
-    out = T.scored(spark, sf_dir).agg(F.percentile("p", F.array(*map(S.lit, q))).alias("q"), F.avg((F.col("p") >= S.lit(0.8)).cast("int")).alias("above_8"), F.avg((F.col("p") >= S.lit(0.5)).cast("int")).alias("above_5"))
-    return out.select(*(T.r6(F.col("q")[i], f"p{int(100 * x):02d}") for i, x in enumerate(q)), T.r6("above_8", "above_8"), T.r6("above_5", "above_5"))
+    s, points = T.scored(spark, sf_dir), {f"p{int(100 * x):02d}": x for x in q}
+    shares = s.agg(*(T.r6(F.avg((F.col("p") >= S.lit(x)).cast("int")), n) for n, x in (("above_8", 0.8), ("above_5", 0.5))))
+    return percentiles(s, "p", points).select(*(T.r6(p, p) for p in points)).join(shares, how="cross")
 
 
 QUERIES = {f.__name__: f for f in (detection_metrics, det_curve, rates_tie_collapsed, summary, min_dcf_prior_sweep, eer_two_definitions, operating_points, metric_slices, score_key_join, coverage_check, invalid_filenames, invalid_scores, score_reproduction, submission_rows, verdicts, sigmoid_logit, score_quantiles)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: File endings that count as audio.
-AUDIO = ("wav", "flac", "mp3", "ogg", "opus", "m4a", "aac", "wma")
+AUDIO = ("wav", "flac", "mp3", "m4a", "ogg", "opus", "aac", "webm")
 
 
 def audio_files(spark: SparkSession, root: str, endings: tuple[str, ...] = AUDIO, strict: bool = False, content: bool = False) -> DataFrame:
@@ -70,6 +70,51 @@ def read_tsv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     return table.select(*(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
 
 
+def _with_names(table: DataFrame, path: str) -> DataFrame:
+    """``table`` if its file names follow the rules and none comes twice, else ValueError with the first five."""
+    from tessera.operators.coverage import invalid_names
+
+    found = [f"{r['filename']!r} ({r['problem']})" for r in invalid_names(table, "filename").orderBy("filename").limit(5).collect()]
+    if found:
+        raise ValueError(f"{path}: {', '.join(found)}")
+    return table
+
+
+def template_filenames(spark: SparkSession, path: str) -> DataFrame:
+    """(filename) of a template; its other cells are placeholders."""
+    return _with_names(read_tsv(spark, path, ["filename"]).select("filename"), path)
+
+
+def read_protocol(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, speaker, attack, label) of a protocol: lines of speaker, id, a dash, attack and label, between blanks."""
+    return protocol_fields(spark.read.text(path), "value")
+
+
+def protocol_fields(lines: DataFrame, line: str) -> DataFrame:
+    cell = F.split(F.trim(F.col(line)), " +")
+    label = F.when(F.get(cell, F.lit(4)) == "spoof", 1).when(F.get(cell, F.lit(4)) == "bonafide", 0)
+    return lines.select(F.get(cell, F.lit(1)).alias("uid"), F.get(cell, F.lit(0)).alias("speaker"), F.get(cell, F.lit(3)).alias("attack"), label.alias("label"))
+
+
+def join_protocol(clips: DataFrame, protocol: DataFrame, uid: str = "uid") -> DataFrame:
+    """``clips`` with attack and label; ValueError with the first five ids that the protocol lacks."""
+    missing = [r[uid] for r in clips.select(uid).join(protocol.select(uid), uid, "left_anti").orderBy(uid).limit(5).collect()]
+    if missing:
+        raise ValueError(f"not in the protocol: {missing}")
+    return clips.join(protocol.select(uid, "attack", "label"), uid)
+
+
+def dataset_variant(name: str, known: list[str]) -> tuple[str, bool, bool]:
+    """(base, through a channel, trimmed) of a set's name; KeyError for a base that isn't ``known``."""
+    base = name.removesuffix("_channel")
+    channel = base != name
+    trimmed = channel and base.endswith("_trim")
+    base = base.removesuffix("_trim") if trimmed else base
+    if base not in known:
+        raise KeyError(name)
+    return base, channel, trimmed
+
+
 def parse_score(raw: Column) -> Column:
     """A double where the text is a plain number, else null."""
     return F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), raw.cast("double"))
@@ -86,7 +131,7 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def read_key(spark: SparkSession, path: str) -> DataFrame:
     """(filename, y): 1 for spoof, 0 for bonafide; any other label is a ValueError."""
-    key = read_tsv(spark, path, ["filename", "cm-label"]).select("filename", F.when(F.col("`cm-label`") == "spoof", 1).when(F.col("`cm-label`") == "bonafide", 0).alias("y"))
+    key = _with_names(read_tsv(spark, path, ["filename", "cm-label"]), path).select("filename", F.when(F.col("`cm-label`") == "spoof", 1).when(F.col("`cm-label`") == "bonafide", 0).alias("y"))
     bad = [r["filename"] for r in key.filter("y is null").orderBy("filename").limit(5).collect()]
     if bad:
         raise ValueError(f"labels must be spoof or bonafide: {bad}")
@@ -102,9 +147,20 @@ def write_submission(scores: DataFrame, path: str) -> None:
     out.orderBy("filename").write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
 
 
-FINDING = "path string, duration double, findings map<string, struct<expert:string,score:double,confidence:double,summary:string,features:map<string,double>,elapsed_ms:double>>, trace array<struct<expert:string,action:string,reason:string>>, error string"
+FINDING = "path string, at timestamp, duration double, findings map<string, struct<expert:string,score:double,confidence:double,summary:string,features:map<string,double>,elapsed_ms:double>>, trace array<struct<expert:string,action:string,reason:string>>, error string"
 
 
 def read_findings(spark: SparkSession, path: str, least_duration: float = 0.0) -> DataFrame:
-    """Cached analyses; of rows with one path the last by ``at`` wins where the cache has that column. Failed and short ones are left out."""
-    return spark.read.schema(FINDING).json(path).filter(F.col("findings").isNotNull() & (F.col("duration") >= least_duration))
+    """Cached analyses, one for each path: the last by ``at``, rows without it first. Failed and short ones are left out."""
+    from tessera.operators.sampling import keep_last
+
+    rows = keep_last(spark.read.schema(FINDING).json(path), "path", F.struct(F.coalesce("at", F.lit("1970-01-01").cast("timestamp")), F.col("findings").isNotNull()))
+    return rows.filter(F.col("findings").isNotNull() & (F.col("duration") >= least_duration))
+
+
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """Channel profiles as CSV below ``path``/clips and their percentiles as JSON below ``path``/summary."""
+    from tessera.sources.audio import profile_summary
+
+    profiles.write.mode("overwrite").csv(f"{path}/clips", header=True)
+    profile_summary(profiles).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
