@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import text_kernels as K
 from tessera.llm.quality import NOT_WORD
 from tessera.llm.tables import pack_text, saved, unused, unpack_text, with_keys
+from tessera.llm.text_kernels import tidy
 
 N = 3
 MOST_BY_CHANCE = 1e-4
@@ -213,22 +214,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def _contaminated(spark: SparkSession, one: DataFrame, tests: DataFrame, least_score: float) -> DataFrame:
     """(id, item, score, first_word, end_word) by keys."""
     # Bins have a fixed size; they are summed in two steps, so that no task gets one row of every other.
-    binned = one.mapInArrow(_bins, "part long, docs long, pack binary").repartition(16).mapInArrow(_sum_bins, "part long, docs long, pack binary")
+    binned = one.mapInArrow(tidy(_bins), "part long, docs long, pack binary").repartition(16).mapInArrow(tidy(_sum_bins), "part long, docs long, pack binary")
     count, n_docs = np.zeros(1 << BIN_BITS, np.int64), 0
     for row in binned.collect():  # at most 16 rows
         count += np.frombuffer(unpack_text(bytes(row["pack"])), np.int64)
         n_docs += row["docs"]
-    pieces = saved(tests.mapInArrow(_items(count, n_docs), "item long, piece int, item_words binary, seeds array<long>"), "test-items")
+    pieces = saved(tests.mapInArrow(tidy(_items(count, n_docs)), "item long, piece int, item_words binary, seeds array<long>"), "test-items")
     seeds = pieces.select("item", "piece", F.explode("seeds").alias("seed"))
     longest = pieces.agg(F.max(F.length("item_words"))).first()[0]
     margin = (longest or 0) // 8
-    maps = seeds.select("seed").mapInArrow(_bit_map, "part long, pack binary").repartition(1).mapInArrow(_or_maps, "part long, pack binary")
+    maps = seeds.select("seed").mapInArrow(tidy(_bit_map), "part long, pack binary").repartition(1).mapInArrow(tidy(_or_maps), "part long, pack binary")
     bits = maps.first()["pack"] if longest else pack_text(bytes((1 << MAP_BITS) // 8))
-    passages = saved(one.mapInArrow(_passages(spark.sparkContext.broadcast(bytes(bits)), margin), "id long, start long, words binary, seeds array<long>"), "passages")
+    passages = saved(one.mapInArrow(tidy(_passages(spark.sparkContext.broadcast(bytes(bits)), margin)), "id long, start long, words binary, seeds array<long>"), "passages")
 
     named = passages.select("id", "start", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "start", "item", "piece").distinct()
     pairs = named.join(passages.select("id", "start", "words"), ["id", "start"]).join(pieces.select("item", "piece", "item_words"), ["item", "piece"])
-    scored = pairs.select("id", "item", "start", "words", "item_words").mapInArrow(_scored, "id long, item long, start long, score double, first long, end long")
+    scored = pairs.select("id", "item", "start", "words", "item_words").mapInArrow(tidy(_scored), "id long, item long, start long, score double, first long, end long")
     best = scored.filter(F.col("score") >= least_score).groupBy("id", "item").agg(F.max(F.struct("score", (F.col("start") + F.col("first")).alias("first_word"), (F.col("start") + F.col("end")).alias("end_word"))).alias("best"))
     return best.select("id", "item", "best.*")
 

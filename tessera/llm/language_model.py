@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
 from tessera.llm.tables import pack_text, packs_by_bucket, unpack_columns, unpack_text, unused, with_keys
+from tessera.llm.text_kernels import tidy
 
 DICTIONARY = 250_000
 WIDTH = 64
@@ -39,6 +40,8 @@ MODELLED = (CLASSES - 1) * WIDTH
 #: Bits of the rows of a table of features, at least; see ``row_bits``.
 ROW_BITS = 13
 BATCH = 1024
+#: Expected counts are added up in steps of 1 / UNIT; BATCH * UNIT fits in a LANE, and two lanes in a float's 53 bits.
+UNIT, LANE = 65_535, 1 << 26
 ROUNDS = 2
 RATE = 0.6
 #: Tokens in agreement with the weights that are added to each weight's counts.
@@ -188,10 +191,16 @@ class _Counts:
         to += np.bincount((rows * WIDTH + column[:, None]).reshape(-1), minlength=self.table)
 
     def _expect(self, to: np.ndarray, p: np.ndarray, rows: np.ndarray) -> None:
-        found, at = np.unique(rows, return_inverse=True)
-        cells = at.reshape(rows.shape)[:, :, None] * WIDTH + np.arange(WIDTH)
-        p = np.broadcast_to(p[:, None].astype(float), cells.shape)
-        to.reshape(-1, WIDTH)[found] += np.bincount(cells.reshape(-1), p.reshape(-1), len(found) * WIDTH).reshape(-1, WIDTH)
+        """Adds each token's probabilities to its rows, in steps of 1 / UNIT; two columns share one number, which holds
+        the sums of a batch exactly and halves the additions."""
+        half, table = WIDTH // 2, to.reshape(-1, WIDTH)
+        whole = np.rint(p * np.float32(UNIT))
+        pairs, columns = (whole[:, :half].astype(float) * LANE + whole[:, half:]).reshape(-1), np.arange(half)
+        for j in range(rows.shape[1]):
+            found, at = np.unique(rows[:, j], return_inverse=True)
+            sums = np.bincount((at[:, None] * half + columns).reshape(-1), pairs, len(found) * half).reshape(-1, half)
+            high = np.floor(sums / LANE)
+            table[found] += np.concatenate([high, sums - high * LANE], 1) / UNIT
 
     def count(self, t: Tokens) -> None:
         w = self.w
@@ -437,7 +446,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     packs = "bucket long, pack binary"
 
     most = (2 * DICTIONARY >> bits) + 200  # hashes deal words evenly
-    counted = source.mapInArrow(_count(bits), packs).repartition("bucket").mapInArrow(_frequent(most), "hash long, total long, train long")
+    counted = source.mapInArrow(tidy(_count(bits)), packs).repartition("bucket").mapInArrow(tidy(_frequent(most)), "hash long, total long, train long")
     top = counted.toArrow()  # bounded by the dictionary, whatever the input
     words = top.filter(pa.compute.is_valid(top["hash"]))
     totals = top.filter(pa.compute.is_null(top["hash"]))
@@ -451,16 +460,16 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     flat = start_weights(d)
     weights = spark.sparkContext.broadcast(flat)
     for i in range(ROUNDS):
-        counts = source.filter("train").mapInArrow(_observe(dictionary, weights, i == 0), packs)
-        changes = counts.repartition("bucket").mapInArrow(_change(weights, i == 0), packs).collect()  # the size of the model
+        counts = source.filter("train").mapInArrow(tidy(_observe(dictionary, weights, i == 0)), packs)
+        changes = counts.repartition("bucket").mapInArrow(tidy(_change(weights, i == 0)), packs).collect()  # the size of the model
         flat = flat.copy()
         for row in changes:
             part = np.frombuffer(row["pack"], np.float32)
             flat[row["bucket"] * BLOCK : row["bucket"] * BLOCK + len(part)] += part
         weights = spark.sparkContext.broadcast(flat)
 
-    sums = source.mapInArrow(_score(dictionary, weights, bits), packs).repartition("bucket").mapInArrow(_rare_sums(bits), packs)
-    out = sums.repartition("bucket").mapInArrow(_totals, "id long, n_tokens long, n_known long, logs double, score double")
+    sums = source.mapInArrow(tidy(_score(dictionary, weights, bits)), packs).repartition("bucket").mapInArrow(tidy(_rare_sums(bits)), packs)
+    out = sums.repartition("bucket").mapInArrow(tidy(_totals), "id long, n_tokens long, n_known long, logs double, score double")
     log_z = math.log10(d.n_tokens + ALPHA * (d.n_distinct + 1))
     training_of = keyed.named(out, "id").withColumn("training", F.coalesce(training, F.lit(False)))
     return training_of.select(

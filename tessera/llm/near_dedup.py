@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import text_kernels as K
 from tessera.llm.components import components
 from tessera.llm.tables import Keyed, packed, saved, unpack_text, with_keys
+from tessera.llm.text_kernels import tidy
 
 PERMUTATIONS = 64
 ROWS = 4
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: s
         raise ValueError("percent must be between 50 and 100, k at least 1")
     keyed = with_keys(docs, id_col)
     one = keyed.texts(text_col)
-    meta = saved(one.mapInArrow(_meta(k), _META), "near-meta")
+    meta = saved(one.mapInArrow(tidy(_meta(k)), _META), "near-meta")
     classes = meta.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     named = saved(meta.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "near-classes")
     reps = saved(meta.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", *_SKETCH, "bands"), "near-reps")
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: s
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a")
         with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
-        return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
+        return with_both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_confirm(k, percent)), "a long, b long")
 
     def pairs_of(joined: DataFrame) -> DataFrame:
         return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: s
     # In each bucket, members outside its largest component meet all members of other components. A pair
     # counts in the first bucket that it shares only, so it comes once, however many it shares.
     apart_ids = members.select("id").distinct()
-    fine = saved(texts.join(apart_ids, "id", "left_semi").mapInArrow(_fine(k), f"id long, {', '.join(f'{c} long' for c in _FINE)}"), "near-fine")
+    fine = saved(texts.join(apart_ids, "id", "left_semi").mapInArrow(tidy(_fine(k)), f"id long, {', '.join(f'{c} long' for c in _FINE)}"), "near-fine")
     wide = members.join(fine, "id").join(reps.select("id", "bands"), "id")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     earlier = F.expr("arrays_overlap(slice(x.bands, 1, x.at), slice(y.bands, 1, y.at))")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import Keyed, saved, with_keys
+from tessera.llm.text_kernels import tidy
 from tessera.llm.token_ids import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -179,7 +180,7 @@ def pack_documents(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: st
     spark = keyed.rows.sparkSession
     one = keyed.texts(text_col)
     schema = "id long, piece int, start long, length long, ids_crc32 long"
-    pieces = saved(one.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity), schema), "pieces")
+    pieces = saved(one.mapInArrow(tidy(_pieces(vocabulary or vocabulary_path(), end_id, capacity)), schema), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
@@ -191,5 +192,5 @@ def pack_documents(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: st
     bases = sizes.select("length", "chunk", F.coalesce(before, F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("id", "piece")) - 1
     ranked = dealt.withColumn("local", local).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("local"))
-    placed = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(shared), schema + ", sequence_id long, offset long")
+    placed = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(_placed(shared)), schema + ", sequence_id long, offset long")
     return keyed.named(placed, "id")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import text_kernels as K
 from tessera.llm.tables import bounded_batches
+from tessera.llm.text_kernels import tidy
 
 #: Bound on the labelled rows that the classifiers are fitted on.
 TRAINING_ROWS = 4000
@@ -225,7 +226,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Fit both classifiers on at most ``rows`` labelled documents (``quality`` 0 is low, ``toxic`` 1 is toxic)."""
     bounded_batches(docs.sparkSession)
     sample = _label_sample(docs, labels, id_col, text_col, rows)
-    featured = sample.mapInArrow(_feature_batches(id_col), "id string, low int, tox int, features binary").toArrow()
+    featured = sample.mapInArrow(tidy(_feature_batches(id_col)), "id string, low int, tox int, features binary").toArrow()
     featured = featured.sort_by([("id", "ascending"), ("features", "ascending")])
     parts = [np.frombuffer(x.as_buffer(), np.int32) for x in featured["features"]]  # views, not copies
     low, tox = (featured[c].to_numpy().astype(float) for c in ("low", "tox"))
@@ -287,4 +288,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
                 values = [pa.array(out[c].astype(np.int64)) for c in added[:5]] + [pa.array(failed), pa.array(p), pa.array(q), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + values, [*columns, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

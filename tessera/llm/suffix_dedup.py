@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import text_kernels as K
 from tessera.llm.tables import Keyed, pack_text, packed, packs_by_bucket, unpack_columns, unpack_text, with_keys
+from tessera.llm.text_kernels import tidy
 
 GRAM = 24
 #: Positions fit in so many bits of a slice; longer documents are cut into overlapping pieces.
@@ -412,10 +413,10 @@ def remove_repeats(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: st
     texts = packed(plain)
     records = "bucket long, pack binary"
     deal = lambda df: df.repartition("bucket")
-    each = lambda df, n: deal(df).mapInArrow(_one_row_each(n), "id long, marks binary")  # noqa: E731  # bounded by the document's length
-    anchors = deal(plain.mapInArrow(_first_digit(threshold, bits), records)).mapInArrow(_repeated_anchors(bits), records)
-    contexts = texts.join(each(anchors, 1), "id").mapInArrow(_contexts(threshold, bits), records)
-    removed = deal(contexts).mapInArrow(_last_digits(threshold, bits), records)
-    out = texts.join(each(removed, 2), "id", "left").mapInArrow(_cut(as_text), f"id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
+    each = lambda df, n: deal(df).mapInArrow(tidy(_one_row_each(n)), "id long, marks binary")  # noqa: E731  # bounded by the document's length
+    anchors = deal(plain.mapInArrow(tidy(_first_digit(threshold, bits)), records)).mapInArrow(tidy(_repeated_anchors(bits)), records)
+    contexts = texts.join(each(anchors, 1), "id").mapInArrow(tidy(_contexts(threshold, bits)), records)
+    removed = deal(contexts).mapInArrow(tidy(_last_digits(threshold, bits)), records)
+    out = texts.join(each(removed, 2), "id", "left").mapInArrow(tidy(_cut(as_text)), f"id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
     return keyed.named(out, "id")
 

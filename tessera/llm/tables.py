@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.text_kernels import tidy
+
 #: Arrow batches of texts hold so many bytes at most, where the session keeps Spark's own bound of 64 MB.
 BATCH_BYTES, SPARK_BATCH_BYTES = "8m", "67108864b"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,4 +151,4 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def packed(texts: DataFrame) -> DataFrame:
     """(id long, packed binary) of (id, text)."""
-    return texts.select("id", "text").mapInArrow(_pack, "id long, packed binary")
+    return texts.select("id", "text").mapInArrow(tidy(_pack), "id long, packed binary")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import bounded_batches, pack_text, unpack_text
+from tessera.llm.text_kernels import tidy
 from tessera.llm.token_ids import Encoder, encoder, vocabulary_path
 
 SEGMENT = 256
@@ -196,7 +197,7 @@ def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns of ``docs`` are left aside.
     """
     texts, kind = _texts(docs, id_col, text_col)
-    return texts.mapInArrow(_trees(vocabulary or vocabulary_path()), f"id {kind}, digest long, packed binary, n_tokens long, tree binary")
+    return texts.mapInArrow(tidy(_trees(vocabulary or vocabulary_path())), f"id {kind}, digest long, packed binary, n_tokens long, tree binary")
 
 
 def _edited(path: str):
@@ -238,7 +239,7 @@ def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str | None = Non
     keys = ["id", *(c for c in ("digest",) if c in edits.columns)]
     grouped = edits.withColumn("id", F.col("id").cast(kind)).dropna(subset=["id", "at", "size"]).groupBy(keys).agg(listed)
     schema = f"id {kind}, digest long, packed binary, n_tokens long, tree binary, n_tokens_before long, n_edits long, n_chars long, n_chars_encoded long"
-    return trees.join(grouped, keys, "left").select("id", "digest", "packed", "n_tokens", "tree", "edits").mapInArrow(_edited(vocabulary or vocabulary_path()), schema)
+    return trees.join(grouped, keys, "left").select("id", "digest", "packed", "n_tokens", "tree", "edits").mapInArrow(tidy(_edited(vocabulary or vocabulary_path())), schema)
 
 
 def pattern_edits(docs: DataFrame, pattern: str, new: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,4 +254,4 @@ def pattern_edits(docs: DataFrame, pattern: str, new: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("digest").take(row), *columns, pa.array([new] * len(at), pa.string())], ["id", "digest", "at", "size", "new"])
 
     texts, kind = _texts(docs, id_col, text_col)
-    return texts.filter("id is not null").mapInArrow(run, f"id {kind}, digest long, at long, size long, new string")
+    return texts.filter("id is not null").mapInArrow(tidy(run), f"id {kind}, digest long, at long, size long, new string")
