@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 RANGE_ROWS, MOST_RANGES = 100_000, 512
 
 
+def _range_of(x: Column, borders: Sequence[float], first: int = 0) -> Column:
+    """``first`` and the number of sorted borders below ``x``, by halving."""
+    if not borders:
+        return F.lit(first)
+    middle = len(borders) // 2
+    return F.when(x > F.lit(borders[middle]), _range_of(x, borders[middle + 1 :], first + middle + 1)).otherwise(_range_of(x, borders[:middle], first))
+
+
 def running_sums(df: DataFrame, lead: str, order: Sequence[Column], values: dict[str, str], ranges: int | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """``df`` with a column for each of ``values`` (new name -> summed column): its sum over all rows of the group up to and with this one.
 
@@ -23,12 +31,11 @@ def running_sums(df: DataFrame, lead: str, order: Sequence[Column], values: dict
     """
     ranges = ranges or min(MOST_RANGES, 1 + df.count() // RANGE_ROWS)
     borders = sorted(set(df.stat.approxQuantile(lead, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    range_of = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < F.col(lead))) if borders else F.lit(0)
-    dealt = df.withColumn("_range", range_of)
+    dealt = df.withColumn("_range", _range_of(F.col(lead), borders))
     keys = [*groups, "_range"]
     totals = dealt.groupBy(keys).agg(*(F.sum(v).alias(f"_all_{k}") for k, v in values.items()))
     # At most ``ranges`` rows of each group meet in this window.
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.partitionBy(*groups).orderBy("_range") if groups else Window.orderBy("_range")).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, *(F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in values))
     inside = Window.partitionBy(*keys).orderBy(lead, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = dealt.select("*", *(F.sum(v).over(inside).alias(f"_part_{k}") for k, v in values.items()))
