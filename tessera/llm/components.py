@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import saved
+from tessera.llm.tables import discard, saved
 
 
 def _toward_least(edges: DataFrame, greater_only: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     for _ in range(most_rounds):
         if _are_stars(edges):
             break
-        edges = saved(_toward_least(_toward_least(edges, True), False).distinct(), name)
+        before, edges = edges, saved(_toward_least(_toward_least(edges, True), False).distinct(), name)
+        discard(before)
     else:
         raise RuntimeError("the components didn't settle")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

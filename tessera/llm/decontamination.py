@@ -200,8 +200,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, score, first_word, end_word) for each document and test item that it holds a copy of.
 
     ``score`` is the best local alignment's share of a perfect one, at least ``least_score``; the
-    words are the copy's place in the document. Null and empty texts hold nothing, and items without
-    words are never found; very long texts count as a whole. Each row is a document or an item of its
+    words are the copy's place in the document. Null and empty texts hold nothing, and items of
+    fewer than three words, which chance would find anywhere, are never found; very long texts count as a whole. Each row is a document or an item of its
     own, whether it shares its id, has none, or a string; empty tables give an empty one. Other
     columns of the tables are left aside.
     """

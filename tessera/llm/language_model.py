@@ -297,7 +297,7 @@ def _frequent(most: int):
         for packs in _held(batches).values():
             h, total, train = _sums(*unpack_columns(packs, [U, np.int64, np.int64]))
             n, v = n + int(train.sum()), v + int((train > 0).sum())
-            best = np.lexsort((h, -train))[:most]
+            best = np.lexsort((h, -train))[: min(most, int((train > 0).sum()))]  # words of other texts count nowhere
             tops.append((h[best], total[best], train[best]))
         if not tops:
             return

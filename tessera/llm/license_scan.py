@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import constant_rows, lower_ascii
 
 K = 3
+BITS = 63
 NEIGHBOUR = 3
 LEAST_COVER = 0.6
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,8 +59,8 @@ def _template_grams(df: DataFrame, templates: Sequence[Template]) -> DataFrame:
     rows = []
     for number, t in enumerate(templates):
         split = t.text.split()
-        if not K <= len(split) <= K + 62:
-            raise ValueError(f"a template needs {K} to {K + 62} words: {t.text!r}")
+        if len(split) < K:
+            raise ValueError(f"a template needs {K} words: {t.text!r}")
         rows += [(number, j, len(split) - K + 1, t.label, t.exact, " ".join(split[j : j + K])) for j in range(len(split) - K + 1)]
     return constant_rows(df.sparkSession, ["template", "j", "n_grams", "label", "exact", "gram"], rows).withColumn("hash", F.xxhash64("gram"))
 
@@ -78,23 +79,26 @@ def license_spans(docs: DataFrame, id_col: str, text_col: str, templates: Sequen
     )
     # The templates are a parameter: a few grams each, whatever the input.
     hits = rolling.join(F.broadcast(_template_grams(docs, templates)), ["hash", "gram"])
+    # Which grams of its template a diagonal has, as bits: one mask for each BITS grams of the longest template.
+    masks = [f"mask{m}" for m in range(-(-max(len(t.text.split()) - K + 1 for t in templates) // BITS))]
     votes = hits.groupBy("id", "digest", "template", "label", "exact", "n_grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")
+        *(F.bit_or(F.expr(f"case when j div {BITS} = {m} then shiftleft(1L, cast(j % {BITS} as int)) else 0L end")).alias(c) for m, c in enumerate(masks))
     )
+    there = sum((F.bit_count(c) for c in masks[1:]), F.bit_count(masks[0]))
     by_template = Window.partitionBy("id", "digest", "template").orderBy("diagonal")
-    full = F.col("exact") & (F.bit_count("mask") == F.col("n_grams"))
+    full = F.col("exact") & (there == F.col("n_grams"))
     merged = (
         votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_template) > NEIGHBOUR).cast("int"))
         .withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(by_template))
         .groupBy("id", "digest", "template", "label", "exact", "n_grams", "span")
         .agg(
-            F.bit_or("mask").alias("mask"),
+            *(F.bit_or(c).alias(c) for c in masks),
             F.sum(full.cast("long")).alias("places"),
             F.min(F.when(full, F.col("diagonal"))).alias("first_place"),
             F.max(F.when(full, F.col("diagonal"))).alias("last_place"),
             F.min("diagonal").alias("start"),
         )
-        .withColumn("cover", F.bit_count("mask") / F.col("n_grams"))
+        .withColumn("cover", there / F.col("n_grams"))
     )
     return merged.filter((F.col("exact") & (F.col("places") > 0)) | (~F.col("exact") & (F.col("cover") >= LEAST_COVER)))
 
@@ -104,8 +108,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Exact templates give ``n_base`` (all their places), the places' smallest and largest first
     word, and ``base_labels``; ``labels`` adds the notices. ``score`` is the best share of a
-    template that one span covers, 0 without any. Null and empty texts have no words; repeated
-    rows each get the same result; a null id is an id like any other.
+    template that one span covers, 0 without any. Null and empty texts have no words; very long texts
+    count as a whole; repeated rows each get the same result; a null id is an id like any other, and
+    ids may be strings; an empty table gives an empty one. Other columns of ``docs`` are left aside.
     """
     spans = license_spans(docs, id_col, text_col, templates)
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")  # noqa: E731  # at most one element for each label of the templates

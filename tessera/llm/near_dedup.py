@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as K
 from tessera.llm.components import components
-from tessera.llm.tables import Keyed, packed, saved, unpack_text, with_keys
+from tessera.llm.tables import Keyed, discard, packed, saved, unpack_text, with_keys
 from tessera.llm.text_kernels import tidy
 
 PERMUTATIONS = 64
@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: s
     classes = meta.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     named = saved(meta.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "near-classes")
     reps = saved(meta.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", *_SKETCH, "bands"), "near-reps")
+    discard(meta)
     texts = packed(one)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -260,7 +261,8 @@ def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: s
         found = saved(confirmed(new), "near-links")
         links = links.unionByName(found)
         stars = components(_as_links(stars).unionByName(found), "near-stars")
-        members = mixed(members.drop("component", "main"), stars)
+        before, members = members, mixed(members.drop("component", "main"), stars)
+        discard(before)
     # In each bucket, members outside its largest component meet all members of other components. A pair
     # counts in the first bucket that it shares only, so it comes once, however many it shares.
     apart_ids = members.select("id").distinct()

@@ -34,6 +34,8 @@ PENALTY = 1e-4
 #: Part of the deviations that the largest of so many features would reach by chance; see ``_scales``.
 CHANCE = 0.8
 CHARACTERS = (3, 5)
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 18
 #: Documents with a calibrated probability above these go.
 MOST_LOW_QUALITY = 0.5
 MOST_TOXIC = 0.3
@@ -223,7 +225,12 @@ def _label_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> QualityModel:
-    """Fit both classifiers on at most ``rows`` labelled documents (``quality`` 0 is low, ``toxic`` 1 is toxic)."""
+    """Fit both classifiers on at most ``rows`` labelled documents (``quality`` 0 is low, ``toxic`` 1 is toxic).
+
+    Of several labels of a document the worse one counts; documents without an id or a label, and labels
+    without a document, take no part; rows that share an id all do. Without rows of both classes a
+    classifier gives its only class to all.
+    """
     bounded_batches(docs.sparkSession)
     sample = _label_sample(docs, labels, id_col, text_col, rows)
     featured = sample.mapInArrow(tidy(_feature_batches(id_col)), "id string, low int, tox int, features binary").toArrow()
@@ -241,7 +248,7 @@ def _feature_batches(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
-            for _, data, offsets in K.slices(batch.column("text")):
+            for _, data, offsets in K.slices(batch.column("text"), SLICE):
                 doc, feature = features(data, offsets)
                 key = np.unique((doc << BITS) | feature)
                 cut = np.searchsorted(key >> BITS, np.arange(len(offsets)))
@@ -277,7 +284,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low_quality, toxic = (Classifier(*m) for m in shared.value)
         for batch in batches:
-            for i, data, offsets in K.slices(batch.column(text_col)):
+            for i, data, offsets in K.slices(batch.column(text_col), SLICE):
                 n = len(offsets) - 1
                 _, out = text_stats(data, offsets)
                 doc, feature = features(data, offsets)

@@ -47,3 +47,22 @@ def test_stages_match_plain_versions(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
+
+
+def test_odd_rows_and_other_columns(spark):
+    """Nulls, repeated ids and rows, and columns whose names the stages use themselves."""
+    good = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id % 2 == 0}
+    some = [t for t in good.values() if len(t.split()) > 200][:6]
+    made = [(None, some[0]), (1, some[1]), (1, some[2]), (2, some[3]), (2, some[3]), (3, None), (4, ""), (5, some[4])]
+    names = ["_kept", "_id", "_text", "_found", "_q_kept", "q_kept", "row_key", "kept_key", "cut_key", "cut_text", "found", "kept", "id"]
+    df = spark.createDataFrame([(i, t, None, "s", -1, *([7] * len(names))) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    quality, near, repeats, copies, pack = (f for _, f in corpus_pipeline.STAGES)
+    for stage in (quality, near, repeats, copies):
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and out.count() <= len(made)
+        assert stage(spark, df.limit(0), SF).count() == 0
+    assert sorted((r.doc_id or 0, r.text or "") for r in near(spark, df, SF).collect()) == sorted((i or 0, t or "") for i, t in dict.fromkeys(made))
+    left = repeats(spark, df, SF).collect()
+    assert len(left) == len(made) - 1 and {r.text for r in left} <= {t or "" for _, t in made} | {r.text for r in left if r.doc_id in (1, 2, 5)} and all(r.kept == 7 for r in left)
+    pieces = pack(spark, df, SF).collect()
+    assert len([r for r in pieces if not r.piece]) == len(made)

@@ -100,3 +100,13 @@ def test_ranks_follow_training_counts_only(spark, monkeypatch):
 
 def test_table_grows_with_training_tokens():
     assert [M.row_bits(n) for n in (0, 10**6, 10**9, 10**10)] == [13, 13, 15, 17]
+
+
+def test_held_out_texts_change_no_other_score(spark):
+    docs = made(11, 150)
+    split = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    score = lambda d: {r.doc_id: r for r in M.score_texts(spark.createDataFrame(list(d.items()), "doc_id long, text string").repartition(3, "doc_id"), split).collect()}
+    changed = {i: t if learned(i) or i % 2 else "other words " * 70 for i, t in docs.items()}
+    one, two = score(docs), score(changed)
+    same = [i for i in docs if docs[i] == changed[i]]
+    assert len(same) < len(docs) and all(abs(one[i].score - two[i].score) < 1e-4 * one[i].n_tokens and one[i].base_score == two[i].base_score for i in same)

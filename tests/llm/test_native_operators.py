@@ -74,3 +74,12 @@ def test_licenses(spark):
     mangled = spark.createDataFrame([(1, "Permission is hereby granted, free of any charge, to any person obtaining one copy of this software and associated documentation")], "doc_id long, text string")
     assert license_scan.scan_licenses(mangled).first().labels == "mit"
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_long_templates(spark):
+    words = [f"t{i}" for i in range(200)]
+    templates = (license_scan.Template("long", " ".join(words)), license_scan.Template("exact", " ".join(words[:150]), True))
+    docs = {1: " ".join(words), 2: " ".join(words[:140] + ["other"] * 3 + words[145:]), 3: " ".join(words[:90]), 4: "x " * 20 + " ".join(words[:150])}
+    df = spark.createDataFrame([(str(i), t) for i, t in docs.items()], "doc_id string, text string")
+    got = {r.doc_id: (r.labels, r.base_labels, r.first_word) for r in license_scan.scan_licenses(df, templates=templates).collect()}
+    assert got == {"1": ("exact,long", "exact", 0), "2": ("long", "", None), "3": ("", "", None), "4": ("exact,long", "exact", 20)}

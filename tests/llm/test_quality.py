@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality
 from tessera.llm import text_kernels as K
@@ -69,3 +71,23 @@ def test_calibration_of_classes_far_apart():
         slope, shift = quality._platt(margin, y)
         p = 1 / (1 + np.exp(-(slope * margin + shift)))
         assert slope > 0 and p[y > 0].mean() > p[y == 0].mean() and abs(p.mean() - y.mean()) < 0.02
+
+
+@pytest.mark.parametrize(("sf", "low", "toxic"), [("sf0.01", 0.5, 0.45), ("sf0.1", 0.9, 0.85)])
+def test_held_out_labels(spark, sf, low, toxic):
+    """Fitted on one half of the labelled documents: the share of bad ones in the other half that go, and of good ones that stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    model = quality.train_quality(docs.select("doc_id", "text"), labels.filter(half == 0))
+    rows = quality.score_quality(docs.select("doc_id", "text").join(labels.filter(half == 1), "doc_id"), model, with_text=False).collect()
+    gone = lambda some: np.mean([not r.kept for r in some])
+    assert gone([r for r in rows if r.quality == 0]) > low
+    assert gone([r for r in rows if r.toxic == 1]) > toxic
+    assert gone([r for r in rows if r.quality == 1 and r.toxic == 0 and not r.base_failed]) < 0.05
+
+
+def test_character_runs_are_code_points():
+    data, offsets = np.frombuffer("añb你x".encode() + b"yz", np.uint8), np.array([0, 8, 8, 10])
+    got = [(data[a:b].tobytes().decode(), int(d)) for a, b, d in zip(*next(quality.character_runs(data, offsets, [3])))]
+    assert got == [("añb", 0), ("ñb你", 0), ("b你x", 0)]
+    assert [bytes(data[a:b]).decode() for a, b, _ in zip(*next(quality.character_runs(data, offsets, [2])))] == ["añ", "ñb", "b你", "你x", "yz"]
