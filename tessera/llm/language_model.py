@@ -186,6 +186,7 @@ class _Counts:
         self.w, self.first = Weights.unpack(flat), first
         self.table = self.w.classes.size
         self.seen, self.expected = (np.zeros((2, self.table), np.float32) for _ in range(2))
+        self.marked, self.place = np.zeros(len(self.w.classes), bool), np.zeros(len(self.w.classes), np.int64)
 
     def _bins(self, to: np.ndarray, rows: np.ndarray, column: np.ndarray) -> None:
         to += np.bincount((rows * WIDTH + column[:, None]).reshape(-1), minlength=self.table)
@@ -197,8 +198,12 @@ class _Counts:
         whole = np.rint(p * np.float32(UNIT))
         pairs, columns = (whole[:, :half].astype(float) * LANE + whole[:, half:]).reshape(-1), np.arange(half)
         for j in range(rows.shape[1]):
-            found, at = np.unique(rows[:, j], return_inverse=True)
-            sums = np.bincount((at[:, None] * half + columns).reshape(-1), pairs, len(found) * half).reshape(-1, half)
+            own = rows[:, j]
+            self.marked[own] = True
+            found = np.flatnonzero(self.marked)
+            self.marked[found] = False
+            self.place[found] = np.arange(0, len(found) * half, half)
+            sums = np.bincount((self.place[own][:, None] + columns).reshape(-1), pairs, len(found) * half).reshape(-1, half)
             high = np.floor(sums / LANE)
             table[found] += np.concatenate([high, sums - high * LANE], 1) / UNIT
 
