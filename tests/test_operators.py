@@ -488,3 +488,47 @@ def test_whole_queries_keep_every_clip(spark):
     assert {r.doc_id for r in q["set_difference"](spark, sf).collect()} == ids("documents") - ids("labels")
     clips = lambda df: {(r.clip, r.expert) for r in df.select("clip", "expert").distinct().collect()}
     assert clips(q["report_json"](spark, sf)) == clips(T.features(spark, sf))
+
+
+def test_detector_fits_saves_and_scores_audio(spark, tmp_path):
+    from tessera.operators import detector as D
+    from tessera.operators import learning as L
+
+    rng = random.Random(1)
+    rows = [(f"f{i}.wav", i % 2, f"sys{i % 6}", f"spk{i % 5}", [rng.gauss(1.5 * (i % 2), 1) for _ in range(4)], [rng.gauss(0.8 * (i % 2), 1)] * 99) for i in range(160)]
+    df = spark.createDataFrame(rows, "clip string, y int, system string, speaker string, a array<double>, b array<double>")
+    clips = df.select("clip", "y", "system", "speaker", L.dense("a").alias("ssl"), L.dense("b").alias("spec"))
+    fitted = D.fit_detector(clips)
+    assert min(fitted.fusion.coefficients) >= 0 and 0 <= fitted.analyst <= 1
+    scored = fitted.predict(clips)
+    assert metrics.auc(metrics.score_counts(scored, "y", "probability")).first().auc > 0.85
+    fitted.save(str(tmp_path / "d"))
+    again = {r.clip: r.probability for r in D.Detector.load(str(tmp_path / "d")).predict(clips).collect()}
+    assert all(math.isclose(again[r.clip], r.probability, rel_tol=1e-9) for r in scored.collect())
+    (tmp_path / "audio").mkdir()
+    for name, content in (("f0.wav", wav([1000, -1000] * 4000)), ("f1.wav", b"broken"), ("new.wav", wav([5] * 9000))):
+        (tmp_path / "audio" / name).write_bytes(content)
+    files = readers.audio_files(spark, str(tmp_path / "audio"), strict=True, content=True)
+    out = {r.filename: r for r in D.score_audio(files, fitted, clips.select(F.col("clip").alias("filename"), "ssl")).collect()}
+    assert out["f0.wav"].error is None and 0 < out["f0.wav"].score < 1
+    assert out["f1.wav"].error.startswith("only PCM") and out["new.wav"].error == "no learned features" and out["new.wav"].score == fitted.default_score
+
+
+def test_caches(spark, tmp_path):
+    from tessera.operators import calibration as C
+    from tessera.sources import caches
+
+    rows = spark.createDataFrame([("u", [1.0], [2.0], 1, "s", "k", "c", "p")], "uid string, ssl array<double>, spec array<double>, label int, system string, speaker string, source string, partition string")
+    caches.write_features(rows, str(tmp_path / "f"), "m", "train")
+    assert [(r.uid, r.set) for r in caches.read_features(spark, str(tmp_path / "f"), "m", ["train"]).collect()] == [("u", "train")]
+    with pytest.raises(FileNotFoundError):
+        caches.read_features(spark, str(tmp_path / "f"), "m", ["train", "dev"])
+    cal = C.Calibration({"|e": C.Model(np.array([1.0]), np.array([2.0]), np.array([0.5]), 0.25), "0|e": C.Model(np.zeros(1), np.ones(1), np.ones(1), 0.0)}, {"": {"e": 1.5}}, {"": -0.5})
+    caches.write_calibration(spark, cal, str(tmp_path / "c"))
+    got = caches.read_calibration(spark, str(tmp_path / "c"))
+    assert got.weights == cal.weights and got.bias == cal.bias and set(got.models) == set(cal.models) and got.models["|e"].coef.tolist() == [0.5] and got.models["|e"].intercept == 0.25
+    schema = "path string, findings map<string,struct<score:double>>, trace array<struct<expert:string,action:string>>"
+    cached = spark.createDataFrame([("a", {"x": (0.1,), "y": (0.2,)}, [("x", "run")]), ("b", {"x": (0.3,)}, [("x", "skip")]), ("c", {"y": (0.4,)}, [("x", "error")])], schema)
+    again = spark.createDataFrame([(p, (0.9,)) for p in "abc"], "path string, finding struct<score:double>")
+    out = {r.path: {k: v.score for k, v in r.findings.items()} for r in caches.refresh_findings(cached, "x", again).collect()}
+    assert out == {"a": {"x": 0.9, "y": 0.2}, "b": {"x": 0.3}, "c": {"x": 0.9, "y": 0.4}}
