@@ -67,7 +67,7 @@ def length_grids(n: Column, rate: Column, grids: list[tuple[int, int]] = GRIDS)
     hits = []
     for native, hop in grids:
         grid = lit(hop) * rate / lit(native)
-        offset = n - F.bround(n / grid, 0) * grid
+        offset = n - F.rint(n / grid) * grid
         own = F.when((n % hop) == 0, F.lit(f"{native}/{hop}"))
         other = F.when(F.abs(offset) <= lit(1.2), F.lit(f"{native}/{hop}~"))
         hits.append(F.when((n > 0) & (rate > 0) & (n >= lit(8 * hop) * rate / lit(native)), F.when(rate == native, own).otherwise(other)))
