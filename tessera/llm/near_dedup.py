@@ -197,7 +197,7 @@ def _as_links(stars: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles long, component_id, kept boolean), one row for each id.
+    """(id, n_shingles long, component_id, kept boolean), one row for each row of ``docs``.
 
     A document's set has its distinct shingles of ``k`` lower-cased words; a text with fewer words
     is one shingle; null texts and texts without words are empty and linked with nothing. Two
