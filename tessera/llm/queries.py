@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, language_model, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, url_filter
+from tessera.llm import decontamination, language_model, license_scan, near_dedup, packing, prefix_trie, quality, sharding, suffix_dedup, token_counts, url_filter
 from tessera.llm.tables import table
 
 PERSONAL = r"[\w.+-]+@[\w-]+\.[\w.]+|\d[\d -]{5,}\d"
@@ -66,6 +66,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.branched(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_url_filters": op9_url_filters,
         "op10_license_scans": op10_license_scans,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
@@ -96,6 +102,29 @@ least as (select x, min(y) as component_id from reach group by x)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sizes join least on doc_id = x"""
 
 
+#: Nodes are named by the digests of all their turns' digests; each node is counted at all prefixes of its smallest member.
+TRIE_SQL = r"""with turns as (
+    select conv_id, role, txt, row_number() over (partition by conv_id order by turn nulls first, d) - 1 as pos, d
+    from (select *, sha256(len(role) || ':' || role || ':' || txt) as d from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as txt from conversations where conv_id is not null))),
+convs as (select conv_id, conv_id - conv_id % 5 as head_id, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+    flatten(list_transform(string_split(conv_id::varchar, ''), lambda b: [ascii(b)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) % 9 as h from (select distinct conv_id from turns)),
+heads as (select c.conv_id, c.head_id, c.h, least(c.h, count(t.conv_id)) as taken from convs c left join turns t on t.conv_id = c.head_id group by c.conv_id, c.head_id, c.h),
+built as materialized (
+    select c.conv_id, t.pos, t.txt, t.d from heads c join turns t on t.conv_id = c.head_id and t.pos < c.h
+    union all select c.conv_id, t.pos - c.h + c.taken, t.txt, t.d from heads c join turns t on t.conv_id = c.conv_id and t.pos >= c.h),
+named as materialized (
+    select conv_id, pos + 1 as depth, strlen(txt) as n_bytes, sha256(string_agg(d, '') over (partition by conv_id order by pos)) as node,
+        coalesce(sha256(string_agg(d, '') over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding)), 'root') as parent from built
+    union all select conv_id, 0, 0, 'root', null from convs),
+nodes as materialized (select node, min(conv_id) as conv_id, min(depth) as depth, min(parent) as parent, min(n_bytes) as n_bytes, count(*) as n_convs from named group by node),
+childs as (select parent, count(*) as n_children from nodes group by parent),
+counted as materialized (select n.*, coalesce(n_children, 0) as n_children from nodes n left join childs c on c.parent = n.node),
+sums as (select r.node, sum((n.n_children = 0)::int) as n_leaves, sum((n.n_convs - 1) * n.n_bytes) as saved_tokens from counted n join named r on r.conv_id = n.conv_id and r.depth <= n.depth group by r.node),
+ends as (select node, string_agg(conv_id::varchar, ',' order by conv_id) as ids from (select conv_id, max_by(node, depth) as node from named group by conv_id) group by node)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from counted n join sums s on s.node = n.node left join counted p on p.node = n.parent left join ends e on e.node = n.node"""
+
+
 def _sharding_sql() -> str:
     slots = ", ".join(map(str, sharding.fill_table(SHARDS)))
     slot = f"(('0x' || substring(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % {sharding.SIZE})::int"
@@ -113,5 +142,5 @@ def _url_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op2_minhash": NEAR_SQL, "op3_sharding": _sharding_sql(), "op9_url_filters": _url_sql()}
+    out = {"op2_minhash": NEAR_SQL, "op3_sharding": _sharding_sql(), "op9_url_filters": _url_sql(), "op11_prefix_trie": TRIE_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
