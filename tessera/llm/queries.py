@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, language_model, license_scan, near_dedup, packing, prefix_trie, quality, sharding, suffix_dedup, token_counts, url_filter
+from tessera.llm import clustering, decontamination, language_model, license_scan, near_dedup, packing, passage_quality, prefix_trie, quality, sharding, suffix_dedup, token_counts, url_filter
 from tessera.llm.tables import table
 
 PERSONAL = r"[\w.+-]+@[\w-]+\.[\w.]+|\d[\d -]{5,}\d"
@@ -71,6 +71,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, convs)
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.yinyang_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = passage_quality.train_passage_quality(docs, table(spark, sf_dir, "labels"), fold("id") != 0)
+    out = passage_quality.score_passage_quality(docs, model, with_text=False)
+    return out.withColumn("held_out", fold("doc_id") == 0).select("doc_id", "held_out", "score", "predicted", "n_passages", "top_passage", "top_attention")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -85,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filters": op9_url_filters,
         "op10_license_scans": op10_license_scans,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_quality_classifier": op13_quality_classifier,
     }
 
 
@@ -125,6 +139,24 @@ select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children,
 from counted n join sums s on s.node = n.node left join counted p on p.node = n.parent left join ends e on e.node = n.node"""
 
 
+def _clusters_sql(rounds: int = 3, k: int = 16, size: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = [
+        f"""v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+            where len(embedding) = {size} and len(list_filter(embedding, lambda x: isfinite(x))) = {size})""",
+        f"c0 as materialized (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) - 1 as cluster, v as c from v qualify row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) <= {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (select r, vec_id, v, cluster, distance from (select *, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance from v cross join c{i})
+            qualify row_number() over (partition by r order by distance, cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i} as (select cluster, j, sum(v[j])::bigint as s, count(*) as n from a{i} cross join range(1, {size + 1}) as t(j) group by all),
+            f{i} as (select cluster, list((s - ((s % n) + n) % n) // n order by j) as c from m{i} group by cluster),
+            c{i + 1} as materialized (select cluster, coalesce(f.c, o.c) as c from c{i} o left join f{i} f using (cluster))""")
+    return f"""with {", ".join(parts)} select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+        sha256(array_to_string(c, ',')) as centroid_sha256 from a{rounds} join c{rounds} using (cluster)"""
+
+
 def _sharding_sql() -> str:
     slots = ", ".join(map(str, sharding.fill_table(SHARDS)))
     slot = f"(('0x' || substring(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % {sharding.SIZE})::int"
@@ -142,5 +174,5 @@ def _url_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op2_minhash": NEAR_SQL, "op3_sharding": _sharding_sql(), "op9_url_filters": _url_sql(), "op11_prefix_trie": TRIE_SQL}
+    out = {"op2_minhash": NEAR_SQL, "op3_sharding": _sharding_sql(), "op9_url_filters": _url_sql(), "op11_prefix_trie": TRIE_SQL, "op12_centroid_clustering": _clusters_sql()}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
