@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 P_SPOOF, C_MISS, C_FA = 0.5, 1.0, 4.0
 TEST_PRIOR = 0.30
 ALERT = 0.8
-#: (native rate, hop) pairs whose frame grids a clip's length is tested against.
+#: Fixed values: (native rate, hop) pairs whose frame grids a clip's length is tested against.
 GRIDS = [(22050, 256), (22050, 512), (22050, 300), (24000, 256), (24000, 300), (24000, 240), (16000, 200), (16000, 256), (16000, 320), (44100, 512), (48000, 480)]
 
 
@@ -45,8 +45,12 @@ def detector_verdict(p: Column, analyst: Column, as_coded: Column) -> Column:
     return F.when(p >= a, "synthetic").when(p >= c, "uncertain").otherwise("bona fide")
 
 
+#: The least probability of each verdict, and its words.
+VERDICTS = ((ALERT, "likely synthetic"), (0.5, "suspicious, below the alert threshold"), (0.2, "inconclusive, leaning real"), (None, "likely real"))
+
+
 def forensic_verdict(p: Column) -> Column:
-    return F.when(p >= lit(ALERT), "likely synthetic").when(p >= lit(0.5), "suspicious, below the alert threshold").when(p >= lit(0.2), "inconclusive, leaning real").otherwise("likely real")
+    return F.coalesce(*(F.lit(words) if least is None else F.when(p >= lit(least), words) for least, words in VERDICTS))
 
 
 def robust_z(value: Column, median: Column, spread: Column) -> Column:
@@ -85,6 +89,17 @@ def peak_normalize(x: Column, peak: float = 0.95) -> Column:
     return F.when(top < lit(1e-9), x).otherwise(F.transform(x, lambda v: v * (lit(peak) / top)))
 
 
+def three_digits(x: Column) -> Column:
+    """A finite number by three significant digits without closing zeros, with an exponent below 1e-4 and from 1000 on."""
+    parts = F.split(F.format_string("%.2e", x), "e")
+    mantissa, power = parts[0], parts[1].cast("int")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    rounded = F.concat_ws("e", parts[0], parts[1]).cast("double")
+    plain = F.coalesce(*(F.when(power == p, bare(F.format_string(f"%.{2 - p}f", rounded))) for p in range(-4, 3)))
+    scientific = F.concat(bare(mantissa), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").otherwise(F.coalesce(plain, scientific))
+
+
 def report_id(path: Column) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
     return F.concat(F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_"), 1, 80), F.lit("."), F.sha2(path, 256))

@@ -27,30 +27,33 @@ MEANING = {
     "lead_silence_s": "leading silence",
     "trail_silence_s": "trailing silence",
 }
-#: Names of speech synthesis tools. The last one names too many other things to count by itself.
+#: What the numbered features mean, by the pattern of their names, with places for its parts.
+CEPSTRAL = {("", "mean"): "average of %s", ("", "std"): "variation over time of %s", ("d", "std"): "frame-to-frame jitter of %s"}
+COEFFICIENT = "cepstral coefficient %s (spectral envelope detail)"
+BAND = {"mean": "share of energy in the %s-%s Hz band", "std": "variability of energy in the %s-%s Hz band"}
+#: Names of speech synthesis tools, and the one that names too many other things to count.
 SYNTH_TOOLS = (
     "elevenlabs", "play.ht", "playht", "coqui", "xtts", "tortoise", "bark", "openvoice", "tacotron", "fastspeech", "vits", "espnet", "resemble",
-    "murf", "wellsaid", "polly", "wavenet", "text-to-speech", "voicebox", "speechify", "descript", "rvc", "so-vits",
+    "murf", "wellsaid", "polly", "wavenet", "text-to-speech", "tts", "voicebox", "speechify", "descript", "rvc", "so-vits",
 )
+NO_EVIDENCE = "tts"
 #: Tags that come from the file system and say nothing about the content.
 FILE_TAGS = ("SourceFile", "FileName", "Directory", "FileSize", "FileModifyDate", "FileAccessDate", "FileInodeChangeDate", "FilePermissions", "FileType", "FileTypeExtension", "MIMEType", "ExifToolVersion")
 
 
 def describe_feature(name: Column) -> Column:
     """The meaning of a feature's name; a name that isn't known stands for itself."""
-    cepstral = r"^(d?)lfcc(\d+)_(mean|std)$"
-    band = r"^band_(\d+)_(\d+)_(mean|std)$"
+    cepstral, band = r"^(d?)lfcc(\d+)_(mean|std)$", r"^band_(\d+)_(\d+)_(mean|std)$"
     part = lambda pattern, i: F.regexp_extract(name, pattern, i)
-    of_what = F.concat(F.lit("cepstral coefficient "), part(cepstral, 2), F.lit(" (spectral envelope detail)"))
-    how = F.when(part(cepstral, 1) == "d", "frame-to-frame jitter of ").when(part(cepstral, 3) == "mean", "average of ").otherwise("variation over time of ")
-    share = F.when(part(band, 3) == "mean", "share of energy").otherwise("variability of energy")
-    in_band = F.concat(share, F.lit(" in the "), part(band, 1), F.lit("-"), part(band, 2), F.lit(" Hz band"))
     known = F.create_map(*(F.lit(x) for item in MEANING.items() for x in item))
-    return F.coalesce(F.try_element_at(known, name), F.when(name.rlike(cepstral), F.concat(how, of_what)).when(name.rlike(band), in_band).otherwise(name))
+    coefficient = F.format_string(COEFFICIENT, part(cepstral, 2))
+    made = [F.when((part(cepstral, 1) == d) & (part(cepstral, 3) == stat), F.format_string(words, coefficient)) for (d, stat), words in CEPSTRAL.items()]
+    made += [F.when(part(band, 3) == stat, F.format_string(words, part(band, 1), part(band, 2))) for stat, words in BAND.items()]
+    return F.coalesce(F.try_element_at(known, name), *made, name)
 
 
 def synth_tools(tags: Column) -> Column:
     """Sorted names of tools that begin a word of the values of a map of embedded tags."""
     own = F.map_filter(tags, lambda k, v: ~k.isin(*FILE_TAGS) & v.isNotNull())
     text = F.concat(F.lit(" "), F.lower(F.array_join(F.map_values(own), " ")))
-    return F.array_sort(F.filter(F.array(*map(F.lit, SYNTH_TOOLS)), lambda t: F.contains(text, F.concat(F.lit(" "), t))))
+    return F.array_sort(F.filter(F.array(*map(F.lit, SYNTH_TOOLS)), lambda t: (t != NO_EVIDENCE) & F.contains(text, F.concat(F.lit(" "), t))))

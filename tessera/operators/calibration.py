@@ -1,57 +1,77 @@
 """Calibration of experts on labelled clips: logistic models, out-of-fold scores, fusion weights, nested validation.
 
 All models of one kind, for every expert and every set of folds that they leave out, are fitted
-together: each Newton round is one pass over the rows, in which a task adds up gradients and
-curvatures for every model, and only these sums (some hundred numbers for each model) reach the driver.
+together: rows are written once, each with its fold, and a Newton round is one pass over them, in which a task adds up
+gradients and curvatures for every model; only these sums (some hundred numbers for each model) reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import clip, finite, lit, logit, sigmoid
 from tessera.operators import metrics
 from tessera.operators.learning import grouped_folds
+from tessera.operators.running import percentiles
+from tessera.sources.store import kept
 
-#: Inverse penalties of the experts' models and of the fusion, clips that an expert's model needs, rounding.
+#: Inverse penalties of the experts' models and of the fusion, clips that an expert's model needs, rounding,
+#: weights of experts whose score is not fitted here, and the only backend whose speaker measurements are calibrated.
 EXPERT_C, FUSION_C, LEAST_CLIPS, WEIGHT_PLACES = 0.3, 1.0, 20, 4
+FIXED_WEIGHTS = {"container": 1.0, "deep": 1.0}
+SPEAKER_BACKEND = "wavlm-xvector"
+#: Experts of unfitted score whose evidence counts in validation; deep scores say nothing of the folds they come from.
+VALIDATED = ("container",)
 ROUNDS, CONVERGED = 50, 1e-9
 LIMIT = 6.0
 
 
 class Model(NamedTuple):
-    """sigmoid(intercept + coef . z), z the standardised features, cut at LIMIT; a missing one is 0."""
+    """sigmoid(intercept + coef . z), z the standardised features, cut at LIMIT; a missing one is 0. ``median`` and ``spread``
+    are those of real clips."""
 
     mean: np.ndarray
     scale: np.ndarray
     coef: np.ndarray
     intercept: float
+    median: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
 
-def _sums(rows: DataFrame, of_model) -> dict[str, np.ndarray]:
-    """For each model the vector of sums over its rows (model string, x array<double>, y int): ``of_model(model, x, y)``."""
+#: For each model the kind of rows that it learns from and the folds that it leaves out.
+Members = dict[str, tuple[str, frozenset[int]]]
+
+
+def _sums(rows: DataFrame, members: Members, of_model: Callable[[str, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+    """For each model the vector of sums over its rows (kind string, fold long, x array<double>, y int): ``of_model(model, x, y)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = np.array(batch.column("model").to_pylist())
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-            for m in np.unique(names):
-                own = np.flatnonzero(names == m)
-                table = np.array([[np.nan if v is None else v for v in x[i]] for i in own], float)
-                total[m] = total.get(m, 0.0) + of_model(m, table, y[own])
+            kinds = np.array(batch.column("kind").to_pylist())
+            folds, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "y"))
+            for kind in np.unique(kinds):
+                own = np.flatnonzero(kinds == kind)
+                x = batch.column("x").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                for m, (of, left_out) in members.items():
+                    if of == kind:
+                        some = ~np.isin(folds[own], list(left_out))
+                        if some.any():
+                            total[m] = total.get(m, 0.0) + of_model(m, x[some], y[own][some].astype(float))
         for m, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([m] * len(v)), pa.array(np.arange(len(v)), pa.int64()), pa.array(v)], ["model", "place", "value"])
 
     out: dict[str, np.ndarray] = {}
-    for r in rows.select("model", "x", "y").mapInArrow(run, "model string, place long, value double").groupBy("model", "place").agg(F.sum("value").alias("v")).orderBy("model", "place").collect():
+    found = rows.filter(F.col("kind").isin(sorted({k for k, _ in members.values()}))).select("kind", "fold", "x", "y").mapInArrow(run, "model string, place long, value double")
+    for r in found.groupBy("model", "place").agg(F.sum("value").alias("v")).orderBy("model", "place").collect():
         out[r["model"]] = np.append(out.get(r["model"], np.zeros(0)), r["v"])
     return out
 
@@ -66,14 +86,14 @@ def _standard(mean: np.ndarray, scale: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip((np.where(np.isfinite(x), x, mean) - mean) / scale, -LIMIT, LIMIT)
 
 
-def fit_models(rows: DataFrame, c: float, standardise: bool = True) -> dict[str, Model]:
-    """Logistic regressions with a penalty of |coef|^2 / (2 c) and classes that weigh the same, for rows (model, x, y).
-
-    Models with one class only, or fewer than LEAST_CLIPS rows, are left out.
-    """
-    found = {m: v for m, v in _sums(rows, _moments).items() if v[0] >= LEAST_CLIPS and 0 < v[1] < v[0]}
+def fit_models(rows: DataFrame, c: float, members: Members, standardise: bool = True) -> tuple[dict[str, Model], dict[str, int]]:
+    """Logistic regressions with a penalty of |coef|^2 / (2 c) and classes that weigh the same, for rows (kind, fold, x, y), and the
+    number of rows of each. Models of one class only are left out."""
+    sums = _sums(rows, members, _moments)
     models, weights = {}, {}
-    for m, v in found.items():
+    for m, v in sums.items():
+        if not 0 < v[1] < v[0]:
+            continue
         n, total, square = v[2:].reshape(3, -1)
         mean = total / np.maximum(n, 1)
         scale = np.sqrt(np.maximum(square / np.maximum(n, 1) - mean**2, 0))
@@ -95,7 +115,7 @@ def fit_models(rows: DataFrame, c: float, standardise: bool = True) -> dict[str,
             w = np.where(y > 0, weights[m][1], weights[m][0])
             return np.concatenate([z.T @ (w * (p - y)), ((z * (w * p * (1 - p))[:, None]).T @ z).reshape(-1)])
 
-        for m, v in _sums(rows.filter(F.col("model").isin(sorted(open_))), step).items():
+        for m, v in _sums(rows, {m: members[m] for m in open_}, step).items():
             beta = np.append(models[m].coef, models[m].intercept)
             d = len(beta)
             ridge = np.append(np.full(d - 1, 1 / c), 1e-9)
@@ -105,13 +125,19 @@ def fit_models(rows: DataFrame, c: float, standardise: bool = True) -> dict[str,
             models[m] = models[m]._replace(coef=beta[:-1], intercept=float(beta[-1]))
             if np.abs(move).max() < CONVERGED:
                 open_.discard(m)
-    return models
+    return models, {m: int(v[0]) for m, v in sums.items()}
+
 
+def expert_rows(features: DataFrame, names: dict[str, Sequence[str]], backends: DataFrame | None = None) -> DataFrame:
+    """(clip, expert, x): an expert's features in the order of ``names``, null where missing or not finite; clips without any are left out.
 
-def expert_rows(features: DataFrame, names: dict[str, Sequence[str]]) -> DataFrame:
-    """(clip, expert, x): an expert's features in the order of ``names``, null where missing or not finite; clips without any are left out."""
+    With ``backends`` (clip, backend), speaker features count only where they come from the calibrated backend.
+    """
     known = F.create_map(*(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for item in names.items() for v in item))
     rows = features.filter(F.col("expert").isin(*names)).withColumn("value", finite(F.col("value"))).filter("value is not null")
+    if backends is not None:
+        fit = backends.filter(F.col("backend") == SPEAKER_BACKEND).select("clip").distinct()
+        rows = rows.filter("expert != 'speaker'").unionByName(rows.filter("expert = 'speaker'").join(fit, "clip", "left_semi"))
     cells = rows.groupBy("clip", "expert", "feature").agg(F.max("value").alias("value")).groupBy("clip", "expert").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("cells"))
     return cells.select("clip", "expert", F.transform(F.element_at(known, F.col("expert")), lambda n: F.try_element_at(F.col("cells"), n)).alias("x"))
 
@@ -132,11 +158,13 @@ def score_rows(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
 
 
 class Calibration(NamedTuple):
-    """The experts' models and the fusion of one set of left-out folds ("" for none)."""
+    """For each set of left-out folds ("" for none): the experts' models ("set|expert"), fusion weights and bias, and each fitted
+    expert's AUC over its out-of-fold scores, NaN where there are too few."""
 
     models: dict[str, Model]
     weights: dict[str, dict[str, float]]
     bias: dict[str, float]
+    aucs: dict[str, dict[str, float]]
 
 
 def _sets(k: int) -> list[tuple[int, ...]]:
@@ -147,43 +175,84 @@ def _name(folds: Sequence[int]) -> str:
     return ",".join(map(str, sorted(folds)))
 
 
-def fit_calibration(rows: DataFrame, confidence: DataFrame, folds: DataFrame, k: int, nested: bool = False) -> Calibration:
-    """Models and fusion from rows (clip, expert, x), (clip, expert, confidence) and (clip, y, fold).
+def _outside(sets: Sequence[tuple[int, ...]]) -> Column:
+    """One row for each of the sets of folds that doesn't hold the row's fold."""
+    listed = F.array(*(F.struct(F.lit(_name(s)).alias("name"), F.array(*map(F.lit, s)).cast("array<long>").alias("folds")) for s in sets))
+    return F.explode(F.filter(listed, lambda s: ~F.array_contains(s["folds"], F.col("fold"))))
+
+
+def real_ranges(rows: DataFrame) -> dict[tuple[str, int], tuple[float, float]]:
+    """(median, distance of the quartiles / 1.349) of each expert's features, by place, over the real clips among rows (kind, x, y)."""
+    values = rows.filter("y = 0").select("kind", F.posexplode("x").alias("place", "value"))
+    found = percentiles(values, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["kind", "place"])
+    return {(r.kind, r.place): (r.q50, (r.q75 - r.q25) / 1.349) for r in found.collect()}
 
-    The fusion is fitted on scores that a clip gets from models fitted without its fold. With ``nested``, all
-    of it is fitted once more without each fold, whose clips then take part nowhere.
+
+def _with_ranges(model: Model, expert: str, ranges: dict[tuple[str, int], tuple[float, float]]) -> Model:
+    """Features that no real clip has keep the mean; those without a spread the scale."""
+    own = [ranges.get((expert, i), (math.nan, 0.0)) for i in range(len(model.mean))]
+    median = np.array([m if math.isfinite(m) else v for (m, _), v in zip(own, model.mean, strict=True)])
+    spread = np.array([s if s * 1.349 > 1e-9 else v for (_, s), v in zip(own, model.scale, strict=True)])
+    return model._replace(median=median, spread=spread)
+
+
+def fit_calibration(rows: DataFrame, found: DataFrame, folds: DataFrame, k: int, nested: bool = False) -> Calibration:
+    """Models and fusion from rows (clip, expert, x), findings (clip, expert, confidence) and (clip, y, fold).
+
+    An expert takes part if ``LEAST_CLIPS`` clips with features, of both classes, are there. The fusion is fitted on scores
+    that a clip gets from models fitted without its fold; container and deep evidence enters with fixed weights, which the
+    fusion doesn't learn. With ``nested``, all of it is fitted once more without each fold, whose clips then take
+    part nowhere; else the models carry medians and spreads of real clips.
     """
     sets = [s for s in _sets(k) if nested or len(s) < 2]
-    labelled = rows.join(folds, "clip")
-    listed = F.array(*(F.struct(F.lit(_name(s)).alias("name"), F.array(*map(F.lit, s)).cast("array<long>").alias("folds")) for s in sets))
-    fit = F.explode(F.filter(listed, lambda s: ~F.array_contains(s["folds"], F.col("fold"))))
-    training = labelled.withColumn("s", fit).select(F.concat_ws("|", "s.name", "expert").alias("model"), "x", "y")
-    models = fit_models(training, EXPERT_C)
-
-    # Out-of-fold rows of the fusion without the folds in ``outer``: a clip's scores come from the models without ``outer`` and its own fold.
     outers = [s for s in sets if len(s) < (2 if nested else 1)]
-    outer = F.explode(F.filter(F.array(*(F.struct(F.lit(_name(s)).alias("name"), F.array(*map(F.lit, s)).cast("array<long>").alias("folds")) for s in outers)), lambda s: ~F.array_contains(s["folds"], F.col("fold"))))
-    inner = labelled.withColumn("s", outer).withColumn("without", F.array_join(F.array_sort(F.array_append("s.folds", F.col("fold"))), ",")).withColumn("outer", F.col("s.name")).drop("s")
-    cells = score_rows(inner, models).join(confidence, ["clip", "expert"]).withColumn("cell", F.coalesce(F.col("confidence") * logit(F.col("score")), lit(0)))
-    experts = sorted({m.split("|")[1] for m in models})
+    labelled = kept(rows.join(folds, "clip").select("clip", F.col("expert").alias("kind"), F.col("fold").cast("long").alias("fold"), "y", "x"))
+    experts = sorted(r[0] for r in labelled.select("kind").distinct().collect())
+    members: Members = {f"{_name(s)}|{e}": (e, frozenset(s)) for s in sets for e in experts}
+    models, clips = fit_models(labelled, EXPERT_C, members) if experts else ({}, {})
+    able = {(_name(s), e) for s in outers for e in experts if f"{_name(s)}|{e}" in models and clips[f"{_name(s)}|{e}"] >= LEAST_CLIPS}
+
+    # Out-of-fold scores for each outer set: from the models without it and without the clip's own fold.
+    inner = labelled.withColumnRenamed("kind", "expert").withColumn("s", _outside(outers))
+    inner = inner.withColumn("without", F.array_join(F.array_sort(F.array_append("s.folds", F.col("fold"))), ",")).withColumn("outer", F.col("s.name")).drop("s")
+    ready = rows.sparkSession.createDataFrame(sorted(able), "outer string, expert string")
+    inner = inner.join(F.broadcast(ready), ["outer", "expert"], "left_semi")  # a row for each set and expert
+    scored = score_rows(inner, models).join(found.select("clip", "expert", "confidence"), ["clip", "expert"], "left")
+    cells = kept(scored.select("outer", "clip", "fold", "expert", "y", "score", F.coalesce(F.col("confidence") * logit(F.col("score")), lit(0)).alias("cell")))
+    aucs: dict[str, dict[str, float]] = {_name(s): {} for s in outers}
+    ranked = cells.filter("score is not null").withColumn("group", F.concat_ws("|", "outer", "expert"))
+    areas = {r["group"]: r["auc"] if r["auc"] is not None and r["n1"] + r["n0"] >= 4 else math.nan for r in metrics.grouped_auc(ranked, "group", "y", "score").collect()}
+    for o, e in able:
+        aucs[o][e] = areas.get(f"{o}|{e}", math.nan)
+
+    design = cells.groupBy("outer", "clip").agg(*(F.coalesce(F.max(F.when(F.col("expert") == e, F.col("cell"))), lit(0)).alias(e) for e in experts))
+    everyone = folds.withColumn("s", _outside(outers)).select(F.col("s.name").alias("outer"), "clip", "y", F.col("fold").cast("long").alias("fold"))
+    values = F.array(*(F.coalesce(e, lit(0)) for e in experts)) if experts else F.array(lit(0))
+    full = kept(everyone.join(design, ["outer", "clip"], "left").select(F.col("outer").alias("kind"), "fold", values.alias("x"), "y"))
     weights: dict[str, dict[str, float]] = {}
     bias: dict[str, float] = {}
-    if experts:
-        design = cells.groupBy("outer", "clip", "y").agg(*(F.coalesce(F.max(F.when(F.col("expert") == e, F.col("cell"))), lit(0)).alias(e) for e in experts))
-        everyone = folds.withColumn("s", outer).select(F.col("s.name").alias("outer"), "clip", "y")
-        full = everyone.join(design.drop("y"), ["outer", "clip"], "left").select(F.concat(F.lit("f|"), F.col("outer")).alias("model"), F.array(*(F.coalesce(e, lit(0)) for e in experts)).alias("x"), "y")
-        for m, f in fit_models(full, FUSION_C, standardise=False).items():
-            name = m.removeprefix("f|")
-            there = [e for e in experts if f"{name}|{e}" in models]
-            weights[name] = {e: round(float(w), WEIGHT_PLACES) for e, w in zip(experts, f.coef, strict=True) if e in there}
-            bias[name] = f.intercept
-    return Calibration(models, weights, bias)
-
-
-def calibrated(rows: DataFrame, confidence: DataFrame, calibration: Calibration, without: DataFrame | None = None) -> DataFrame:
-    """(clip, expert, score, confidence, term) under the calibration without the folds named by ``without`` (clip, without), or whole."""
+    for o, f in fit_models(full, FUSION_C, {_name(s): (_name(s), frozenset()) for s in outers}, standardise=False)[0].items():
+        weights[o] = {e: round(float(w), WEIGHT_PLACES) for e, w in zip(experts, f.coef, strict=False) if (o, e) in able} | FIXED_WEIGHTS
+        bias[o] = f.intercept
+    final = {f"{o}|{e}": models[f"{o}|{e}"] for o, e in sorted(able)}
+    if not nested and final:
+        ranges = real_ranges(labelled)
+        final = {m: _with_ranges(x, m.split("|")[1], ranges) for m, x in final.items()}
+    return Calibration(final, weights, bias, aucs)
+
+
+def calibrated(rows: DataFrame, found: DataFrame, calibration: Calibration, without: DataFrame | None = None, fixed: Sequence[str] = VALIDATED) -> DataFrame:
+    """(clip, without, expert, score, confidence, term) under the calibration without the folds named by ``without`` (clip, without), or whole.
+
+    Fitted experts are scored anew from rows (clip, expert, x); those in ``fixed`` keep the score that
+    findings (clip, expert, score, confidence) give them.
+    """
     named = rows.withColumn("without", F.lit("")) if without is None else rows.join(without, "clip")
-    scores = score_rows(named, calibration.models).join(confidence, ["clip", "expert"])
+    scores = score_rows(named, calibration.models).join(found.select("clip", "expert", "confidence"), ["clip", "expert"], "left")
+    if fixed and "score" in found.columns:
+        rules = found.filter(F.col("expert").isin(*fixed)).select("clip", "expert", finite(F.col("score")).alias("score"), "confidence")
+        rules = rules.withColumn("without", F.lit("")) if without is None else rules.join(without, "clip")
+        scores = scores.select("clip", "expert", "without", "score", "confidence").unionByName(rules)
     pairs = [(o, e, w) for o, own in calibration.weights.items() for e, w in own.items()]
     weights = rows.sparkSession.createDataFrame(pairs, "without string, expert string, weight double")
     weighted = scores.join(F.broadcast(weights), ["without", "expert"], "left")
@@ -198,33 +267,82 @@ def fused(terms: DataFrame, clips: DataFrame, calibration: Calibration) -> DataF
     return joined.select("clip", "y", sigmoid(F.coalesce("bias", lit(0)) + F.coalesce("total", lit(0))).alias("probability"))
 
 
-def held_out(rows: DataFrame, confidence: DataFrame, labels: DataFrame, group: str = "clip", count: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(clip, y, probability) and its terms (clip, expert, score, confidence, term), every clip scored by models and a
-    fusion that were fitted without its fold; folds keep the rows of one ``group`` together. ValueError with fewer than two folds."""
-    folds = grouped_folds(labels, group, "y", count).select("clip", "y", F.col("fold").cast("long").alias("fold"))
+def dealt(labels: DataFrame, group: str = "clip", count: int = 5) -> DataFrame:
+    """(clip, y, fold) of labels (clip, y, group): rows of one ``group`` share a fold. ValueError with fewer than two folds."""
+    return grouped_folds(labels, group, "y", count).select("clip", "y", F.col("fold").cast("long").alias("fold"))
+
+
+class HeldOut(NamedTuple):
+    """Clips that were each scored by models and a fusion fitted without their fold: (clip, y, probability), its terms
+    (clip, without, expert, score, confidence, term), the folds (clip, y, fold), and the calibrations."""
+
+    scored: DataFrame
+    terms: DataFrame
+    folds: DataFrame
+    calibration: Calibration
+
+
+def held_out(rows: DataFrame, found: DataFrame, labels: DataFrame, group: str = "clip", count: int = 5, folds: DataFrame | None = None, fixed: Sequence[str] = VALIDATED) -> HeldOut:
+    """Nested validation; ``folds`` (clip, y, fold) in place of those dealt from labels (clip, y, group)."""
+    folds = kept(dealt(labels, group, count) if folds is None else folds.select("clip", "y", F.col("fold").cast("long").alias("fold")))
     k = folds.agg(F.max("fold")).first()[0] + 1
-    calibration = fit_calibration(rows, confidence, folds, k, nested=True)
+    calibration = fit_calibration(rows, found, folds, k, nested=True)
     clips = folds.select("clip", "y", F.col("fold").cast("string").alias("without"))
-    terms = calibrated(rows, confidence, calibration, clips.select("clip", "without"))
-    return fused(terms, clips, calibration), terms
+    terms = kept(calibrated(rows, found, calibration, clips.select("clip", "without"), fixed))
+    return HeldOut(fused(terms, clips, calibration), terms, folds, calibration)
+
+
+def _by_expert(scored: DataFrame, terms: DataFrame, experts: Sequence[str], value: str) -> DataFrame:
+    """``scored`` with one column for each expert: the ``value`` of its term, null without one."""
+    own = terms.groupBy("clip").agg(*(F.max(F.when(F.col("expert") == e, F.col(value))).alias(f"_{e}") for e in experts))
+    return scored.join(own, "clip", "left")
 
 
-def omission_drops(scored: DataFrame, terms: DataFrame) -> DataFrame:
-    """(expert, auc_drop): the AUC of (clip, y, probability) less the AUC without the expert's terms, rounded to four places."""
-    experts = [r[0] for r in terms.select("expert").distinct().orderBy("expert").collect()]
-    own = terms.groupBy("clip").agg(*(F.coalesce(F.sum(F.when(F.col("expert") == e, F.col("term"))), lit(0)).alias(e) for e in experts))
+def _experts_of(terms: DataFrame) -> list[str]:
+    return [r[0] for r in terms.select("expert").distinct().orderBy("expert").collect()]
+
+
+def omission_drops(scored: DataFrame, terms: DataFrame, experts: Sequence[str] | None = None) -> DataFrame:
+    """(expert, auc_drop): the AUC of (clip, y, probability) less the AUC without the expert's terms, rounded to four places.
+
+    The terms of held-out clips leave the other experts and the fusion as fitted. An expert without terms drops nothing.
+    """
+    experts = list(experts) if experts is not None else _experts_of(terms)
     # The order of log-odds is that of probabilities; sums are rounded, so that equal ones stay equal.
-    rows = scored.join(own, "clip", "left").withColumn("_all", F.log(F.col("probability") / (lit(1) - F.col("probability"))))
-    cases = F.array(F.struct(F.lit("").alias("expert"), F.round("_all", 9).alias("p")), *(F.struct(F.lit(e).alias("expert"), F.round(F.col("_all") - F.coalesce(e, lit(0)), 9).alias("p")) for e in experts))
-    found = metrics.grouped_auc(rows.select("y", F.explode(cases).alias("c")).select("y", "c.*"), "expert")
-    whole = found.filter("expert = ''").select(F.col("auc").alias("whole"))
-    return found.filter("expert != ''").join(F.broadcast(whole), how="cross").select("expert", F.round(F.col("whole") - F.col("auc"), 4).alias("auc_drop"))
-
-
-def transfer(train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame, DataFrame], count: int = 5) -> DataFrame:
-    """(clip, y, probability) of the test set under the calibration of another set; both are (rows, confidence, labels)."""
-    rows, confidence, labels = train
-    folds = grouped_folds(labels, "clip", "y", count).select("clip", "y", F.col("fold").cast("long").alias("fold"))
-    calibration = fit_calibration(rows, confidence, folds, folds.agg(F.max("fold")).first()[0] + 1)
-    rows, confidence, labels = test
-    return fused(calibrated(rows, confidence, calibration), labels.select("clip", "y", F.lit("").alias("without")), calibration)
+    rows = _by_expert(scored, terms, experts, "term").withColumn("_all", F.log(F.col("probability") / (lit(1) - F.col("probability"))))
+    cases = F.array(F.struct(F.lit("").alias("expert"), F.round("_all", 9).alias("p")), *(F.struct(F.lit(e).alias("expert"), F.round(F.col("_all") - F.coalesce(f"_{e}", lit(0)), 9).alias("p")) for e in experts))
+    areas = metrics.grouped_auc(rows.select("y", F.explode(cases).alias("c")).select("y", "c.*"), "expert")
+    whole = areas.filter("expert = ''").select(F.col("auc").alias("whole"))
+    return areas.filter("expert != ''").join(F.broadcast(whole), how="cross").select("expert", F.round(F.col("whole") - F.col("auc"), 4).alias("auc_drop"))
+
+
+def expert_summaries(scored: DataFrame, terms: DataFrame, experts: Sequence[str], prior: float = metrics.P_SPOOF) -> DataFrame:
+    """(expert, auc, eer, min_dcf_nsa, min_dcf_code, metric_p_spoof, coverage) of each expert alone and, as "fused", of all.
+
+    A clip without a score of the expert counts as 0.5, so an expert without any has an AUC of 0.5. Coverage, to three places, is
+    the share of clips with a score.
+    """
+    cells = _by_expert(scored, terms, experts, "score")
+    cases = F.array(F.struct(F.lit("fused").alias("expert"), F.col("probability").alias("p")), *(F.struct(F.lit(e).alias("expert"), F.col(f"_{e}").alias("p")) for e in experts))
+    rows = kept(cells.select("y", F.explode(cases).alias("c")).select("y", "c.*"))
+    coverage = rows.groupBy("expert").agg(F.round(F.avg(F.col("p").isNotNull().cast("int")), 3).alias("coverage"))
+    return metrics.grouped_summary(rows.withColumn("p", F.coalesce("p", lit(0.5))), "expert", prior).join(F.broadcast(coverage), "expert")
+
+
+def slice_aucs(scored: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, auc): fused scores of each group's synthetic clips against all real ones, to three places; groups (clip, group)."""
+    rows = scored.join(groups, "clip")
+    names = rows.filter("y = 1").select("group").distinct()
+    real = rows.filter("y = 0").select("y", "probability").join(F.broadcast(names), how="cross")  # a row for each generator
+    some = rows.filter("y = 1").select("y", "probability", "group").unionByName(real)
+    return metrics.grouped_auc(some, "group", "y", "probability").select("group", F.round("auc", 3).alias("auc"))
+
+
+def transfer(train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame, DataFrame], count: int = 5, fixed: Sequence[str] = VALIDATED) -> tuple[DataFrame, DataFrame]:
+    """(clip, y, probability) of the test set and its terms under the calibration of another set; both are (rows, findings, labels)."""
+    rows, found, labels = train
+    folds = kept(dealt(labels, "clip", count))
+    calibration = fit_calibration(rows, found, folds, folds.agg(F.max("fold")).first()[0] + 1)
+    rows, found, labels = test
+    terms = kept(calibrated(rows, found, calibration, fixed=fixed))
+    return fused(terms, labels.select("clip", "y", F.lit("").alias("without")), calibration), terms

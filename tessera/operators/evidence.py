@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import clip, finite, forensic_verdict, lit, logit, prior_shift, sigmoid
+from tessera.functions.scalar import clip, finite, forensic_verdict, lit, logit, prior_shift, robust_z, sigmoid, three_digits
 
 #: Fixed values of the container rules.
 CONTAINER_WEIGHTS = {"synth_tool_tag": 4.0, "header_issues": 0.8, "vocoder_grid": 1.2, "timestamp_issues": 1.0, "device_claim": -0.4}
@@ -77,7 +77,21 @@ def top_terms(df: DataFrame, keys: list[str], name: str, value: str, k: int) ->
 
 def explanation(value: Column, median: Column, z: Column, contribution: Column, label: Column) -> Column:
     side = F.when(contribution > 0, "synthetic").otherwise("real")
-    return F.format_string("%s = %.3f (real median %.3f, z=%+.1f) points to %s", label, value, median, z, side)
+    return F.concat(label, F.lit(" = "), three_digits(value), F.lit(" (real median "), three_digits(median), F.format_string(", z=%+.1f) points to %s", z, side))
+
+
+def explanations(clips: DataFrame, parts: DataFrame, model: DataFrame, k: int = 2) -> DataFrame:
+    """(clip, expert, text) for each of clips (clip, expert): the ``k`` features that moved the expert's score most.
+
+    ``parts`` (clip, expert, feature, value, contribution, label) from ``contributions``; ``model`` (expert, feature, real_median,
+    real_spread, ord), whose order breaks ties. Without contributions there is no calibrated evidence.
+    """
+    rows = parts.join(model.select("expert", "feature", "real_median", "real_spread", "ord"), ["expert", "feature"])
+    z = robust_z(F.col("value"), F.col("real_median"), F.col("real_spread"))
+    text = explanation(F.col("value"), F.col("real_median"), z, F.col("contribution"), F.coalesce("label", "feature"))
+    ranked = F.struct((-F.abs("contribution")).alias("rank"), "ord", text.alias("text"))
+    named = rows.groupBy("clip", "expert").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(ranked)), 1, k), lambda r: r["text"]), "; ").alias("text"))
+    return clips.select("clip", "expert").distinct().join(named, ["clip", "expert"], "left").fillna("no calibrated evidence", ["text"])
 
 
 def design_matrix(found: DataFrame, experts: list[str]) -> DataFrame:

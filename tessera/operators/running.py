@@ -1,8 +1,8 @@
 """Running sums over a total order, without one task that sorts everything.
 
-Rows are first dealt into ranges of the leading order column whose borders are
-quantiles, known to the driver as a short list; a window sums inside each
-range, and the sums of all ranges before it are added.
+Rows are written once and counted. A few fit into one window; more are dealt into ranges of the leading order column whose
+borders are quantiles, known to the driver as a short list; a window sums inside each range, and the sums of all
+ranges before it are added.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import kept
+
 #: A range holds about so many rows; more than MOST_RANGES borders would cost each row more than they spare.
 RANGE_ROWS, MOST_RANGES = 100_000, 512
 
@@ -29,8 +31,13 @@ def running_sums(df: DataFrame, lead: str, order: Sequence[Column], values: dict
 
     The order is by the numeric column ``lead``, then ``order``, and must be total. ``ranges`` follows the number of rows.
     """
+    df = kept(df)
     ranges = ranges or min(MOST_RANGES, 1 + df.count() // RANGE_ROWS)
-    borders = sorted(set(df.stat.approxQuantile(lead, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    if ranges == 1:
+        # RANGE_ROWS rows at most, so a window without groups may put them into one task
+        upto = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy(lead, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *(F.sum(v).over(upto).alias(k) for k, v in values.items()))
+    borders = sorted(set(df.stat.approxQuantile(lead, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     dealt = df.withColumn("_range", _range_of(F.col(lead), borders))
     keys = [*groups, "_range"]
     totals = dealt.groupBy(keys).agg(*(F.sum(v).alias(f"_all_{k}") for k, v in values.items()))
@@ -48,7 +55,7 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], groups: Seq
     distinct values, so that no task holds all values of a group. Nulls don't count; NaN counts as the largest value."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     summed = running_sums(counts, "_v", [], {"_upto": "_n"}, groups=groups)
-    totals = counts.groupBy(*groups).agg(F.sum("_n").alias("n"))
+    totals = summed.groupBy(*groups).agg(F.sum("_n").alias("n"))
     rows = summed.join(totals, list(groups)) if groups else summed.join(F.broadcast(totals), how="cross")
     at = {k: F.lit(p) * (F.col("n") - 1) for k, p in points.items()}
     holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)

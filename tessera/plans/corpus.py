@@ -10,6 +10,7 @@ from tessera.operators import sampling
 from tessera.functions.wording import synth_tools
 from tessera.operators.running import percentiles
 from tessera.plans import surrogates as T
+from tessera.sources import corpora
 from tessera.sources.readers import manifest_columns
 
 
@@ -185,7 +186,23 @@ def timestamp_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "orders").select("o_orderkey", future.alias("future"), older.alias("older")).filter("future or older")
 
 
-QUERIES = {f.__name__: f for f in (manifest, set_sample_caps, composition, balanced_weights, corpus_weights, shard_rows, union_manifests, dedup_keep_first, last_wins_cache, cache_todo, meta_join, channel_percentiles, length_grids, batch_survey, own_grids, fingerprints, report_ids, catalog_search, pair_join, base_rate, tag_match, timestamp_issues)}
+def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a corpus in a Parquet file: ids, languages and sources, and the place of each row."""
+    return corpora.parquet_manifest(spark, f"{sf_dir}/documents.parquet", "docs", "docs", F.col("doc_id").cast("string"), F.col("lang"), F.col("doc_id") % 2, F.col("source"))
+
+
+def manifest_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coordinates(spark, sf_dir).drop("path")
+
+
+def late_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts of labelled documents, read by the places that their manifest gives."""
+    labels = T.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("uid"))
+    cells = corpora.cells_at(spark, _coordinates(spark, sf_dir).join(labels, "uid", "left_semi"), F.col("text"))
+    return cells.select("uid", F.sha2("content", 256).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (manifest, set_sample_caps, composition, balanced_weights, corpus_weights, shard_rows, union_manifests, dedup_keep_first, last_wins_cache, cache_todo, meta_join, channel_percentiles, length_grids, batch_survey, own_grids, fingerprints, report_ids, catalog_search, pair_join, base_rate, tag_match, timestamp_issues, manifest_coordinates, late_cells)}
 SQL = {
     "manifest": MANIFEST,
     "set_sample_caps": SAMPLE,
@@ -199,6 +216,9 @@ SQL = {
     "cache_todo": "select doc_id from documents where doc_id not in (select doc_id from labels)",
     "meta_join": f"with {T.MANIFEST} select m.uid, label as y, n_chars from manifest m join documents d on m.uid = d.doc_id where label >= 0",
     "channel_percentiles": PERCENTILES,
+    "manifest_coordinates": """select doc_id::varchar as uid, 'docs' as source, 'docs' as partition, lang as speaker, case when doc_id % 2 = 0 then 'bonafide' else source end as system, (doc_id % 2)::int as label,
+        row_number() over () - 1 as row from documents""",
+    "late_cells": "select doc_id::varchar as uid, sha256(text) as digest from documents where doc_id in (select doc_id from labels)",
     "length_grids": f"with {CLIPS} select grid, rate, count(*) as hits, sum(n)::bigint as samples from hits group by all",
     "batch_survey": f"with {CLIPS}, t as (select count(*) as files from clips) select grid, count(*) as n, files, round(count(*) / files, 6) as share, count(*) / files >= 0.6e0 as shared from hits, t group by grid, files",
     "own_grids": f"""with {CLIPS}, c as (select *, max((grid in ('16000/200', '22050/256'))::int) over (partition by l_orderkey, l_linenumber, n, rate) as any_shared from hits)

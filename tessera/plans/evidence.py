@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
-from tessera.operators import calibration
+from tessera.operators import ablation, calibration, reports
 from tessera.operators import evidence as E
 from tessera.operators import metrics as M
 from tessera.operators import routing
@@ -108,14 +110,14 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of each raw feature for returned order lines."""
-    y = T.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 7")
+    y = T.table(spark, sf_dir, "lineitem")
     rows = y.select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(c).cast("double").alias("p")) for n, c in (("quantity", "l_quantity"), ("discount", "l_discount"), ("tax", "l_tax"))))).alias("f")).select("y", "f.*")
     return M.grouped_auc(rows, "feature").select("feature", T.r6("auc", "auc"), "n1", "n0")
 
 
 AUCS = " union all ".join(
     f"""select '{n}' as feature, round((select sum(a * (coalesce(below, 0) + b / 2e0)) from (select *, sum(b) over (order by p rows between unbounded preceding and 1 preceding) as below
-    from (select {c} as p, sum((l_returnflag = 'R')::int) as a, sum((l_returnflag <> 'R')::int) as b from lineitem where l_linenumber <= 7 group by 1))) / (n1::double * n0), 6) as auc, n1::bigint as n1, n0::bigint as n0 from t"""
+    from (select {c} as p, sum((l_returnflag = 'R')::int) as a, sum((l_returnflag <> 'R')::int) as b from lineitem group by 1))) / (n1::double * n0), 6) as auc, n1::bigint as n1, n0::bigint as n0 from t"""
     for n, c in (("quantity", "l_quantity"), ("discount", "l_discount"), ("tax", "l_tax"))
 )
 
@@ -174,19 +176,155 @@ def replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of clips that were each scored by models and a fusion fitted without their fold."""
-    scored, _ = calibration.held_out(*_labelled_rows(spark, sf_dir))
+    scored = calibration.held_out(*_labelled_rows(spark, sf_dir)).scored
     return M.summary(scored.select("y", F.col("probability").alias("p")))
 
 
+FITTED = {e: ("quantity", "price", "discount") for e in T.EXPERTS[:6]}
+
+
 def _labelled_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = calibration.expert_rows(T.features(spark, sf_dir), {e: ("quantity", "price", "discount") for e in T.EXPERTS[:5]})
-    confidence = T.info(spark, sf_dir).select("clip", "expert", S.clip(F.col("confidence"), 0, 1).alias("confidence"))
-    y = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), (F.col("o_orderstatus") == "O").cast("int").alias("y"))
-    return rows, confidence, y.join(rows.select("clip").distinct(), "clip")
+    """Features, findings and labels: later orders stand for synthetic clips, container scores follow the customer."""
+    info = T.info(spark, sf_dir)
+    rows = calibration.expert_rows(T.features(spark, sf_dir), FITTED, info.filter("expert = 'speaker'").select("clip", "backend"))
+    orders = T.table(spark, sf_dir, "orders")
+    clip = F.col("o_orderkey").alias("clip")
+    rules = orders.select(clip, F.lit("container").alias("expert"), F.when(F.col("o_custkey") % 3 == 0, S.lit(0.8)).when(F.col("o_custkey") % 3 == 1, S.lit(0.4)).alias("score"), S.lit(0.6).alias("confidence"))
+    found = info.select("clip", "expert", F.lit(None).cast("double").alias("score"), S.clip(F.col("confidence"), 0, 1).alias("confidence")).unionByName(rules)
+    y = orders.select(clip, (F.col("o_orderstatus") == "O").cast("int").alias("y"))
+    return rows, found, y.join(rows.select("clip").distinct(), "clip")
+
+
+def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a calibration over all labelled clips holds of each feature, but for the coefficients."""
+    rows, found, labels = _labelled_rows(spark, sf_dir)
+    folds = calibration.dealt(labels)
+    fitted = calibration.fit_calibration(rows, found, folds, folds.agg(F.max("fold")).first()[0] + 1)
+    out = [(m[1:], f, *(round(float(v[i]), 3) for v in (x.mean, x.scale, x.median, x.spread)), fitted.weights[""]["container"]) for m, x in fitted.models.items() for i, f in enumerate(FITTED[m[1:]])]
+    return spark.createDataFrame(out, "expert string, feature string, mean double, scale double, real_median double, real_spread double, container_weight double")
+
+
+FIT_SQL = f"""with {T.FINDINGS}, r as (
+    select f.expert, f.feature, max(f.value) as value, (o_orderstatus = 'O')::int as y from fine f join info i on i.clip = f.clip and i.expert = f.expert join orders on o_orderkey = f.clip
+    where f.value is not null and f.expert <> 'deep' and (f.expert <> 'speaker' or backend = 'wavlm-xvector') group by f.clip, f.expert, f.feature, o_orderstatus)
+select expert, feature, round(avg(value), 3) as mean, round(case when stddev_pop(value) > 1e-9 then stddev_pop(value) else 1 end, 3) as scale, round(median(value) filter (y = 0), 3) as real_median,
+    round((quantile_cont(value, 0.75) filter (y = 0) - quantile_cont(value, 0.25) filter (y = 0)) / 1.349e0, 3) as real_spread, 1e0 as container_weight from r group by all"""
+
+
+def held_out_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out metrics of each expert alone, of all fused, and the drop of the AUC without the expert."""
+    held = calibration.held_out(*_labelled_rows(spark, sf_dir))
+    experts = [*FITTED, "container"]
+    drops = calibration.omission_drops(held.scored, held.terms, experts)
+    return calibration.expert_summaries(held.scored, held.terms, experts).join(F.broadcast(drops), "expert", "left")
+
+
+def held_out_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with a score of each expert, and those without, under calibrations fitted without their fold."""
+    rows, found, labels = _labelled_rows(spark, sf_dir)
+    folds = calibration.dealt(labels).withColumn("without", F.col("fold").cast("string"))
+    terms = calibration.calibrated(rows, found, calibration.fit_calibration(rows, found, folds.select("clip", "y", "fold"), folds.agg(F.max("fold")).first()[0] + 1, nested=True), folds.select("clip", "without"))
+    return terms.groupBy("expert").agg(F.count("*").alias("n"), F.count("score").alias("scored"))
 
 
-QUERIES = {f.__name__: f for f in (feature_model_scores, feature_contributions, top_reasons, robust_z, finding_build, container_rules, confidence, fused_probability, fused_unweighted, design_matrix, expert_matrix, leave_one_out, feature_aucs, coverage_fraction, experts_run, route_trace, skip_reasons, router_replay, replay_metrics, nested_validation)}
+COVERAGE_SQL = f"""with {T.FINDINGS}, clips as (
+    select distinct f.clip from fine f join info i on i.clip = f.clip and i.expert = f.expert where value is not null and f.expert <> 'deep' and (f.expert <> 'speaker' or backend = 'wavlm-xvector')),
+r as (select distinct f.clip, f.expert, 1 as score from fine f join info i on i.clip = f.clip and i.expert = f.expert where value is not null and f.expert <> 'deep' and (f.expert <> 'speaker' or backend = 'wavlm-xvector')
+    union all select o_orderkey, 'container', case o_custkey % 3 when 0 then 1 when 1 then 1 end from orders join clips on clip = o_orderkey)
+select expert, count(*) as n, count(score) as scored from r group by expert"""
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = T.table(spark, sf_dir, "orders"), F.col("o_custkey")
+    costs = {e: S.lit(float(10 * i + 5)) for i, e in enumerate(["container", *T.EXPERTS])}
+    return o.select(F.col("o_orderkey").alias("clip"), (c % 50 / 10).alias("duration_s"), (c % 31 / 10).alias("speech_s"), (c % 4 == 0).alias("lossy"), (c % 6 == 0).alias("banded"), (c % 10 == 0).alias("flags"), F.when(c % 13 == 0, "no decoder").alias("prosody_error"), *(v.alias(f"{e}_ms") for e, v in costs.items()))
+
+
+def replay_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed decisions beside all findings, each clip under the calibration fitted without its fold."""
+    held = calibration.held_out(*_labelled_rows(spark, sf_dir))
+    return routing.replay_out_of_fold(_contexts(spark, sf_dir), held)[1]
+
+
+#: Calibrations of three folds, which differ in weights, bias and escalation order.
+FOLD_ORDERS = [["splice", "speaker", "deep"], ["speaker", "splice", "deep"], ["deep", "speaker", "splice"]]
+
+
+def route_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of clips whose calibration is that of their fold; an expert that fails leaves an error."""
+    rows = [(k, {e: w * (1 + 0.1 * k) for e, w in T.WEIGHTS.items()}, T.BIAS + 0.2 * k, order) for k, order in enumerate(FOLD_ORDERS)]
+    folds = spark.createDataFrame(rows, "fold long, weights map<string,double>, bias double, order array<string>")
+    clips = _contexts(spark, sf_dir).join(routing.wide_findings(_found(spark, sf_dir)), "clip").withColumn("fold", F.col("clip") % 3)
+    out = routing.route_by(clips, folds, "fold")
+    named = lambda action: F.array_join(F.transform(F.filter("trace", lambda s: s["action"] == action), lambda s: s["expert"]), ",")
+    return out.select("clip", F.round("probability", 5).alias("probability"), named("run").alias("ran"), named("error").alias("failed"))
+
+
+FOLD_SQL = f"""with {TERMS}, w as (select lo.clip, lo.expert, coalesce(weight, 0) * (1 + 0.1e0 * (lo.clip % 3)) * cell as term from lo left join weights on lo.expert = weights.expert),
+p as (select clip, {', '.join(f"coalesce(max(term) filter (expert = '{e}'), 0) as {e}" for e in T.EXPERTS)} from w group by clip),
+c as (select o_orderkey as clip, o_orderkey % 3 as fold, o_custkey % 50 / 10e0 as dur, o_custkey % 31 / 10e0 as sp, o_custkey % 4 = 0 as lossy, o_custkey % 6 = 0 as banded, o_custkey % 10 = 0 as flags, o_custkey % 13 = 0 as bad from orders),
+a as (select p.*, fold, dur, sp, flags, lossy or banded as r1, sp >= 1 as called, sp >= 1 and not bad as r2, dur >= 2 or sp < dur - 0.3e0 as r3, fold = 0 as splice_first from c join p on c.clip = p.clip),
+b as (select *, {T.BIAS!r}::double + 0.2e0 * fold + ln(0.3e0 / 0.7e0) + spectral + case when r1 then compression else 0 end + case when r2 then prosody else 0 end + case when r3 then environment else 0 end as t0 from a),
+s as (select *, 1 / (1 + exp(-t0)) as p0 from b), s0 as (select *, p0 > 0.35e0 and p0 < 0.95e0 as u0 from s),
+s1 as (select *, case when splice_first then dur >= 1.5e0 and (u0 or flags) else sp >= 2 and u0 end as ra from s0),
+s2 as (select *, t0 + case when not ra then 0 when splice_first then splice else speaker end as t1 from s1), s3 as (select *, 1 / (1 + exp(-t1)) as p1 from s2), s4 as (select *, p1 > 0.35e0 and p1 < 0.95e0 as u1 from s3),
+s5 as (select *, case when splice_first then sp >= 2 and u1 else dur >= 1.5e0 and (u1 or flags) end as rb from s4),
+s6 as (select *, 1 / (1 + exp(-(t1 + case when not rb then 0 when splice_first then speaker else splice end))) as pr from s5)
+select clip, round(pr, 5) as probability, case when called and not r2 then 'prosody' else '' end as failed, concat_ws(',', 'container', 'spectral', case when r1 then 'compression' end, case when r2 then 'prosody' end,
+    case when r3 then 'environment' end, case when ra then case when splice_first then 'splice' else 'speaker' end end, case when rb then case when splice_first then 'speaker' else 'splice' end end) as ran from s6"""
+
+
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two strongest features of each expert's score in words."""
+    model = T.model(spark).withColumn("ord", F.when(F.col("feature") == "quantity", 0).otherwise(1))
+    parts = E.contributions(T.features(spark, sf_dir), model).withColumns({"contribution": F.round("contribution", 9), "label": F.concat(F.lit("the "), "feature")})
+    return E.explanations(T.features(spark, sf_dir).select("clip", "expert"), parts, model)
+
+
+EXPLAIN_SQL = f"""{PARTS}, k0 as (select *, round(part, 9) as c, (value - real_median) / case when real_spread = 0 then 1e0 else real_spread end as z, feature <> 'quantity' as o from parts),
+k1 as (select *, format('the {{}} = {{:.3g}} (real median {{:.3g}}, z={{:+.1f}}) points to {{}}', feature, value, real_median, round(z, 1), case when c > 0 then 'synthetic' else 'real' end) as words from k0),
+k as (select *, row_number() over (partition by clip, expert order by abs(c) desc, o, words) as r from k1),
+t as (select clip, expert, string_agg(words, '; ' order by r) as text from k where r <= 2 group by all)
+select c.clip, c.expert, coalesce(text, 'no calibrated evidence') as text from (select distinct clip, expert from features) c left join t on t.clip = c.clip and t.expert = c.expert"""
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document for each clip, with all its findings; every number that isn't finite is null."""
+    found = _found(spark, sf_dir).withColumn("path", F.concat(F.lit("/clips/"), "clip", F.lit(".wav")))
+    single = T.features(spark, sf_dir).groupBy("clip", "expert", "feature").agg(F.max(S.finite(F.col("value"))).alias("value"))
+    features = single.groupBy("clip", "expert").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("feature").alias("key"), "value")))).alias("features"))
+    rows = found.join(features, ["clip", "expert"]).select("path", "expert", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), F.concat(F.lit("finding of "), "expert").alias("summary"), "features", F.lit(None).cast("map<string,string>").alias("evidence"), F.lit(None).cast("map<string,double>").alias("contributions"), F.lit(None).cast("double").alias("elapsed_ms"))
+    terms = E.fusion_terms(found, T.weights(spark)).withColumn("path", F.concat(F.lit("/clips/"), "clip", F.lit(".wav")))
+    routed = _routed(spark, sf_dir).withColumn("path", F.concat(F.lit("/clips/"), "clip", F.lit(".wav")))
+    out = reports.report_documents(routed, rows, terms)
+    # the parts of the documents, read back, so that SQL can compare numbers with numbers
+    get = lambda path: F.get_json_object("json", path)
+    return out.select("report_id", get("$.file").alias("file"), get("$.synthetic_probability").cast("double").alias("probability"), get("$.findings.prosody.features.price").cast("double").alias("prosody_price"), F.regexp_count("json", F.lit('"expert":')).cast("long").alias("n_experts_named"), F.size(F.from_json(get("$.why"), "array<string>")).cast("long").alias("n_reasons"))
+
+
+REPORT_SQL = f"""{ROUTE}, n as (select clip, count(*) as found, count(score) as scored from found group by clip),
+v as (select clip, max(case when isfinite(value) then value end) as price from features where expert = 'prosody' and feature = 'price' group by clip)
+select concat(s5.clip, '.wav.', sha256(concat('/clips/', s5.clip, '.wav'))) as report_id, concat(s5.clip, '.wav') as file, round(pr, 4) as probability, price as prosody_price, 8 + found as n_experts_named, least(3, scored) as n_reasons
+from s5 join n on n.clip = s5.clip left join v on v.clip = s5.clip"""
+
+
+def ablation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation document of two sets of clips, by the parity of their customer, as (section, json)."""
+    rows, found, labels = _labelled_rows(spark, sf_dir)
+    orders = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), F.col("o_custkey"), F.col("o_orderpriority").alias("group"))
+    whole = ablation.LabelledSet(rows, found, labels, orders.select("clip", "group"), _contexts(spark, sf_dir))
+    sets = {n: whole.longer(orders.filter(F.col("o_custkey") % 2 == k).select("clip")) for k, n in enumerate(("even", "odd"))}
+    text, _ = ablation.report(sets, [("even", "odd")], ["even", "odd"], "odd", (rows, found))
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in json.loads(text).items()], "section string, json string")
+
+
+QUERIES = {f.__name__: f for f in (feature_model_scores, feature_contributions, top_reasons, robust_z, finding_build, container_rules, confidence, fused_probability, fused_unweighted, design_matrix, expert_matrix, leave_one_out, feature_aucs, coverage_fraction, experts_run, route_trace, skip_reasons, router_replay, replay_metrics, nested_validation, calibration_fit, held_out_report, held_out_coverage, replay_out_of_fold, route_by_fold, explanations, report_documents, ablation_report)}
 SQL = {
+    "calibration_fit": FIT_SQL,
+    "held_out_coverage": COVERAGE_SQL,
+    "route_by_fold": FOLD_SQL,
+    "explanations": EXPLAIN_SQL,
+    "report_documents": REPORT_SQL,
     "feature_model_scores": f"with {T.FINDINGS} select clip, expert, round(score, 6) as score from scores",
     "feature_contributions": f"{PARTS} select expert, feature, count(*) as n, round(avg(part), 5) as mean, round(max(part), 6) as most from parts group by all",
     "top_reasons": f"""{PARTS}, g as (select clip, concat(expert, '.', feature) as feature_of, max(round(part, 9)) as part from parts group by all),
@@ -205,7 +343,7 @@ SQL = {
         g as (select expert, p, sum(y) as n1, sum(1 - y) as n0 from r group by all), w as (select *, coalesce(sum(n0) over (partition by expert order by p rows between unbounded preceding and 1 preceding), 0) as below from g),
         a as (select expert, sum(n1 * below + n1 * n0 / 2e0) / (sum(n1)::double * sum(n0)) as auc from w group by expert)
         select expert, round((select auc from a where expert = '') - auc, 4) as auc_drop from a where expert <> ''""",
-    "feature_aucs": f"with t as (select sum((l_returnflag = 'R')::int) as n1, sum((l_returnflag <> 'R')::int) as n0 from lineitem where l_linenumber <= 7) {AUCS}",
+    "feature_aucs": f"with t as (select sum((l_returnflag = 'R')::int) as n1, sum((l_returnflag <> 'R')::int) as n0 from lineitem) {AUCS}",
     "coverage_fraction": f"with {T.FINDINGS} select expert, round(avg((score is not null)::int), 6) as coverage, round(avg(coalesce(score, 0.5e0)), 5) as filled_mean from found group by expert",
     "experts_run": f"with {T.FINDINGS} select clip, string_agg(distinct expert, ',' order by expert) as experts_run from found where score is not null group by clip",
     "route_trace": f"""with {ROUTE[5:]} select clip, round(pr, 5) as probability, case when pr >= 0.8e0 then 'likely synthetic' when pr >= 0.5e0 then 'suspicious, below the alert threshold' when pr >= 0.2e0 then 'inconclusive, leaning real' else 'likely real' end as verdict,

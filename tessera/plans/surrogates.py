@@ -45,12 +45,12 @@ FEATURES = """features as (
     select clip, expert, feature, case when bad = 0 then null when bad = 1 then 'nan'::double else value end as value from (
         select l_orderkey as clip, ['spectral', 'compression', 'prosody', 'environment', 'splice', 'speaker', 'deep'][l_linenumber] as expert,
             unnest(['quantity', 'price', 'discount']) as feature, unnest([l_quantity, l_extendedprice, l_discount]) as value, l_partkey % 17 as bad
-        from lineitem where l_linenumber <= 7) t)"""
+        from lineitem) t)"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, expert, feature, value), one expert for each order line, some values null or NaN."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 7").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("clip"), F.element_at(F.array(*map(F.lit, EXPERTS)), F.col("l_linenumber")).alias("expert"), (F.col("l_partkey") % 17).alias("bad"),
         F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(c).alias("value")) for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"))))).alias("f"),
     )
@@ -104,7 +104,7 @@ scores as (
 info as (
     select l_orderkey as clip, ['spectral', 'compression', 'prosody', 'environment', 'splice', 'speaker', 'deep'][l_linenumber] as expert,
         max(l_tax * 15 - 0.1e0) as confidence, max(case when l_suppkey % 2 = 0 then 'wavlm-xvector' else 'mfcc-stats' end) as backend
-    from lineitem where l_linenumber <= 7 group by all),
+    from lineitem group by all),
 found as (
     select s.clip, s.expert, case when s.expert = 'speaker' and backend <> 'wavlm-xvector' then null else score end as score,
         case when s.expert = 'speaker' and backend <> 'wavlm-xvector' then 0e0 else least(1e0, greatest(0e0, confidence)) end as confidence
@@ -112,7 +112,7 @@ found as (
 
 
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 7")
+    rows = table(spark, sf_dir, "lineitem")
     expert = F.element_at(F.array(*map(F.lit, EXPERTS)), F.col("l_linenumber")).alias("expert")
     backend = F.when(F.col("l_suppkey") % 2 == 0, "wavlm-xvector").otherwise("mfcc-stats")
     return rows.groupBy(F.col("l_orderkey").alias("clip"), expert).agg(F.max(F.col("l_tax") * 15 - lit(0.1)).alias("confidence"), F.max(backend).alias("backend"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.store import staged
+
 #: File endings that count as audio.
 AUDIO = ("wav", "flac", "mp3", "m4a", "ogg", "opus", "aac", "webm")
 
@@ -138,13 +140,16 @@ def read_key(spark: SparkSession, path: str) -> DataFrame:
     return key
 
 
-def write_submission(scores: DataFrame, path: str) -> None:
-    """``scores`` (filename, score), checked first, as a tab-separated table with six decimals, sorted by name."""
+def write_submission(scores: DataFrame, path: str) -> int:
+    """``scores`` (filename, score), checked first, as a tab-separated table with six decimals, sorted by name; the number of rows.
+
+    It is written beside an earlier table, which stays until all is there.
+    """
     from tessera.operators.coverage import require_valid_scores
 
     require_valid_scores(scores, "filename", "score")
     out = scores.select("filename", F.format_string("%.6f", F.col("score")).alias("cm-score"))
-    out.orderBy("filename").write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+    return staged(out.orderBy("filename"), path, "csv", sep="\t", header=True, quote="")
 
 
 FINDING = "path string, at timestamp, duration double, findings map<string, struct<expert:string,score:double,confidence:double,summary:string,features:map<string,double>,elapsed_ms:double>>, trace array<struct<expert:string,action:string,reason:string>>, error string"
@@ -158,6 +163,21 @@ def read_findings(spark: SparkSession, path: str, least_duration: float = 0.0) -
     return rows.filter(F.col("findings").isNotNull() & (F.col("duration") >= least_duration))
 
 
+def labelled_findings(findings: DataFrame, items: DataFrame, least_duration: float = 0.0) -> DataFrame:
+    """Cached analyses of a labelled list (path, y, group), each with its label and group; listed files without findings, or shorter
+    than ``least_duration`` seconds, are left out, and so are analyses that the list doesn't name. A path listed twice comes twice."""
+    some = findings.filter(F.col("findings").isNotNull() & (F.coalesce("duration", F.lit(0.0)) >= least_duration))
+    return items.select("path", "y", "group").join(some, "path")
+
+
+def template_scores(scores: DataFrame, template: DataFrame) -> DataFrame:
+    """Scores (filename, score) of exactly the names in a template (filename), sorted; ValueError if either has names that the other lacks."""
+    from tessera.operators.coverage import require_coverage
+
+    require_coverage(scores, template, "filename")
+    return template.select("filename").join(scores.select("filename", "score"), "filename").orderBy("filename")
+
+
 def write_profiles(profiles: DataFrame, path: str) -> None:
     """Channel profiles as CSV below ``path``/clips and their percentiles as JSON below ``path``/summary."""
     from tessera.sources.audio import profile_summary

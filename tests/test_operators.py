@@ -298,19 +298,21 @@ def test_profile_against_its_definition():
     assert math.isclose(got["top_band_db"], db(7700, 7950) - db(6000, 7000), abs_tol=1e-6) and got["rolloff_10db_hz"] == 8000 and abs(got["rumble_db"]) < 3
 
 
-def test_spectral_vectors():
-    from tessera.sources.spectral import NAMES, spectral_vector
+def test_spectral_vectors(spark):
+    from tessera.sources.spectral import NAMES, spectral_vectors
 
-    assert len(NAMES) == len(set(NAMES)) == 99
-    for x in (np.zeros(100), np.zeros(16000), np.ones(3), np.full(900, np.nan)):
-        assert np.isfinite(spectral_vector(x)).all()
-    tone = dict(zip(NAMES, spectral_vector(0.3 * np.sin(2 * np.pi * 2500 * np.arange(32000) / 16000))))
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 0.1, 9000) * np.repeat([1, 0.001, 0.5], 3000) + 0.01
+    clips = {"zeros": np.zeros(100), "silence": np.zeros(16000), "three": np.ones(3), "nan": np.full(900, np.nan), "empty": np.zeros(0), "tone": 0.3 * np.sin(2 * np.pi * 2500 * np.arange(32000) / 16000), "noise": x}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in clips.items()] + [("none", None)], "clip string, x array<double>").repartition(3)
+    made = {r.clip: r.spec for r in spectral_vectors(df, "clip", "x").collect()}
+    assert len(NAMES) == len(set(NAMES)) == 99 and made.pop("none") is None and set(made) == set(clips)
+    assert all(len(v) == 99 and np.isfinite(v).all() for v in made.values())
+    tone = dict(zip(NAMES, made["tone"]))
     assert tone["duration_s"] == 2 and abs(tone["centroid_mean"] - 2500) < 60 and tone["band_2000_3000_mean"] > -0.1 and abs(tone["crest_factor_db"] - 3.01) < 0.01
 
     # All numbers once more, frame by frame.
-    rng = np.random.default_rng(0)
-    x = rng.normal(0, 0.1, 9000) * np.repeat([1, 0.001, 0.5], 3000) + 0.01
-    got = dict(zip(NAMES, spectral_vector(x)))
+    got = dict(zip(NAMES, made["noise"]))
     padded = np.append(x, np.zeros(-(len(x) - 512) % 160))
     window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 512) for i in range(512)]
     power = [[abs(v / 256) ** 2 + 1e-12 for v in np.fft.rfft(padded[a : a + 512] * window)] for a in range(0, len(padded) - 511, 160)]
@@ -350,27 +352,6 @@ def test_spectral_vectors():
         assert math.isclose(got[name], want[name], rel_tol=1e-3, abs_tol=1e-4), name
 
 
-def test_channel(spark):
-    from tessera.sources import channel
-
-    rng = np.random.default_rng(1)
-    x = np.sin(np.arange(16000) / 20) * 0.5
-    noisy = channel.add_noise(x, 12.0, rng)
-    assert math.isclose(10 * math.log10((x**2).mean() / ((noisy - x) ** 2).mean()), 12, abs_tol=0.1)
-    power = np.abs(np.fft.rfft(channel.colored_noise(16000, 2.0, rng))) ** 2
-    assert power[10:20].mean() > 100 * power[1000:2000].mean() and abs(channel.rumble(16000, rng).std() - 1) < 1e-6
-    white = rng.normal(0, 1, 16000)
-    low = np.abs(np.fft.rfft(channel.low_pass(white, 3000, rng))) ** 2
-    assert len(channel.low_pass(white, 3000, rng)) == 16000 and low[5000:].mean() < 0.02 * low[:2500].mean()
-    df = spark.createDataFrame([("a", x.tolist()), ("b", None), ("c", [])], "uid string, x array<double>")
-    one, two = ({r.uid: r.samples for r in channel.degraded(df.repartition(n), "uid", "x", 3).collect()} for n in (1, 3))
-    assert one == two and one["b"] is None and one["c"] == [] and len(one["a"]) == 16000
-    y = np.array(one["a"])
-    assert 0.94 < np.abs(y).max() <= 1 and np.abs(y * 32768 - np.round(y * 32768)).max() < 1e-6
-    seeds = spark.createDataFrame([("a",)], "uid string").select(S.clip_seed(F.col("uid"), 3).alias("s")).first().s
-    assert channel.clip_generator("a", 3).random() == np.random.default_rng(seeds).random()
-
-
 def test_spaced_windows(spark):
     got = {r.n: r.w for r in spark.createDataFrame([(n,) for n in (10, 64_600, 64_601, 200_000, 1_920_000, 1_920_001)], "n long").select("n", S.spaced_windows(F.col("n")).alias("w")).collect()}
     assert got == {10: [0], 64_600: [0], 64_601: [0, 1], 200_000: [0, 67_700, 135_400], 1_920_000: [0, 927_700, 1_855_400], 1_920_001: None}
@@ -421,64 +402,6 @@ def test_routing_policies(spark):
     assert modes == {"full": 1.0, "routed": 1.0}
 
 
-def findings(n=80, seed=4):
-    """Two experts, of which the first knows the class and the second does not, some values missing."""
-    rng = random.Random(seed)
-    features, confidence, labels = [], [], []
-    for i in range(n):
-        y = i % 2
-        labels.append((f"c{i}", y))
-        for e, gap in (("good", 1.6), ("noise", 0.0)):
-            confidence.append((f"c{i}", e, 0.9))
-            features += [(f"c{i}", e, f, rng.gauss(gap * y, 0.6) if rng.random() < 0.95 else rng.choice([None, float("nan")])) for f in ("u", "v")]
-    return features, confidence, labels
-
-
-def test_nested_calibration(spark):
-    from tessera.operators import calibration as C
-
-    features, confidence, labels = findings()
-    rows = C.expert_rows(spark.createDataFrame(features, "clip string, expert string, feature string, value double"), {"good": ("u", "v"), "noise": ("u", "v")}).cache()
-    conf, y = spark.createDataFrame(confidence, "clip string, expert string, confidence double"), spark.createDataFrame(labels, "clip string, y int")
-    scored, terms = C.held_out(rows, conf, y)
-    got = scored.collect()
-    assert len(got) == 80 and metrics.auc(metrics.score_counts(scored, "y", "probability")).first().auc > 0.95
-    drops = {r.expert: r.auc_drop for r in C.omission_drops(scored, terms).collect()}
-    assert drops["good"] > 0.3 and abs(drops["noise"]) < 0.05
-    other = spark.createDataFrame(findings(40, 9)[0], "clip string, expert string, feature string, value double")
-    rows2, conf2, y2 = C.expert_rows(other, {"good": ("u", "v"), "noise": ("u", "v")}), conf, spark.createDataFrame(findings(40, 9)[2], "clip string, y int")
-    moved = C.transfer((rows, conf, y), (rows2, conf2, y2))
-    assert metrics.auc(metrics.score_counts(moved, "y", "probability")).first().auc > 0.9
-
-    # What a clip is scored by doesn't hang on its own label: flip those of one fold.
-    folds = {r.clip: r.fold for r in C.grouped_folds(y, "clip", "y", 5).collect()}
-    before = {r.clip: r.probability for r in got}
-    values = {k: v for k, v in labels}
-    swap = [c for c in values if folds[c] == 0]
-    a, b = (next(c for c in swap if values[c] == v) for v in (0, 1))
-    flipped = [(c, values[b] if c == a else values[a] if c == b else v) for c, v in labels]
-    refolded = {r.clip: r.fold for r in C.grouped_folds(spark.createDataFrame(flipped, "clip string, y int"), "clip", "y", 5).collect()}
-    if refolded == folds:
-        again = {r.clip: r.probability for r in C.held_out(rows, conf, spark.createDataFrame(flipped, "clip string, y int"))[0].collect()}
-        assert all(math.isclose(again[c], before[c], abs_tol=1e-7) for c in swap)
-
-
-def test_logistic_fit_is_an_optimum(spark):
-    from tessera.operators import calibration as C
-
-    rng = np.random.default_rng(2)
-    x = rng.normal(0, 2, (90, 2)) + 3
-    y = (x[:, 0] + rng.normal(0, 2, 90) > 4).astype(int)
-    df = spark.createDataFrame([("m", r.tolist(), int(v)) for r, v in zip(x, y)], "model string, x array<double>, y int").repartition(3)
-    m = C.fit_models(df, 0.3)["m"]
-    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
-    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0))
-    w = np.where(y == 1, 90 / (2 * y.sum()), 90 / (2 * (90 - y.sum())))
-    error = w * (1 / (1 + np.exp(-(z @ m.coef + m.intercept))) - y)
-    assert np.abs(z.T @ error + m.coef / 0.3).max() < 1e-6 and abs(error.sum()) < 1e-6
-    assert C.fit_models(df.limit(10), 0.3) == {} and C.fit_models(df.withColumn("y", F.lit(1)), 0.3) == {}
-
-
 def test_whole_queries_keep_every_clip(spark):
     from tessera.plans import registry
     from tessera.plans import surrogates as T
@@ -488,47 +411,3 @@ def test_whole_queries_keep_every_clip(spark):
     assert {r.doc_id for r in q["set_difference"](spark, sf).collect()} == ids("documents") - ids("labels")
     clips = lambda df: {(r.clip, r.expert) for r in df.select("clip", "expert").distinct().collect()}
     assert clips(q["report_json"](spark, sf)) == clips(T.features(spark, sf))
-
-
-def test_detector_fits_saves_and_scores_audio(spark, tmp_path):
-    from tessera.operators import detector as D
-    from tessera.operators import learning as L
-
-    rng = random.Random(1)
-    rows = [(f"f{i}.wav", i % 2, f"sys{i % 6}", f"spk{i % 5}", [rng.gauss(1.5 * (i % 2), 1) for _ in range(4)], [rng.gauss(0.8 * (i % 2), 1)] * 99) for i in range(160)]
-    df = spark.createDataFrame(rows, "clip string, y int, system string, speaker string, a array<double>, b array<double>")
-    clips = df.select("clip", "y", "system", "speaker", L.dense("a").alias("ssl"), L.dense("b").alias("spec"))
-    fitted = D.fit_detector(clips)
-    assert min(fitted.fusion.coefficients) >= 0 and 0 <= fitted.analyst <= 1
-    scored = fitted.predict(clips)
-    assert metrics.auc(metrics.score_counts(scored, "y", "probability")).first().auc > 0.85
-    fitted.save(str(tmp_path / "d"))
-    again = {r.clip: r.probability for r in D.Detector.load(str(tmp_path / "d")).predict(clips).collect()}
-    assert all(math.isclose(again[r.clip], r.probability, rel_tol=1e-9) for r in scored.collect())
-    (tmp_path / "audio").mkdir()
-    for name, content in (("f0.wav", wav([1000, -1000] * 4000)), ("f1.wav", b"broken"), ("new.wav", wav([5] * 9000))):
-        (tmp_path / "audio" / name).write_bytes(content)
-    files = readers.audio_files(spark, str(tmp_path / "audio"), strict=True, content=True)
-    out = {r.filename: r for r in D.score_audio(files, fitted, clips.select(F.col("clip").alias("filename"), "ssl")).collect()}
-    assert out["f0.wav"].error is None and 0 < out["f0.wav"].score < 1
-    assert out["f1.wav"].error.startswith("only PCM") and out["new.wav"].error == "no learned features" and out["new.wav"].score == fitted.default_score
-
-
-def test_caches(spark, tmp_path):
-    from tessera.operators import calibration as C
-    from tessera.sources import caches
-
-    rows = spark.createDataFrame([("u", [1.0], [2.0], 1, "s", "k", "c", "p")], "uid string, ssl array<double>, spec array<double>, label int, system string, speaker string, source string, partition string")
-    caches.write_features(rows, str(tmp_path / "f"), "m", "train")
-    assert [(r.uid, r.set) for r in caches.read_features(spark, str(tmp_path / "f"), "m", ["train"]).collect()] == [("u", "train")]
-    with pytest.raises(FileNotFoundError):
-        caches.read_features(spark, str(tmp_path / "f"), "m", ["train", "dev"])
-    cal = C.Calibration({"|e": C.Model(np.array([1.0]), np.array([2.0]), np.array([0.5]), 0.25), "0|e": C.Model(np.zeros(1), np.ones(1), np.ones(1), 0.0)}, {"": {"e": 1.5}}, {"": -0.5})
-    caches.write_calibration(spark, cal, str(tmp_path / "c"))
-    got = caches.read_calibration(spark, str(tmp_path / "c"))
-    assert got.weights == cal.weights and got.bias == cal.bias and set(got.models) == set(cal.models) and got.models["|e"].coef.tolist() == [0.5] and got.models["|e"].intercept == 0.25
-    schema = "path string, findings map<string,struct<score:double>>, trace array<struct<expert:string,action:string>>"
-    cached = spark.createDataFrame([("a", {"x": (0.1,), "y": (0.2,)}, [("x", "run")]), ("b", {"x": (0.3,)}, [("x", "skip")]), ("c", {"y": (0.4,)}, [("x", "error")])], schema)
-    again = spark.createDataFrame([(p, (0.9,)) for p in "abc"], "path string, finding struct<score:double>")
-    out = {r.path: {k: v.score for k, v in r.findings.items()} for r in caches.refresh_findings(cached, "x", again).collect()}
-    assert out == {"a": {"x": 0.9, "y": 0.2}, "b": {"x": 0.3}, "c": {"x": 0.9, "y": 0.4}}
