@@ -90,14 +90,15 @@ def peak_normalize(x: Column, peak: float = 0.95) -> Column:
 
 
 def three_digits(x: Column) -> Column:
-    """A finite number by three significant digits without closing zeros, with an exponent below 1e-4 and from 1000 on."""
-    parts = F.split(F.format_string("%.2e", x), "e")
-    mantissa, power = parts[0], parts[1].cast("int")
+    """A finite number by three significant digits without closing zeros, with an exponent below 1e-4 and from 1000 on; halves go to the even digit, as far as doubles can tell."""
+    size = F.abs(x)
+    power = F.floor(F.log10(size)).cast("int")
+    digits = F.rint(F.when(power > 2, size / F.pow(lit(10), power - 2)).otherwise(size * F.pow(lit(10), lit(2) - power)))
+    power, digits = F.when(digits >= 1000, power + 1).otherwise(power), F.when(digits >= 1000, lit(100)).otherwise(digits)
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    rounded = F.concat_ws("e", parts[0], parts[1]).cast("double")
-    plain = F.coalesce(*(F.when(power == p, bare(F.format_string(f"%.{2 - p}f", rounded))) for p in range(-4, 3)))
-    scientific = F.concat(bare(mantissa), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    return F.when(x == 0, "0").otherwise(F.coalesce(plain, scientific))
+    plain = F.coalesce(*(F.when(power == p, bare(F.format_string(f"%.{2 - p}f", digits / lit(10.0 ** (2 - p))))) for p in range(-4, 3)))
+    scientific = F.concat(bare(F.format_string("%.2f", digits / 100)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(plain, scientific)))
 
 
 def report_id(path: Column) -> Column:

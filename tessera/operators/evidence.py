@@ -87,7 +87,7 @@ def explanations(clips: DataFrame, parts: DataFrame, model: DataFrame, k: int =
     real_spread, ord), whose order breaks ties. Without contributions there is no calibrated evidence.
     """
     rows = parts.join(model.select("expert", "feature", "real_median", "real_spread", "ord"), ["expert", "feature"])
-    z = robust_z(F.col("value"), F.col("real_median"), F.col("real_spread"))
+    z = F.round(robust_z(F.col("value"), F.col("real_median"), F.col("real_spread")), 6)  # so that halves show as halves
     text = explanation(F.col("value"), F.col("real_median"), z, F.col("contribution"), F.coalesce("label", "feature"))
     ranked = F.struct((-F.abs("contribution")).alias("rank"), "ord", text.alias("text"))
     named = rows.groupBy("clip", "expert").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(ranked)), 1, k), lambda r: r["text"]), "; ").alias("text"))

@@ -282,7 +282,7 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXPLAIN_SQL = f"""{PARTS}, k0 as (select *, round(part, 9) as c, (value - real_median) / case when real_spread = 0 then 1e0 else real_spread end as z, feature <> 'quantity' as o from parts),
-k1 as (select *, format('the {{}} = {{:.3g}} (real median {{:.3g}}, z={{:+.1f}}) points to {{}}', feature, value, real_median, round(z, 1), case when c > 0 then 'synthetic' else 'real' end) as words from k0),
+k1 as (select *, format('the {{}} = {{:.3g}} (real median {{:.3g}}, z={{:+.1f}}) points to {{}}', feature, value, real_median, round(round(z, 6), 1), case when c > 0 then 'synthetic' else 'real' end) as words from k0),
 k as (select *, row_number() over (partition by clip, expert order by abs(c) desc, o, words) as r from k1),
 t as (select clip, expert, string_agg(words, '; ' order by r) as text from k where r <= 2 group by all)
 select c.clip, c.expert, coalesce(text, 'no calibrated evidence') as text from (select distinct clip, expert from features) c left join t on t.clip = c.clip and t.expert = c.expert"""

@@ -53,7 +53,7 @@ def test_documents_and_files(spark, tmp_path):
 
 
 def test_three_significant_digits(spark):
-    values = [0.0, 1.0, -2.5, 123.456, 999.4, 999.6, 1000.0, 12345.678, 0.00012345, 0.000099, -0.0001, 1e-12, 3e20, 0.1, 100.0, 1.005e-4, 45.0, 0.5]
+    values = [0.0, 1.0, -2.5, 123.456, 999.4, 999.6, 1000.0, 12345.678, 0.00012345, 0.000099, -0.0001, 1e-12, 3e20, 0.1, 100.0, 45.0, 0.5, 22450.0, 12.25, 9995.0]
     got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(S.three_digits(F.col("v")).alias("t")).collect()]
     assert got == [f"{v:.3g}" for v in values]
 
