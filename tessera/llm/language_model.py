@@ -39,9 +39,7 @@ CLASSES = 64
 MODELLED = (CLASSES - 1) * WIDTH
 #: Bits of the rows of a table of features, at least; see ``row_bits``.
 ROW_BITS = 13
-BATCH = 1024
-#: Expected counts are added up in steps of 1 / UNIT; BATCH * UNIT fits in a LANE, and two lanes in a float's 53 bits.
-UNIT, LANE = 65_535, 1 << 26
+BATCH = 8192
 ROUNDS = 2
 RATE = 0.6
 #: Tokens in agreement with the weights that are added to each weight's counts.
@@ -53,17 +51,26 @@ GATHER = 1 << 23
 U = np.uint64
 END = U(0xE5D0C1B2A3948576)
 _BEGIN = MODELLED + 1024
+_INDEX_BITS = 18
 _N_FEATURES = 4
 
 
 class Dictionary(NamedTuple):
-    """Frequent tokens by ascending hash: rank by frequency and training count; and the corpus' training totals."""
+    """Frequent tokens by ascending hash: rank by frequency and training count; the corpus' training totals; and where
+    the hashes with each of the leading bits start."""
 
     hashes: np.ndarray
     rank: np.ndarray
     count: np.ndarray
     n_tokens: int
     n_distinct: int
+    starts: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, h: np.ndarray, count: np.ndarray, n_tokens: int, n_distinct: int) -> Dictionary:
+        """From words by falling frequency."""
+        order = np.argsort(h, kind="stable")
+        return cls(h[order], np.arange(len(h))[order], count[order], n_tokens, n_distinct, _starts(h[order]))
 
     def rest(self) -> float:
         """The last class' denominator."""
@@ -71,6 +78,11 @@ class Dictionary(NamedTuple):
         return self.n_tokens - self.count[modelled].sum() + ALPHA * (self.n_distinct - (self.count[modelled] > 0).sum() + 1)
 
 
+def _starts(h: np.ndarray) -> np.ndarray:
+    """Where in ascending hashes those with each of the leading bits start, and their end."""
+    return np.append(np.searchsorted(h, np.arange(1 << _INDEX_BITS, dtype=U) << U(64 - _INDEX_BITS)), len(h))
+
+
 class Weights(NamedTuple):
     classes: np.ndarray
     words: np.ndarray
@@ -124,11 +136,26 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.repeat(np.arange(n), w.count + 1)
 
 
+def places(h: np.ndarray, d: Dictionary) -> np.ndarray:
+    """The place of each hash in the dictionary, -1 outside: few steps from the first one with the same leading bits."""
+    starts, shift = _starts(d.hashes) if d.starts is None else d.starts, U(64 - _INDEX_BITS)
+    first = (h >> shift).astype(np.int64)
+    at, left = np.take(starts, first), np.take(starts, first + 1)
+    out = np.full(len(h), -1)
+    some = np.flatnonzero(at < left)
+    while len(some):
+        found = np.take(d.hashes, at[some]) == h[some]
+        out[some[found]] = at[some[found]]
+        some = some[~found]
+        at[some] += 1
+        some = some[at[some] < left[some]]
+    return out
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> Tokens:
     h, doc = token_hashes(data, offsets)
-    at = np.minimum(np.searchsorted(d.hashes, h), max(len(d.hashes) - 1, 0))
-    hit = d.hashes[at] == h if len(d.hashes) else np.zeros(len(h), bool)
-    rank = np.where(hit, d.rank[at], DICTIONARY) if len(d.hashes) else np.full(len(h), DICTIONARY)
+    at = places(h, d)
+    rank = np.where(at >= 0, np.take(d.rank, at, mode="clip"), DICTIONARY) if len(d.hashes) else np.full(len(h), DICTIONARY)
     symbol = np.where(rank < MODELLED, rank, MODELLED + (h >> U(54)).astype(np.int64)).astype(U)
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     history, last = [], symbol
@@ -139,17 +166,32 @@ def tokens(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> Tokens:
     a, b, c = history
     keys = [a, b, c, a * U(8191) + b * U(131_071)]
     features = np.stack([K.mix(k * U(_N_FEATURES) + U(j + 1)) for j, k in enumerate(keys)], 1)
-    return Tokens(h, doc, np.where(hit, at, -1), rank, features)
-
-
-def _softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + table[rows[:, 0]]
-    for j in range(1, rows.shape[1]):
-        z += table[rows[:, j]]
-    z -= z.max(1, keepdims=True)
+    return Tokens(h, doc, at, rank, features)
+
+
+#: Buffers of a batch, made once: fresh pages for each batch would cost more than the arithmetic.
+_OUT, _ONE, _TWO, _THREE = (np.empty((BATCH, WIDTH), np.float32) for _ in range(4))
+_COLUMN_OF_ONES = np.ones((WIDTH, 1), np.float32)
+#: From so many tokens of a batch on, a row's expected counts are added up at once.
+MANY = 12
+
+
+def _powers(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits), up to a factor for each token, and their sums, for rows (token, feature); in a buffer of the module.
+    ``bias`` is that of all tokens, or has a row for each class."""
+    n, own = len(rows), np.ascontiguousarray(rows.T)
+    z, part = _OUT[:n], _ONE[:n]
+    np.take(table, own[0], axis=0, out=z, mode="clip")
+    for column in own[1:]:
+        z += np.take(table, column, axis=0, out=part, mode="clip")
+    z += bias if of_class is None else np.take(bias, of_class, axis=0, out=part, mode="clip")
+    top, width = z, WIDTH
+    while width > 8:  # narrower by halves, which is faster than one maximum along the rows
+        width //= 2
+        top = np.maximum(top[:, :width], top[:, width:], out=part[:, :width])
+    z -= top.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z, z @ _COLUMN_OF_ONES
 
 
 def _class_rows(features: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -166,17 +208,17 @@ def log_probabilities(t: Tokens, w: Weights) -> np.ndarray:
     for at in range(0, len(t.hash), BATCH):
         part = slice(at, at + BATCH)
         of_class = np.minimum(t.rank[part] >> 6, CLASSES - 1)
-        p = _softmax(w.classes, w.class_bias, _class_rows(t.features[part], w.classes))
-        got = p[np.arange(len(p)), of_class].astype(float)
+        p, total = _powers(w.classes, w.class_bias, _class_rows(t.features[part], w.classes))
+        got = p[np.arange(len(p)), of_class] / total[:, 0].astype(float)
         inner = np.flatnonzero(of_class < CLASSES - 1)
-        q = _softmax(w.words, w.word_bias[of_class[inner]], _word_rows(t.features[part][inner], of_class[inner], w.words))
-        got[inner] *= q[np.arange(len(inner)), t.rank[part][inner] & (WIDTH - 1)]
+        q, total = _powers(w.words, w.word_bias, _word_rows(t.features[part][inner], of_class[inner], w.words), of_class[inner])
+        got[inner] *= q[np.arange(len(inner)), t.rank[part][inner] & (WIDTH - 1)] / total[:, 0]
         out[part] = np.log10(np.maximum(got, 1e-30))
     return out
 
 
 class _Counts:
-    """For each weight of both tables: the tokens seen with it, and those that the weights expect.
+    """For each weight of both tables, the tokens seen with it or, after the first step, those that the weights expect.
 
     Before the first step the expectation is the tokens of a row (of the words' table: of a row and
     a class) times frequencies; then only those tokens are counted, and ``steps`` multiplies.
@@ -186,44 +228,53 @@ class _Counts:
         self.w, self.first = Weights.unpack(flat), first
         self.table = self.w.classes.size
         self.seen, self.expected = (np.zeros((2, self.table), np.float32) for _ in range(2))
-        self.marked, self.place = np.zeros(len(self.w.classes), bool), np.zeros(len(self.w.classes), np.int64)
 
     def _bins(self, to: np.ndarray, rows: np.ndarray, column: np.ndarray) -> None:
-        to += np.bincount((rows * WIDTH + column[:, None]).reshape(-1), minlength=self.table)
-
-    def _expect(self, to: np.ndarray, p: np.ndarray, rows: np.ndarray) -> None:
-        """Adds each token's probabilities to its rows, in steps of 1 / UNIT; two columns share one number, which holds
-        the sums of a batch exactly and halves the additions."""
-        half, table = WIDTH // 2, to.reshape(-1, WIDTH)
-        whole = np.rint(p * np.float32(UNIT))
-        pairs, columns = (whole[:, :half].astype(float) * LANE + whole[:, half:]).reshape(-1), np.arange(half)
-        for j in range(rows.shape[1]):
-            own = rows[:, j]
-            self.marked[own] = True
-            found = np.flatnonzero(self.marked)
-            self.marked[found] = False
-            self.place[found] = np.arange(0, len(found) * half, half)
-            sums = np.bincount((self.place[own][:, None] + columns).reshape(-1), pairs, len(found) * half).reshape(-1, half)
-            high = np.floor(sums / LANE)
-            table[found] += np.concatenate([high, sums - high * LANE], 1) / UNIT
+        np.add.at(to, (rows * WIDTH + column[:, None]).reshape(-1), np.float32(1))
+
+    def _expect(self, to: np.ndarray, table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None) -> None:
+        """Adds the probabilities of each token of a batch to its rows.
+
+        For each feature the tokens are sorted by row. Rows of ``MANY`` tokens are summed up one by one; of the others, the
+        first token of each row is added to the table, then the second of each, and so on: no row comes twice in an addition.
+        """
+        p, total = _powers(table, bias, rows, of_class)
+        p /= total
+        to, sorted_p, held = to.reshape(-1, WIDTH), _ONE[: len(p)], _TWO
+        for own in np.ascontiguousarray(rows.T):
+            order = np.argsort(own.astype(np.uint16) if len(to) <= 1 << 16 else own, kind="stable")
+            own = own[order]
+            np.take(p, order, axis=0, out=sorted_p, mode="clip")
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            size = np.diff(np.append(first, len(own)))
+            for a, n in zip(first[size >= MANY].tolist(), size[size >= MANY].tolist(), strict=True):
+                to[own[a]] += sorted_p[a : a + n].sum(0)
+            at, size = first[size < MANY], size[size < MANY]
+            while len(at):
+                row, sums = own[at], held[: len(at)]
+                np.take(to, row, axis=0, out=sums, mode="clip")
+                sums += np.take(sorted_p, at, axis=0, out=_THREE[: len(at)], mode="clip")
+                to[row] = sums
+                more = size > 1
+                at, size = at[more] + 1, size[more] - 1
 
     def count(self, t: Tokens) -> None:
         w = self.w
         of_class = np.minimum(t.rank >> 6, CLASSES - 1)
         inner = np.flatnonzero(of_class < CLASSES - 1)
         rows, word_rows = _class_rows(t.features, w.classes), _word_rows(t.features[inner], of_class[inner], w.words)
-        self._bins(self.seen[0], rows, of_class)
-        of_class = of_class[inner]
-        self._bins(self.seen[1], word_rows, t.rank[inner] & (WIDTH - 1))
         if self.first:
-            self._bins(self.expected[1], word_rows, of_class)
+            self._bins(self.seen[0], rows, of_class)
+            self._bins(self.seen[1], word_rows, t.rank[inner] & (WIDTH - 1))
+            self._bins(self.expected[1], word_rows, of_class[inner])
             return
+        of_class = of_class[inner]
         for at in range(0, len(rows), BATCH):
             part = rows[at : at + BATCH]
-            self._expect(self.expected[0], _softmax(w.classes, w.class_bias, part), part)
+            self._expect(self.expected[0], w.classes, w.class_bias, part)
         for at in range(0, len(word_rows), BATCH):
             part = word_rows[at : at + BATCH]
-            self._expect(self.expected[1], _softmax(w.words, w.word_bias[of_class[at : at + BATCH]], part), part)
+            self._expect(self.expected[1], w.words, w.word_bias, part, of_class[at : at + BATCH])
 
 
 def steps(seen: np.ndarray, expected: np.ndarray, w: Weights, of_words: bool, first: bool) -> np.ndarray:
@@ -327,14 +378,14 @@ def _observe(dictionary, weights, first: bool):
             seen, expected = counts.seen.reshape(-1), counts.expected.reshape(-1)
             for i, a in enumerate(range(0, len(seen), BLOCK)):
                 own = slice(a, a + BLOCK)
-                if seen[own].any():
+                if seen[own].any() or expected[own].any():
                     yield from _pack_rows([(i, pack_text(seen[own].tobytes() + expected[own].tobytes()))])
 
     return run
 
 
-def _change(weights, first: bool):
-    """The steps of whole blocks."""
+def _change(weights, seen_first):
+    """The steps of whole blocks, and the tokens seen; these come from the first round in the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -346,8 +397,10 @@ def _change(weights, first: bool):
         w = Weights.unpack(weights.value)
         for b in sorted(total):
             seen, expected = total[b].reshape(2, -1, WIDTH)
-            change = steps(seen, expected, w, b * BLOCK >= w.classes.size, first)
-            yield from _pack_rows([(b, change.astype(np.float32).tobytes())])
+            if seen_first is not None:
+                seen = seen_first.value[b * BLOCK : (b + 1) * BLOCK].reshape(seen.shape).astype(float)
+            change = steps(seen, expected, w, b * BLOCK >= w.classes.size, seen_first is None)
+            yield from _pack_rows([(b, change.astype(np.float32).tobytes() + seen.astype(np.float32).tobytes())])
 
     return run
 
@@ -457,21 +510,22 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     totals = top.filter(pa.compute.is_null(top["hash"]))
     h, total, train = words["hash"].to_numpy().view(U), words["total"].to_numpy(), words["train"].to_numpy().astype(float)
     best = np.lexsort((h, -train))[:DICTIONARY]
-    rank = np.arange(len(best))
-    order = np.argsort(h[best], kind="stable")
-    d = Dictionary(h[best][order], rank[order], train[best][order], int(totals["train"].to_numpy().sum()), int(totals["total"].to_numpy().sum()))
+    d = Dictionary.of(h[best], train[best], int(totals["train"].to_numpy().sum()), int(totals["total"].to_numpy().sum()))
     dictionary = spark.sparkContext.broadcast(tuple(d))
 
     flat = start_weights(d)
     weights = spark.sparkContext.broadcast(flat)
+    seen, seen_first = np.zeros(2 * Weights.unpack(flat).classes.size, np.float32), None
     for i in range(ROUNDS):
         counts = source.filter("train").mapInArrow(tidy(_observe(dictionary, weights, i == 0)), packs)
-        changes = counts.repartition("bucket").mapInArrow(tidy(_change(weights, i == 0)), packs).collect()  # the size of the model
+        changes = counts.repartition("bucket").mapInArrow(tidy(_change(weights, seen_first)), packs).collect()  # the size of the model
         flat = flat.copy()
         for row in changes:
-            part = np.frombuffer(row["pack"], np.float32)
-            flat[row["bucket"] * BLOCK : row["bucket"] * BLOCK + len(part)] += part
-        weights = spark.sparkContext.broadcast(flat)
+            change, own = np.frombuffer(row["pack"], np.float32).reshape(2, -1)
+            place = slice(row["bucket"] * BLOCK, row["bucket"] * BLOCK + len(change))
+            flat[place] += change
+            seen[place] = own
+        weights, seen_first = spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(seen)
 
     sums = source.mapInArrow(tidy(_score(dictionary, weights, bits)), packs).repartition("bucket").mapInArrow(tidy(_rare_sums(bits)), packs)
     out = sums.repartition("bucket").mapInArrow(tidy(_totals), "id long, n_tokens long, n_known long, logs double, score double")
