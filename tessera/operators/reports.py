@@ -60,3 +60,19 @@ def write_reports(documents: DataFrame, path: str) -> int:
     """One text file for each document below ``path``/report_id=...; the number of documents. An earlier set of reports stays until all are there."""
     rows = documents.dropDuplicates(["report_id"]).select("report_id", F.col("json").alias("value"))
     return staged(rows.repartition("report_id"), path, "text", by=["report_id"])
+
+
+def summary_rows(routed: DataFrame) -> DataFrame:
+    """(filename, cm-score with six decimals, experts_run, source_path, report_id) of clips (path, probability, trace), by path.
+
+    Experts that ran stand in running order, joined by commas; those that failed or were skipped don't.
+    """
+    ran = F.transform(F.filter("trace", lambda s: s["action"] == "run"), lambda s: s["expert"])
+    name = F.element_at(F.split("path", "/"), -1)
+    score = F.format_string("%.6f", F.col("probability"))
+    return routed.select(name.alias("filename"), score.alias("cm-score"), F.array_join(ran, ",").alias("experts_run"), F.col("path").alias("source_path"), report_id(F.col("path")).alias("report_id")).orderBy("source_path")
+
+
+def write_summary(routed: DataFrame, path: str) -> int:
+    """``summary_rows`` as a tab-separated table; the number of rows. Files of one name in several folders have rows of their own."""
+    return staged(summary_rows(routed), path, "csv", sep="\t", header=True, quote="", emptyValue="")

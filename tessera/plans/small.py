@@ -99,6 +99,11 @@ def per_generator_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.capped_sample(m, None, 5, 13).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("system").alias("systems"))
 
 
+def capped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list behind ``per_generator_cap``: every real clip, and each generator's first five fakes in the draw order."""
+    return sampling.capped_sample(T.manifest(spark, sf_dir).filter("label >= 0"), None, 5, 13).select("uid", "system", "label", "source")
+
+
 def seam_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest and mean step between successive pauses' mean values, for each user's low-value runs of two or more events."""
     e = T.table(spark, sf_dir, "events")
@@ -111,7 +116,7 @@ def seam_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.withColumn("step", step).groupBy("user_id").agg(F.round(F.max("step"), 3).alias("most"), F.round(F.avg("step"), 3).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (score_lookup, set_difference, band_limited, strongest_layer, topk_contributions, report_json, metric_text, protocol_join, column_stats, finite_check, feature_wording, per_generator_cap, seam_steps, spaced_windows)}
+QUERIES = {f.__name__: f for f in (score_lookup, set_difference, band_limited, strongest_layer, topk_contributions, report_json, metric_text, protocol_join, column_stats, finite_check, feature_wording, per_generator_cap, capped_files, seam_steps, spaced_windows)}
 _RATES = f"""{T.SCORED}, total as (select sum(y) as n1, count(*) - sum(y) as n0 from scored), counts as (select p, sum(y) as a, count(*) - sum(y) as b from scored group by p),
     rates as (select p, sum(a) over w / n1 as miss, 1 - sum(b) over w / n0 as flag from counts, total window w as (order by p rows unbounded preceding) union all select null, 0, 1),
     ranks as (select sum(a * (coalesce(below, 0) + b / 2e0)) / max(n1 * n0) as auc from (select *, sum(b) over (order by p rows between unbounded preceding and 1 preceding) as below from counts), total)"""
@@ -137,6 +142,7 @@ SQL = {
         when 0 then concat('average of cepstral coefficient ', k, ' (spectral envelope detail)') when 1 then concat('variation over time of cepstral coefficient ', k, ' (spectral envelope detail)')
         when 2 then concat('frame-to-frame jitter of cepstral coefficient ', k, ' (spectral envelope detail)') when 3 then concat('share of energy in the ', k * 1000, '-', k * 1000 + 1000, ' Hz band')
         when 4 then 'fraction of frames that are pauses or near-silence' else 'unknown' end as words from k) select words, count(*) as n from w group by words""",
+    "capped_files": f"with {T.MANIFEST}, k as (select *, row_number() over (partition by label, system order by md5(concat(uid, ':13')), uid) as r from manifest where label >= 0) select uid, system, label, source from k where label = 0 or r <= 5",
     "per_generator_cap": f"with {T.MANIFEST}, k as (select *, row_number() over (partition by label, system order by md5(concat(uid, ':13')), uid) as r from manifest where label >= 0) select label, count(*) as n, count(distinct system) as systems from k where label = 0 or r <= 5 group by label",
     "seam_steps": """with r as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events), q as (select *, i - row_number() over (partition by user_id order by i) as island from r where value < (select avg(value) from events)),
         p as (select user_id, island, avg(value) as m, min(i) as i from q group by all having count(*) >= 2), s as (select user_id, abs(m - lag(m) over (partition by user_id order by i)) as step from p)

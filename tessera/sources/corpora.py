@@ -81,7 +81,7 @@ def cells_at(spark: SparkSession, manifest: DataFrame, cell: Column) -> DataFram
 
 
 def read_clips(spark: SparkSession, manifest: DataFrame, cell: str = "audio.bytes") -> DataFrame:
-    """(uid, samples array<float>, error) of each row of a manifest, wherever its audio lies; either samples or an error is null."""
+    """(uid, samples array<float>, rate, error) of each row of a manifest, wherever its audio lies; either samples or an error is null."""
     inside = cells_at(spark, manifest.filter("row >= 0"), F.col(cell)).select("uid", "content")
     alone = manifest.filter("row < 0")
     files = [r["path"] for r in alone.select(F.regexp_extract("path", "^(.*)/", 1).alias("path")).distinct().collect()]  # folders

@@ -101,3 +101,15 @@ def test_labelled_lists_and_templates(spark):
     for bad in (template.limit(1), template.unionByName(spark.createDataFrame([("c", "x")], "filename string, other string"))):
         with pytest.raises(ValueError, match="coverage"):
             readers.template_scores(scores, bad)
+
+
+def test_summary_table(spark, tmp_path):
+    kinds = "path string, probability double, trace array<struct<expert:string,action:string>>"
+    rows = [("/b/clip.wav", 0.25, [("container", "run"), ("prosody", "error"), ("spectral", "run"), ("splice", "skip")]), ("/a/clip.wav", 1 / 3, []), ("/a/other.wav", 1.0, [("deep", "run")])]
+    routed = spark.createDataFrame(rows, kinds).repartition(3)
+    assert reports.write_summary(routed, str(tmp_path / "s")) == 3
+    lines = [line for p in sorted((tmp_path / "s").glob("part-*")) for line in p.read_text().splitlines()]
+    cells = [line.split("\t") for line in lines]
+    assert cells[0] == ["filename", "cm-score", "experts_run", "source_path", "report_id"]
+    assert sorted(tuple(c[:4]) for c in cells[1:]) == [("clip.wav", "0.250000", "container,spectral", "/b/clip.wav"), ("clip.wav", "0.333333", "", "/a/clip.wav"), ("other.wav", "1.000000", "deep", "/a/other.wav")]
+    assert len({c[4] for c in cells[1:]}) == 3

@@ -29,7 +29,7 @@ def test_manifests_with_coordinates(spark, tmp_path):
     assert len(got) == 60 and all((got[n].speaker, got[n].label, got[n].system) == (s, k, "bonafide" if k == 0 else a) for s, n, a, k, _ in rows)
     assert len({(r.path, r.row) for r in got.values()}) == 60 and len({r.path for r in got.values()}) == 3
     one = corpora.read_clips(spark, m.filter("uid = 'clip7'")).collect()
-    assert [r.uid for r in one] == ["clip7"] and np.allclose(one[0].samples[:2], [700 / 32768, -700 / 32768])
+    assert [(r.uid, r.rate) for r in one] == [("clip7", 16_000)] and np.allclose(one[0].samples[:2], [700 / 32768, -700 / 32768])
     assert {r.uid: len(r.samples) for r in corpora.read_clips(spark, m).collect()} == {f"clip{i}": 800 for i in range(60)}
 
     spark.createDataFrame([("p1", "a/b/p1_01.mic1.flac"), ("p2", "p2_02.flac")], "speaker_id string, file string").write.parquet(str(tmp_path / "ext" / "vctk_0.parquet"))
