@@ -1,8 +1,10 @@
+import hashlib
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import license_scan, queries, sharding, url_filter
 from tests.compare import SF, compare, connection
@@ -52,6 +54,11 @@ def test_urls(spark):
     assert got == {i: plain(u) for i, u in enumerate(urls + urls)}
     assert url_filter.filter_urls(df.limit(0), "url", queries.URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(df, "url", []).collect()} == {"allow"}
+    taken = df.withColumnsRenamed({"size": "host"}).withColumn("rule", F.lit("own"))
+    with pytest.raises(ValueError, match="exist"):
+        url_filter.filter_urls(taken, "url", queries.URL_RULES)
+    beside = url_filter.filter_urls(taken, "url", queries.URL_RULES, prefix="f_").collect()
+    assert {r.page_id: (r.f_host, r.f_path, r.f_rule, r.f_verdict) for r in beside} == got and all(r.rule == "own" and r.host == 1 for r in beside)
 
 
 def test_licenses(spark):
@@ -83,3 +90,65 @@ def test_long_templates(spark):
     df = spark.createDataFrame([(str(i), t) for i, t in docs.items()], "doc_id string, text string")
     got = {r.doc_id: (r.labels, r.base_labels, r.first_word) for r in license_scan.scan_licenses(df, templates=templates).collect()}
     assert got == {"1": ("exact,long", "exact", 0), "2": ("long", "", None), "3": ("", "", None), "4": ("exact,long", "exact", 20)}
+
+
+def plain_scan(text, templates=license_scan.PHRASES + license_scan.NOTICES + license_scan.LICENSES):
+    """(labels, score) by hits of each template, diagonal by diagonal."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, best = set(), 0.0
+    for t in templates:
+        split = t.text.split()
+        n = len(split) - 2
+        hits = {}
+        for i in range(len(words) - 2):
+            for j in range(n):
+                if words[i : i + 3] == split[j : j + 3]:
+                    hits.setdefault(i - j, set()).add(j)
+        spans, start, last = [], None, None
+        for diagonal in sorted(hits):
+            if last is None or diagonal - last > license_scan.NEIGHBOUR:
+                start = diagonal
+            last = diagonal
+            spans.append(((start, (diagonal - start) // (max(license_scan.NEIGHBOUR, int(n * license_scan.DRIFT)) + 1)), diagonal))
+        covers = {}
+        for key, diagonal in spans:
+            covers.setdefault(key, set()).update(hits[diagonal])
+        for key, covered in covers.items():
+            whole = any(len(hits[d]) == n for k, d in spans if k == key)
+            if whole if t.exact else len(covered) / n >= license_scan.LEAST_COVER:
+                labels.add(t.label)
+                best = max(best, len(covered) / n)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_and_scores(spark):
+    rng = random.Random(8)
+    texts = [t.text.split() for t in license_scan.PHRASES + license_scan.NOTICES + license_scan.LICENSES]
+    docs = {1: None, 2: "licensed under the apache foo bar licence; the apache license version one; license version 2 1; version 2 0"}
+    for i in range(10, 130):
+        words = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 1, len(words) // 12, len(words) // 5])):  # words changed, dropped and put in
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1, 3])] = [rng.choice(["other", "the", "software"])] * rng.choice([0, 1, 1, 2])
+        docs[i] = " ".join([*["before"] * rng.randrange(3), *words, *rng.choice(texts)[: rng.randrange(20)]])
+    df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: (labels, round(score, 9)) for i, (labels, score) in ((i, plain_scan(t)) for i, t in docs.items())}
+    assert got[2] == ("", 0) and {"isc", "zlib", "bsd-3", "bsd-2", "unlicense", "gpl-3"} <= {x for labels, _ in got.values() for x in labels.split(",")}
+
+
+def test_shard_table_against_wish_lists():
+    """Written-out wish lists of all shards, which strike what others have taken, in place of steps through the table."""
+    names, size = [f"shard-{i:03d}" for i in range(64)], 1009
+    wishes = []
+    for name in names:
+        offset, step = (int(hashlib.md5(name.encode()).hexdigest()[k : k + 16], 16) for k in (0, 16))
+        wishes.append([(offset % size + k * (step % (size - 1) + 1)) % size for k in range(size)])
+        assert sorted(wishes[-1]) == list(range(size))
+    owner = {}
+    while len(owner) < size:
+        for s in range(len(names)):
+            wishes[s] = [w for w in wishes[s] if w not in owner]
+            if wishes[s]:
+                owner[wishes[s][0]] = s
+    assert [owner[k] for k in range(size)] == sharding.fill_table(names, size)
