@@ -110,7 +110,9 @@ def with_keys(docs: DataFrame | Keyed, id_col: str) -> Keyed:
     if whole and not docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) | F.col(id_col).isNull()).limit(1).count():
         return Keyed(docs, id_col, id_col, True)
     key = unused("row_key", docs)
-    rows = docs.orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*docs.columns)).withColumn(key, F.monotonically_increasing_id())
+    # what can't be hashed as it is (maps, at any depth) is hashed as JSON
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    rows = docs.orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*parts)).withColumn(key, F.monotonically_increasing_id())
     return Keyed(saved(rows, "keyed"), key, id_col, False)
 
 
