@@ -48,8 +48,8 @@ def fill_table(shards: Sequence[str], size: int = SIZE) -> list[int]:
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str], size: int = SIZE, prefix: str = "") -> DataFrame:
     """Every row of ``df`` with ``{prefix}slot`` int, ``{prefix}shard`` int and ``{prefix}shard_name`` string.
 
-    A null key counts as the empty string; equal keys always meet in one shard. Columns of
-    ``df`` with those names raise ValueError; give a ``prefix`` then.
+    A null key counts as the empty string; equal keys always meet in one shard. Very long keys count as a whole; an
+    empty table gives an empty one. Columns of ``df`` with those names raise ValueError; give a ``prefix`` then.
     """
     names = [f"{prefix}slot", f"{prefix}shard", f"{prefix}shard_name"]
     if clash := [n for n in names if n in df.columns]:

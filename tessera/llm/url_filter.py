@@ -54,17 +54,20 @@ def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
     return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
 
 
-def filter_urls(pages: DataFrame, url_col: str, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
-    """Every row of ``pages`` with ``host``, ``path``, ``rule`` (null without one) and ``verdict``.
+def filter_urls(pages: DataFrame, url_col: str, rules: Sequence[tuple[str, str, str]], default: str = "allow", prefix: str = "") -> DataFrame:
+    """Every row of ``pages`` with ``host``, ``path``, ``rule`` (null without one) and ``verdict``, each name behind ``prefix``.
 
-    Null and malformed URLs have an empty host and path and get ``default``. Repeated rows each
-    get their own verdict. Columns of ``pages`` with those names raise ValueError.
+    Null and malformed URLs have an empty host and path and get ``default``. Very long URLs count as a whole; a host is
+    expanded into as many suffixes as it has labels. Repeated rows each get their own verdict; an empty table gives an empty one.
+    Columns of ``pages`` with the new names raise ValueError; give a ``prefix`` then.
     """
-    if clash := [n for n in ("host", "path", "rule", "verdict") if n in pages.columns]:
+    host, path, rule, verdict = (f"{prefix}{n}" for n in ("host", "path", "rule", "verdict"))
+    if clash := [n for n in (host, path, rule, verdict) if n in pages.columns]:
         raise ValueError(f"columns exist already: {clash}")
-    host, path = url_parts(F.col(url_col))
-    parts = pages.withColumns({"host": host, "path": path})
+    parts = pages.withColumns(dict(zip((host, path), url_parts(F.col(url_col)), strict=True)))
     if not rules:
-        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    joined = parts.join(match_rules(parts.select("host", "path"), rules), ["host", "path"], "left")
-    return joined.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+        return parts.withColumns({rule: F.lit(None).cast("string"), verdict: F.lit(default)})
+    found = match_rules(parts.select(F.col(host).alias("host"), F.col(path).alias("path")), rules)
+    found = found.withColumnsRenamed({"host": host, "path": path, "rule": rule, "verdict": verdict})
+    joined = parts.join(found, [host, path], "left")
+    return joined.select(*pages.columns, host, path, rule, F.coalesce(verdict, F.lit(default)).alias(verdict))
