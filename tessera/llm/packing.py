@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import Keyed, saved, with_keys
-from tessera.llm.text_kernels import tidy
+from tessera.llm.text_kernels import return_memory, tidy
 from tessera.llm.token_ids import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -185,6 +185,7 @@ def pack_documents(docs: DataFrame | Keyed, id_col: str = "doc_id", text_col: st
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     shared = spark.sparkContext.broadcast(Plan(counts).table())
+    return_memory()  # of the driver
     chunks = min(MOST_CHUNKS, 1 + int(counts.sum()) // CHUNK_ROWS)
     dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("id", "piece"), F.lit(chunks)))
     sizes = dealt.groupBy("length", "chunk").agg(F.count("*").alias("size"))

@@ -233,7 +233,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     bounded_batches(docs.sparkSession)
     sample = _label_sample(docs, labels, id_col, text_col, rows)
-    featured = sample.mapInArrow(tidy(_feature_batches(id_col)), "id string, low int, tox int, features binary").toArrow()
+    model = _fitted(sample.mapInArrow(tidy(_feature_batches(id_col)), "id string, low int, tox int, features binary").toArrow())
+    K.return_memory()  # the driver lives on; without this it keeps some 70 MB after each training
+    return model
+
+
+def _fitted(featured: pa.Table) -> QualityModel:
     featured = featured.sort_by([("id", "ascending"), ("features", "ascending")])
     parts = [np.frombuffer(x.as_buffer(), np.int32) for x in featured["features"]]  # views, not copies
     low, tox = (featured[c].to_numpy().astype(float) for c in ("low", "tox"))

@@ -91,3 +91,20 @@ def test_character_runs_are_code_points():
     got = [(data[a:b].tobytes().decode(), int(d)) for a, b, d in zip(*next(quality.character_runs(data, offsets, [3])))]
     assert got == [("añb", 0), ("ñb你", 0), ("b你x", 0)]
     assert [bytes(data[a:b]).decode() for a, b, _ in zip(*next(quality.character_runs(data, offsets, [2])))] == ["añ", "ñb", "b你", "你x", "yz"]
+
+
+def test_training_leaves_no_memory_with_the_driver(spark):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+
+    rng = random.Random(5)
+    pools = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)] for _ in range(2)]
+    docs = [(i, " ".join(rng.choices(pools[i % 2], k=400))) for i in range(2500)]
+    d, tags = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, i % 2) for i in range(2500)], "doc_id long, quality int, toxic int")
+    quality.train_quality(d, tags, rows=10)  # imports what it needs
+    K.return_memory()
+    before = held()
+    for _ in range(2):
+        quality.train_quality(d, tags)
+    assert held() - before < 20
