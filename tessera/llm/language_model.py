@@ -53,6 +53,8 @@ END = U(0xE5D0C1B2A3948576)
 _BEGIN = MODELLED + 1024
 _INDEX_BITS = 18
 _N_FEATURES = 4
+#: Powers of logits up to this, and sums of 64 of them, are within single precision.
+MOST_LOGIT = 80.0
 
 
 class Dictionary(NamedTuple):
@@ -95,6 +97,12 @@ class Weights(NamedTuple):
         parts = np.split(flat, [table, 2 * table, 2 * table + CLASSES])
         return cls(parts[0].reshape(-1, CLASSES), parts[1].reshape(-1, WIDTH), parts[2], parts[3].reshape(CLASSES, WIDTH))
 
+    def small(self) -> bool:
+        """Whether no logits' powers, as they are, can pass a float's range, nor all of a token's fall below it."""
+        most = _N_FEATURES * max(max(-float(t.min()), float(t.max())) for t in (self.classes, self.words))
+        bias = np.append(self.word_bias.max(1), self.class_bias.max())
+        return most + max(float(bias.max()), -float(bias.min())) < MOST_LOGIT
+
 
 def row_bits(n_tokens: int) -> int:
     """Rows grow with the root of the training tokens."""
@@ -173,12 +181,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> Tokens:
 _OUT, _ONE, _TWO, _THREE = (np.empty((BATCH, WIDTH), np.float32) for _ in range(4))
 _COLUMN_OF_ONES = np.ones((WIDTH, 1), np.float32)
 #: From so many tokens of a batch on, a row's expected counts are added up at once.
-MANY = 12
+MANY = 24
 
 
-def _powers(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _powers(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """exp(logits), up to a factor for each token, and their sums, for rows (token, feature); in a buffer of the module.
-    ``bias`` is that of all tokens, or has a row for each class."""
+    ``bias`` is that of all tokens, or has a row for each class. ``small`` logits need not be shifted by their maximum."""
     n, own = len(rows), np.ascontiguousarray(rows.T)
     z, part = _OUT[:n], _ONE[:n]
     np.take(table, own[0], axis=0, out=z, mode="clip")
@@ -186,10 +194,11 @@ def _powers(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.
         z += np.take(table, column, axis=0, out=part, mode="clip")
     z += bias if of_class is None else np.take(bias, of_class, axis=0, out=part, mode="clip")
     top, width = z, WIDTH
-    while width > 8:  # narrower by halves, which is faster than one maximum along the rows
+    while width > 8 and not small:  # narrower by halves, which is faster than one maximum along the rows
         width //= 2
         top = np.maximum(top[:, :width], top[:, width:], out=part[:, :width])
-    z -= top.max(1, keepdims=True)
+    if not small:
+        z -= top.max(1, keepdims=True)
     np.exp(z, out=z)
     return z, z @ _COLUMN_OF_ONES
 
@@ -204,14 +213,14 @@ def _word_rows(features: np.ndarray, of_class: np.ndarray, table: np.ndarray) ->
 
 def log_probabilities(t: Tokens, w: Weights) -> np.ndarray:
     """log10 of each token's probability; of tokens in the last class, the class' probability."""
-    out = np.empty(len(t.hash))
+    out, small = np.empty(len(t.hash)), w.small()
     for at in range(0, len(t.hash), BATCH):
         part = slice(at, at + BATCH)
         of_class = np.minimum(t.rank[part] >> 6, CLASSES - 1)
-        p, total = _powers(w.classes, w.class_bias, _class_rows(t.features[part], w.classes))
+        p, total = _powers(w.classes, w.class_bias, _class_rows(t.features[part], w.classes), small=small)
         got = p[np.arange(len(p)), of_class] / total[:, 0].astype(float)
         inner = np.flatnonzero(of_class < CLASSES - 1)
-        q, total = _powers(w.words, w.word_bias, _word_rows(t.features[part][inner], of_class[inner], w.words), of_class[inner])
+        q, total = _powers(w.words, w.word_bias, _word_rows(t.features[part][inner], of_class[inner], w.words), of_class[inner], small)
         got[inner] *= q[np.arange(len(inner)), t.rank[part][inner] & (WIDTH - 1)] / total[:, 0]
         out[part] = np.log10(np.maximum(got, 1e-30))
     return out
@@ -226,6 +235,7 @@ class _Counts:
 
     def __init__(self, flat: np.ndarray, first: bool) -> None:
         self.w, self.first = Weights.unpack(flat), first
+        self.small = self.w.small()
         self.table = self.w.classes.size
         self.seen, self.expected = (np.zeros((2, self.table), np.float32) for _ in range(2))
 
@@ -235,28 +245,31 @@ class _Counts:
     def _expect(self, to: np.ndarray, table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None) -> None:
         """Adds the probabilities of each token of a batch to its rows.
 
-        For each feature the tokens are sorted by row. Rows of ``MANY`` tokens are summed up one by one; of the others, the
-        first token of each row is added to the table, then the second of each, and so on: no row comes twice in an addition.
+        For each feature the tokens are sorted by row. Rows of ``MANY`` tokens are summed up one by one; of the others, by
+        falling number of tokens, the first token of each row is taken, then the second of each that has one is added, and
+        so on; each row of the table is then read and written once.
         """
-        p, total = _powers(table, bias, rows, of_class)
+        p, total = _powers(table, bias, rows, of_class, self.small)
         p /= total
-        to, sorted_p, held = to.reshape(-1, WIDTH), _ONE[: len(p)], _TWO
+        to = to.reshape(-1, WIDTH)
         for own in np.ascontiguousarray(rows.T):
             order = np.argsort(own.astype(np.uint16) if len(to) <= 1 << 16 else own, kind="stable")
             own = own[order]
-            np.take(p, order, axis=0, out=sorted_p, mode="clip")
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             size = np.diff(np.append(first, len(own)))
-            for a, n in zip(first[size >= MANY].tolist(), size[size >= MANY].tolist(), strict=True):
-                to[own[a]] += sorted_p[a : a + n].sum(0)
-            at, size = first[size < MANY], size[size < MANY]
-            while len(at):
-                row, sums = own[at], held[: len(at)]
-                np.take(to, row, axis=0, out=sums, mode="clip")
-                sums += np.take(sorted_p, at, axis=0, out=_THREE[: len(at)], mode="clip")
-                to[row] = sums
-                more = size > 1
-                at, size = at[more] + 1, size[more] - 1
+            falling = np.argsort(-size, kind="stable")
+            first, size = first[falling], size[falling]
+            many = int(np.count_nonzero(size >= MANY))
+            for a, n in zip(first[:many].tolist(), size[:many].tolist(), strict=True):
+                to[own[a]] += np.take(p, order[a : a + n], axis=0, out=_ONE[:n], mode="clip").sum(0)
+            at, size = first[many:], size[many:]
+            sums = np.take(p, order[at], axis=0, out=_TWO[: len(at)], mode="clip")
+            for j in range(1, int(size[0]) if len(size) else 0):
+                n = int(np.count_nonzero(size > j))
+                sums[:n] += np.take(p, order[at[:n] + j], axis=0, out=_ONE[:n], mode="clip")
+            row = own[at]
+            sums += np.take(to, row, axis=0, out=_THREE[: len(at)], mode="clip")
+            to[row] = sums
 
     def count(self, t: Tokens) -> None:
         w = self.w

@@ -110,3 +110,23 @@ def test_held_out_texts_change_no_other_score(spark):
     one, two = score(docs), score(changed)
     same = [i for i in docs if docs[i] == changed[i]]
     assert len(same) < len(docs) and all(abs(one[i].score - two[i].score) < 1e-4 * one[i].n_tokens and one[i].base_score == two[i].base_score for i in same)
+
+
+def test_expected_counts_read_each_row_of_the_table_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    flat = np.concatenate([rng.normal(0, 0.3, 2 * (M.WIDTH << M.ROW_BITS)), rng.normal(-3, 1, M.CLASSES * (M.WIDTH + 1))]).astype(np.float32)
+    w, rows, of_class = M.Weights.unpack(flat), np.minimum(rng.zipf(1.3, (1500, 4)), 400) % 390, rng.integers(0, M.CLASSES - 1, 1500)
+    for factor, small in ((1, True), (1000, False)):  # logits of some hundreds need their shift
+        counts = M._Counts(flat * np.float32(factor), False)
+        assert counts.w.small() == small
+        for table, bias, own in ((counts.w.classes, counts.w.class_bias, None), (counts.w.words, counts.w.word_bias, of_class)):
+            z = table[rows].sum(1).astype(float) + (bias if own is None else bias[own])
+            p = np.exp(z - z.max(1, keepdims=True))
+            plain = np.zeros(table.shape)
+            for column in rows.T:
+                np.add.at(plain, column, p / p.sum(1, keepdims=True))
+            to, read, take = np.zeros(table.size, np.float32), [], np.take
+            monkeypatch.setattr(np, "take", lambda a, i, *args, **more: (np.shares_memory(a, to) and read.append(len(i)), take(a, i, *args, **more))[1])  # noqa: B023
+            counts._expect(to, table, bias, rows, own)
+            monkeypatch.undo()
+            assert len(read) == 4 and np.allclose(to.reshape(plain.shape), plain, rtol=1e-3 if small else 1e-2, atol=1e-3)
