@@ -12,7 +12,8 @@ to the hash's bucket; the most frequent ``DICTIONARY`` in training are broadcast
 Learning takes ``ROUNDS`` synchronous rounds over all training documents: every
 task counts, for each weight, the tokens seen and those the shared weights expect;
 the counts are added up over all tasks, and each weight takes one step by the
-log of their ratio. So neither files nor partitions matter. Scoring goes
+log of their ratio. A task sorts its tokens by history, so what is expected after one
+history is computed once for all of a run of ``HELD`` tokens. So neither files nor partitions matter. Scoring goes
 through every text in sparse batches; words outside the dictionary are sent to
 their bucket, where their count is known, and add to their document's sums.
 """
@@ -39,7 +40,12 @@ CLASSES = 64
 MODELLED = (CLASSES - 1) * WIDTH
 #: Bits of the rows of a table of features, at least; see ``row_bits``.
 ROW_BITS = 13
-BATCH = 8192
+#: Tokens whose expected counts are added up together; the more, the seldomer each row of a table is read and written.
+BATCH = 1 << 15
+#: Rows whose arithmetic is done together, so that they stay in a core's own cache.
+PART = 1024
+#: Training tokens that a task holds, as 8 bytes each, and sorts by history before it adds up what the weights expect of them.
+HELD = 1 << 21
 ROUNDS = 2
 RATE = 0.6
 #: Tokens in agreement with the weights that are added to each weight's counts.
@@ -51,6 +57,8 @@ GATHER = 1 << 23
 U = np.uint64
 END = U(0xE5D0C1B2A3948576)
 _BEGIN = MODELLED + 1024
+_SYMBOL_BITS = 13
+_CLASS_BITS = 6
 _INDEX_BITS = 18
 _N_FEATURES = 4
 #: Powers of logits up to this, and sums of 64 of them, are within single precision.
@@ -103,6 +111,20 @@ class Weights(NamedTuple):
         bias = np.append(self.word_bias.max(1), self.class_bias.max())
         return most + max(float(bias.max()), -float(bias.min())) < MOST_LOGIT
 
+    def factors(self) -> Factors | None:
+        """The weights' own powers if logits are small: a token's probabilities are then products of its rows, without powers of their own."""
+        if not self.small():
+            return None
+        return Factors(np.exp(self.classes + self.class_bias / _N_FEATURES), np.exp(self.words), np.exp(self.word_bias))
+
+
+class Factors(NamedTuple):
+    """Powers of weights; those of the classes hold their share of the bias."""
+
+    classes: np.ndarray
+    words: np.ndarray
+    word_bias: np.ndarray
+
 
 def row_bits(n_tokens: int) -> int:
     """Rows grow with the root of the training tokens."""
@@ -160,47 +182,82 @@ def places(h: np.ndarray, d: Dictionary) -> np.ndarray:
     return out
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> Tokens:
+def histories(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``Tokens``, with the symbols of the last three tokens, last one in the highest bits, in place of features."""
     h, doc = token_hashes(data, offsets)
     at = places(h, d)
     rank = np.where(at >= 0, np.take(d.rank, at, mode="clip"), DICTIONARY) if len(d.hashes) else np.full(len(h), DICTIONARY)
     symbol = np.where(rank < MODELLED, rank, MODELLED + (h >> U(54)).astype(np.int64)).astype(U)
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    history, last = [], symbol
+    history, last = np.zeros(len(h), U), symbol
     for _ in range(3):
         last = np.concatenate([[U(_BEGIN)], last[:-1]]).astype(U)
         last[starts] = U(_BEGIN)
-        history.append(last)
-    a, b, c = history
+        history = history << U(_SYMBOL_BITS) | last
+    return h, doc, at, rank, history
+
+
+def features_of(history: np.ndarray) -> np.ndarray:
+    most = U((1 << _SYMBOL_BITS) - 1)
+    a, b, c = history >> U(2 * _SYMBOL_BITS), history >> U(_SYMBOL_BITS) & most, history & most
     keys = [a, b, c, a * U(8191) + b * U(131_071)]
-    features = np.stack([K.mix(k * U(_N_FEATURES) + U(j + 1)) for j, k in enumerate(keys)], 1)
-    return Tokens(h, doc, at, rank, features)
+    return np.stack([K.mix(k * U(_N_FEATURES) + U(j + 1)) for j, k in enumerate(keys)], 1)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, d: Dictionary) -> Tokens:
+    *columns, history = histories(data, offsets, d)
+    return Tokens(*columns, features_of(history))
 
 
 #: Buffers of a batch, made once: fresh pages for each batch would cost more than the arithmetic.
 _OUT, _ONE, _TWO, _THREE = (np.empty((BATCH, WIDTH), np.float32) for _ in range(4))
-_COLUMN_OF_ONES = np.ones((WIDTH, 1), np.float32)
+_COLUMN_OF_ONES, _ROW_OF_ONES = np.ones((WIDTH, 1), np.float32), np.ones(BATCH, np.float32)
 #: From so many tokens of a batch on, a row's expected counts are added up at once.
-MANY = 24
+MANY = 48
 
 
-def _powers(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _powers(
+    table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None, factors: Factors | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """exp(logits), up to a factor for each token, and their sums, for rows (token, feature); in a buffer of the module.
-    ``bias`` is that of all tokens, or has a row for each class. ``small`` logits need not be shifted by their maximum."""
+    ``bias`` is that of all tokens, or has a row for each class. Without ``factors`` logits are shifted by their maximum."""
     n, own = len(rows), np.ascontiguousarray(rows.T)
-    z, part = _OUT[:n], _ONE[:n]
-    np.take(table, own[0], axis=0, out=z, mode="clip")
-    for column in own[1:]:
-        z += np.take(table, column, axis=0, out=part, mode="clip")
-    z += bias if of_class is None else np.take(bias, of_class, axis=0, out=part, mode="clip")
-    top, width = z, WIDTH
-    while width > 8 and not small:  # narrower by halves, which is faster than one maximum along the rows
-        width //= 2
-        top = np.maximum(top[:, :width], top[:, width:], out=part[:, :width])
-    if not small:
+    for at in range(0, n, PART):
+        columns, z = own[:, at : at + PART], _OUT[at : min(n, at + PART)]
+        part = _ONE[: len(z)]
+        kind = None if of_class is None else of_class[at : at + PART]
+        if factors:
+            powers = factors.classes if kind is None else factors.words
+            np.take(powers, columns[0], axis=0, out=z, mode="clip")
+            for column in columns[1:]:
+                z *= np.take(powers, column, axis=0, out=part, mode="clip")
+            if kind is not None:
+                z *= np.take(factors.word_bias, kind, axis=0, out=part, mode="clip")
+            continue
+        np.take(table, columns[0], axis=0, out=z, mode="clip")
+        for column in columns[1:]:
+            z += np.take(table, column, axis=0, out=part, mode="clip")
+        z += bias if kind is None else np.take(bias, kind, axis=0, out=part, mode="clip")
+        top, width = z, WIDTH
+        while width > 8:  # narrower by halves, which is faster than one maximum along the rows
+            width //= 2
+            top = np.maximum(top[:, :width], top[:, width:], out=part[:, :width])
         z -= top.max(1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z @ _COLUMN_OF_ONES
+        np.exp(z, out=z)
+    return _OUT[:n], _OUT[:n] @ _COLUMN_OF_ONES
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before it; the first does."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of ascending values, and how often each occurs."""
+    first = np.flatnonzero(_changes(x))
+    return x[first], np.diff(first, append=len(x)).astype(np.float32)
 
 
 def _class_rows(features: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -211,16 +268,16 @@ def _word_rows(features: np.ndarray, of_class: np.ndarray, table: np.ndarray) ->
     return (K.mix(features + of_class[:, None].astype(U)) >> U(65 - len(table).bit_length())).astype(np.int64)
 
 
-def log_probabilities(t: Tokens, w: Weights) -> np.ndarray:
-    """log10 of each token's probability; of tokens in the last class, the class' probability."""
-    out, small = np.empty(len(t.hash)), w.small()
-    for at in range(0, len(t.hash), BATCH):
-        part = slice(at, at + BATCH)
+def log_probabilities(t: Tokens, w: Weights, factors: Factors | None = None) -> np.ndarray:
+    """log10 of each token's probability; of tokens in the last class, the class' probability. ``factors``: those of ``w``."""
+    out = np.empty(len(t.hash))
+    for at in range(0, len(t.hash), 2 * PART):
+        part = slice(at, at + 2 * PART)
         of_class = np.minimum(t.rank[part] >> 6, CLASSES - 1)
-        p, total = _powers(w.classes, w.class_bias, _class_rows(t.features[part], w.classes), small=small)
+        p, total = _powers(w.classes, w.class_bias, _class_rows(t.features[part], w.classes), factors=factors)
         got = p[np.arange(len(p)), of_class] / total[:, 0].astype(float)
         inner = np.flatnonzero(of_class < CLASSES - 1)
-        q, total = _powers(w.words, w.word_bias, _word_rows(t.features[part][inner], of_class[inner], w.words), of_class[inner], small)
+        q, total = _powers(w.words, w.word_bias, _word_rows(t.features[part][inner], of_class[inner], w.words), of_class[inner], factors)
         got[inner] *= q[np.arange(len(inner)), t.rank[part][inner] & (WIDTH - 1)] / total[:, 0]
         out[part] = np.log10(np.maximum(got, 1e-30))
     return out
@@ -235,59 +292,89 @@ class _Counts:
 
     def __init__(self, flat: np.ndarray, first: bool) -> None:
         self.w, self.first = Weights.unpack(flat), first
-        self.small = self.w.small()
+        self.factors = self.w.factors()
         self.table = self.w.classes.size
+        self.held: list[np.ndarray] = []
         self.seen, self.expected = (np.zeros((2, self.table), np.float32) for _ in range(2))
 
     def _bins(self, to: np.ndarray, rows: np.ndarray, column: np.ndarray) -> None:
         np.add.at(to, (rows * WIDTH + column[:, None]).reshape(-1), np.float32(1))
 
-    def _expect(self, to: np.ndarray, table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None) -> None:
-        """Adds the probabilities of each token of a batch to its rows.
+    def _expect(
+        self, to: np.ndarray, table: np.ndarray, bias: np.ndarray, rows: np.ndarray, of_class: np.ndarray | None = None, times: np.ndarray | None = None
+    ) -> None:
+        """Adds the probabilities of each token of a batch, which occurs so many ``times`` (once, by default), to its rows.
 
-        For each feature the tokens are sorted by row. Rows of ``MANY`` tokens are summed up one by one; of the others, by
-        falling number of tokens, the first token of each row is taken, then the second of each that has one is added, and
-        so on; each row of the table is then read and written once.
+        If a feature's rows come in long runs, these are summed up where they are. For others the tokens are sorted by row.
+        Rows of ``MANY`` tokens are summed up one by one; of the others, by falling number of tokens, the first token of each
+        row is taken, then the second of each that has one is added, and so on; each row of the table is then read and
+        written once.
         """
-        p, total = _powers(table, bias, rows, of_class, self.small)
-        p /= total
+        p, total = _powers(table, bias, rows, of_class, self.factors)
+        p *= (1 if times is None else times[:, None]) / total
         to = to.reshape(-1, WIDTH)
-        for own in np.ascontiguousarray(rows.T):
-            order = np.argsort(own.astype(np.uint16) if len(to) <= 1 << 16 else own, kind="stable")
+        for own in np.ascontiguousarray(rows.T, np.uint16 if len(to) <= 1 << 16 else np.int64):
+            runs = np.flatnonzero(_changes(own))
+            if len(runs) * MANY <= len(own):
+                for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(own)], strict=True):
+                    to[own[a]] += _ROW_OF_ONES[: b - a] @ p[a:b]
+                continue
+            order = np.argsort(own, kind="stable")
             own = own[order]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            size = np.diff(np.append(first, len(own)))
-            falling = np.argsort(-size, kind="stable")
+            first = np.flatnonzero(_changes(own))
+            size = np.diff(first, append=len(own))
+            falling = np.argsort((len(own) - size).astype(np.uint16), kind="stable")
             first, size = first[falling], size[falling]
             many = int(np.count_nonzero(size >= MANY))
             for a, n in zip(first[:many].tolist(), size[:many].tolist(), strict=True):
-                to[own[a]] += np.take(p, order[a : a + n], axis=0, out=_ONE[:n], mode="clip").sum(0)
+                to[own[a]] += _ROW_OF_ONES[:n] @ np.take(p, order[a : a + n], axis=0, out=_ONE[:n], mode="clip")
             at, size = first[many:], size[many:]
+            longer = len(at) - np.cumsum(np.bincount(size, minlength=MANY + 1)) if len(size) else size
             sums = np.take(p, order[at], axis=0, out=_TWO[: len(at)], mode="clip")
             for j in range(1, int(size[0]) if len(size) else 0):
-                n = int(np.count_nonzero(size > j))
+                n = int(longer[j])
                 sums[:n] += np.take(p, order[at[:n] + j], axis=0, out=_ONE[:n], mode="clip")
             row = own[at]
             sums += np.take(to, row, axis=0, out=_THREE[: len(at)], mode="clip")
             to[row] = sums
 
     def count(self, t: Tokens) -> None:
+        """What is counted before the first step."""
         w = self.w
-        of_class = np.minimum(t.rank >> 6, CLASSES - 1)
+        of_class = np.minimum(t.rank >> _CLASS_BITS, CLASSES - 1)
         inner = np.flatnonzero(of_class < CLASSES - 1)
         rows, word_rows = _class_rows(t.features, w.classes), _word_rows(t.features[inner], of_class[inner], w.words)
-        if self.first:
-            self._bins(self.seen[0], rows, of_class)
-            self._bins(self.seen[1], word_rows, t.rank[inner] & (WIDTH - 1))
-            self._bins(self.expected[1], word_rows, of_class[inner])
+        self._bins(self.seen[0], rows, of_class)
+        self._bins(self.seen[1], word_rows, t.rank[inner] & (WIDTH - 1))
+        self._bins(self.expected[1], word_rows, of_class[inner])
+
+    def add(self, history: np.ndarray, rank: np.ndarray) -> None:
+        """Holds tokens; ``expect`` is due at the end too."""
+        self.held.append(history << U(_CLASS_BITS) | np.minimum(rank >> _CLASS_BITS, CLASSES - 1).astype(U))
+        if sum(map(len, self.held)) >= HELD:
+            self.expect()
+
+    def expect(self) -> None:
+        """Adds what the weights expect of the held tokens; those of one history, and in the words' table of one class, only once, times their number."""
+        if not self.held:
             return
-        of_class = of_class[inner]
-        for at in range(0, len(rows), BATCH):
-            part = rows[at : at + BATCH]
-            self._expect(self.expected[0], w.classes, w.class_bias, part)
-        for at in range(0, len(word_rows), BATCH):
-            part = word_rows[at : at + BATCH]
-            self._expect(self.expected[1], w.words, w.word_bias, part, of_class[at : at + BATCH])
+        w, key = self.w, np.concatenate(self.held)
+        self.held = []
+        key.sort()
+        history, times = _distinct(key >> U(_CLASS_BITS))
+        for at in range(0, len(history), BATCH):
+            rows = _class_rows(features_of(history[at : at + BATCH]), w.classes)
+            self._expect(self.expected[0], w.classes, w.class_bias, rows, None, times[at : at + BATCH])
+        of_class = key & U(CLASSES - 1)
+        inner = of_class < U(CLASSES - 1)
+        key = of_class[inner] << U(3 * _SYMBOL_BITS) | key[inner] >> U(_CLASS_BITS)
+        key.sort()
+        key, times = _distinct(key)
+        of_class, history = (key >> U(3 * _SYMBOL_BITS)).astype(np.int64), key & U((1 << 3 * _SYMBOL_BITS) - 1)
+        for at in range(0, len(key), BATCH):
+            own = of_class[at : at + BATCH]
+            rows = _word_rows(features_of(history[at : at + BATCH]), own, w.words)
+            self._expect(self.expected[1], w.words, w.word_bias, rows, own, times[at : at + BATCH])
 
 
 def steps(seen: np.ndarray, expected: np.ndarray, w: Weights, of_words: bool, first: bool) -> np.ndarray:
@@ -384,10 +471,14 @@ def _observe(dictionary, weights, first: bool):
             if not train.any():
                 continue
             counts = counts or _Counts(weights.value, first)
-            t = tokens(data, offsets, d)
-            keep = train[t.doc]
-            counts.count(Tokens(*(x[keep] for x in t)))
+            h, doc, at, rank, history = histories(data, offsets, d)
+            keep = train[doc]
+            if first:
+                counts.count(Tokens(h[keep], doc[keep], at[keep], rank[keep], features_of(history[keep])))
+            else:
+                counts.add(history[keep], rank[keep])
         if counts:
+            counts.expect()
             seen, expected = counts.seen.reshape(-1), counts.expected.reshape(-1)
             for i, a in enumerate(range(0, len(seen), BLOCK)):
                 own = slice(a, a + BLOCK)
@@ -423,6 +514,7 @@ def _score(dictionary, weights, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, w = Dictionary(*dictionary.value), Weights.unpack(weights.value)
+        factors = w.factors()
         log_rest = math.log10(max(d.rest(), ALPHA))
         sums: list[tuple] = []
         rare: list[tuple] = []
@@ -442,7 +534,7 @@ def _score(dictionary, weights, bits: int):
             count = np.where(inside, d.count[t.place], 0) if len(d.count) else np.zeros(len(t.hash))
             log_count = np.where(inside, np.log10(count + ALPHA), 0.0)
             last = t.rank >= MODELLED
-            score = log_probabilities(t, w) + np.where(last, log_count - log_rest, 0.0)
+            score = log_probabilities(t, w, factors) + np.where(last, log_count - log_rest, 0.0)
             by_doc = lambda v: np.bincount(t.doc, v, n_docs)  # noqa: B023, E731
             sums.append((ids, by_doc(np.ones(len(t.hash))).astype(np.int64), by_doc(inside & (count > 0)).astype(np.int64), by_doc(log_count), by_doc(score)))
             out = np.flatnonzero(~inside)

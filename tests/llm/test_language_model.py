@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,37 @@ def test_expected_counts_read_each_row_of_the_table_once(monkeypatch):
             counts._expect(to, table, bias, rows, own)
             monkeypatch.undo()
             assert len(read) == 4 and np.allclose(to.reshape(plain.shape), plain, rtol=1e-3 if small else 1e-2, atol=1e-3)
+
+
+def test_equal_histories_are_computed_once(monkeypatch):
+    rng = random.Random(3)
+    sayings = [" ".join(rng.choice(("on", "off", "up", "Down", "x1", "x2")) for _ in range(30)) for _ in range(7)]
+    texts = [rng.choice(sayings) for _ in range(300)]
+    data, offsets = next((x, o) for _, x, o in K.slices(pa.array(texts)))
+    h, n = np.unique(M.token_hashes(data, offsets)[0], return_counts=True)
+    rank = np.where(n == n.min(), M.MODELLED, 60 + np.arange(len(h)))  # of two classes, and one word of the last one
+    d = M.Dictionary(h, rank, n.astype(float), int(n.sum()), len(h), M._starts(h))
+    start = M.start_weights(d)
+    flat = start + np.random.default_rng(2).normal(0, 0.2, len(start)).astype(np.float32)
+    w, t = M.Weights.unpack(flat), M.tokens(data, offsets, d)
+    of_class = np.minimum(t.rank >> 6, M.CLASSES - 1)
+    inner = of_class < M.CLASSES - 1
+    plain = [np.zeros(w.classes.shape), np.zeros(w.words.shape)]
+    rows = [M._class_rows(t.features, w.classes), M._word_rows(t.features[inner], of_class[inner], w.words)]
+    for to, table, own, bias in zip(plain, (w.classes, w.words), rows, (w.class_bias, w.word_bias[of_class[inner]]), strict=True):
+        p = np.exp(table[own].sum(1).astype(float) + bias)
+        for column in own.T:
+            np.add.at(to, column, p / p.sum(1, keepdims=True))
+    powers, computed = M._powers, []
+    monkeypatch.setattr(M, "_powers", lambda table, bias, rows, *more: (computed.append(len(rows)), powers(table, bias, rows, *more))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([True] * 300), pa.array(texts)], ["id", "train", "text"])
+    for held in (1 << 21, 1000):
+        monkeypatch.setattr(M, "HELD", held, raising=False)
+        computed.clear()
+        got = np.zeros(2 * w.classes.size)
+        for part in M._observe(SimpleNamespace(value=tuple(d)), SimpleNamespace(value=flat), False)(iter([batch] * 4)):
+            for i, x in zip(part.column("bucket").to_pylist(), part.column("pack").to_pylist(), strict=True):
+                got[i * M.BLOCK : (i + 1) * M.BLOCK] += np.frombuffer(M.unpack_text(x), np.float32).reshape(2, -1)[1]
+        assert np.allclose(got.reshape(2, *w.classes.shape), 4 * np.stack(plain), rtol=1e-3, atol=1e-3)
+        histories = len(np.unique(t.features, axis=0))
+        assert max(computed) <= 3 * histories and (held == 1000 or computed[0] == histories and len(computed) == 2)
