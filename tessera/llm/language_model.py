@@ -40,7 +40,7 @@ CLASSES = 64
 MODELLED = (CLASSES - 1) * WIDTH
 #: Bits of the rows of a table of features, at least; see ``row_bits``.
 ROW_BITS = 13
-#: Tokens whose expected counts are added up together; the more, the seldomer each row of a table is read and written.
+#: Tokens whose expected counts are added up together, 65536 at most; the more, the seldomer each row of a table is read and written.
 BATCH = 1 << 15
 #: Rows whose arithmetic is done together, so that they stay in a core's own cache.
 PART = 1024
@@ -254,6 +254,15 @@ def _changes(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's rows in ascending order, and their places before; wider rows than 16 bits are sorted with their places in one number, which is faster."""
+    if own.dtype == np.uint16:
+        order = np.argsort(own, kind="stable")
+        return own[order], order
+    both = np.sort(own << 16 | np.arange(len(own)))
+    return both >> 16, both & 0xFFFF
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ones of ascending values, and how often each occurs."""
     first = np.flatnonzero(_changes(x))
@@ -319,8 +328,7 @@ class _Counts:
                 for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(own)], strict=True):
                     to[own[a]] += _ROW_OF_ONES[: b - a] @ p[a:b]
                 continue
-            order = np.argsort(own, kind="stable")
-            own = own[order]
+            own, order = _sorted(own)
             first = np.flatnonzero(_changes(own))
             size = np.diff(first, append=len(own))
             falling = np.argsort((len(own) - size).astype(np.uint16), kind="stable")

@@ -165,3 +165,17 @@ def test_equal_histories_are_computed_once(monkeypatch):
         assert np.allclose(got.reshape(2, *w.classes.shape), 4 * np.stack(plain), rtol=1e-3, atol=1e-3)
         histories = len(np.unique(t.features, axis=0))
         assert max(computed) <= 3 * histories and (held == 1000 or computed[0] == histories and len(computed) == 2)
+
+
+def test_rows_of_wide_tables_are_sorted_with_their_places(monkeypatch):
+    rng = np.random.default_rng(6)
+    flat = np.concatenate([rng.normal(0, 0.3, 2 * (M.WIDTH << 17)), rng.normal(-3, 1, M.CLASSES * (M.WIDTH + 1))]).astype(np.float32)
+    counts, rows, sort, wide = M._Counts(flat, False), np.minimum(rng.zipf(1.3, (900, 4)), 4000) * 32 + 7, np.argsort, []
+    p = np.exp(counts.w.classes[rows].sum(1).astype(float) + counts.w.class_bias)
+    plain = np.zeros(counts.w.classes.shape)
+    for column in rows.T:
+        np.add.at(plain, column, p / p.sum(1, keepdims=True))
+    to = np.zeros(plain.size, np.float32)
+    monkeypatch.setattr(np, "argsort", lambda x, *args, **more: (x.itemsize > 2 and wide.append(len(x)), sort(x, *args, **more))[1])
+    counts._expect(to, counts.w.classes, counts.w.class_bias, rows)
+    assert not wide and np.allclose(to.reshape(plain.shape), plain, rtol=1e-3, atol=1e-3)
