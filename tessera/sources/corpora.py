@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.audio import decoded
@@ -27,6 +27,15 @@ def parquet_manifest(spark: SparkSession, path: str, source: str, partition: str
     return found.select(*(given[c].alias(c) for c in COLUMNS))
 
 
+def numbered_through(manifest: DataFrame) -> DataFrame:
+    """A whole ``parquet_manifest`` whose rows are numbered through all of its files, by their names, in place of from 0 in each; the
+    counts come from the files' footers. Late reading needs the rows as they were."""
+    name = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # paths are encoded; their order is that of the plain ones
+    before = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files = manifest.groupBy("path").agg(F.count("*").alias("_n")).select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return manifest.join(files, "path").withColumn("row", F.col("row") + F.col("_before")).select(*manifest.columns)
+
+
 def attack_manifest(spark: SparkSession, path: str, partition: str, source: str = "la19") -> DataFrame:
     """A corpus of attacks: speaker_id, audio_file_name, system_id and key, which is 0 for real clips."""
     return parquet_manifest(spark, path, source, partition, F.col("audio_file_name"), F.col("speaker_id"), F.col("key"), F.col("system_id"))

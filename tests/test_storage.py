@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import calibration as C
 from tessera.operators import detector, learning, metrics, sampling
+from tessera.plans import corpus
 from tessera.sources import caches, corpora, readers, store
 from tessera.sources.spectral import NAMES, SHORTCUTS, power_spectrogram
 from tessera.streaming.drop_folder import analyse_folder
+from tests.compare import compare, connection
 from tests.test_operators import wav
 
 
@@ -19,6 +21,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_coordinates_of_a_table_of_several_files(spark, tmp_path):
+    found = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for i, name in enumerate(("a!c", "a b", "a+d", "a%20e")):
+        found.filter(F.col("doc_id") % 4 == i).toPandas().to_parquet(tmp_path / "whole.parquet")
+        (tmp_path / "documents.parquet").mkdir(exist_ok=True)
+        (tmp_path / "whole.parquet").rename(tmp_path / "documents.parquet" / f"{name}.parquet")
+    assert compare(spark, corpus.manifest_coordinates, corpus.SQL["manifest_coordinates"], connection(str(tmp_path)), str(tmp_path)) == ""
+
+
 def test_manifests_with_coordinates(spark, tmp_path):
     rows = [(f"s{i % 3}", f"clip{i}", f"A{i % 4}", i % 2, {"bytes": wav([100 * i, -100 * i] * 400), "path": None}) for i in range(60)]
     kinds = "speaker_id string, audio_file_name string, system_id string, key int, audio struct<bytes:binary,path:string>"
