@@ -58,6 +58,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip", "expert", "f.feature", value.alias("value"))
 
 
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``features`` with a column for each, a row for each order line."""
+    bad = F.col("l_partkey") % 17
+    value = lambda c: F.when(bad == 0, None).when(bad == 1, lit(float("nan"))).otherwise(F.col(c))
+    expert = F.element_at(F.array(*map(F.lit, EXPERTS)), F.col("l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip"), expert.alias("expert"), *(value(c).alias(n) for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"))))
+
+
 _MODEL = [(e, f, m + i, s + i, c * (1 if i % 2 else -1), m, s / 2) for i, e in enumerate(EXPERTS[:6]) for f, m, s, c in (("quantity", 25.0, 14.0, 0.5), ("price", 30000.0, 0.0 if i == 5 else 20000.0, 0.8))]
 _INTERCEPTS = [(e, 0.1 * i - 0.2) for i, e in enumerate(EXPERTS[:6])]
 #: The shipped fusion weights and bias.

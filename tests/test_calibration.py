@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import calibration as C
-from tessera.operators import metrics, routing
+from tessera.operators import blocks, metrics, ranks, routing
 
 NAMES = {"good": ("u", "v"), "noise": ("u", "v"), "speaker": ("sim",), "rare": ("u",)}
 
@@ -209,6 +209,38 @@ def test_grouped_summary_is_that_of_each_group(spark):
     assert got["single"].auc is None and got["single"].eer is None
 
 
+def test_metrics_of_blocks_are_those_of_tables(spark, monkeypatch):
+    """Blocks and ranges of a few clips each; scores that tie within a block and between blocks."""
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    monkeypatch.setattr(ranks, "STEP", 2)
+    monkeypatch.setattr(ranks, "RANGE", 60)
+    rows, found, labels = frames(spark, 150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        held = C.held_out(rows, found, labels, ranked=False)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    experts = ["container", "good", "noise", "rare", "speaker"]
+    plain = lambda df: {r.expert: r.asDict() for r in df.collect()}
+    assert held.source.packed.count() > 15
+    assert plain(held.source.expert_summaries(experts, 0.3)) == plain(C.expert_summaries(held.scored, held.terms, experts, 0.3))
+    assert plain(held.source.omission_drops(experts)) == plain(C.omission_drops(held.scored, held.terms, experts))
+    wide = {r.clip: r for r in held.source.wide(experts).collect()}
+    for r in held.terms.collect():
+        assert (wide[r.clip][f"{r.expert}_score"], wide[r.clip][f"{r.expert}_confidence"], wide[r.clip].without) == (r.score, r.confidence, r.without)
+
+
+def test_rows_of_wide_and_long_features_are_the_same(spark):
+    names = {"good": ("u", "v"), "speaker": ("v",)}
+    wide = [("a", "good", 1.0, None, None), ("a", "good", 0.5, float("nan"), None), ("a", "good", None, 3.0, None), ("b", "good", None, float("inf"), None), ("b", "speaker", 1.0, 2.0, None), ("c", "speaker", None, 5.0, None), ("d", "good", None, None, 1.0), ("d", "other", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(wide, "clip string, expert string, u double, v double, w double")
+    long = spark.createDataFrame([(c, e, f, v) for c, e, *own in wide for f, v in zip("uvw", own, strict=True)], "clip string, expert string, feature string, value double")
+    backends = spark.createDataFrame([("b", "wavlm-xvector"), ("c", "mfcc-stats"), ("e", "wavlm-xvector")], "clip string, backend string")
+    want = {("a", "good"): [1.0, 3.0], ("b", "speaker"): [2.0], ("d", "good"): [None, None]}
+    for features in (df, long):
+        assert {(r.clip, r.expert): r.x for r in C.expert_rows(features, names, backends).collect()} == want
+
+
 def context(i):
     return (f"c{i}", 3.0 + i % 3, 2.5 if i % 5 else 0.5, i % 4 == 0, i % 6 == 0, i % 10 == 0, *(float(10 * k + 5) for k in range(7)), "no decoder" if i % 7 == 0 else None)
 
