@@ -55,8 +55,8 @@ class _Open:
         return pa.RecordBatch.from_arrays([clips if f.name == "clips" else pa.array([out[f.name]], f.type) for f in schema], schema=schema)
 
 
-def _places(open_: dict[int, _Open], table: pa.Table, fixed: Sequence[str]) -> None:
-    """Adds all rows of whole clips to the blocks of their folds."""
+def _places(open_: dict[int, _Open], table: pa.Table, fixed: Sequence[str], labelled: bool) -> None:
+    """Adds all rows of whole clips to the blocks of their folds; without labels, fold 0 has every clip with a score or with features."""
     clip, expert, x = (table.column(c).combine_chunks() for c in ("clip", "expert", "x"))
     a, b = (table.column(c).to_numpy() for c in ("a", "b"))
     starts = np.append(0, np.flatnonzero(pc.not_equal(clip[1:], clip[:-1]).to_numpy(zero_copy_only=False)) + 1)
@@ -67,6 +67,8 @@ def _places(open_: dict[int, _Open], table: pa.Table, fixed: Sequence[str]) -> N
     label, found = code < 0, (code >= 0) & ~fits
     y, fold, confidence = np.zeros(len(starts)), np.full(len(starts), -1.0), np.full((len(starts), len(names) + 1), np.nan)
     y[g[label]], fold[g[label]] = a[label], b[label]
+    if not labelled:
+        fold[g[fits | (found & np.isin(code, [k for k, e in enumerate(names) if e in fixed]))]] = 0
     confidence[g[found], code[found]] = a[found]
     ends, values = x.offsets.to_numpy() - x.offsets[0].as_py(), x.flatten().to_numpy(zero_copy_only=False).astype(float)
     cells = []
@@ -91,10 +93,11 @@ def _places(open_: dict[int, _Open], table: pa.Table, fixed: Sequence[str]) -> N
         block.n += int(mine.sum())
 
 
-def blocks(rows: DataFrame, found: DataFrame, folds: DataFrame, fixed: Sequence[str] = ()) -> DataFrame:
+def blocks(rows: DataFrame, found: DataFrame, folds: DataFrame | None, fixed: Sequence[str] = ()) -> DataFrame:
     """Blocks of all clips of folds (clip, y, fold), from rows (clip, expert, x) and findings (clip, expert, confidence); those of experts in
-    ``fixed`` keep the score that they have."""
-    of = folds.schema["clip"].dataType
+    ``fixed`` keep the score that they have. Without folds, of all clips that rows or these findings have."""
+    labelled = folds is not None
+    of = (folds if labelled else rows).schema["clip"].dataType
     none = lambda kind: F.lit(None).cast(kind)
     score = finite(F.when(F.col("expert").isin(*fixed), F.col("score"))) if fixed and "score" in found.columns else none("double")
     kinds = t.StructType([t.StructField(n, k) for n, k in (
@@ -116,17 +119,19 @@ def blocks(rows: DataFrame, found: DataFrame, folds: DataFrame, fixed: Sequence[
             whole = pc.index(pc.equal(clip, clip[-1]), True).as_py()  # the last clip may go on in the next batch
             rest = new.slice(whole)
             if whole:
-                _places(open_, new.slice(0, whole).combine_chunks(), fixed)
+                _places(open_, new.slice(0, whole).combine_chunks(), fixed, labelled)
             for f in [f for f, o in open_.items() if o.n >= size]:
                 yield open_.pop(f).row(schema)
         if rest is not None:
-            _places(open_, rest.combine_chunks(), fixed)
+            _places(open_, rest.combine_chunks(), fixed, labelled)
         for o in open_.values():
             yield o.row(schema)
 
-    whole = folds.select("clip", none("string").alias("expert"), none("array<double>").alias("x"), F.col("y").cast("double").alias("a"), F.col("fold").cast("double").alias("b"))
-    whole = whole.unionByName(rows.select(F.col("clip").cast(of), "expert", "x", none("double").alias("a"), none("double").alias("b")))
-    whole = whole.unionByName(found.filter("expert is not null").select(F.col("clip").cast(of), "expert", none("array<double>").alias("x"), F.col("confidence").cast("double").alias("a"), score.alias("b")))
+    empty = none("array<double>").alias("x")
+    whole = rows.select(F.col("clip").cast(of), "expert", "x", none("double").alias("a"), none("double").alias("b"))
+    whole = whole.unionByName(found.filter("expert is not null").select(F.col("clip").cast(of), "expert", empty, F.col("confidence").cast("double").alias("a"), score.alias("b")))
+    if labelled:
+        whole = whole.unionByName(folds.select("clip", none("string").alias("expert"), empty, F.col("y").cast("double").alias("a"), F.col("fold").cast("double").alias("b")))
     return kept(whole.filter("clip is not null").repartition("clip").sortWithinPartitions("clip").mapInArrow(run, kinds))
 
 
@@ -151,6 +156,25 @@ def read(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(row["fold"].as_py(), row["clips"].values if "clips" in row else None, np.frombuffer(row["y"].as_buffer(), np.int8).astype(float), cells("", "x"), cells("rule_", "rule_score"))
 
 
+def unpacked(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (clip, expert, x) and the findings (clip, expert, score, confidence) that blocks hold."""
+    of = packed.schema["clips"].dataType.elementType
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in read(batches):
+            for e, (at, x, _) in block.experts.items():
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(x)), pa.array(np.ascontiguousarray(x.T).reshape(-1), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([block.clips.take(pa.array(at)), pa.array([e] * len(at), pa.string()), values], ["clip", "expert", "x"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in read(batches):
+            for e, at, score, confidence in (*((e, at, np.full(len(at), np.nan), c) for e, (at, _, c) in block.experts.items()), *((e, *own) for e, own in block.rules.items())):
+                yield pa.RecordBatch.from_arrays([block.clips.take(pa.array(at)), pa.array([e] * len(at), pa.string()), *(pa.array(v, from_pandas=True) for v in (score, confidence))], ["clip", "expert", "score", "confidence"])
+
+    kinds = lambda *more: t.StructType([t.StructField("clip", of), t.StructField("expert", t.StringType()), *(t.StructField(n, k) for n, k in more)])
+    return packed.mapInArrow(rows, kinds(("x", t.ArrayType(t.DoubleType())))), packed.mapInArrow(found, kinds(("score", t.DoubleType()), ("confidence", t.DoubleType())))
+
+
 def summed(found: DataFrame, of_block: Callable[[Block], Iterable[tuple[str, np.ndarray]]]) -> dict[str, np.ndarray]:
     """The sums of the named vectors that ``of_block`` gives."""
 

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.functions.scalar import C_FA, C_MISS, P_SPOOF, check_prior
-from tessera.operators.blocks import Block, read
+from tessera.operators.blocks import Block
+from tessera.operators.blocks import read as read_blocks
 
 #: Sorted scores between two that may be borders, about so many distinct scores of a range, and bytes that a task gathers before it sends them.
 STEP, RANGE, SENT = 512, 500_000, 16 << 20
-#: For each group the scores and classes of some clips; a score that is NaN doesn't count.
-Scores = Callable[[Block], Iterable[tuple[str, np.ndarray, np.ndarray]]]
+#: For each group the scores and classes of the clips of a block, or of a batch of plain columns; a score that is NaN doesn't count.
+Scores = Callable[[Block | pa.RecordBatch], Iterable[tuple[str, np.ndarray, np.ndarray]]]
 Borders = dict[str, np.ndarray]
 
 
@@ -30,6 +31,10 @@ def rounded(v: float | None, places: int) -> float | None:
     return None if v is None or not math.isfinite(v) else float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
 
 
+def _reader(source: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterable[Block | pa.RecordBatch]]:
+    return read_blocks if "experts" in source.columns else lambda batches: batches
+
+
 def _tied(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scores, place = np.unique(p[~np.isnan(p)], return_inverse=True)
     n1 = np.bincount(place, y[~np.isnan(p)], len(scores)).astype(np.int64)
@@ -38,7 +43,7 @@ def _tied(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _borders(source: DataFrame, scores: Scores) -> tuple[Borders, dict[str, tuple[int, int]]]:
     """The borders of each group's ranges, and its numbers of synthetic and real clips."""
-    step = STEP
+    step, read = STEP, _reader(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list] = {}
@@ -69,7 +74,7 @@ def _borders(source: DataFrame, scores: Scores) -> tuple[Borders, dict[str, tupl
 
 def _ranges(source: DataFrame, scores: Scores, borders: Borders, of_range: Callable[[str, int, np.ndarray, np.ndarray, np.ndarray], dict[str, float]], kinds: str, only: dict[str, int] | None = None) -> list[dict[str, object]]:
     """What ``of_range(group, range, p, n1, n0)`` says of each range's distinct scores in ascending order; a score on a border is of the range above. ``only``: one range of each group."""
-    names = sorted(borders)
+    names, read = sorted(borders), _reader(source)
     first = dict(zip(names, np.cumsum([0, *(len(borders[g]) + 1 for g in names)]).tolist(), strict=False))
     count = sum(len(b) + 1 for b in borders.values()) if only is None else len(only)
 

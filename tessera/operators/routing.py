@@ -7,12 +7,15 @@ projection without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import forensic_verdict, lit, logit, prior_shift, sigmoid
+from tessera.operators import ranks
 from tessera.operators.calibration import Calibration, HeldOut
 from tessera.sources.store import kept
 
@@ -161,8 +164,11 @@ def replay_out_of_fold(clips: DataFrame, held: HeldOut, prior: float = 0.30, met
     """
     if options.get("deep", "never") != "never":
         raise ValueError("replay out of fold needs deep='never'")
-    labels = held.folds.select("clip", "y", F.col("fold").cast("string").alias("without"))
-    rows = clips.join(labels, "clip").join(wide_findings(held.terms), "clip", "left")
+    if held.source is None:
+        labels = held.folds.select("clip", "y", F.col("fold").cast("string").alias("without"))
+        rows = clips.join(labels, "clip").join(wide_findings(held.terms), "clip", "left")
+    else:
+        rows = clips.join(held.source.wide(EXPERTS).drop("total"), "clip")  # labels and findings without a shuffle of their own
     routed = route_by(rows, calibration_columns(held.calibration), prior=prior, **options)
     total = F.col("_bias") + prior_shift(prior)
     for e in EXPERTS:
@@ -178,17 +184,23 @@ def replay_report(routed: DataFrame, metric_prior: float = 0.5) -> DataFrame:
     ``routed``: (y, probability, full_probability, trace, perhaps <expert>_ms). The share of the cost is that of the steps that
     ran in the cost of all findings; null without costs. The last three are the same in both rows.
     """
-    from tessera.operators import metrics
-
-    cases = F.array(F.struct(F.lit("full").alias("mode"), F.col("full_probability").alias("p")), F.struct(F.lit("routed").alias("mode"), F.col("probability").alias("p")))
-    scores = metrics.grouped_summary(routed.select("y", F.explode(cases).alias("c")).select("y", "c.*"), "mode", metric_prior)
     ran = F.transform(F.filter("trace", lambda s: s["action"] == "run"), lambda s: s["expert"])
     costs = F.create_map(*(x for e in EXPERTS if f"{e}_ms" in routed.columns for x in (F.lit(e), F.col(f"{e}_ms").cast("double")))) if any(c.endswith("_ms") for c in routed.columns) else F.lit(None).cast("map<string,double>")
     spent = lambda of: F.aggregate(of, lit(0), lambda s, v: s + F.coalesce(v, lit(0)))
-    steps = routed.select(ran.alias("ran"), costs.alias("ms"))
-    each = steps.select(F.size("ran").alias("n"), F.arrays_overlap("ran", F.array(*map(F.lit, ESCALATION))).cast("int").alias("late"), spent(F.transform("ran", lambda e: F.col("ms")[e])).alias("spent"), spent(F.map_values("ms")).alias("whole"))
+    steps = routed.select(F.col("y").cast("double").alias("y"), "full_probability", "probability", ran.alias("ran"), costs.alias("ms"))
+    late = F.arrays_overlap("ran", F.array(*map(F.lit, ESCALATION))).cast("int")
+    # Several passes read these numbers; traces are some hundred bytes a clip.
+    each = kept(steps.select("y", "full_probability", "probability", F.size("ran").alias("n"), late.alias("late"), spent(F.transform("ran", lambda e: F.col("ms")[e])).alias("spent"), spent(F.map_values("ms")).alias("whole")))
     share = F.round(F.sum("spent") / F.nullif(F.sum("whole"), lit(0)), 3)
     totals = each.agg(F.round(F.avg("n"), 2).alias("mean_experts_run"), F.round(F.avg("late"), 3).alias("escalated_share"), share.alias("compute_share_vs_full"))
+
+    def modes(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        y, full, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "full_probability", "probability"))
+        yield from (("full", full, y), ("routed", part, y))
+
+    found = ranks.summaries(each.select("y", "full_probability", "probability"), modes, metric_prior)
+    columns = ("auc", "eer", "min_dcf_nsa", "min_dcf_code", "metric_p_spoof")
+    scores = routed.sparkSession.createDataFrame([(m, *(own[c] for c in columns)) for m, own in sorted(found.items())], f"mode string, {', '.join(f'{c} double' for c in columns)}")
     return scores.join(F.broadcast(totals), how="cross")
 
 
