@@ -1,7 +1,7 @@
 """The whole validation of several labelled sets in one document.
 
-Each set's rows, findings and labels are written once; the held-out scores, transfers, replay and the final calibration
-all start from these tables. Only metrics, some dozen rows for each set, reach the driver.
+Each set's clips are packed into blocks once; the held-out scores, transfers, replay and the final calibration
+all start from these. Only metrics, some dozen rows for each set, reach the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import ALERT, P_SPOOF, TEST_PRIOR
+from tessera.functions.scalar import ALERT, P_SPOOF, TEST_PRIOR, prior_shift, sigmoid
 from tessera.operators import calibration as C
-from tessera.operators import metrics, routing
-from tessera.operators.evidence import fuse
+from tessera.operators import routing
+from tessera.operators.blocks import unpacked
 from tessera.operators.running import percentiles
 from tessera.sources.store import kept
 
@@ -35,9 +35,6 @@ class LabelledSet(NamedTuple):
     groups: DataFrame
     contexts: DataFrame | None = None
 
-    def written(self) -> LabelledSet:
-        return LabelledSet(*(None if t is None else kept(t) for t in self))
-
     def parts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.rows, self.found, self.labels
 
@@ -59,21 +56,21 @@ def _by(df: DataFrame, key: str) -> dict[str, dict[str, object]]:
 
 def within(held: C.HeldOut, groups: DataFrame, experts: Sequence[str] = EXPERTS, prior: float = P_SPOOF) -> dict[str, object]:
     """Metrics of held-out clips: each expert alone, all fused, the drop without each expert, and each generator against all real clips."""
-    alone = _by(C.expert_summaries(held.scored, held.terms, experts, prior), "expert")
+    alone = _by(held.source.expert_summaries(experts, prior), "expert")
     fused = alone.pop("fused")
     fused.pop("coverage")
     return {
         "validation": {"protocol": PROTOCOL, "outer_folds": len(held.calibration.bias) - 1, "metric_p_spoof": prior, "ablation": "held-out inference omission; fusion is not refitted"},
         "experts": alone,
         "fused": fused,
-        "heldout_expert_omission_auc_drop": {k: v["auc_drop"] for k, v in _by(C.omission_drops(held.scored, held.terms, experts), "expert").items()},
+        "heldout_expert_omission_auc_drop": {k: v["auc_drop"] for k, v in _by(held.source.omission_drops(experts), "expert").items()},
         "fused_auc_by_group": {k: v["auc"] for k, v in _by(C.slice_aucs(held.scored, groups), "group").items()},
     }
 
 
-def transferred(train: LabelledSet, test: LabelledSet, experts: Sequence[str] = EXPERTS, prior: float = P_SPOOF) -> dict[str, object]:
-    scored, terms = C.transfer(train.parts(), test.parts())
-    alone = _by(C.expert_summaries(scored, terms, experts, prior), "expert")
+def transferred(train: C.HeldOut, test: C.HeldOut, experts: Sequence[str] = EXPERTS, prior: float = P_SPOOF) -> dict[str, object]:
+    """The clips of one set under a calibration of the whole other; both are there in blocks."""
+    alone = _by(C.applied(C.refitted(train), test).expert_summaries(experts, prior), "expert")
     fused = alone.pop("fused")
     fused.pop("coverage")
     return {"validation": "cross-dataset diagnostic; source independence not asserted", "metric_p_spoof": prior, "experts": {k: v["auc"] for k, v in alone.items()}, "fused": fused}
@@ -81,11 +78,8 @@ def transferred(train: LabelledSet, test: LabelledSet, experts: Sequence[str] =
 
 def unlabelled_scores(rows: DataFrame, found: DataFrame, calibration: C.Calibration) -> tuple[DataFrame, dict[str, object]]:
     """(clip, forensic_score, one column for each expert, null without a score) at the test's prior, and quantiles of the fused scores."""
-    terms = kept(C.calibrated(rows, found, calibration))
-    weights = rows.sparkSession.createDataFrame(list(calibration.weights[""].items()), "expert string, weight double")
-    clips = terms.groupBy("clip").agg(*(F.max(F.when(F.col("expert") == e, F.round("score", 4))).alias(e) for e in EXPERTS))
-    fused = fuse(terms.select("clip", "expert", "score", "confidence"), weights, calibration.bias[""], TEST_PRIOR)
-    table = kept(fused.select("clip", F.round("probability", 5).alias("forensic_score")).join(clips, "clip"))
+    wide = C.applied(calibration, rows, found).wide(EXPERTS)
+    table = wide.select("clip", F.round(sigmoid(F.col("total") + prior_shift(TEST_PRIOR)), 5).alias("forensic_score"), *(F.round(f"{e}_score", 4).alias(e) for e in EXPERTS))
     points = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     quantiles = percentiles(table, "forensic_score", points).select(*(F.round(p, 3).alias(p) for p in points)).first()
     shares = table.agg(F.count("*").alias("files"), *(F.round(F.avg((F.col("forensic_score") >= t).cast("int")), 3).alias(n) for n, t in (("share_above_alert_threshold", ALERT), ("share_above_0.5", 0.5)))).first()
@@ -98,17 +92,16 @@ def report(sets: dict[str, LabelledSet], transfers: Sequence[tuple[str, str]], d
     Keys: datasets, within_set_oof, transfer, router_replay_<replayed>, candidate_calibration, metric_p_spoof, perhaps
     test_set_forensic_scores; "observations" and "test_set_profile" of an ``earlier`` document are kept. Numbers that are not finite are null.
     """
-    data = {n: s.written() for n, s in sets.items()}
-    held = {n: C.held_out(*s.parts()) for n, s in data.items()}
+    data = {n: s._replace(labels=kept(s.labels)) for n, s in sets.items()}
+    held = {n: C.held_out(*s.parts(), ranked=n == replayed) for n, s in data.items()}
     sizes = {n: s.labels.agg(F.count("*").alias("files"), F.sum("y").alias("synthetic")).first() for n, s in data.items()}
     out: dict[str, object] = {
         "datasets": {n: {"files": r.files, "synthetic": r.synthetic, "real": r.files - r.synthetic} for n, r in sizes.items()},
         "within_set_oof": {n: within(h, data[n].groups, experts, prior) for n, h in held.items()},
-        "transfer": {f"{a} -> {b}": transferred(data[a], data[b], experts, prior) for a, b in transfers},
+        "transfer": {f"{a} -> {b}": transferred(held[a], held[b], experts, prior) for a, b in transfers},
     }
-    union = [data[n].parts() for n in deploy]
-    rows, found, labels = (_union([p[i] for p in union]) for i in range(3))
-    folds = kept(C.dealt(labels))
+    rows, found = unpacked(_union([held[n].source.packed for n in deploy]))
+    folds = kept(C.dealt(_union([data[n].labels.select("clip", "y") for n in deploy])))
     candidate = C.fit_calibration(rows, found, folds, folds.agg(F.max("fold")).first()[0] + 1)
     routed, replay = routing.replay_out_of_fold(data[replayed].contexts, held[replayed], metric_prior=prior)
     modes = _by(replay, "mode")
